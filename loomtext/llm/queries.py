@@ -19,9 +19,77 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import digests, format_conversations
+
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, '{said}' AS text UNION ALL SELECT -1L, 1L, 'assistant', '{said}'")
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return digests(format_conversations(rows))
+
+
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_chat_format": OP10_SQL, "op4_source_mix": OP4_SQL}
+
+
+OP10_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), m AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) IS NOT DISTINCT FROM role AS merged,
+    length(text) + length(text) - length(replace(text, '\', '')) + len(regexp_extract_all(text, '<<\|<</?SYS>>|<\||</?s>|\[/?INST\]')) AS text_chars,
+    length(role) + length(role) - length(replace(role, '\', '')) + length(role) - length(replace(role, chr(10), '')) AS role_chars
+  FROM t
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(text_chars + CASE WHEN merged THEN 8 ELSE 8 + role_chars + 1 + 7 END)::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5('mix:' || doc_id), 1, 15))::BIGINT AS h
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w,
+    row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src
+  FROM d GROUP BY source
+), o AS (
+  SELECT *, 3.0::DOUBLE * source_size AS cap,
+    ((SELECT sum(size) FROM d)::DOUBLE - coalesce(sum(3.0::DOUBLE * source_size) OVER p, 0)) / ((SELECT sum(w) FROM s)::DOUBLE - coalesce(sum(w) OVER p, 0)) AS lev
+  FROM s WINDOW p AS (ORDER BY 3.0::DOUBLE * source_size / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (
+  SELECT arg_min(lev, struct_pack(r := cap / w, i := src)) FILTER (lev <= cap / w) AS found, max(lev) AS most FROM o
+), g AS (
+  SELECT source, source_size, CASE WHEN (SELECT coalesce(found, most) FROM l) > cap / w THEN cap ELSE w * (SELECT coalesce(found, most) FROM l) END AS target FROM o
+), q AS (
+  SELECT *, (source_size + 63) // 64 AS nb, floor(target / source_size)::BIGINT AS whole FROM g WHERE source_size > 0
+), k AS (
+  SELECT *, whole * nb + least(nb, floor((target - whole * source_size) / 64 + 0.5)::BIGINT) AS quota FROM q
+), placed AS (
+  SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM d
+), cut AS (
+  SELECT doc_id, source, size, a, unnest(range(a // 64, (a + size - 1) // 64 + 1)) AS b FROM placed WHERE size > 0
+), got AS (
+  SELECT cut.doc_id, sum((least(a + size, (b + 1) * 64) - greatest(a, b * 64)) * (quota // nb + CASE WHEN b < quota % nb THEN 1 ELSE 0 END))::BIGINT AS taken
+  FROM cut JOIN k ON cut.source IS NOT DISTINCT FROM k.source GROUP BY cut.doc_id
+)
+SELECT d.doc_id, d.size, g.source_size, g.target, coalesce(got.taken, 0)::BIGINT AS taken
+FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN got ON got.doc_id = d.doc_id
+"""
