@@ -38,7 +38,7 @@ def count_keys(docs: DataFrame, columns: list[str], keys_of: Callable[[pa.Record
                     c = pc.value_counts(keys)
                     held.append(pa.table({"key": c.field(0), "freq": c.field(1)}))
                     n += len(c)
-                if n > 600_000:
+                if n > 250_000:
                     yield from merged().to_batches()
                     held, n = [], 0
         if held:

@@ -92,7 +92,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def keys_of(batch: pa.RecordBatch) -> Iterator[pa.Array]:
-        for b in pieces(batch, "text", 16 << 20):
+        for b in pieces(batch, "text", 4 << 20):
             yield _pretokens(b.column("text"))[0]
 
     counted = keyed.count_keys(docs, ["text"], keys_of)
@@ -103,7 +103,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
         t = head.value
         keys, worth = t["key"].combine_chunks().cast(pa.large_binary()), np.append(t["pieces"].to_numpy(), -1)
         for batch in batches:
-            for b in pieces(batch, "text", 16 << 20):
+            for b in pieces(batch, "text", 4 << 20):
                 tokens, first, size = _pretokens(b.column("text"))
                 n = len(b)
                 code = tokens.dictionary_encode()
