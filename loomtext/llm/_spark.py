@@ -93,3 +93,17 @@ def head_cut(freq: DataFrame, column: str, limit: int) -> float:
         left -= n
         cut = 2 ** (b / 8)
     return cut
+
+
+def with_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs with a ``row`` number that is the same each time the frame is read.
+
+    A frame that only projects or filters files is read in the same partitions and order every time; any other
+    one is written to the shared folder first.
+    """
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    files = all(leaves.apply(i).getClass().getSimpleName() == "LogicalRelation" for i in range(leaves.size()))
+    if not files or any(x in plan.toString() for x in ("Aggregate", "Join", "Window", "Sort", "Repartition", "Generate", "MapIn", "Union", "Limit", "Distinct")):
+        docs = scratch.cut(docs)
+    return docs.select("*", F.monotonically_increasing_id().alias("row"))

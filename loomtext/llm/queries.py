@@ -19,6 +19,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(_read(spark, sf_dir, "documents"), 200, keep_text=False)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat_format import digests, format_conversations
 
