@@ -19,6 +19,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ._spark import doc_key
+    from .lm_scoring import score
+
+    return score(_read(spark, sf_dir, "documents"), doc_key() % 7 == 2)
+
+
 def op3_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeats
 
