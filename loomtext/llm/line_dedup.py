@@ -4,7 +4,7 @@ Lines are normalised (lower case, runs of other characters than letters and digi
 one distinct line. Each distinct line of at least ``MIN_WORDS`` words has a 64-bit SimHash of its words, cut into
 five blocks; two lines within ``MAX_BITS`` = 3 bits agree in two blocks at least (pigeonhole), so lines are joined
 on each of the ten pairs of blocks. Pairs within 3 bits whose edit similarity, 1 - distance / longer length, is at
-least ``SIMILARITY`` are linked, and of each connected group of lines the first occurrence, by row and line, stays.
+least ``SIMILARITY`` are linked, and of each connected group of lines the first occurrence, by id, row and line, stays.
 
 Lines with a partner within 3 bits, and no others, bring their texts to the comparison; there, pairs that links
 already connect are skipped, so a group of alike lines costs about one comparison a line and gives a spanning
@@ -145,13 +145,14 @@ def distance(a: str, b: str) -> int:
     return score
 
 
-def duplicate_lines(docs: DataFrame, scratch: _spark.Scratch, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def duplicate_lines(docs: DataFrame, scratch: _spark.Scratch, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """((row, lines array<int>) of the lines to remove, (row, line, group) of all lines that have another in their group).
 
-    docs has the columns row and text_col; lines are numbered from 0 between newlines; group is a line's hash.
+    docs has the columns row, id_col and text_col; lines are numbered from 0 between newlines; group is a line's hash.
     """
     spark = docs.sparkSession
-    texts = docs.select("row", F.col(text_col).alias("text"))
+    texts = docs.select("row", F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = texts.schema["id"].dataType.simpleString()
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,12 +160,12 @@ def duplicate_lines(docs: DataFrame, scratch: _spark.Scratch, similarity: float
                 lines = Lines(b.column("text"))
                 sim = lines.simhash(np.arange(len(lines.hash)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("row").take(pa.array(lines.doc)), pa.array(lines.number.astype(np.int32)), pa.array(lines.hash), pa.array(sim), pa.array(lines.count.astype(np.int32)), pa.array(lines.chars().astype(np.int32))],
-                    ["row", "line", "h", "sim", "words", "chars"],
+                    [b.column("row").take(pa.array(lines.doc)), b.column("id").take(pa.array(lines.doc)), pa.array(lines.number.astype(np.int32)), pa.array(lines.hash), pa.array(sim), pa.array(lines.count.astype(np.int32)), pa.array(lines.chars().astype(np.int32))],
+                    ["row", "id", "line", "h", "sim", "words", "chars"],
                 )
 
-    every = scratch.cut(texts.mapInArrow(found, "row long, line int, h long, sim long, words int, chars int"), "lines")
-    distinct = every.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("row", "line")).alias("first"), F.min("sim").alias("sim"), F.min("words").alias("words"), F.min("chars").alias("chars"))
+    every = scratch.cut(texts.mapInArrow(found, f"row long, id {kind}, line int, h long, sim long, words int, chars int"), "lines")
+    distinct = every.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "line")).alias("first"), F.min("sim").alias("sim"), F.min("words").alias("words"), F.min("chars").alias("chars"))
     distinct = scratch.cut(distinct, "distinct")
     able = distinct.where(F.col("words") >= min_words).select("h", "sim", "chars")
 
@@ -251,11 +252,11 @@ def duplicate_lines(docs: DataFrame, scratch: _spark.Scratch, similarity: float
     return gone, shared.select("row", "line", "group")
 
 
-def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated lines cut out of text_col, and the columns n_lines (between newlines) and n_removed."""
     scratch = _spark.Scratch(docs.sparkSession)
     rows = _spark.with_rows(docs, scratch) if "row" not in docs.columns else _spark.with_rows(docs.withColumnRenamed("row", "_row"), scratch)
-    gone, _ = duplicate_lines(rows, scratch, similarity, min_words, text_col)
+    gone, _ = duplicate_lines(rows, scratch, similarity, min_words, id_col, text_col)
     joined = rows.join(gone.withColumnRenamed("lines", "_lines"), "row", "left").drop("row")
     at = joined.columns.index(text_col)
 
