@@ -255,7 +255,7 @@ def duplicate_lines(docs: DataFrame, scratch: _spark.Scratch, similarity: float
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated lines cut out of text_col, and the columns n_lines (between newlines) and n_removed."""
     scratch = _spark.Scratch(docs.sparkSession)
-    rows = _spark.with_rows(docs, scratch) if "row" not in docs.columns else _spark.with_rows(docs.withColumnRenamed("row", "_row"), scratch)
+    rows = _spark.with_rows(docs.withColumnsRenamed({"row": "_row"}), scratch)
     gone, _ = duplicate_lines(rows, scratch, similarity, min_words, id_col, text_col)
     joined = rows.join(gone.withColumnRenamed("lines", "_lines"), "row", "left").drop("row")
     at = joined.columns.index(text_col)
@@ -275,5 +275,4 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int
             yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(k, pa.int64())], [*b.schema.names[:-1], "n_lines", "n_removed"])
 
     schema = T.StructType([*joined.drop("_lines").schema, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    out = joined.mapInArrow(cut, schema)
-    return out.withColumnRenamed("_row", "row") if "_row" in out.columns else out
+    return joined.mapInArrow(cut, schema).withColumnsRenamed({"_row": "row"})

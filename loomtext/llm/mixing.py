@@ -53,10 +53,15 @@ def quota(target: float, size: int, block: int) -> int:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, block: int = 64, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id_col, source, size, source_size, target, taken, row) of each row of docs; weights repeat over the sources in code-point order."""
+    """(id_col, source, size, source_size, target, taken, row) of each row of docs; weights repeat over the sources in code-point order.
+
+    docs may bring a ``row`` that numbers its rows.
+    """
     spark, scratch = docs.sparkSession, _spark.Scratch(docs.sparkSession)
+    if "row" not in docs.columns:
+        docs = _spark.with_rows(docs, scratch)
     base = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        "row",
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -111,3 +116,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.
         rows.join(taken, "row", "left")
         .select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "row")
     )
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that the mix takes any words of, with all their columns and size, source_size, target and taken."""
+    scratch = _spark.Scratch(docs.sparkSession)
+    rows = _spark.with_rows(docs.withColumnsRenamed({c: f"_{c}" for c in ("row", "size", "source_size", "target", "taken")}), scratch)
+    plan = mix(rows, **options).select("row", "size", "source_size", "target", "taken")
+    return rows.join(plan.where("taken > 0"), "row").drop("row")

@@ -213,10 +213,9 @@ def linked(a: np.ndarray, b: np.ndarray, th: Threshold) -> bool:
     return int((b[at] == a).sum()) >= th.overlap(len(a), len(b))
 
 
-def components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_shingles, component_id, row) of each row of docs; component_id is the least id of its component."""
-    spark, scratch, th = docs.sparkSession, _spark.Scratch(docs.sparkSession), Threshold(percent)
-    docs = _spark.with_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), scratch)
+def roots_of(docs: DataFrame, scratch: _spark.Scratch, k: int, percent: int) -> DataFrame:
+    """(row, id, n, root) of each row of docs (row, id, text): its set's size, and a class of its component."""
+    spark, th = docs.sparkSession, Threshold(percent)
     kind = docs.schema["id"].dataType.simpleString()
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,14 +378,24 @@ def components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "do
     second = scratch.cut(second, "more")
     if second.take(1):
         roots = _spark.components(scratch, first.unionByName(second))
-    found = every.select("row", "id", "n", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    return every.select("row", "id", "n", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("row", "id", "n", F.coalesce("root", "cls").alias("root"))
+
+
+def components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_shingles, component_id) of each row of docs; component_id is the least id of its component."""
+    scratch = _spark.Scratch(docs.sparkSession)
+    docs = _spark.with_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), scratch)
+    found = roots_of(docs, scratch, k, percent)
     least = found.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
-    return found.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"), "row")
+    return found.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
 def one_per_component(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without those that link, directly or not, to a row with a smaller id; of rows with that id one stays. Rows with empty sets stay."""
-    found = components(docs.select(id_col, text_col), k, percent, id_col, text_col)
-    gone = found.where("n_shingles > 0").where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    kept = docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
-    return kept
+    """docs with one row of each component, that of the least id (null first), then row. Rows with empty sets stay."""
+    scratch = _spark.Scratch(docs.sparkSession)
+    rows = _spark.with_rows(docs.withColumnsRenamed({"row": "_row"}), scratch)
+    found = roots_of(rows.select("row", F.col(id_col).alias("id"), F.col(text_col).alias("text")), scratch, k, percent)
+    found = scratch.cut(found, "found")
+    stays = found.where("n > 0").groupBy("root").agg(F.min(F.struct("id", "row")).alias("first")).select("first.row")
+    stays = stays.unionByName(found.where("n = 0").select("row"))
+    return rows.join(stays, "row", "left_semi").drop("row").withColumnsRenamed({"_row": "row"})

@@ -80,7 +80,7 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import components
 
-    return components(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return components(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

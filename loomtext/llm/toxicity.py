@@ -239,3 +239,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
     docs = docs.select("doc_id", "text", held_out.alias("held_out"))
     model = fit(docs.where("not held_out"), labels.where(~held_out), max_labelled=MAX_LABELLED)
     return score(docs, model, threshold, keep=("held_out",))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that score below threshold, with the columns of docs."""
+    seen = docs.select("doc_id", "text", held_out.alias("held_out")).where("not held_out")
+    model = fit(seen, labels.where(~held_out), max_labelled=MAX_LABELLED)
+    plain = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), "*")
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    kept = score(plain.toDF("_id", "_text", *names), model, threshold, "_id", "_text", tuple(names))
+    return kept.where("predicted = 0").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
