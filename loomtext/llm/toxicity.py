@@ -42,7 +42,7 @@ LEXICON = (
 )
 #: Style voters, counted on the text as it is: shouting, runs of marks, masked words.
 STYLES = (r"\p{Lu}{4,}", r"[!?]{2,}", r"\p{L}[*#@$]{2,}\p{L}?")
-STARTS = (4, 5, 6)
+STARTS = (4, 5, 6, 7, 8)
 
 
 def _normal(texts: pa.Array) -> pa.Array:
@@ -111,7 +111,9 @@ def label_model(votes: np.ndarray, gold: np.ndarray, prior: float, gold_accuracy
     """
     m = votes.shape[1]
     known = np.where(gold < 0, 0.0, np.log(gold_accuracy / (1 - gold_accuracy)) * np.where(gold > 0, 1, -1))
-    post = 1 / (1 + np.exp(-(math.log(prior / (1 - prior)) + known + 2.0 * (votes.sum(1) > 0))))
+    n = votes.sum(1)
+    # At first every voter is as good as any: rows with more votes than most are toxic.
+    post = 1 / (1 + np.exp(-(math.log(prior / (1 - prior)) + known + 2.0 * (n - n.mean()) / (n.std() + 1e-9))))
     rates, weight = np.zeros((m, 2)), np.ones(m)
     for _ in range(rounds):
         pi = float(np.clip(post.mean(), 1e-4, 1 - 1e-4))
@@ -134,19 +136,29 @@ def label_model(votes: np.ndarray, gold: np.ndarray, prior: float, gold_accuracy
     return post, rates, weight
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 40) -> tuple[np.ndarray, float]:
-    """Weights and bias of a ridge logistic regression on soft labels, by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Weights and bias of a ridge logistic regression on soft labels, by Newton's method with step halving."""
     a = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(a.shape[1])
     w[-1] = math.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
     pull = np.full(a.shape[1], ridge)
-    pull[-1] = 1e-6
+    pull[-1] = 1e-3
+
+    def loss(w: np.ndarray) -> float:
+        z = a @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (pull * w * w).sum())
+
+    now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ a + np.diag(pull), a.T @ (p - y) + pull * w)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
+        slope = a.T @ (p - y) + pull * w
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(pull), slope)
+        size = 1.0
+        while size > 1e-8 and (new := loss(w - size * step)) > now - 1e-4 * size * float(slope @ step):
+            size /= 2
+        if size <= 1e-8 or now - new < 1e-9 * (1 + abs(now)):
             break
+        w, now = w - size * step, new
     return w[:-1], float(w[-1])
 
 
@@ -201,9 +213,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for b in pieces(batch, "text"):
                 c = counts(b.column("text"), a, len(patterns))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.list_(pa.float32())), b.column("y")], ["c", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.list_(pa.float32())), b.column("y"), b.column("h")], ["c", "y", "h"])
 
-    t = found.select("text", "y").mapInArrow(counted, "c array<float>, y int").toArrow()
+    t = found.select("text", "y", F.xxhash64("id").alias("h")).mapInArrow(counted, "c array<float>, y int, h long").toArrow().sort_by("h")  # so that reruns agree
     width = len(patterns) + len(STYLES) + 1
     # Without labels the lexicon stands for them: one made-up row a pattern.
     c = t["c"].combine_chunks().flatten().to_numpy().reshape(-1, width) if n else np.eye(len(patterns), width, dtype=np.float32)
