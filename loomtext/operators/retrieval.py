@@ -1,6 +1,6 @@
 """Retrieval: heuristic scan, BM25, dense nearest neighbours, fusion, diversification, reranking.
 
-All operators take tables of queries, so that many queries share a plan. Scores order by value, rounded to twelve
+All operators take tables of queries, so that many queries share a plan. Scores order by value, rounded to nine
 places so that the order of sums doesn't matter, then by key.
 """
 
@@ -43,7 +43,7 @@ def top(df: DataFrame, k: int | Column, *order: Column, by: str = "query_id") ->
 
 
 def by_score(c: str = "score") -> Column:
-    return F.round(F.col(c), 12).desc()
+    return F.round(F.col(c), 9).desc()
 
 
 def heuristic_search(files: DataFrame, queries: DataFrame, as_of: Column, limit: int = 24, cfg: RetrievalConfig = CONFIG) -> DataFrame:
@@ -154,7 +154,13 @@ def mmr_order(score: np.ndarray, tokens: list[set], vectors: list, limit: int, l
     have = np.array([v is not None for v in vectors])
     matrix = np.array([v for v in vectors if v is not None], float) if have.any() else np.zeros((0, 0))
     place = np.cumsum(have) - 1
-    size = np.array([len(t) for t in tokens])
+    # Shared tokens of all pairs at once: a matrix of candidates and tokens by its transpose.
+    code: dict = {}
+    at = [[code.setdefault(x, len(code)) for x in t] for t in tokens]
+    table = np.zeros((n, max(1, len(code))), np.float32)
+    for k, row in enumerate(at):
+        table[k, row] = 1
+    shared, size = table @ table.T, np.array([len(t) for t in tokens])
     like, free, out = np.zeros(n), np.ones(n, bool), []
     while len(out) < limit and free.any():
         value = np.where(free, lam * score - (1 - lam) * like, -np.inf)
@@ -164,7 +170,7 @@ def mmr_order(score: np.ndarray, tokens: list[set], vectors: list, limit: int, l
         todo = np.flatnonzero(free & (like < stop))
         if not len(todo):
             continue
-        both = np.array([len(tokens[i] & tokens[k]) for i in todo])
+        both = shared[todo, k]
         union = size[todo] + size[k] - both
         s = np.where(union > 0, both / np.maximum(union, 1), 0.0)
         if have[k]:
@@ -213,7 +219,7 @@ def rerank(hits: DataFrame, queries: DataFrame, limit: int = 24, shortlist: int
     short = top(hits.drop("rank"), n, by_score(), F.col("key")).drop("rank").join(queries.select("query_id", F.col("text").alias("_q")), "query_id")
     new = F.coalesce(N.clamp01(score(F.col("_q"), F.concat_ws("\n", "path", "excerpt"))), F.col("score"))
     out = short.withColumn("_old", F.col("score")).withColumn("score", new)
-    out = top(out, limit, by_score(), F.round("_old", 12).desc(), F.col("key"))
+    out = top(out, limit, by_score(), F.round("_old", 9).desc(), F.col("key"))
     return out.drop("_q", "_old").withColumn("provider", F.lit("rerank")).withColumn("reason_tags", F.array_union("reason_tags", F.array(F.lit("rerank"))))
 
 
@@ -250,7 +256,7 @@ def resolve_names(proposed: DataFrame, known: DataFrame, sure: float = 0.92, may
     lengths = p.where("n <> ''").withColumn("kl", F.explode(F.sequence(F.ceil(F.col("l") * maybe).cast("int"), F.floor(F.col("l") / maybe).cast("int"))))
     sim = 1 - F.levenshtein("n", "kn") / F.greatest("l", "kl")
     alike = lengths.join(k, "kl").select("name", "known", sim.alias("sim")).where(F.col("sim") >= maybe)
-    best = top(alike, most, F.round("sim", 12).desc(), F.col("known"), by="name")
+    best = top(alike, most, F.round("sim", 9).desc(), F.col("known"), by="name")
     listed = best.groupBy("name").agg(F.max(F.when(F.col("rank") == 1, F.col("sim"))).alias("sim"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "known"))), lambda s: s["known"]).alias("c"))
     out = p.select("name").join(exact, "name", "left").join(listed, "name", "left")
     found = F.coalesce("exact", F.when(F.col("sim") >= sure, F.get("c", F.lit(0))))

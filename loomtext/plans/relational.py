@@ -215,7 +215,7 @@ _POSTINGS = f", t AS (SELECT key, path, unnest({sql_tokens('text')}) AS term FRO
 _BM25 = WITH_CHUNKS + _POSTINGS + (
     f", q AS (SELECT item_id AS query_id, unnest(list_distinct(({sql_tokens('text')})[1:24])) AS term FROM benchmark), df AS (SELECT term, count(*) AS df FROM postings GROUP BY term), "
     "sc AS (SELECT query_id, p.key, p.path, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))) AS score FROM q JOIN postings p USING (term) JOIN df USING (term) JOIN lens l ON l.key = p.key, stats GROUP BY query_id, p.key, p.path), "
-    "bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, key) AS rank FROM sc) "
+    "bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, key) AS rank FROM sc) "
 )
 
 
@@ -240,7 +240,7 @@ def bm25_search(spark, d):
     return hits.select("query_id", "key", "path", F.round("score", 6).alias("score"), C("rank").cast("long").alias("rank"))
 
 
-@query(_BM25 + ", nr AS (SELECT *, score / max(score) OVER (PARTITION BY query_id) AS s FROM bm WHERE rank <= 192), al AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, key) AS r FROM nr WHERE path LIKE 'src1%') SELECT query_id, key, round(s, 6) AS score, r AS rank, md5(CASE WHEN length(text) > 2500 THEN left(text, 2500) || '…' ELSE text END) AS excerpt FROM al JOIN chunks USING (key) WHERE r <= 24")
+@query(_BM25 + ", nr AS (SELECT *, score / max(score) OVER (PARTITION BY query_id) AS s FROM bm WHERE rank <= 192), al AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, key) AS r FROM nr WHERE path LIKE 'src1%') SELECT query_id, key, round(s, 6) AS score, r AS rank, md5(CASE WHEN length(text) > 2500 THEN left(text, 2500) || '…' ELSE text END) AS excerpt FROM al JOIN chunks USING (key) WHERE r <= 24")
 def bm25_provider(spark, d):
     hits = retrieval.bm25_provider(_chunks(spark, d), S.queries(spark, d), C("path").startswith("src1"))
     return hits.select("query_id", "key", F.round("score", 6).alias("score"), C("rank").cast("long").alias("rank"), F.md5("excerpt").alias("excerpt"))
@@ -250,7 +250,7 @@ def _dense_sql(score: str) -> str:
     return (
         "WITH v AS (SELECT vec_id, 'chunk:v/' || vec_id || '.md:0' AS key, 'v/' || vec_id || '.md' AS path, embedding::DOUBLE[] AS e FROM embeddings), "
         f"s AS (SELECT q.vec_id AS query_id, v.key, v.path, {score} AS raw FROM v, v q WHERE q.vec_id % 20 = 0), "
-        "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 12) DESC, key) AS rank FROM s) "
+        "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, key) AS rank FROM s) "
         "SELECT query_id, key, round((raw + 1) / 2, 6) AS score, rank FROM r WHERE rank <= 24"
     )
 
@@ -275,10 +275,10 @@ def dense_knn_cosine(spark, d):
 _HEURISTIC = WITH_FILES + (
     f", hq AS (SELECT item_id AS query_id, ({sql_tokens('text', '[^a-z0-9]+')})[1:24] AS terms FROM benchmark), "
     "hb AS (SELECT query_id, terms, path, basename, content, len(list_filter(terms, lambda t: contains(lower(basename || ' ' || path), t))) AS title_hits, 1 / (1 + greatest(0, 1735689600000 - mtime_ms) / 2592000000.0::DOUBLE) AS rec FROM files, hq WHERE len(terms) > 0), "
-    "hc AS (SELECT *, title_hits + 0.5::DOUBLE * rec AS base FROM hb QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(title_hits + 0.5::DOUBLE * rec, 12) DESC, path) <= 120), "
+    "hc AS (SELECT *, title_hits + 0.5::DOUBLE * rec AS base FROM hb QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(title_hits + 0.5::DOUBLE * rec, 9) DESC, path) <= 120), "
     "hh AS (SELECT *, list_sum(list_transform(terms, lambda t: (length(content) - length(replace(lower(content), t, ''))) // length(t)))::BIGINT AS tf FROM hc), "
     "hs AS (SELECT query_id, 'file:' || path AS key, path, title_hits, tf, least(1.0, base / 6 + least(1.0, tf / 24.0::DOUBLE) * 0.7::DOUBLE) AS score FROM hh WHERE tf > 0 OR title_hits > 0), "
-    "he AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, key) AS rank FROM hs) "
+    "he AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, key) AS rank FROM hs) "
 )
 
 
@@ -303,7 +303,7 @@ def _united(spark, d):
     _HEURISTIC
     + ", "
     + _BM25.removeprefix(WITH_FILES[: len("WITH ")]).removeprefix(FILES + ", ")
-    + ", bp AS (SELECT query_id, key, score / max(score) OVER (PARTITION BY query_id) AS s FROM bm WHERE rank <= 192), bq AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, key) AS r FROM bp QUALIFY r <= 24), "
+    + ", bp AS (SELECT query_id, key, score / max(score) OVER (PARTITION BY query_id) AS s FROM bm WHERE rank <= 192), bq AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, key) AS r FROM bp QUALIFY r <= 24), "
     "u AS (SELECT query_id, key, 1 / (60 + r) AS p FROM bq UNION ALL SELECT query_id, key, 1 / (60 + rank) FROM he WHERE rank <= 24), f AS (SELECT query_id, key, sum(p) AS s FROM u GROUP BY query_id, key) "
     "SELECT query_id, key, round(s / max(s) OVER (PARTITION BY query_id), 6) AS score FROM f"
 )
@@ -330,10 +330,10 @@ def hybrid_search(spark, d):
 
 @query(
     _BM25
-    + f", nr AS (SELECT query_id, key, path, score / max(score) OVER (PARTITION BY query_id) AS s FROM bm WHERE rank <= 192), sl AS (SELECT * FROM nr QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, key) <= 60), "
+    + f", nr AS (SELECT query_id, key, path, score / max(score) OVER (PARTITION BY query_id) AS s FROM bm WHERE rank <= 192), sl AS (SELECT * FROM nr QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, key) <= 60), "
     f"qs AS (SELECT item_id AS query_id, list_distinct({sql_tokens('text', stop=False)}) AS qt FROM benchmark), "
     f"rs AS (SELECT query_id, key, s AS old, len(list_intersect(qt, {sql_tokens('sl.path || chr(10) || CASE WHEN length(text) > 2500 THEN left(text, 2500) ELSE text END', stop=False)})) / len(qt) AS score FROM sl JOIN chunks USING (key) JOIN qs USING (query_id)) "
-    "SELECT query_id, key, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, round(old, 12) DESC, key) AS rank FROM rs QUALIFY rank <= 12"
+    "SELECT query_id, key, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, round(old, 9) DESC, key) AS rank FROM rs QUALIFY rank <= 12"
 )
 def rerank(spark, d):
     hits = retrieval.bm25_provider(_chunks(spark, d), S.queries(spark, d), limit=60)
@@ -347,7 +347,7 @@ _NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '[-
     f"WITH p AS (SELECT DISTINCT name, {_NORM.format('name')} AS n FROM (SELECT c_name AS name FROM customer UNION ALL SELECT s_name FROM supplier)), k AS (SELECT s_name AS known, {_NORM.format('s_name')} AS kn FROM supplier), "
     "ex AS (SELECT name, min(known) AS exact FROM p JOIN k ON n = kn GROUP BY name), "
     "al AS (SELECT name, known, 1 - levenshtein(n, kn) / greatest(length(n), length(kn)) AS sim FROM p, k WHERE 1 - levenshtein(n, kn) / greatest(length(n), length(kn)) >= 0.78), "
-    "b AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY round(sim, 12) DESC, known) AS r FROM al QUALIFY r <= 5), "
+    "b AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY round(sim, 9) DESC, known) AS r FROM al QUALIFY r <= 5), "
     "g AS (SELECT name, max(sim) AS sim, list(known ORDER BY r) AS c FROM b GROUP BY name), "
     "o AS (SELECT p.name, coalesce(exact, CASE WHEN sim >= 0.92 THEN c[1] END) AS resolved, c FROM p LEFT JOIN ex USING (name) LEFT JOIN g USING (name)) "
     "SELECT name, resolved, CASE WHEN resolved IS NULL THEN coalesce(array_to_string(c, '|'), '') ELSE '' END AS candidates FROM o"

@@ -21,13 +21,13 @@ def changed(files: DataFrame, state: DataFrame) -> DataFrame:
 def replace_paths(index: DataFrame, fresh: DataFrame, gone: DataFrame | None = None) -> DataFrame:
     """index without the rows of the paths of fresh and gone, and the rows of fresh: what a clean rebuild gives."""
     paths = fresh.select("path") if gone is None else fresh.select("path").unionByName(gone.select("path"))
-    return index.join(paths.distinct(), "path", "left_anti").unionByName(fresh)
+    return index.join(paths.distinct(), "path", "left_anti").select(*index.columns).unionByName(fresh)
 
 
 def reindex(index: DataFrame, state: DataFrame, files: DataFrame, chunk: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(index, state) after the files of a batch: unchanged ones are left alone, of the others all rows are made anew."""
     new = changed(with_hash(files), state)
-    kept = index.join(new.select("path").distinct(), "path", "left_anti")
+    kept = index.join(new.select("path").distinct(), "path", "left_anti").select(*index.columns)
     own = new.select("path", "hash")
     return kept.unionByName(chunk(new).select(*index.columns)), state.join(own, "path", "left_anti").select("path", "hash").unionByName(own)
 
