@@ -53,19 +53,22 @@ def quota(target: float, size: int, block: int) -> int:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, block: int = 64, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id_col, source, size, source_size, target, taken, row) of each row of docs; weights repeat over the sources in code-point order.
+    """(id_col, source_col, size, source_size, target, taken) of each row of docs; weights repeat over the sources in code-point order."""
+    scratch = _spark.Scratch(docs.sparkSession)
+    rows = _spark.with_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source")), scratch)
+    out = mix_rows(rows, scratch, weights, cap, block, seed)
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken")
+
 
-    docs may bring a ``row`` that numbers its rows.
-    """
-    spark, scratch = docs.sparkSession, _spark.Scratch(docs.sparkSession)
-    if "row" not in docs.columns:
-        docs = _spark.with_rows(docs, scratch)
+def mix_rows(docs: DataFrame, scratch: _spark.Scratch, weights: tuple[float, ...], cap: float, block: int, seed: str) -> DataFrame:
+    """(row, id, source, size, source_size, target, taken) of each row of docs (row, id, text, source)."""
+    spark = docs.sparkSession
     base = docs.select(
         "row",
-        F.col(id_col).alias("id"),
-        F.col(source_col).alias("source"),
-        F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(text_col).alias("tie"),
+        "id",
+        "source",
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64("text").alias("tie"),
     ).withColumn("h", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("id").cast("string"))), 1, 15), 16, 10).cast("long"))
     base = scratch.cut(base, "sizes")
     found = base.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
@@ -112,15 +115,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.
         .select("row", "src", "block", (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)).alias("words"))
     )
     taken = cut.join(times, ["src", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    return (
-        rows.join(taken, "row", "left")
-        .select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "row")
-    )
+    return rows.join(taken, "row", "left").select("row", "id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the mix takes any words of, with all their columns and size, source_size, target and taken."""
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, block: int = 64, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs that the mix takes any words of, with all their columns and mix_size, mix_target (their source's) and mix_taken."""
     scratch = _spark.Scratch(docs.sparkSession)
-    rows = _spark.with_rows(docs.withColumnsRenamed({c: f"_{c}" for c in ("row", "size", "source_size", "target", "taken")}), scratch)
-    plan = mix(rows, **options).select("row", "size", "source_size", "target", "taken")
-    return rows.join(plan.where("taken > 0"), "row").drop("row")
+    rows = _spark.with_rows(docs.withColumnsRenamed({"row": "_row"}), scratch)
+    plan = mix_rows(rows.select("row", F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source")), scratch, weights, cap, block, seed)
+    plan = plan.where("taken > 0").select("row", F.col("size").alias("mix_size"), F.col("target").alias("mix_target"), F.col("taken").alias("mix_taken"))
+    return rows.join(plan, "row").drop("row").withColumnsRenamed({"_row": "row"})
