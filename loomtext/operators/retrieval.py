@@ -63,16 +63,18 @@ def heuristic_search(files: DataFrame, queries: DataFrame, as_of: Column, limit:
         scored = meta.join(F.broadcast(q)).withColumn("title_hits", hits).withColumn("base_score", F.col("title_hits") + 0.5 * F.col("recency") + near)
         return top(scored.select("query_id", "path", "title", "title_hits", "base_score"), min(cfg.metadata_candidates, cfg.content_candidates), by_score("base_score"), F.col("path")).drop("rank")
 
-    found = query_blocks(queries, scan).join(queries.select("query_id", "terms"), "query_id").join(files.select("path", "content"), "path")
-    low = F.lower(F.col("content"))
+    # Lower case is made below the join: once a file, not once a term.
+    found = query_blocks(queries, scan).join(queries.select("query_id", "terms"), "query_id").join(files.select("path", "content", F.lower("content").alias("low")), "path")
+    low = F.col("low")
     times = lambda t: ((F.length(low) - F.length(F.replace(low, t, F.lit("")))) / F.length(t)).cast("long")
     found = found.withColumn("tf", F.aggregate("terms", F.lit(0).cast("long"), lambda s, t: s + times(t)))
     first = F.get(F.filter("terms", lambda t: F.contains(low, t)), F.lit(0))
     score = F.least(F.lit(1.0), F.col("base_score") / 6 + F.least(F.lit(1.0), F.col("tf") / cfg.query_terms) * 0.7)
     tags = F.array_compact(F.array(F.when(F.col("title_hits") > 0, "titleMatch"), F.when(F.col("tf") > 0, "textMatch")))
     text = F.when(first.isNotNull(), T.snippet(F.col("content"), first, cfg.excerpt_chars)).otherwise(F.left("content", F.lit(cfg.excerpt_chars)))
-    out = found.where("tf > 0 or title_hits > 0").select("query_id", F.lit("heuristic").alias("provider"), F.concat(F.lit("file:"), F.col("path")).alias("key"), "path", "title", text.alias("excerpt"), score.alias("score"), tags.alias("reason_tags"))
-    return top(out, limit, by_score(), F.col("key"))
+    out = found.select((F.col("tf") + F.col("title_hits") > 0).alias("hit"), "query_id", F.lit("heuristic").alias("provider"), F.concat(F.lit("file:"), F.col("path")).alias("key"), "path", "title", text.alias("excerpt"), score.alias("score"), tags.alias("reason_tags"))
+    # Hits rank before the rest, which then goes: a filter above would be evaluated a second time in the join.
+    return top(out, limit, F.col("hit").desc(), by_score(), F.col("key")).where("hit").drop("hit")
 
 
 def bm25_scores(chunks: DataFrame, queries: DataFrame, cfg: RetrievalConfig = CONFIG, terms_table: DataFrame | None = None) -> DataFrame:
