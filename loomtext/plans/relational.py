@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, context, index, parsing, retrieval, sinks, vault
+from ..operators import chunking, context, index, parsing, publish, retrieval, sinks, vault
 from ..sources import tables as S
 from ..streaming import incremental
 from .registry import FILES, NOTES, query, sql_tokens, sql_words
@@ -490,3 +490,24 @@ def apply_note_updates(spark, d):
 def create_if_absent(spark, d):
     f = S.files(spark, d)
     return sinks.create_if_absent(f.select("path", "doc_id"), S.read(spark, d, "labels"), "doc_id").select("path")
+
+
+@query()
+def export_epub(spark, d):
+    return publish.books_as(publish.epub, _books(spark, d)).select("book", F.length("file").alias("n_bytes"))
+
+
+@query()
+def export_docx(spark, d):
+    return publish.books_as(publish.docx, _books(spark, d)).select("book", F.length("file").alias("n_bytes"))
+
+
+@query()
+def markdown_to_plain_text(spark, d):
+    return S.notes(spark, d).select("conv_id", publish.markdown_to_plain(C("content")).alias("plain"))
+
+
+@query("SELECT item_id, '# Run log' || chr(10) || chr(10) || '- Mode: chapter' || chr(10) || '- Model: none' || chr(10) || '- Time: 2025-01-01T00:00:00Z' || chr(10) || '- Query hash: ' || printf('%08x', list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(text, ''), lambda x: unicode(x)::HUGEINT)), lambda h, u: (xor(h::BIGINT, u::BIGINT)::HUGEINT * 16777619) % 4294967296)::BIGINT) || chr(10) || '- Context: ' || length(text) || ' chars' || chr(10) || chr(10) || '## Query' || chr(10) || chr(10) || '```text' || chr(10) || text || chr(10) || '```' || chr(10) || chr(10) || '## Retrieved context' || chr(10) || chr(10) || '```text' || chr(10) || text || chr(10) || '```' || chr(10) || chr(10) AS log FROM benchmark")
+def generation_log(spark, d):
+    log = publish.run_log(F.lit("chapter"), F.lit("none"), F.lit(AS_OF).cast("timestamp"), C("text"), C("text"))
+    return S.read(spark, d, "benchmark").select("item_id", log.alias("log"))
