@@ -101,7 +101,7 @@ def features(c: np.ndarray) -> np.ndarray:
     n = c.shape[1] - len(STYLES) - 1
     hits, words = c[:, :n].sum(1), np.maximum(c[:, -1], 1)
     per = lambda x: np.log1p(100 * x / words)
-    return np.column_stack([np.minimum(np.log1p(c[:, :n]), 2), np.log1p(hits), per(hits), (hits > 0), *(per(c[:, n + k]) for k in range(len(STYLES)))]).astype(np.float64)
+    return np.column_stack([np.minimum(np.log1p(c[:, :n]), 2), np.log1p(hits), per(hits), (hits > 0), *(per(c[:, n + k]) for k in range(len(STYLES)))]).astype(np.float32)
 
 
 def label_model(votes: np.ndarray, gold: np.ndarray, prior: float, gold_accuracy: float = 0.98, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,21 +115,25 @@ def label_model(votes: np.ndarray, gold: np.ndarray, prior: float, gold_accuracy
     # At first every voter is as good as any: rows with more votes than most are toxic.
     post = 1 / (1 + np.exp(-(math.log(prior / (1 - prior)) + known + 2.0 * (n - n.mean()) / (n.std() + 1e-9))))
     rates, weight = np.zeros((m, 2)), np.ones(m)
-    for _ in range(rounds):
+    for turn in range(rounds):
         pi = float(np.clip(post.mean(), 1e-4, 1 - 1e-4))
         rates[:, 1] = (votes.T @ post + 0.5) / (post.sum() + 1)
         rates[:, 0] = (votes.T @ (1 - post) + 0.5) / ((1 - post).sum() + 1)
-        # Correlations left within the classes; voters that repeat each other share one voice.
-        mean = np.outer(post, rates[:, 1]) + np.outer(1 - post, rates[:, 0])
-        rest = votes - mean
-        scale = np.sqrt((rest**2).mean(0)) + 1e-9
-        corr = (rest.T @ rest) / len(rest) / np.outer(scale, scale)
-        np.fill_diagonal(corr, 0)
-        weight = 1 / (1 + np.where(corr > 0.1, corr, 0).sum(1))
+        if turn % 5 == 0:
+            # Correlations left within the classes; voters that repeat each other share one voice.
+            both = np.zeros((m, m))
+            for at in range(0, len(votes), 2048):
+                p = post[at : at + 2048, None]
+                rest = votes[at : at + 2048] - p * rates[:, 1] - (1 - p) * rates[:, 0]
+                both += rest.T @ rest
+            scale = np.sqrt(np.diag(both) / len(votes)) + 1e-9
+            corr = both / len(votes) / np.outer(scale, scale)
+            np.fill_diagonal(corr, 0)
+            weight = 1 / (1 + np.where(corr > 0.1, corr, 0).sum(1))
         fire, still = np.log(rates[:, 1] / rates[:, 0]), np.log((1 - rates[:, 1]) / (1 - rates[:, 0]))
-        logit = math.log(pi / (1 - pi)) + known + votes @ (weight * fire) + (1 - votes) @ (weight * still)
+        logit = math.log(pi / (1 - pi)) + known + votes @ (weight * (fire - still)) + float(weight @ still)
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(new - post).max() < 1e-6:
+        if np.abs(new - post).max() < 1e-5:
             post = new
             break
         post = new
@@ -138,7 +142,7 @@ def label_model(votes: np.ndarray, gold: np.ndarray, prior: float, gold_accuracy
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Weights and bias of a ridge logistic regression on soft labels, by Newton's method with step halving."""
-    a = np.column_stack([x, np.ones(len(x))])
+    a = np.column_stack([x, np.ones(len(x), x.dtype)])
     w = np.zeros(a.shape[1])
     w[-1] = math.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
     pull = np.full(a.shape[1], ridge)
@@ -152,7 +156,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 60)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
         slope = a.T @ (p - y) + pull * w
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(pull), slope)
+        curve = np.diag(pull)
+        for at in range(0, len(a), 2048):
+            part = a[at : at + 2048].astype(np.float64)
+            curve += (part * (p * (1 - p))[at : at + 2048, None]).T @ part
+        step = np.linalg.solve(curve, slope)
         size = 1.0
         while size > 1e-8 and (new := loss(w - size * step)) > now - 1e-4 * size * float(slope @ step):
             size /= 2
@@ -196,7 +204,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     stats = found.select("text", "y").mapInArrow(seen, "pattern string, pos long, n long").groupBy("pattern").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     # A voter must be toxic's in most rows it fires on; the labelled rows are bounded, and so is what passes here.
     able = stats.where("pos >= 3").agg(F.count("*")).first()[0]
-    likely = stats.where("pos >= 3 and 2 * pos > n").collect()
+    # The test's value is at least prior^pos * (1 - prior)^(n - pos), so most rows drop out before they are collected.
+    bound = F.col("pos") * math.log(prior) + (F.col("n") - F.col("pos")) * math.log1p(-prior)
+    likely = stats.where("pos >= 3 and 2 * pos > n").where(bound < math.log(0.05 / max(1, able))).toArrow().to_pylist()
     rated = sorted((p, r["pattern"]) for r in likely if (p := _tail(r["pos"], r["n"], prior)) * max(1, able) < 0.05)
     chosen: list[str] = []
     for _, p in sorted(rated, key=lambda r: (len(r[1].rstrip()), r)):
@@ -224,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         blank = np.zeros((9 * len(patterns) * (not n), width), np.float32)
         c, y = np.concatenate([c, blank, np.eye(len(patterns), width, dtype=np.float32)]), np.concatenate([y, np.zeros(len(blank), int), np.ones(len(patterns), int)])
     x = features(c)
-    post, rates, _ = label_model((c[:, :-1] > 0).astype(float), y, float(np.clip(prior, 1e-3, 0.999)))
+    post, rates, _ = label_model((c[:, :-1] > 0).astype(np.float32), y, float(np.clip(prior, 1e-3, 0.999)))
     w, bias = logistic(x, post)
     return Model(patterns, w, bias, dict(zip(patterns, map(tuple, rates.tolist()), strict=False)))
 
