@@ -80,26 +80,22 @@ def pairs_of(key: np.ndarray, most: int = 64) -> tuple[np.ndarray, np.ndarray, l
     return i, j, large
 
 
-class Union:
-    """Disjoint sets over 0 .. n - 1."""
+class Groups:
+    """Disjoint sets over 0 .. n - 1 with the label of each at hand as an array."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        """Whether the two were apart."""
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
+        self.label, self.members = np.arange(n), {}
+
+    def join(self, a: int, b: int) -> None:
+        """Unites the sets of a and b; the smaller one takes the larger one's label."""
+        p, q = int(self.label[a]), int(self.label[b])
+        if p == q:
+            return
+        x, y = self.members.pop(p, [p]), self.members.pop(q, [q])
+        if len(x) < len(y):
+            p, x, y = q, y, x
+        self.label[y] = p
+        self.members[p] = x + y
 
 
 BLOOM_BITS = 1 << 25

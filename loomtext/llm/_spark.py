@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -19,10 +20,10 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables of one operator call. Readable by every executor, so a lost executor costs a task retry only."""
+    """Intermediate tables of one operator call, either written (``cut``) or kept with their lineage (``keep``)."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.base, self.paths = spark, f"{scratch_dir(spark)}/loomtext-{uuid.uuid4().hex}", {}
+        self.spark, self.base, self.paths, self.kept = spark, f"{scratch_dir(spark)}/loomtext-{uuid.uuid4().hex}", {}, {}
 
     def cut(self, df: DataFrame, name: str | None = None) -> DataFrame:
         """Writes df as Parquet in the shared folder and reads it back: its lineage ends there."""
@@ -32,10 +33,24 @@ class Scratch:
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep(self, df: DataFrame, name: str | None = None) -> DataFrame:
+        """df computed once and kept on the executors' disks as Spark's own blocks.
+
+        Its lineage stays: blocks of a lost executor are computed again. It makes no files, so it suits tables that
+        are read a few times within a call; ``cut`` is for long lineage and for what must not change between reads.
+        """
+        df = df.persist(StorageLevel.DISK_ONLY)
+        df.count()
+        self.kept[name or uuid.uuid4().hex[:8]] = df
+        return df
+
     def drop(self, *names: str) -> None:
-        """Deletes tables that no lazy result reads any more."""
+        """Frees tables that no lazy result reads any more."""
         jvm = self.spark._jvm
         for name in names:
+            if name in self.kept:
+                self.kept.pop(name).unpersist()
+                continue
             path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
@@ -49,13 +64,15 @@ def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b", m
     """(node, root) of every node of an edge list, root the least node of its component.
 
     Alternating large-star and small-star rounds; each is two shuffles of at most the edge list, and no
-    neighbourhood is ever collected. Rounds are cut in the shared folder. Nodes are of any orderable type.
+    neighbourhood is ever collected. Nodes are of any orderable type.
     Self loops and repeated edges are allowed; no edges give no rows.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     tag = uuid.uuid4().hex[:6]
-    e = scratch.cut(e, f"cc-{tag}-0")
-    state, last = None, f"cc-{tag}-0"
+    # Edges are few and narrow beside the rows they come from: fewer partitions hold them.
+    parts = max(1, int(scratch.spark.conf.get("spark.sql.shuffle.partitions")) // 16)
+    e = scratch.keep(e.coalesce(parts), f"cc-{tag}-0")
+    state = None
     for k in range(1, max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -68,10 +85,10 @@ def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b", m
             .where("u <> v")
             .distinct()
         )
-        e = scratch.cut(small, f"cc-{tag}-{k}")
+        # Rounds are written: plan and lineage would grow with each.
+        e = scratch.cut(small.coalesce(parts), f"cc-{tag}-{k}")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(last)
-        last = f"cc-{tag}-{k}"
+        scratch.drop(f"cc-{tag}-{k - 1}")
         if state is not None and now == state:
             break
         state = now

@@ -36,6 +36,20 @@ def powers(n: int) -> np.ndarray:
     return _POWERS[:n]
 
 
+_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+_INVERSES = np.ones(1, np.uint64)
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    """BASE**0 .. BASE**-(n-1) modulo 2**64."""
+    global _INVERSES
+    if len(_INVERSES) < n:
+        p = np.full(max(n, 64), _INVERSE, np.uint64)
+        p[0] = 1
+        _INVERSES = np.cumprod(p, dtype=np.uint64)
+    return _INVERSES[:n]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (multiply and xor-shift), so that close inputs give unrelated outputs."""
     x = x ^ (x >> np.uint64(30))
@@ -71,36 +85,41 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
         at = to
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+, and for each document the index of its first (n + 1 values)."""
+def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes outside sep, and for each document the index of its first (n + 1 values).
+
+    By default the words [^\\x20\\x09-\\x0D]+.
+    """
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offs), np.int64)
-    solid = ~SEP[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offs] = True
-    before = np.empty_like(solid)
-    before[0] = False
-    before[1:] = solid[:-1]
-    after = np.empty_like(solid)
-    after[-1] = False
-    after[:-1] = solid[1:]
-    starts = np.flatnonzero(solid & (~before | edge[:-1]))
-    ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
+    solid = np.zeros(len(data) + 2, np.int8)
+    np.logical_not(sep[data], out=solid[1:-1].view(bool))
+    step = np.diff(solid)
+    # Words that meet at a document's edge are two: an end and a start stand at one place there.
+    inner = offs[(offs > 0) & (offs < len(data))]
+    inner = inner[(solid[inner] == 1) & (solid[inner + 1] == 1)]
+    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    if len(inner):
+        inner = np.unique(inner)
+        starts, ends = np.sort(np.concatenate((starts, inner))), np.sort(np.concatenate((ends, inner)))
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span; spans must be in order and not overlap, and may not be empty."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lens = ends - starts
-    first = np.concatenate(([0], np.cumsum(lens)[:-1]))
-    at = np.arange(int(lens.sum()), dtype=np.int64)
-    rel = at - np.repeat(first, lens)
-    byte = data[at + np.repeat(starts - first, lens)]
-    p = powers(int(lens.max()))
-    return mix(np.add.reduceat(BYTE[byte] * p[rel], first) + lens.astype(np.uint64))
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = 1 << 16) -> np.ndarray:
+    """64-bit hash of each byte span (differences of a running polynomial); spans must be in order and not overlap, and may not be empty."""
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        low = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, low + limit, "right")))
+        part = data[low : ends[to - 1]]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(BYTE[part] * powers(len(part)), out=total[1:])
+        s, e = starts[at:to] - low, ends[at:to] - low
+        out[at:to] = mix((total[e] - total[s]) * inverse_powers(len(part) + 1)[s] + (e - s).astype(np.uint64))
+        at = to
+    return out
 
 
 def spans_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:

@@ -1,6 +1,6 @@
 """Fuzzy line deduplication over the whole corpus.
 
-Lines are normalised (lower case, runs of other characters than letters and digits one space). Equal lines are
+Lines are normalised (lower case, runs of ASCII characters other than letters and digits one space). Equal lines are
 one distinct line. Each distinct line of at least ``MIN_WORDS`` words has a 64-bit SimHash of its words, cut into
 five blocks; two lines within ``MAX_BITS`` = 3 bits agree in two blocks at least (pigeonhole), so lines are joined
 on each of the ten pairs of blocks. Pairs within 3 bits whose edit similarity, 1 - distance / longer length, is at
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _blocks, _spark
-from ._text import BASE, flat, mix, pieces, powers, span_hash, words
+from ._text import flat, inverse_powers, mix, pieces, powers, span_hash, words
 
 MIN_WORDS, MAX_BITS, SIMILARITY = 5, 3, 0.8
 #: First bit and width of the five blocks, and the pairs of blocks that make the ten tables.
@@ -36,33 +36,32 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 TABLES = tuple(combinations(range(5), 2))
 
 
-def normal(texts: pa.Array) -> pa.Array:
-    texts = texts if not texts.null_count else pc.fill_null(texts, "")
-    return pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}\p{N}\n]+", " ")
+#: ASCII bytes that are neither letters nor digits.
+_BETWEEN = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+#: The bits of a byte, one in each byte of a 64-bit number.
+_LANES = np.array([sum(((c >> b) & 1) << (8 * b) for b in range(8)) for c in range(256)], np.uint64)
 
 
 class Lines:
     """The normalised lines with words of a batch of texts."""
 
     def __init__(self, texts: pa.Array):
-        self.data, offs = flat(normal(texts))
+        self.data, offs = flat(pc.utf8_lower(texts if not texts.null_count else pc.fill_null(texts, "")))
         line_start = np.unique(np.concatenate((offs[:-1], np.flatnonzero(self.data == 10) + 1)))
         line_start = line_start[line_start < len(self.data)]
         doc = np.searchsorted(offs, line_start, "right") - 1
-        self.starts, self.ends, _ = words(self.data, offs)
-        of_word = np.searchsorted(line_start, self.starts, "right") - 1
-        begin = np.flatnonzero(np.concatenate(([True], of_word[1:] != of_word[:-1]))) if len(of_word) else np.zeros(0, np.int64)
-        self.begin, self.count = begin, np.diff(np.append(begin, len(of_word)))
-        line = of_word[begin]
+        self.starts, self.ends, _ = words(self.data, offs, _BETWEEN)
+        first = np.searchsorted(self.starts, line_start)
+        count = np.diff(np.append(first, len(self.starts)))
+        line = np.flatnonzero(count)
+        self.begin, self.count = first[line], count[line]
         self.doc = doc[line]
         self.number = line - np.searchsorted(line_start, offs[self.doc])
         self.word = span_hash(self.data, self.starts, self.ends)
-        rel = np.arange(len(self.word)) - np.repeat(begin, self.count)
-        if len(begin):
-            seq = self.word * powers(int(self.count.max()))[rel]
-            self.hash = mix(np.add.reduceat(seq, begin) + self.count.astype(np.uint64) * BASE).view(np.int64)
-        else:
-            self.hash = np.zeros(0, np.int64)
+        total = np.zeros(len(self.word) + 1, np.uint64)
+        np.cumsum(self.word * powers(len(self.word)), out=total[1:])
+        own = (total[self.begin + self.count] - total[self.begin]) * inverse_powers(len(self.word) + 1)[self.begin]
+        self.hash = mix(own + self.count.astype(np.uint64)).view(np.int64)
 
     def simhash(self, which: np.ndarray) -> np.ndarray:
         """SimHash of the lines numbered by which: bit k is set if it is in the hashes of more than half of the words."""
@@ -71,18 +70,21 @@ class Lines:
         n = self.count[which]
         first = np.cumsum(n) - n
         at = np.repeat(self.begin[which] - first, n) + np.arange(int(n.sum()))
-        bits = np.unpackbits(self.word[at].view(np.uint8).reshape(-1, 8), axis=1)
-        return np.packbits(np.add.reduceat(bits, first, axis=0, dtype=np.int32) * 2 > n[:, None], axis=1).view(np.int64).ravel()
+        # Sums of up to 255 words fit the bytes of one number; longer lines are summed in parts.
+        cut = np.concatenate([np.arange(f, f + k, 255) for f, k in zip(first, n, strict=True)]) if n.max() > 255 else first
+        lanes = np.add.reduceat(_LANES[self.word[at].view(np.uint8).reshape(-1, 8)], cut, axis=0)
+        sums = lanes.view(np.uint8)
+        if n.max() > 255:
+            sums = np.add.reduceat(sums, np.searchsorted(cut, first), axis=0, dtype=np.int64)
+        return np.packbits(sums * np.int64(2) > n[:, None], axis=1).view(np.int64).ravel()
 
     def texts(self, which: np.ndarray) -> list[bytes]:
-        raw = self.data.tobytes()
-        last = self.begin + self.count - 1
-        return [raw[self.starts[self.begin[i]] : self.ends[last[i]]] for i in which]
-
-    def chars(self) -> np.ndarray:
-        """Characters of each line in normal form."""
-        lead = np.concatenate(([0], np.cumsum((self.data & 0xC0) != 0x80)))
-        return lead[self.ends[self.begin + self.count - 1]] - lead[self.starts[self.begin]]
+        """The lines in normal form."""
+        raw, out = self.data.tobytes(), []
+        for i in which:
+            w = slice(self.begin[i], self.begin[i] + self.count[i])
+            out.append(b" ".join(raw[a:b] for a, b in zip(self.starts[w].tolist(), self.ends[w].tolist(), strict=True)))
+        return out
 
 
 def _field(sim: np.ndarray, block: int) -> np.ndarray:
@@ -111,20 +113,59 @@ def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     most = int((1 - similarity) * longest + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
-    i, end = 0, min(len(a), len(b))
-    while i < end and a[i] == b[i]:
-        i += 1
-    j = 0
-    while j < end - i and a[-1 - j] == b[-1 - j]:
-        j += 1
-    a, b = a[i : len(a) - j], b[i : len(b) - j]
-    if max(len(a), len(b)) <= most or (len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) <= most):
+    i = _common(a, b, 1)
+    a, b = a[i:], b[i:]
+    j = _common(a, b, -1)
+    a, b = a[: len(a) - j], b[: len(b) - j]
+    if max(len(a), len(b)) <= most:
         return True
-    return distance(a, b) <= most
+    # Changing word for word is one way to edit: if that is short enough, the distance is.
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) <= most:
+        return True
+    return word_bound(x, y) <= most or distance(a, b, most) <= most
+
+
+def word_bound(x: list[str], y: list[str], band: int = 2) -> float:
+    """An upper bound of the edit distance of two texts: whole words changed, added and cut, within a band of shifts."""
+    far = float("inf")
+    if abs(len(x) - len(y)) > band:
+        return far
+    # row[k]: cost of turning the words so far of x into so many words of y, k - band more.
+    row = [far] * (2 * band + 2)
+    row[band] = 0
+    for k in range(band + 1, min(2 * band, band + len(y)) + 1):
+        row[k] = row[k - 1] + len(y[k - band - 1]) + 1
+    for i, p in enumerate(x):
+        new = [far] * (2 * band + 2)
+        cut = len(p) + 1
+        for k in range(2 * band + 1):
+            j = i + k - band  # p may become this word of y; j + 1 words of y are made
+            if j < -1 or j >= len(y):
+                continue
+            best = row[k + 1] + cut
+            if j >= 0:
+                q = y[j]
+                best = min(best, row[k] + (0 if p == q else max(len(p), len(q))), new[k - 1] + len(q) + 1 if k else far)
+            new[k] = best
+        row = new
+    return row[len(y) - len(x) + band]
+
+
+def _common(a: str, b: str, way: int) -> int:
+    """Length of the longest common prefix (way 1) or suffix (way -1), by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[:mid] == b[:mid] if way > 0 else a[len(a) - mid :] == b[len(b) - mid :]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
 
 
-def distance(a: str, b: str) -> int:
-    """Edit distance by bit-parallel columns (Myers)."""
+def distance(a: str, b: str, most: int | None = None) -> int:
+    """Edit distance by bit-parallel columns (Myers); any number above most if it must exceed it."""
     if len(a) < len(b):
         a, b = b, a
     if not b:
@@ -134,7 +175,9 @@ def distance(a: str, b: str) -> int:
         peq[c] = peq.get(c, 0) | 1 << i
     full, top = (1 << len(b)) - 1, 1 << (len(b) - 1)
     pv, mv, score = full, 0, len(b)
+    left = len(a)
     for c in a:
+        left -= 1
         eq = peq.get(c, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
@@ -142,6 +185,8 @@ def distance(a: str, b: str) -> int:
         score += bool(ph & top) - bool(mh & top)
         ph = (ph << 1 | 1) & full
         pv, mv = ((mh << 1) & full) | ~(xv | ph) & full, ph & xv
+        if most is not None and score - left > most:
+            return score - left
     return score
 
 
@@ -160,14 +205,14 @@ def duplicate_lines(docs: DataFrame, scratch: _spark.Scratch, similarity: float
                 lines = Lines(b.column("text"))
                 sim = lines.simhash(np.arange(len(lines.hash)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("row").take(pa.array(lines.doc)), b.column("id").take(pa.array(lines.doc)), pa.array(lines.number.astype(np.int32)), pa.array(lines.hash), pa.array(sim), pa.array(lines.count.astype(np.int32)), pa.array(lines.chars().astype(np.int32))],
-                    ["row", "id", "line", "h", "sim", "words", "chars"],
+                    [b.column("row").take(pa.array(lines.doc)), b.column("id").take(pa.array(lines.doc)), pa.array(lines.number.astype(np.int32)), pa.array(lines.hash), pa.array(sim), pa.array(lines.count.astype(np.int32))],
+                    ["row", "id", "line", "h", "sim", "words"],
                 )
 
-    every = scratch.cut(texts.mapInArrow(found, f"row long, id {kind}, line int, h long, sim long, words int, chars int"), "lines")
-    distinct = every.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "line")).alias("first"), F.min("sim").alias("sim"), F.min("words").alias("words"), F.min("chars").alias("chars"))
+    every = scratch.cut(texts.mapInArrow(found, f"row long, id {kind}, line int, h long, sim long, words int"), "lines")
+    distinct = every.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "line")).alias("first"), F.min("sim").alias("sim"), F.min("words").alias("words"))
     distinct = scratch.cut(distinct, "distinct")
-    able = distinct.where(F.col("words") >= min_words).select("h", "sim", "chars")
+    able = distinct.where(F.col("words") >= min_words).select("h", "sim")
 
     def keyed(hot):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,27 +221,25 @@ def duplicate_lines(docs: DataFrame, scratch: _spark.Scratch, similarity: float
                 for t in range(len(TABLES)):
                     rows, key = _blocks.split_hot(table_keys(sim, t), h, hot)
                     take = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(rows), t, np.int8)), *(b.column(c).take(take) for c in ("h", "sim", "chars"))], ["key", "table", "h", "sim", "chars"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(rows), t, np.int8)), b.column("h").take(take), b.column("sim").take(take)], ["key", "table", "h", "sim"])
 
         return run
 
-    cols = "key long, table byte, h long, sim long, chars int"
+    cols = "key long, table byte, h long, sim long"
     none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
     hot = _blocks.hot_keys(able.where(F.pmod(F.xxhash64("h"), F.lit(_blocks.SAMPLE)) == 0).mapInArrow(keyed(none), cols))
 
     def close(t: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Which pairs of rows are within MAX_BITS, of fit lengths, and this table's to look at."""
-        sim, chars, table = t["sim"].to_numpy(), t["chars"].to_numpy(), t["table"].to_numpy()
+        """Which pairs of rows are within MAX_BITS and this table's to look at."""
+        sim, table = t["sim"].to_numpy(), t["table"].to_numpy()
         x = sim[i] ^ sim[j]
-        near = np.bitwise_count(x.view(np.uint64)) <= MAX_BITS
-        near &= np.minimum(chars[i], chars[j]) >= similarity * np.maximum(chars[i], chars[j]) - 1e-9
-        at = np.flatnonzero(near)
+        at = np.flatnonzero(np.bitwise_count(x.view(np.uint64)) <= MAX_BITS)
         return at[first_table(x[at]) == table[i[at]]]
 
-    def candidates(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Close pairs, group by group for large groups."""
+    def candidates(t: pa.Table, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Close pairs; row by row for groups of more than ``most`` rows."""
         t = t.combine_chunks()
-        i, j, large = _blocks.pairs_of(t["key"].to_numpy())
+        i, j, large = _blocks.pairs_of(t["key"].to_numpy(), most)
         at = close(t, i, j)
         yield i[at], j[at]
         for a, b in large:
@@ -209,43 +252,47 @@ def duplicate_lines(docs: DataFrame, scratch: _spark.Scratch, similarity: float
 
     def partnered(t: pa.Table) -> Iterator[pa.RecordBatch]:
         hit = np.zeros(len(t), bool)
-        for i, j in candidates(t):
+        for i, j in candidates(t, 64):
             hit[i] = hit[j] = True
         yield from t.filter(pa.array(hit)).combine_chunks().to_batches()
 
-    hits = scratch.cut(_blocks.grouped(able.mapInArrow(keyed(hot), cols), "key", partnered, cols), "hits")
-    bits = spark.sparkContext.broadcast(_blocks.bloom(hits, "h"))
+    hits = scratch.keep(_blocks.grouped(able.mapInArrow(keyed(hot), cols), "key", partnered, cols), "hits")
+    # Their texts are in the documents where they stand first: only those are read closely again.
+    asked = hits.select("h").distinct()
+    places = distinct.join(asked, "h", "left_semi").select("h", "first.row")
+    bits = spark.sparkContext.broadcast((_blocks.bloom(asked, "h"), _blocks.bloom(places, "row")))
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                b = batch.slice(k, 256)
+            batch = batch.filter(pa.array(_blocks.in_bloom(bits.value[1], batch.column("row").to_numpy())))
+            for b in pieces(batch, "text", 1 << 20) if len(batch) else ():
                 lines = Lines(b.column("text"))
-                maybe = np.flatnonzero(_blocks.in_bloom(bits.value, lines.hash))
+                maybe = np.flatnonzero(_blocks.in_bloom(bits.value[0], lines.hash))
                 which = [i for i in maybe.tolist() if not (lines.hash[i] in seen or seen.add(lines.hash[i]))]
                 if which:
                     yield pa.RecordBatch.from_arrays([pa.array(lines.hash[which]), pa.array(lines.texts(np.array(which)), pa.binary()).cast(pa.string())], ["h", "spelling"])
 
-    spelling = texts.select("text").mapInArrow(spelled, "h long, spelling string")
-    spelling = spelling.join(hits.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("spelling").alias("spelling"))
+    spelling = texts.select("row", "text").mapInArrow(spelled, "h long, spelling string")
+    spelling = spelling.join(asked, "h", "left_semi").groupBy("h").agg(F.min("spelling").alias("spelling"))
 
     def linked(t: pa.Table) -> Iterator[pa.RecordBatch]:
         h, text = t["h"].to_numpy(), t["spelling"].to_pylist()
-        sets, a, b = _blocks.Union(len(h)), [], []
-        for i, j in candidates(t):
-            for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                if sets.find(x) != sets.find(y) and similar(text[x], text[y], similarity):
+        sets, a, b = _blocks.Groups(len(h)), [], []
+        for i, j in candidates(t, 16):
+            apart = sets.label[i] != sets.label[j]
+            for x, y in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
+                if sets.label[x] != sets.label[y] and similar(text[x], text[y], similarity):
                     sets.join(x, y)
                     a.append(h[x])
                     b.append(h[y])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    links = _blocks.grouped(hits.join(spelling, "h").select("key", "table", "h", "sim", "chars", "spelling"), "key", linked, "a long, b long")
-    roots = scratch.cut(_spark.components(scratch, links), "roots")
+    links = _blocks.grouped(hits.join(spelling, "h").select("key", "table", "h", "sim", "spelling"), "key", linked, "a long, b long")
+    roots = scratch.keep(_spark.components(scratch, links), "roots")
     # Distinct lines that stand more than once or have alike ones, with their group's first occurrence.
     member = distinct.select("h", "n", "first").join(roots.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or root is not null").withColumn("group", F.coalesce("root", "h"))
-    member = scratch.cut(member.select("h", "group", "first"), "members")
+    member = scratch.keep(member.select("h", "group", "first"), "members")
     first = member.groupBy("group").agg(F.min("first").alias("stays"))
     shared = every.select("row", "line", "h").join(member.select("h", "group").join(first, "group"), "h")
     gone = shared.where("row <> stays.row or line <> stays.line").groupBy("row").agg(F.collect_list("line").alias("lines"))

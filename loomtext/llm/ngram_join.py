@@ -298,7 +298,7 @@ def roots_of(docs: DataFrame, scratch: _spark.Scratch, k: int, percent: int) ->
         keep[:-1] |= near
         yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
 
-    shared = scratch.cut(_blocks.grouped(narrow.mapInArrow(posted(hot), "key long, cls long, n int"), "key", met, "key long, cls long, n int", rows=200_000, then=("n",)), "shared")
+    shared = _blocks.grouped(narrow.mapInArrow(posted(hot), "key long, cls long, n int"), "key", met, "key long, cls long, n int", rows=200_000, then=("n",))
 
     def sigs_of(t: pa.Table) -> list[np.ndarray]:
         return [np.frombuffer(x, np.uint64) for x in t["sig"].to_pylist()]
@@ -311,9 +311,9 @@ def roots_of(docs: DataFrame, scratch: _spark.Scratch, k: int, percent: int) ->
         yield from t.select(["key", "cls"]).filter(pa.array(hit)).combine_chunks().to_batches()
 
     signed = shared.join(reps.select("cls", "sig"), "cls").select("key", "cls", "n", "sig")
-    hits = scratch.cut(_blocks.grouped(signed, "key", may_link, "key long, cls long", rows=20_000), "hits")
+    hits = scratch.keep(_blocks.grouped(signed, "key", may_link, "key long, cls long", rows=20_000), "hits")
     homes = hits.groupBy("cls").agg(F.min_by("key", F.xxhash64("key")).alias("h1"), F.min_by("key", F.xxhash64("key", F.lit(1))).alias("h2"))
-    homes = scratch.cut(homes, "homes")
+    homes = scratch.keep(homes, "homes")
     wanted = spark.sparkContext.broadcast(_blocks.bloom(homes, "cls"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,25 +334,19 @@ def roots_of(docs: DataFrame, scratch: _spark.Scratch, k: int, percent: int) ->
         key, cls = t["key"].to_numpy(), t["cls"].to_numpy()
         grams = [np.frombuffer(x, np.uint64) for x in t["grams"].to_pylist()]
         size = np.array([len(g) for g in grams], np.int64)
-        label, members = np.arange(len(key)), {i: [i] for i in range(len(key))}
-        a, b = [], []
+        met, a, b = _blocks.Groups(len(key)), [], []
         for i, j in close_pairs(key, size, [signature(g) for g in grams], th):
-            apart = label[i] != label[j]
+            apart = met.label[i] != met.label[j]
             for x, y in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
-                p, q = label[x], label[y]
-                if p != q and linked(grams[x], grams[y], th):
-                    if len(members[p]) < len(members[q]):
-                        p, q = q, p
-                    moved = members.pop(q)
-                    label[moved] = p
-                    members[p] += moved
+                if met.label[x] != met.label[y] and linked(grams[x], grams[y], th):
+                    met.join(x, y)
                     a.append(cls[x])
                     b.append(cls[y])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     at = brought.select("cls", "grams", F.explode(F.array_distinct(F.array("h1", "h2"))).alias("key"))
-    first = scratch.cut(_blocks.grouped(at, "key", at_home, "a long, b long", rows=20_000), "links")
-    roots = scratch.cut(_spark.components(scratch, first), "roots")
+    first = scratch.keep(_blocks.grouped(at, "key", at_home, "a long, b long", rows=20_000), "links")
+    roots = scratch.keep(_spark.components(scratch, first), "roots")
 
     def unmet(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
@@ -375,7 +369,7 @@ def roots_of(docs: DataFrame, scratch: _spark.Scratch, k: int, percent: int) ->
 
     own = brought.select("cls", "grams")
     second = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
-    second = scratch.cut(second, "more")
+    second = scratch.keep(second, "more")
     if second.take(1):
         roots = _spark.components(scratch, first.unionByName(second))
     return every.select("row", "id", "n", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("row", "id", "n", F.coalesce("root", "cls").alias("root"))
@@ -395,7 +389,7 @@ def one_per_component(docs: DataFrame, k: int = 5, percent: int = 80, id_col: st
     scratch = _spark.Scratch(docs.sparkSession)
     rows = _spark.with_rows(docs.withColumnsRenamed({"row": "_row"}), scratch)
     found = roots_of(rows.select("row", F.col(id_col).alias("id"), F.col(text_col).alias("text")), scratch, k, percent)
-    found = scratch.cut(found, "found")
+    found = scratch.keep(found, "found")
     stays = found.where("n > 0").groupBy("root").agg(F.min(F.struct("id", "row")).alias("first")).select("first.row")
     stays = stays.unionByName(found.where("n = 0").select("row"))
     return rows.join(stays, "row", "left_semi").drop("row").withColumnsRenamed({"_row": "row"})

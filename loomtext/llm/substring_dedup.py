@@ -30,23 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _spark
-from ._text import BASE, BYTE, flat, mix, pieces, powers
+from ._text import BASE, BYTE, flat, inverse_powers, mix, pieces, powers
 
 GRAM = 32
 #: Classes of one anchor that a task compares by suffix order: 7 MB of text, about 350 MB of arrays.
 GROUP = 24_000
 CHUNK = 1 << 20
-_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-_INVERSES = np.ones(1, np.uint64)
-
-
-def _inverse_powers(n: int) -> np.ndarray:
-    global _INVERSES
-    if len(_INVERSES) < n:
-        p = np.full(n, _INVERSE, np.uint64)
-        p[0] = 1
-        _INVERSES = np.cumprod(p, dtype=np.uint64)
-    return _INVERSES[:n]
 
 
 def _gram_hash(data: np.ndarray, n: int) -> np.ndarray:
@@ -84,7 +73,7 @@ def regions(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray
             last[:-1] &= ~(valid[1:] & (low[1:] == low[:-1]))
             s, e = np.flatnonzero(first), np.flatnonzero(last) + length
             total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE[part] * powers(len(part)), dtype=np.uint64)))
-            content = mix((total[e] - total[s]) * _inverse_powers(len(part) + 1)[s])
+            content = mix((total[e] - total[s]) * inverse_powers(len(part) + 1)[s])
             # Anchors: least in some string. A string can only repeat within its own region if its anchor is there twice.
             pad = np.zeros(length - GRAM, np.uint64)
             anchor = np.flatnonzero(gram == ~_sliding_min(~np.concatenate((pad, low, pad)), length - GRAM + 1))
@@ -215,7 +204,7 @@ def repeated_spans(docs: DataFrame, scratch: _spark.Scratch, length: int = 200,
                     rep = np.repeat(np.arange(len(n)), n)
                     rel = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                     x = offs[rep] + rel
-                    w = mix((total[x + length] - total[x]) * _inverse_powers(len(data) + 1)[x])
+                    w = mix((total[x + length] - total[x]) * inverse_powers(len(data) + 1)[x])
                 take = pa.array(rep)
                 yield pa.RecordBatch.from_arrays([b.column("h").take(take), pa.array(w.view(np.int64)), b.column("row").take(take), pa.array(b.column("at").to_numpy()[rep] + rel)], ["h", "w", "row", "at"])
 
