@@ -1,14 +1,19 @@
 """Fuzzy line deduplication over the whole corpus.
 
 Lines are normalised (lower case, runs of ASCII characters other than letters and digits one space). Equal lines are
-one distinct line. Each distinct line of at least ``MIN_WORDS`` words has a 64-bit SimHash of its words, cut into
-five blocks; two lines within ``MAX_BITS`` = 3 bits agree in two blocks at least (pigeonhole), so lines are joined
-on each of the ten pairs of blocks. Pairs within 3 bits whose edit similarity, 1 - distance / longer length, is at
-least ``SIMILARITY`` are linked, and of each connected group of lines the first occurrence, by id, row and line, stays.
+one distinct line. Two lines of at least ``MIN_WORDS`` words whose edit similarity, 1 - distance / longer length, is
+at least ``SIMILARITY`` are linked, and of each connected group of lines the first occurrence, by id, row and line, stays.
 
-Lines with a partner within 3 bits, and no others, bring their texts to the comparison; there, pairs that links
-already connect are skipped, so a group of alike lines costs about one comparison a line and gives a spanning
-forest of links, never all pairs.
+Pairs to compare come from two kinds of tables. A line's 64-bit SimHash of its words is cut into five blocks, and
+lines are joined on each of the ten pairs of blocks; so all pairs within 3 bits meet. One changed word in ten moves
+more bits than that, so lines are also joined on the ``RUNS`` least hashes of their runs of words: a run goes on from
+a word until it has three words and 16 bytes, and in lines of up to 12 words also until it has two words and 6 bytes.
+How many bits differ decides nothing. Only lines whose every run is changed (a typing error in nearly all words) or
+whose least runs all differ can be missed.
+
+Of the pairs that meet, those whose counts of letters alone rule the similarity out are passed over. Lines with a
+partner left, and no others, bring their texts to the comparison; there, pairs that links already connect are skipped,
+so a group of alike lines costs about one comparison a line and gives a spanning forest of links, never all pairs.
 
 Defined cases: null texts stay null and empty ones empty, with no lines; blank lines and lines without letters or
 digits always stay; repeated rows are documents of their own, so their lines repeat; null ids are kept; other
@@ -30,10 +35,14 @@ from pyspark.sql import types as T
 from . import _blocks, _spark
 from ._text import flat, inverse_powers, mix, pieces, powers, span_hash, words
 
-MIN_WORDS, MAX_BITS, SIMILARITY = 5, 3, 0.8
+MIN_WORDS, SIMILARITY = 5, 0.8
 #: First bit and width of the five blocks, and the pairs of blocks that make the ten tables.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 TABLES = tuple(combinations(range(5), 2))
+#: Runs a line is joined on, of each kind; the most words of a line, the least words and bytes of a run, of each kind.
+RUNS, KINDS = 8, ((1 << 40, 3, 16), (12, 2, 6))
+#: Classes that the bytes of a line are counted in.
+BAG = 16
 
 
 #: ASCII bytes that are neither letters nor digits.
@@ -41,6 +50,9 @@ _BETWEEN = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 #: The bits of a byte, one in each byte of a 64-bit number.
 _LANES = np.array([sum(((c >> b) & 1) << (8 * b) for b in range(8)) for c in range(256)], np.uint64)
 
+#: Class of a character by its first byte: the common letters on their own, other ASCII ones together; all others and spaces are in class 0.
+_CLASS = np.array([b"etaoinshrdlucm".find(c) + 1 if c in b"etaoinshrdlucm" else BAG - 1 if c < 128 else 0 for c in range(256)], np.uint8)
+
 
 class Lines:
     """The normalised lines with words of a batch of texts."""
@@ -58,10 +70,59 @@ class Lines:
         self.doc = doc[line]
         self.number = line - np.searchsorted(line_start, offs[self.doc])
         self.word = span_hash(self.data, self.starts, self.ends)
-        total = np.zeros(len(self.word) + 1, np.uint64)
-        np.cumsum(self.word * powers(len(self.word)), out=total[1:])
-        own = (total[self.begin + self.count] - total[self.begin]) * inverse_powers(len(self.word) + 1)[self.begin]
-        self.hash = mix(own + self.count.astype(np.uint64)).view(np.int64)
+        self.total = np.zeros(len(self.word) + 1, np.uint64)
+        np.cumsum(self.word * powers(len(self.word)), out=self.total[1:])
+        self.hash = self._span(self.begin, self.begin + self.count).view(np.int64)
+
+    def _span(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of the words from a up to b."""
+        own = (self.total[b] - self.total[a]) * inverse_powers(len(self.word) + 1)[a]
+        return mix(own + (b - a).astype(np.uint64))
+
+    def _spread(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in which, word) of all words of the lines numbered by which."""
+        n = self.count[which]
+        row = np.repeat(np.arange(len(which)), n)
+        return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.begin[which], n)
+
+    def runs(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in which, key) of the runs of words that the lines numbered by which are joined on."""
+        rows, keys = [], []
+        past = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.ends - self.starts, dtype=np.int64)))
+        for kind, (most, least, size) in enumerate(KINDS):
+            row, a = self._spread(which)
+            short = self.count[which][row] <= most
+            row, a = row[short], a[short]
+            b = np.maximum(np.searchsorted(past, past[a] + size), a + least)
+            whole = b <= (self.begin + self.count)[which][row]
+            row, key = row[whole], mix(self._span(a[whole], b[whole]) + np.uint64(kind))
+            order = np.lexsort((key, row))
+            row, key = row[order], key[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+            row, key = row[new], key[new]
+            n = np.bincount(row, minlength=len(which))
+            least_ones = np.arange(len(row)) - (np.cumsum(n) - n)[row] < RUNS
+            rows.append(row[least_ones])
+            keys.append(key[least_ones])
+        row, key = np.concatenate(rows), np.concatenate(keys)
+        order = np.argsort(row, kind="stable")
+        return row[order], key[order].view(np.int64)
+
+    def bags(self, which: np.ndarray) -> np.ndarray:
+        """How many characters of each class the normal forms have, as BAG bytes each; 255 stands for more, too."""
+        out = np.zeros((len(which), BAG), np.int64)
+        if not len(which):
+            return out.astype(np.uint8)
+        row, word = self._spread(which)
+        place = np.full(len(self.starts), -1)
+        place[word] = row
+        at = np.flatnonzero(self.data & 0xC0 != 0x80)  # characters begin here
+        word = np.searchsorted(self.starts, at, "right") - 1
+        inside = (word >= 0) & (at < self.ends[word]) & (place[word] >= 0)
+        out += np.bincount(place[word[inside]] * BAG + _CLASS[self.data[at[inside]]], minlength=out.size).reshape(out.shape)
+        out[:, 0] += self.count[which] - 1  # the spaces
+        return np.minimum(out, 255).astype(np.uint8)
 
     def simhash(self, which: np.ndarray) -> np.ndarray:
         """SimHash of the lines numbered by which: bit k is set if it is in the hashes of more than half of the words."""
@@ -97,14 +158,13 @@ def table_keys(sim: np.ndarray, table: int) -> np.ndarray:
     return ((np.uint64(table) << np.uint64(32)) | (_field(sim, a) << np.uint64(13)) | _field(sim, b)).view(np.int64)
 
 
-def first_table(x: np.ndarray) -> np.ndarray:
-    """The first table whose two blocks are clear in x, the exclusive or of two SimHashes; so each pair is looked at once."""
-    out = np.full(len(x), -1)
-    clear = [_field(x, b) == 0 for b in range(5)]
-    for t in range(len(TABLES) - 1, -1, -1):
-        a, b = TABLES[t]
-        out[clear[a] & clear[b]] = t
-    return out
+def maybe_similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Which pairs of bags can be of similar lines: each edit takes one character of a class and gives one at most."""
+    diff = a.astype(np.int16) - b
+    least = np.maximum(np.maximum(diff, 0).sum(axis=1), np.maximum(-diff, 0).sum(axis=1))
+    longest = np.maximum(a.sum(axis=1, dtype=np.int64), b.sum(axis=1, dtype=np.int64))
+    over = (a == 255).any(axis=1) | (b == 255).any(axis=1)  # lengths are not known
+    return over | (least <= ((1 - similarity) * longest + 1e-9).astype(np.int64))
 
 
 def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
@@ -200,57 +260,74 @@ def duplicate_lines(docs: DataFrame, scratch: _spark.Scratch, similarity: float
     kind = texts.schema["id"].dataType.simpleString()
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for b in pieces(batch, "text", 1 << 20):
                 lines = Lines(b.column("text"))
-                sim = lines.simhash(np.arange(len(lines.hash)))
+                # What pairs are found by stands with the first of a task's equal lines only.
+                able = np.flatnonzero(lines.count >= min_words).tolist()
+                new = np.array([i for i in able if not (lines.hash[i] in seen or seen.add(lines.hash[i]))], np.int64)
+                stands = np.zeros(len(lines.hash), bool)
+                stands[new] = True
+                at = np.full(len(lines.hash), -1)
+                at[new] = np.arange(len(new))
+                at = pa.array(at, mask=~stands)
+                row, key = lines.runs(new)
+                keys = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(new) + 1)).astype(np.int32)), pa.array(key)).take(at)
+                sim = pa.array(lines.simhash(new)).take(at)
+                bag = pa.array(list(map(bytes, lines.bags(new))), pa.binary()).take(at)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("row").take(pa.array(lines.doc)), b.column("id").take(pa.array(lines.doc)), pa.array(lines.number.astype(np.int32)), pa.array(lines.hash), pa.array(sim), pa.array(lines.count.astype(np.int32))],
-                    ["row", "id", "line", "h", "sim", "words"],
+                    [b.column("row").take(pa.array(lines.doc)), b.column("id").take(pa.array(lines.doc)), pa.array(lines.number.astype(np.int32)), pa.array(lines.hash), sim, keys, bag],
+                    ["row", "id", "line", "h", "sim", "runs", "bag"],
                 )
 
-    every = scratch.cut(texts.mapInArrow(found, f"row long, id {kind}, line int, h long, sim long, words int"), "lines")
-    distinct = every.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "line")).alias("first"), F.min("sim").alias("sim"), F.min("words").alias("words"))
+    every = scratch.cut(texts.mapInArrow(found, f"row long, id {kind}, line int, h long, sim long, runs array<long>, bag binary"), "lines")
+    distinct = every.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "line")).alias("first"))
     distinct = scratch.cut(distinct, "distinct")
-    able = distinct.where(F.col("words") >= min_words).select("h", "sim")
+    able = every.where("sim is not null").select("h", "sim", "runs", "bag")
 
     def keyed(hot):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                h, sim = b.column("h").to_numpy(), b.column("sim").to_numpy()
-                for t in range(len(TABLES)):
-                    rows, key = _blocks.split_hot(table_keys(sim, t), h, hot)
-                    take = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(rows), t, np.int8)), b.column("h").take(take), b.column("sim").take(take)], ["key", "table", "h", "sim"])
+                h, sim, runs, bag = b.column("h").to_numpy(), b.column("sim").to_numpy(), b.column("runs"), b.column("bag")
+                of = [(np.arange(len(h)), table_keys(sim, t)) for t in range(len(TABLES))]
+                of.append((pc.list_parent_indices(runs).to_numpy(), pc.list_flatten(runs).to_numpy()))
+                for line, key in of:
+                    rows, key = _blocks.split_hot(key, h[line], hot)
+                    take = pa.array(line[rows])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), b.column("h").take(take), bag.take(take)], ["key", "h", "bag"])
 
         return run
 
-    cols = "key long, table byte, h long, sim long"
+    cols = "key long, h long, bag binary"
     none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
     hot = _blocks.hot_keys(able.where(F.pmod(F.xxhash64("h"), F.lit(_blocks.SAMPLE)) == 0).mapInArrow(keyed(none), cols))
 
-    def close(t: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Which pairs of rows are within MAX_BITS and this table's to look at."""
-        sim, table = t["sim"].to_numpy(), t["table"].to_numpy()
-        x = sim[i] ^ sim[j]
-        at = np.flatnonzero(np.bitwise_count(x.view(np.uint64)) <= MAX_BITS)
-        return at[first_table(x[at]) == table[i[at]]]
-
     def candidates(t: pa.Table, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Close pairs; row by row for groups of more than ``most`` rows."""
-        t = t.combine_chunks()
+        """Pairs of rows that may be similar; row by row for groups of more than ``most`` rows."""
+        bag = np.frombuffer(b"".join(t["bag"].to_pylist()), np.uint8).reshape(-1, BAG)
         i, j, large = _blocks.pairs_of(t["key"].to_numpy(), most)
-        at = close(t, i, j)
-        yield i[at], j[at]
+        for k in range(0, len(i), 1 << 16):
+            p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            at = maybe_similar(bag[p], bag[q], similarity)
+            yield p[at], q[at]
         for a, b in large:
             for k in range(a, b - 1):
-                j = np.arange(k + 1, b)
-                i = np.full(len(j), k)
-                at = close(t, i, j)
-                if len(at):
-                    yield i[at], j[at]
+                j = k + 1 + np.flatnonzero(maybe_similar(bag[k : k + 1], bag[k + 1 : b], similarity))
+                if len(j):
+                    yield np.full(len(j), k), j
 
     def partnered(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        # A line stands once for each task that has it.
+        h, key = t["h"].to_numpy(), t["key"].to_numpy()
+        order = np.lexsort((h, key))
+        new = np.ones(len(order), bool)
+        new[1:] = (h[order][1:] != h[order][:-1]) | (key[order][1:] != key[order][:-1])
+        key = key[order[new]]
+        shared = np.zeros(len(key), bool)
+        shared[1:] = key[1:] == key[:-1]
+        shared[:-1] |= shared[1:]
+        t = t.take(pa.array(order[new][shared])).combine_chunks()
         hit = np.zeros(len(t), bool)
         for i, j in candidates(t, 64):
             hit[i] = hit[j] = True
@@ -288,7 +365,7 @@ def duplicate_lines(docs: DataFrame, scratch: _spark.Scratch, similarity: float
                     b.append(h[y])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    links = _blocks.grouped(hits.join(spelling, "h").select("key", "table", "h", "sim", "spelling"), "key", linked, "a long, b long")
+    links = _blocks.grouped(hits.join(spelling, "h").select("key", "h", "bag", "spelling"), "key", linked, "a long, b long")
     roots = scratch.keep(_spark.components(scratch, links), "roots")
     # Distinct lines that stand more than once or have alike ones, with their group's first occurrence.
     member = distinct.select("h", "n", "first").join(roots.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or root is not null").withColumn("group", F.coalesce("root", "h"))
