@@ -88,8 +88,8 @@ def entity_sections(c: Column) -> Column:
 
 
 def capitalized_names(c: Column, most_words: int = 3) -> Column:
-    """Distinct runs of capitalised ASCII words, of at most three words by spaces."""
-    found = F.regexp_extract_all(T.text(c), F.lit(rf"\b([A-Z][a-z]+(?:{WS}+[A-Z][a-z]+)*)\b"), F.lit(1))
+    """Distinct runs of capitalised ASCII words, of at most three words by spaces; words end at any other character, as ECMAScript's ``\\b`` has it."""
+    found = F.regexp_extract_all(T.text(c), F.lit(rf"(?<![A-Za-z0-9_])([A-Z][a-z]+(?:{WS}+[A-Z][a-z]+)*)(?![A-Za-z0-9_])"), F.lit(1))
     return F.array_distinct(F.filter(found, lambda x: F.size(F.split(x, " ")) <= most_words))
 
 

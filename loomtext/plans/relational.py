@@ -196,8 +196,7 @@ def parse_sections_h2(spark, d):
 
 @query("SELECT DISTINCT item_id, name FROM (SELECT item_id, unnest(regexp_extract_all(text, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1)) AS name FROM benchmark WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')) WHERE len(string_split(name, ' ')) <= 3")
 def capitalized_names(spark, d):
-    b = S.read(spark, d, "benchmark").where(~F.regexp_like("text", F.lit(r"[^\x00-\x7F]")))
-    return b.select("item_id", F.explode(parsing.capitalized_names(C("text"))).alias("name"))
+    return S.read(spark, d, "benchmark").select("item_id", F.explode(parsing.capitalized_names(C("text"))).alias("name"))
 
 
 @query("SELECT s_nationkey, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) AS ord, '- ' || s_name || ' | aliases: S' || s_suppkey || ', T' || s_suppkey AS line FROM supplier")
