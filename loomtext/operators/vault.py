@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -79,6 +79,29 @@ def picker_order(files: DataFrame) -> DataFrame:
     return files.orderBy((F.unix_millis("mtime") + F.col("size")).desc(), "path")
 
 
+def picker_positions(files: DataFrame, most_ranges: int = 256) -> DataFrame:
+    """(path, position) of all files in picker_order, from 1.
+
+    Files are dealt to ranges of the order, whose bounds are those of a fixed sample, and numbered within each; no
+    task sorts them all, and only the sample and a count for each range come to the driver.
+    """
+    score = F.unix_millis("mtime") + F.col("size")
+    keyed = files.select(F.struct(score.isNull().alias("none"), (-score).alias("score"), "path").alias("key"))
+    ranges = max(1, min(most_ranges, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    sample = sorted(((r["none"], r["score"] or 0, r["path"] or "") for r in keyed.orderBy(F.xxhash64("key")).limit(32 * ranges).select("key.*").collect()), key=lambda r: (r[0], r[1], r[2].encode()))
+    bounds = [sample[k * len(sample) // ranges] for k in range(1, ranges)] if sample else []
+    bound = F.array(*(F.struct(F.lit(n).alias("none"), F.lit(s).cast("long").alias("score"), F.lit(p).alias("path")) for n, s, p in bounds))
+    place = F.struct(F.col("key.none").alias("none"), F.coalesce("key.score", F.lit(0)).cast("long").alias("score"), F.coalesce("key.path", F.lit("")).alias("path"))
+    dealt = keyed.select("key", (F.size(F.filter(bound, lambda b: b <= place)) if bounds else F.lit(0)).alias("range"))
+    before, start = 0, []
+    for r, n in sorted(map(tuple, dealt.groupBy("range").count().collect())):
+        start.append((r, before))
+        before += n
+    starts = files.sparkSession.createDataFrame(start, "range int, before long")
+    own = F.row_number().over(Window.partitionBy("range").orderBy("key"))
+    return dealt.withColumn("own", own).join(F.broadcast(starts), "range").select(F.col("key.path").alias("path"), (F.col("before") + F.col("own")).alias("position"))
+
+
 def read_or_sentinel(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """(path, content) of the wanted paths; a note in place of a file that isn't there."""
     return wanted.join(files.select("path", "content"), "path", "left").select("path", F.coalesce("content", F.concat(F.lit("[File not found: "), F.col("path"), F.lit("]"))).alias("content"))

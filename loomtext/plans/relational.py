@@ -56,10 +56,7 @@ def latest_matching_file(spark, d):
 
 @query(WITH_FILES + "SELECT path, row_number() OVER (ORDER BY mtime_ms + size DESC, path) AS position FROM files QUALIFY position <= 100")
 def file_recency_size_order(spark, d):
-    f = vault.picker_order(S.files(spark, d)).limit(100)
-    from pyspark.sql import Window
-
-    return f.select("path", F.row_number().over(Window.orderBy((F.unix_millis("mtime") + C("size")).desc(), "path")).cast("long").alias("position"))
+    return vault.picker_positions(S.files(spark, d))
 
 
 @query(_TREE + " SELECT path FROM fo")

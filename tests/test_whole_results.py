@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from loomtext.operators import parsing
+from loomtext.operators import parsing, vault
 from loomtext.plans import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
@@ -43,3 +43,21 @@ def test_names_of_all_rows(spark):
     assert any(not t.isascii() and names(t) for _, t in rows)
     plain = {i for i, t in rows if t.isascii()}
     assert sorted(r for r in got if r[0] in plain) == sorted(by_sql("capitalized_names", "benchmark"))
+
+
+@needs_data
+def test_order_of_all_files(spark):
+    rows = table("documents").select("doc_id, source, lang, n_chars").fetchall()
+    order = sorted((-(1704067200000 + i * 3600000 + n), f"{s}/{g}/{i}.md") for i, s, g, n in rows)
+    got = [tuple(r) for r in QUERIES["file_recency_size_order"](spark, DATA).select("path", "position").collect()]
+    assert len(rows) > 100 and sorted(got, key=lambda r: r[1]) == [(p, k + 1) for k, (_, p) in enumerate(order)]
+    assert sorted(r for r in got if r[1] <= 100) == sorted(by_sql("file_recency_size_order", "documents"))
+
+
+def test_order_with_ties_nulls_and_no_files(spark):
+    row = "SELECT timestamp_millis(CASE WHEN id % 7 = 0 THEN NULL WHEN id % 3 = 0 THEN 5 ELSE id END) AS mtime, 3L AS size, concat('é', id % 50) AS path FROM range({})"
+    files = spark.sql(row.format(300))
+    got = vault.picker_positions(files).orderBy("position").collect()
+    assert [r["position"] for r in got] == list(range(1, 301))
+    assert [r["path"] for r in got] == [r["path"] for r in vault.picker_order(files).collect()]
+    assert vault.picker_positions(spark.sql(row.format(0))).count() == 0
