@@ -62,3 +62,12 @@ def test_lines_without_a_bit_gate(spark, monkeypatch):
     assert want != gated
     got = line_dedup.dedup_lines(frame(spark, rows)).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted(((r[0], want[i]) for i, r in enumerate(rows)), key=repr)
+
+
+def test_pipeline_drops_lines_with_a_changed_word(spark):
+    import corpus_pipeline
+
+    pairs = [p for p in alike_lines() if line_dedup.similar(*p)]
+    docs = frame(spark, [(i, f"{a}\n{b}", "en", "s", 1) for i, (a, b) in enumerate(pairs)], clash=False)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
+    assert got == {i: (a, len(a)) for i, (a, _) in enumerate(pairs)}
