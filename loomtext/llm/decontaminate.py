@@ -9,6 +9,9 @@ aligned words (or the whole item, if shorter) agrees in a share of at least ``si
 The test items' hashes are broadcast while there are at most ``MAX_BROADCAST`` of them; beyond that the documents'
 hashes go through a shuffle join with the same result.
 
+Items of fewer than ``MIN_WORDS`` words need nearly exact copies: a hit needs all picked words of a mask, so a copy
+with as many substitutions as ``similarity`` allows is often not found.
+
 Defined cases: null and empty texts match nothing; items with fewer words than ``WEIGHT`` match a document only
 where all their words stand in a row; items without words match nothing; repeated rows match each; other columns are
 ignored; empty tables give no rows.
