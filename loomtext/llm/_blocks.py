@@ -81,10 +81,16 @@ def pairs_of(key: np.ndarray, most: int = 64) -> tuple[np.ndarray, np.ndarray, l
 
 
 class Groups:
-    """Disjoint sets over 0 .. n - 1 with the label of each at hand as an array."""
-
-    def __init__(self, n: int):
-        self.label, self.members = np.arange(n), {}
+    """Disjoint sets over rows, at first those with equal labels; the label of each row is at hand as an array."""
+
+    def __init__(self, labels: np.ndarray):
+        _, first, back = np.unique(labels, return_index=True, return_inverse=True)
+        self.label, self.members = first[back], {}
+        order = np.argsort(self.label, kind="stable")
+        begin = np.flatnonzero(np.diff(self.label[order], prepend=-1))
+        for rows in np.split(order, begin[1:]):
+            if len(rows) > 1:
+                self.members[int(rows[0])] = rows.tolist()
 
     def join(self, a: int, b: int) -> None:
         """Unites the sets of a and b; the smaller one takes the larger one's label."""

@@ -1,28 +1,29 @@
 """Fuzzy line deduplication over the whole corpus.
 
 Lines are normalised (lower case, runs of ASCII characters other than letters and digits one space). Equal lines are
-one distinct line. Two lines of at least ``MIN_WORDS`` words whose edit similarity, 1 - distance / longer length, is
-at least ``SIMILARITY`` are linked, and of each connected group of lines the first occurrence, by id, row and line, stays.
+one distinct line. Two lines whose edit similarity, 1 - distance / longer length, is at least ``SIMILARITY`` are linked,
+and of each connected group of lines the first occurrence, by id, row and line, stays.
 
-Pairs to compare come from two kinds of tables. A line's 64-bit SimHash of its words is cut into five blocks, and
-lines are joined on each of the ten pairs of blocks; so all pairs within 3 bits meet. One changed word in ten moves
-more bits than that, so lines are also joined on the ``RUNS`` least hashes of their runs of words: a run goes on from
-a word until it has three words and 16 bytes, and in lines of up to 12 words also until it has two words and 6 bytes.
-How many bits differ decides nothing. Only lines whose every run is changed (a typing error in nearly all words) or
-whose least runs all differ can be missed.
+A line's 64-bit SimHash is made of its words, those of up to three bytes together with the word after them. It is cut
+into three blocks, and lines are joined on each of the three pairs of blocks, so all pairs within 1 bit meet. Alike
+lines are further apart, up to ``RADIUS`` bits, which no join on blocks of so few bits can reach; so lines are also
+joined on the ``RUNS`` least hashes of their runs of words (of two words in short lines, three in longer and four in
+long ones), and lines of up to ``SHORT`` words on their first and last bytes. Of the pairs that meet, those within
+``RADIUS`` bits are compared by edit distance; lines of up to ``SHORT`` words all count as within it. Pairs that share
+none of the keys, or differ in more bits, are not found: the README has the measured recall.
 
-Of the pairs that meet, those whose counts of letters alone rule the similarity out are passed over. Lines with a
-partner left, and no others, bring their texts to the comparison; there, pairs that links already connect are skipped,
-so a group of alike lines costs about one comparison a line and gives a spanning forest of links, never all pairs.
+Lines with a partner left, and no others, bring their texts to the comparison, where pairs that links already connect
+are skipped (``_links``): a group of alike lines costs about one comparison a line and gives one link a line.
 
 Defined cases: null texts stay null and empty ones empty, with no lines; blank lines and lines without letters or
 digits always stay; repeated rows are documents of their own, so their lines repeat; null ids are kept; other
-columns pass through; an empty table gives no rows; lines and texts may be of any length.
+columns pass through, whatever their names; an empty table gives no rows; lines and texts may be of any length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
@@ -32,26 +33,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import _blocks, _spark
+from . import _blocks, _links, _spark
 from ._text import flat, inverse_powers, mix, pieces, powers, span_hash, words
 
-MIN_WORDS, SIMILARITY = 5, 0.8
-#: First bit and width of the five blocks, and the pairs of blocks that make the ten tables.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-TABLES = tuple(combinations(range(5), 2))
-#: Runs a line is joined on, of each kind; the most words of a line, the least words and bytes of a run, of each kind.
-RUNS, KINDS = 8, ((1 << 40, 3, 16), (12, 2, 6))
-#: Classes that the bytes of a line are counted in.
-BAG = 16
-
+SIMILARITY, RADIUS = 0.8, 20
+#: First bit and width of the three blocks, and the pairs of blocks that make the three tables.
+BLOCKS = ((0, 22), (22, 21), (43, 21))
+TABLES = tuple(combinations(range(3), 2))
+#: Runs that a line is joined on, of each kind; the least and most words of a line, and the words of a run, of each kind.
+RUNS, KINDS = 4, ((2, 9, 2), (7, 20, 3), (17, 1 << 40, 4))
+#: Lines of up to so many words have no SimHash and are joined on so many bytes at either end, if they have the bytes in the range.
+SHORT, ENDS = 4, ((5, 9, 3), (8, 17, 5), (14, 1 << 40, 9))
+#: Distances computed at once.
+AT_ONCE = 512
 
 #: ASCII bytes that are neither letters nor digits.
 _BETWEEN = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 #: The bits of a byte, one in each byte of a 64-bit number.
 _LANES = np.array([sum(((c >> b) & 1) << (8 * b) for b in range(8)) for c in range(256)], np.uint64)
-
-#: Class of a character by its first byte: the common letters on their own, other ASCII ones together; all others and spaces are in class 0.
-_CLASS = np.array([b"etaoinshrdlucm".find(c) + 1 if c in b"etaoinshrdlucm" else BAG - 1 if c < 128 else 0 for c in range(256)], np.uint8)
+_PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
+_NONE = np.uint64((1 << 64) - 1)
 
 
 class Lines:
@@ -79,65 +80,55 @@ class Lines:
         own = (self.total[b] - self.total[a]) * inverse_powers(len(self.word) + 1)[a]
         return mix(own + (b - a).astype(np.uint64))
 
-    def _spread(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in which, word) of all words of the lines numbered by which."""
-        n = self.count[which]
-        row = np.repeat(np.arange(len(which)), n)
-        return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.begin[which], n)
-
     def runs(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in which, key) of the runs of words that the lines numbered by which are joined on."""
-        rows, keys = [], []
-        past = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.ends - self.starts, dtype=np.int64)))
-        for kind, (most, least, size) in enumerate(KINDS):
-            row, a = self._spread(which)
-            short = self.count[which][row] <= most
-            row, a = row[short], a[short]
-            b = np.maximum(np.searchsorted(past, past[a] + size), a + least)
-            whole = b <= (self.begin + self.count)[which][row]
-            row, key = row[whole], mix(self._span(a[whole], b[whole]) + np.uint64(kind))
-            order = np.lexsort((key, row))
-            row, key = row[order], key[order]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
-            row, key = row[new], key[new]
-            n = np.bincount(row, minlength=len(which))
-            least_ones = np.arange(len(row)) - (np.cumsum(n) - n)[row] < RUNS
-            rows.append(row[least_ones])
-            keys.append(key[least_ones])
-        row, key = np.concatenate(rows), np.concatenate(keys)
+        """(place in which, key) of what the lines numbered by which are joined on, by place."""
+        rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for low, most, size in KINDS:
+            line = np.flatnonzero((self.count[which] >= low) & (self.count[which] <= most))
+            if not len(line):
+                continue
+            n = self.count[which[line]] - size + 1
+            first = np.cumsum(n) - n
+            at = np.arange(int(n.sum())) + np.repeat(self.begin[which[line]] - first, n)
+            left = self._span(at, at + size) + np.uint64(size)
+            for _ in range(RUNS):
+                least = np.minimum.reduceat(left, first)
+                some = least != _NONE
+                rows.append(line[some])
+                keys.append(least[some])
+                left[left == np.repeat(least, n)] = _NONE
+        short = np.flatnonzero(self.count[which] <= SHORT)
+        of, ends = [], []
+        for k, text in zip(short.tolist(), self.texts(which[short]), strict=True):
+            for low, most, size in ENDS:
+                if low <= len(text) <= most:
+                    of += [k, k]
+                    ends += [int.from_bytes(blake2b(x, digest_size=8).digest()) for x in (b"^" + text[:size], b"$" + text[-size:])]
+        row = np.concatenate([*rows, np.array(of, np.int64)])
         order = np.argsort(row, kind="stable")
-        return row[order], key[order].view(np.int64)
-
-    def bags(self, which: np.ndarray) -> np.ndarray:
-        """How many characters of each class the normal forms have, as BAG bytes each; 255 stands for more, too."""
-        out = np.zeros((len(which), BAG), np.int64)
-        if not len(which):
-            return out.astype(np.uint8)
-        row, word = self._spread(which)
-        place = np.full(len(self.starts), -1)
-        place[word] = row
-        at = np.flatnonzero(self.data & 0xC0 != 0x80)  # characters begin here
-        word = np.searchsorted(self.starts, at, "right") - 1
-        inside = (word >= 0) & (at < self.ends[word]) & (place[word] >= 0)
-        out += np.bincount(place[word[inside]] * BAG + _CLASS[self.data[at[inside]]], minlength=out.size).reshape(out.shape)
-        out[:, 0] += self.count[which] - 1  # the spaces
-        return np.minimum(out, 255).astype(np.uint8)
+        return row[order], np.concatenate([*keys, np.array(ends, np.uint64)])[order].view(np.int64)
 
     def simhash(self, which: np.ndarray) -> np.ndarray:
-        """SimHash of the lines numbered by which: bit k is set if it is in the hashes of more than half of the words."""
+        """SimHash of the lines numbered by which: bit k is set if it is in the hashes of more than half of the words. 0 for short lines."""
+        out = np.zeros(len(which), np.int64)
+        long = self.count[which] > SHORT
+        which = which[long]
         if not len(which):
-            return np.zeros(0, np.int64)
+            return out
+        after = np.append(self.word[1:], np.uint64(0))
+        after[self.begin + self.count - 1] = 0
+        word = np.where(self.ends - self.starts <= 3, mix(self.word * _PAIR + after), self.word)
         n = self.count[which]
         first = np.cumsum(n) - n
         at = np.repeat(self.begin[which] - first, n) + np.arange(int(n.sum()))
         # Sums of up to 255 words fit the bytes of one number; longer lines are summed in parts.
         cut = np.concatenate([np.arange(f, f + k, 255) for f, k in zip(first, n, strict=True)]) if n.max() > 255 else first
-        lanes = np.add.reduceat(_LANES[self.word[at].view(np.uint8).reshape(-1, 8)], cut, axis=0)
+        lanes = np.add.reduceat(_LANES[word[at].view(np.uint8).reshape(-1, 8)], cut, axis=0)
         sums = lanes.view(np.uint8)
         if n.max() > 255:
             sums = np.add.reduceat(sums, np.searchsorted(cut, first), axis=0, dtype=np.int64)
-        return np.packbits(sums * np.int64(2) > n[:, None], axis=1).view(np.int64).ravel()
+        out[long] = np.packbits(sums * np.int64(2) > n[:, None], axis=1).view(np.int64).ravel()
+        return out
 
     def texts(self, which: np.ndarray) -> list[bytes]:
         """The lines in normal form."""
@@ -155,22 +146,11 @@ def _field(sim: np.ndarray, block: int) -> np.ndarray:
 
 def table_keys(sim: np.ndarray, table: int) -> np.ndarray:
     a, b = TABLES[table]
-    return ((np.uint64(table) << np.uint64(32)) | (_field(sim, a) << np.uint64(13)) | _field(sim, b)).view(np.int64)
+    return mix((np.uint64(table + 1) << np.uint64(60)) | (_field(sim, a) << np.uint64(22)) | _field(sim, b)).view(np.int64)
 
 
-def maybe_similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """Which pairs of bags can be of similar lines: each edit takes one character of a class and gives one at most."""
-    diff = a.astype(np.int16) - b
-    least = np.maximum(np.maximum(diff, 0).sum(axis=1), np.maximum(-diff, 0).sum(axis=1))
-    longest = np.maximum(a.sum(axis=1, dtype=np.int64), b.sum(axis=1, dtype=np.int64))
-    over = (a == 255).any(axis=1) | (b == 255).any(axis=1)  # lengths are not known
-    return over | (least <= ((1 - similarity) * longest + 1e-9).astype(np.int64))
-
-
-def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
-    """Whether 1 - edit distance / longer length is at least similarity."""
-    longest = max(len(a), len(b))
-    most = int((1 - similarity) * longest + 1e-9)
+def quick(a: str, b: str, most: int) -> bool | None:
+    """Whether the edit distance is at most ``most``, if what the texts begin and end with and their words in order tell; else None."""
     if abs(len(a) - len(b)) > most:
         return False
     i = _common(a, b, 1)
@@ -183,33 +163,19 @@ def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     x, y = a.split(" "), b.split(" ")
     if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) <= most:
         return True
-    return word_bound(x, y) <= most or distance(a, b, most) <= most
-
-
-def word_bound(x: list[str], y: list[str], band: int = 2) -> float:
-    """An upper bound of the edit distance of two texts: whole words changed, added and cut, within a band of shifts."""
-    far = float("inf")
-    if abs(len(x) - len(y)) > band:
-        return far
-    # row[k]: cost of turning the words so far of x into so many words of y, k - band more.
-    row = [far] * (2 * band + 2)
-    row[band] = 0
-    for k in range(band + 1, min(2 * band, band + len(y)) + 1):
-        row[k] = row[k - 1] + len(y[k - band - 1]) + 1
-    for i, p in enumerate(x):
-        new = [far] * (2 * band + 2)
-        cut = len(p) + 1
-        for k in range(2 * band + 1):
-            j = i + k - band  # p may become this word of y; j + 1 words of y are made
-            if j < -1 or j >= len(y):
-                continue
-            best = row[k + 1] + cut
-            if j >= 0:
-                q = y[j]
-                best = min(best, row[k] + (0 if p == q else max(len(p), len(q))), new[k - 1] + len(q) + 1 if k else far)
-            new[k] = best
-        row = new
-    return row[len(y) - len(x) + band]
+    return None
+
+
+def bound(a: str, b: str, similarity: float = SIMILARITY) -> int:
+    """The most edits of two texts that are similar."""
+    return int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+
+
+def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
+    """Whether 1 - edit distance / longer length is at least similarity."""
+    most = bound(a, b, similarity)
+    known = quick(a, b, most)
+    return distances([(a, b)])[0] <= most if known is None else known
 
 
 def _common(a: str, b: str, way: int) -> int:
@@ -224,39 +190,85 @@ def _common(a: str, b: str, way: int) -> int:
     return low
 
 
-def distance(a: str, b: str, most: int | None = None) -> int:
-    """Edit distance by bit-parallel columns (Myers); any number above most if it must exceed it."""
-    if len(a) < len(b):
-        a, b = b, a
-    if not b:
-        return len(a)
-    peq: dict[str, int] = {}
-    for i, c in enumerate(b):
-        peq[c] = peq.get(c, 0) | 1 << i
-    full, top = (1 << len(b)) - 1, 1 << (len(b) - 1)
-    pv, mv, score = full, 0, len(b)
-    left = len(a)
-    for c in a:
-        left -= 1
-        eq = peq.get(c, 0)
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph, mh = mv | ~(xh | pv) & full, pv & xh
-        score += bool(ph & top) - bool(mh & top)
-        ph = (ph << 1 | 1) & full
-        pv, mv = ((mh << 1) & full) | ~(xv | ph) & full, ph & xv
-        if most is not None and score - left > most:
-            return score - left
-    return score
-
+def distances(pairs: list[tuple[str, str]]) -> list[int]:
+    """Edit distances by bit-parallel columns (Myers), all pairs at once: each has its lane of whole bytes in the same long numbers.
 
-def duplicate_lines(docs: DataFrame, scratch: _spark.Scratch, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    A lane has a bit for each character of the shorter text and a spare one, into which sums and shifts run over. Lanes
+    stand by the length of the longer text, and go from the high end when it is read.
+    """
+    sides = [(a, b) if len(a) >= len(b) else (b, a) for a, b in pairs]
+    out = [len(a) for a, _ in sides]
+    order = sorted((k for k, (_, b) in enumerate(sides) if b), key=lambda k: -len(sides[k][0]))
+    tables, ends, full, ones, at = [], [], 0, 0, 0
+    for k in order:
+        a, b = sides[k]
+        size = len(b) // 8 + 1
+        bits: dict[str, int] = {}
+        for i, c in enumerate(b):
+            bits[c] = bits.get(c, 0) | 1 << i
+        table = {c: x.to_bytes(size, "little") for c, x in bits.items()}
+        none = bytes(size)
+        tables.append([table.get(c, none) for c in a])
+        full |= ((1 << len(b)) - 1) << (8 * at)
+        ones |= 1 << (8 * at)
+        at += size
+        ends.append(at)
+    pv, mv, live = full, 0, len(order)
+    for step in range(len(tables[0]) if order else 0):
+        eq = int.from_bytes(b"".join([x[step] for x in tables[:live]]), "little")
+        xv = eq | mv
+        xh = ((((eq & pv) + pv) ^ pv) | eq) & full
+        ph, mh = mv | (full ^ (xh | pv)), pv & xh
+        ph = ((ph << 1) | ones) & full
+        pv, mv = ((mh << 1) & full) | (full ^ (xv | ph)), ph & xv
+        left = live
+        while left and len(tables[left - 1]) == step + 1:
+            left -= 1
+        if left < live:
+            # The last column's steps down add up to the distance.
+            low = ends[left - 1] if left else 0
+            up, down = (x.to_bytes(ends[live - 1], "little") for x in (pv, mv))
+            for n in range(left, live):
+                own = slice(ends[n - 1] if n else 0, ends[n])
+                out[order[n]] += int.from_bytes(up[own], "little").bit_count() - int.from_bytes(down[own], "little").bit_count()
+            rest = (1 << (8 * low)) - 1
+            pv, mv, full, ones, live = pv & rest, mv & rest, full & rest, ones & rest, left
+    return out
+
+
+def verify(t: pa.Table, pairs: Iterator[tuple[np.ndarray, np.ndarray]], groups: _blocks.Groups, similarity: float) -> None:
+    """Joins the rows of similar pairs in groups, by their texts."""
+    text = [x.decode() for x in t["data"].to_pylist()]
+    asked: list[tuple[int, int, int]] = []
+
+    def settle() -> None:
+        open_ = [x for x in asked if groups.label[x[0]] != groups.label[x[1]]]
+        for (x, y, most), d in zip(open_, distances([(text[x], text[y]) for x, y, _ in open_]), strict=True):
+            if d <= most:
+                groups.join(x, y)
+        asked.clear()
+
+    for i, j in pairs:
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            if groups.label[x] != groups.label[y]:
+                most = bound(text[x], text[y], similarity)
+                known = quick(text[x], text[y], most)
+                if known:
+                    groups.join(x, y)
+                elif known is None:
+                    asked.append((x, y, most))
+                    if len(asked) >= AT_ONCE:
+                        settle()
+    settle()
+
+
+def duplicate_lines(docs: DataFrame, scratch: _spark.Scratch, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", row_col: str = "row") -> tuple[DataFrame, DataFrame]:
     """((row, lines array<int>) of the lines to remove, (row, line, group) of all lines that have another in their group).
 
-    docs has the columns row, id_col and text_col; lines are numbered from 0 between newlines; group is a line's hash.
+    docs has the columns row_col, id_col and text_col; lines are numbered from 0 between newlines; group is a line's hash.
     """
     spark = docs.sparkSession
-    texts = docs.select("row", F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,129 +277,120 @@ def duplicate_lines(docs: DataFrame, scratch: _spark.Scratch, similarity: float
             for b in pieces(batch, "text", 1 << 20):
                 lines = Lines(b.column("text"))
                 # What pairs are found by stands with the first of a task's equal lines only.
-                able = np.flatnonzero(lines.count >= min_words).tolist()
-                new = np.array([i for i in able if not (lines.hash[i] in seen or seen.add(lines.hash[i]))], np.int64)
-                stands = np.zeros(len(lines.hash), bool)
-                stands[new] = True
+                new = np.array([i for i, h in enumerate(lines.hash.tolist()) if not (h in seen or seen.add(h))], np.int64)
                 at = np.full(len(lines.hash), -1)
                 at[new] = np.arange(len(new))
-                at = pa.array(at, mask=~stands)
+                at = pa.array(at, mask=at < 0)
                 row, key = lines.runs(new)
                 keys = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(new) + 1)).astype(np.int32)), pa.array(key)).take(at)
                 sim = pa.array(lines.simhash(new)).take(at)
-                bag = pa.array(list(map(bytes, lines.bags(new))), pa.binary()).take(at)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("row").take(pa.array(lines.doc)), b.column("id").take(pa.array(lines.doc)), pa.array(lines.number.astype(np.int32)), pa.array(lines.hash), sim, keys, bag],
-                    ["row", "id", "line", "h", "sim", "runs", "bag"],
+                    [b.column("row").take(pa.array(lines.doc)), b.column("id").take(pa.array(lines.doc)), pa.array(lines.number.astype(np.int32)), pa.array(lines.hash), sim, keys],
+                    ["row", "id", "line", "h", "sim", "runs"],
                 )
 
-    every = scratch.cut(texts.mapInArrow(found, f"row long, id {kind}, line int, h long, sim long, runs array<long>, bag binary"), "lines")
-    distinct = every.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "line")).alias("first"))
-    distinct = scratch.cut(distinct, "distinct")
-    able = every.where("sim is not null").select("h", "sim", "runs", "bag")
+    every = scratch.cut(texts.mapInArrow(found, f"row long, id {kind}, line int, h long, sim long, runs array<long>"), "lines")
+    able = every.where("sim is not null").select("h", "sim", "runs")
 
     def keyed(hot):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                h, sim, runs, bag = b.column("h").to_numpy(), b.column("sim").to_numpy(), b.column("runs"), b.column("bag")
-                of = [(np.arange(len(h)), table_keys(sim, t)) for t in range(len(TABLES))]
-                of.append((pc.list_parent_indices(runs).to_numpy(), pc.list_flatten(runs).to_numpy()))
-                for line, key in of:
-                    rows, key = _blocks.split_hot(key, h[line], hot)
-                    take = pa.array(line[rows])
-                    yield pa.RecordBatch.from_arrays([pa.array(key), b.column("h").take(take), bag.take(take)], ["key", "h", "bag"])
+                h, sim, runs = b.column("h").to_numpy(), b.column("sim").to_numpy(), b.column("runs")
+                hashed = np.flatnonzero(sim)
+                of = np.concatenate([pc.list_parent_indices(runs).to_numpy(), np.tile(hashed, len(TABLES))])
+                key = np.concatenate([pc.list_flatten(runs).to_numpy(), *(table_keys(sim[hashed], t) for t in range(len(TABLES)))])
+                rows, key = _blocks.split_hot(key, h[of], hot)
+                take = of[rows]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h[take]), pa.array(sim[take])], ["key", "id", "sim"])
 
         return run
 
-    cols = "key long, h long, bag binary"
+    cols = "key long, id long, sim long"
     none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
     hot = _blocks.hot_keys(able.where(F.pmod(F.xxhash64("h"), F.lit(_blocks.SAMPLE)) == 0).mapInArrow(keyed(none), cols))
 
-    def candidates(t: pa.Table, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of rows that may be similar; row by row for groups of more than ``most`` rows."""
-        bag = np.frombuffer(b"".join(t["bag"].to_pylist()), np.uint8).reshape(-1, BAG)
-        i, j, large = _blocks.pairs_of(t["key"].to_numpy(), most)
-        for k in range(0, len(i), 1 << 16):
-            p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-            at = maybe_similar(bag[p], bag[q], similarity)
-            yield p[at], q[at]
+    def candidates(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows within the radius; row by row for large groups."""
+        sim = t["sim"].to_numpy().view(np.uint64)
+        i, j, large = _blocks.pairs_of(t["key"].to_numpy(), 32)
+        for k in range(0, len(i), 1 << 18):
+            p, q = i[k : k + (1 << 18)], j[k : k + (1 << 18)]
+            near = (np.bitwise_count(sim[p] ^ sim[q]) <= RADIUS) | (sim[p] == 0) | (sim[q] == 0)
+            yield p[near], q[near]
         for a, b in large:
             for k in range(a, b - 1):
-                j = k + 1 + np.flatnonzero(maybe_similar(bag[k : k + 1], bag[k + 1 : b], similarity))
+                j = k + 1 + np.flatnonzero((np.bitwise_count(sim[k + 1 : b] ^ sim[k]) <= RADIUS) | (sim[k + 1 : b] == 0) | (sim[k] == 0))
                 if len(j):
                     yield np.full(len(j), k), j
 
     def partnered(t: pa.Table) -> Iterator[pa.RecordBatch]:
         # A line stands once for each task that has it.
-        h, key = t["h"].to_numpy(), t["key"].to_numpy()
-        order = np.lexsort((h, key))
-        new = np.ones(len(order), bool)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (key[order][1:] != key[order][:-1])
-        key = key[order[new]]
+        t = t.combine_chunks()
+        key, h = t["key"].to_numpy(), t["id"].to_numpy()
         shared = np.zeros(len(key), bool)
         shared[1:] = key[1:] == key[:-1]
         shared[:-1] |= shared[1:]
-        t = t.take(pa.array(order[new][shared])).combine_chunks()
+        at = np.flatnonzero(shared)
+        at = at[np.lexsort((h[at], key[at]))]
+        new = np.ones(len(at), bool)
+        new[1:] = (h[at][1:] != h[at][:-1]) | (key[at][1:] != key[at][:-1])
+        t = t.take(pa.array(at[new])).combine_chunks()
         hit = np.zeros(len(t), bool)
-        for i, j in candidates(t, 64):
+        for i, j in candidates(t):
             hit[i] = hit[j] = True
         yield from t.filter(pa.array(hit)).combine_chunks().to_batches()
 
-    hits = scratch.keep(_blocks.grouped(able.mapInArrow(keyed(hot), cols), "key", partnered, cols), "hits")
-    # Their texts are in the documents where they stand first: only those are read closely again.
-    asked = hits.select("h").distinct()
-    places = distinct.join(asked, "h", "left_semi").select("h", "first.row")
-    bits = spark.sparkContext.broadcast((_blocks.bloom(asked, "h"), _blocks.bloom(places, "row")))
+    hits = scratch.cut(_blocks.grouped(able.mapInArrow(keyed(hot), cols), "key", partnered, cols, rows=200_000), "hits")
+    distinct = every.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "line")).alias("first"))
+    distinct = scratch.cut(distinct, "distinct")
 
-    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            batch = batch.filter(pa.array(_blocks.in_bloom(bits.value[1], batch.column("row").to_numpy())))
-            for b in pieces(batch, "text", 1 << 20) if len(batch) else ():
-                lines = Lines(b.column("text"))
-                maybe = np.flatnonzero(_blocks.in_bloom(bits.value[0], lines.hash))
-                which = [i for i in maybe.tolist() if not (lines.hash[i] in seen or seen.add(lines.hash[i]))]
-                if which:
-                    yield pa.RecordBatch.from_arrays([pa.array(lines.hash[which]), pa.array(lines.texts(np.array(which)), pa.binary()).cast(pa.string())], ["h", "spelling"])
-
-    spelling = texts.select("row", "text").mapInArrow(spelled, "h long, spelling string")
-    spelling = spelling.join(asked, "h", "left_semi").groupBy("h").agg(F.min("spelling").alias("spelling"))
-
-    def linked(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        h, text = t["h"].to_numpy(), t["spelling"].to_pylist()
-        sets, a, b = _blocks.Groups(len(h)), [], []
-        for i, j in candidates(t, 16):
-            apart = sets.label[i] != sets.label[j]
-            for x, y in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
-                if sets.label[x] != sets.label[y] and similar(text[x], text[y], similarity):
-                    sets.join(x, y)
-                    a.append(h[x])
-                    b.append(h[y])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    links = _blocks.grouped(hits.join(spelling, "h").select("key", "h", "bag", "spelling"), "key", linked, "a long, b long")
-    roots = scratch.keep(_spark.components(scratch, links), "roots")
+    def spelled(ids: DataFrame) -> DataFrame:
+        # Their texts are in the documents where they stand first: only those are read again.
+        places = distinct.join(ids.withColumnRenamed("id", "h"), "h", "left_semi").select("h", "first.row")
+        places = scratch.cut(places.select("row", F.col("h").bitwiseXOR(F.shiftleft("row", 23)).alias("place")), "places")
+        bits = spark.sparkContext.broadcast((_blocks.bloom(places, "row"), _blocks.bloom(places, "place")))
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows, here = bits.value
+            for batch in batches:
+                batch = batch.filter(pa.array(_blocks.in_bloom(rows, batch.column("row").to_numpy())))
+                for b in pieces(batch, "text", 1 << 20) if len(batch) else ():
+                    lines = Lines(b.column("text"))
+                    maybe = np.flatnonzero(_blocks.in_bloom(here, lines.hash ^ (b.column("row").to_numpy()[lines.doc] << 23)))
+                    _, once = np.unique(lines.hash[maybe], return_index=True)
+                    which = maybe[once]
+                    yield pa.RecordBatch.from_arrays([pa.array(lines.hash[which]), pa.array(lines.texts(which), pa.binary())], ["id", "data"])
+
+        return texts.select("row", "text").mapInArrow(read, "id long, data binary")
+
+    roots = _links.link(scratch, hits, "sim long", candidates, spelled, lambda t, pairs, groups: verify(t, pairs, groups, similarity))
     # Distinct lines that stand more than once or have alike ones, with their group's first occurrence.
-    member = distinct.select("h", "n", "first").join(roots.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or root is not null").withColumn("group", F.coalesce("root", "h"))
-    member = scratch.keep(member.select("h", "group", "first"), "members")
-    first = member.groupBy("group").agg(F.min("first").alias("stays"))
-    shared = every.select("row", "line", "h").join(member.select("h", "group").join(first, "group"), "h")
-    gone = shared.where("row <> stays.row or line <> stays.line").groupBy("row").agg(F.collect_list("line").alias("lines"))
+    member = distinct.join(roots.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or root is not null")
+    member = scratch.cut(member.select("h", F.coalesce("root", "h").alias("group"), "first"), "members")
+    first = scratch.cut(member.groupBy("group").agg(F.min("first").alias("stays")), "first")
+    named = scratch.cut(member.select("h", "group").join(first, "group").select("h", "group", "stays.row", "stays.line"), "named")
+    scratch.drop("hits", "distinct", "members", "first", "places")
+    shared = every.select("row", "line", "h").join(named.toDF("h", "group", "own_row", "own_line"), "h")
+    gone = shared.where("row <> own_row or line <> own_line").groupBy("row").agg(F.collect_list("line").alias("lines"))
     return gone, shared.select("row", "line", "group")
 
 
-def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the repeated lines cut out of text_col, and the columns n_lines (between newlines) and n_removed."""
+def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the repeated lines cut out of text_col, and the columns n_lines (between newlines) and n_removed.
+
+    Where docs has columns of these names, the new ones have underscores before theirs.
+    """
     scratch = _spark.Scratch(docs.sparkSession)
-    rows = _spark.with_rows(docs.withColumnsRenamed({"row": "_row"}), scratch)
-    gone, _ = duplicate_lines(rows, scratch, similarity, min_words, id_col, text_col)
-    joined = rows.join(gone.withColumnRenamed("lines", "_lines"), "row", "left").drop("row")
+    row, lines, n_lines, n_removed = _spark.fresh(docs.columns, "row", "lines", "n_lines", "n_removed")
+    rows = _spark.with_rows(docs, scratch, row)
+    gone, _ = duplicate_lines(rows, scratch, similarity, id_col, text_col, row)
+    joined = rows.join(gone.toDF(row, lines), row, "left").drop(row)
     at = joined.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, n, k = [], [], []
-            for t, gone in zip(b.column(at).to_pylist(), b.column("_lines").to_pylist(), strict=True):
+            for t, gone in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 parts = t.split("\n") if t else []
                 n.append(len(parts))
                 k.append(len(gone or ()))
@@ -396,7 +399,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int
                     t = "\n".join(p for i, p in enumerate(parts) if i not in drop)
                 texts.append(t)
             kept = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(k, pa.int64())], [*b.schema.names[:-1], "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(k, pa.int64())], [*b.schema.names[:-1], n_lines, n_removed])
 
-    schema = T.StructType([*joined.drop("_lines").schema, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return joined.mapInArrow(cut, schema).withColumnsRenamed({"_row": "row"})
+    schema = T.StructType([*joined.drop(lines).schema, T.StructField(n_lines, T.LongType()), T.StructField(n_removed, T.LongType())])
+    return joined.mapInArrow(cut, schema)

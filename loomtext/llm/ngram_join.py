@@ -9,10 +9,9 @@ group of alike documents is expanded into its pairs:
 3. Within each prefix n-gram, classes are compared by signature: hashed bitmaps and sizes bound the overlap that a
    pair can have. Larger groups are held in signature trees, whose nodes have the OR of their bitmaps and the range
    of their sizes; two trees are traversed together and pairs of nodes pruned by the most overlap they allow.
-4. Classes with a possible partner bring their sets to ``HOMES`` of their prefix n-grams, chosen by least hash, so
-   that alike ones meet. There a dual traversal verifies pairs exactly, skipping what links already connect: a
-   spanning forest of links comes out.
-5. Pairs that may link, are not yet connected, and met at no home are verified one by one.
+4. Classes with a possible partner bring their sets to one of their prefix n-grams, then those with partners in other
+   components that they have not met to the n-grams they share with them (``_links``). There the same traversal gives
+   pairs to verify exactly, but for those already connected: one link leaves a group for each class it ties.
 
 Hot n-grams are split into parts, each pair of parts one unit of work. Sets hold 64-bit hashes of n-grams.
 
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _blocks, _spark
+from . import _blocks, _links, _spark
 from ._text import LOWER, flat, mix, pieces, span_hash, words
 
 #: Bound of the broadcast n-grams that count as frequent; any choice gives the same links.
@@ -109,6 +108,10 @@ class Threshold:
         """Whether sizes alone allow a link."""
         return 100 * np.minimum(a, b) >= self.percent * np.maximum(a, b)
 
+    def largest(self, n, place):
+        """The largest set that one of n links with if their first common n-gram has so many of its own before it."""
+        return (100 + self.percent) * (n - place) // self.percent - n
+
     def prefix(self, n):
         return n - -(-self.percent * n // 100) + 1
 
@@ -213,8 +216,29 @@ def linked(a: np.ndarray, b: np.ndarray, th: Threshold) -> bool:
     return int((b[at] == a).sum()) >= th.overlap(len(a), len(b))
 
 
-def roots_of(docs: DataFrame, scratch: _spark.Scratch, k: int, percent: int) -> DataFrame:
-    """(row, id, n, root) of each row of docs (row, id, text): its set's size, and a class of its component."""
+def verify(t: pa.Table, pairs: Iterator[tuple[np.ndarray, np.ndarray]], groups: _blocks.Groups, th: Threshold) -> None:
+    """Joins the rows of linked pairs in groups, by their whole sets; a row meets its partners of a batch in one search."""
+    grams = [np.frombuffer(x, np.uint64) for x in t["data"].to_pylist()]
+    size = np.array([len(g) for g in grams], np.int64)
+    for i, j in pairs:
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        for x, ys in zip(i[np.flatnonzero(np.diff(i, prepend=-1))].tolist(), np.split(j, np.flatnonzero(np.diff(i)) + 1), strict=True):
+            ys = ys[groups.label[ys] != groups.label[x]]
+            if not len(ys):
+                continue
+            many, own = np.concatenate([grams[y] for y in ys.tolist()]), grams[x]
+            found = own[np.minimum(np.searchsorted(own, many), len(own) - 1)] == many
+            both = np.add.reduceat(found, np.cumsum(size[ys]) - size[ys], dtype=np.int64)
+            for y in ys[both >= th.overlap(size[x], size[ys])].tolist():
+                groups.join(x, y)
+
+
+def classes_of(docs: DataFrame, scratch: _spark.Scratch, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((row, id, n, cls) of each row of docs (row, id, text), (cls, first struct<id, row>, least id, least row, many) of each class, (node, root) of the least rows of linked classes).
+
+    n is the size of a row's set and cls the class of rows with equal sets.
+    """
     spark, th = docs.sparkSession, Threshold(percent)
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -267,8 +291,10 @@ def roots_of(docs: DataFrame, scratch: _spark.Scratch, k: int, percent: int) ->
                 yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), pa.array(set_class(s, first)), pa.array(n.astype(np.int32)), lists, pa.array(sigs, pa.binary())], ["row", "id", "cls", "n", "prefix", "sig"])
 
     every = scratch.cut(docs.mapInArrow(described, f"row long, id {kind}, cls long, n int, prefix array<long>, sig binary"), "sets")
-    stands = every.where("n > 0").groupBy("cls").agg(F.min("row").alias("row"))
-    reps = scratch.cut(every.join(stands, ["cls", "row"]).select("cls", "n", "prefix", "sig"), "classes")
+    frequent.unpersist()
+    stands = every.where("n > 0").groupBy("cls").agg(F.min(F.struct("id", "row")).alias("first"), F.min("id").alias("least"), F.min("row").alias("row"), (F.count("*") > 1).alias("many"))
+    stands = scratch.cut(stands, "stands")
+    reps = scratch.cut(every.join(stands.select("cls", "row"), ["cls", "row"]).select("row", "n", "prefix", "sig"), "classes")
 
     def posted(hot):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,118 +304,85 @@ def roots_of(docs: DataFrame, scratch: _spark.Scratch, k: int, percent: int) ->
                     lists = b.column("prefix")
                     size = lists.value_lengths().to_numpy(zero_copy_only=False)
                     of = np.repeat(np.arange(len(b)), size)
-                    cls = b.column("cls").to_numpy()
-                    rows, key = _blocks.split_hot(lists.flatten().to_numpy(), cls[of], hot)
+                    place = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+                    row, n = b.column("row").to_numpy(), b.column("n").to_numpy().astype(np.int64)
+                    top = th.largest(n[of], place)
+                    rows, key = _blocks.split_hot(lists.flatten().to_numpy(), row[of], hot)
                     take = pa.array(of[rows])
-                    yield pa.RecordBatch.from_arrays([pa.array(key), b.column("cls").take(take), b.column("n").take(take)], ["key", "cls", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), b.column("row").take(take), b.column("n").take(take), pa.array(top[rows].astype(np.int32))], ["key", "id", "n", "top"])
 
         return run
 
-    narrow = reps.select("cls", "n", "prefix")
+    narrow, cols = reps.select("row", "n", "prefix"), "key long, id long, n int, top int"
     none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    hot = _blocks.hot_keys(narrow.where(F.pmod(F.xxhash64("cls"), F.lit(_blocks.SAMPLE)) == 0).mapInArrow(posted(none), "key long, cls long, n int"))
+    hot = _blocks.hot_keys(narrow.where(F.pmod(F.xxhash64("row"), F.lit(_blocks.SAMPLE)) == 0).mapInArrow(posted(none), cols))
 
     def met(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Rows with another of fit size under their key; rows come by key and size, so a neighbour tells."""
-        key, n = t["key"].to_numpy(), t["n"].to_numpy().astype(np.int64)
-        near = (key[1:] == key[:-1]) & th.fits(n[1:], n[:-1])
+        """Rows with another under their key of a size that either's place in its order allows; rows come by key and size."""
+        t = t.combine_chunks()
+        key, n, top = t["key"].to_numpy(), t["n"].to_numpy().astype(np.int64), t["top"].to_numpy()
         keep = np.zeros(len(key), bool)
-        keep[1:] |= near
-        keep[:-1] |= near
-        yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
+        i, j, large = _blocks.pairs_of(key, 32)
+        ok = th.fits(n[i], n[j]) & (n[j] <= top[i]) & (n[i] <= top[j])
+        keep[i[ok]] = keep[j[ok]] = True
+        for a, b in large:
+            own, most = n[a:b], top[a:b]
+            others = np.searchsorted(own, most, "right") - np.searchsorted(own, -(-th.percent * own // 100)) - (own <= most)
+            keep[a:b] = others > 0
+        yield from t.select(["key", "id", "n"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
-    shared = _blocks.grouped(narrow.mapInArrow(posted(hot), "key long, cls long, n int"), "key", met, "key long, cls long, n int", rows=200_000, then=("n",))
+    shared = _blocks.grouped(narrow.mapInArrow(posted(hot), cols), "key", met, "key long, id long, n int", rows=100_000, then=("n",))
 
-    def sigs_of(t: pa.Table) -> list[np.ndarray]:
-        return [np.frombuffer(x, np.uint64) for x in t["sig"].to_pylist()]
+    def candidates(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        return close_pairs(t["key"].to_numpy(), t["n"].to_numpy().astype(np.int64), [np.frombuffer(x, np.uint64) for x in t["sig"].to_pylist()], th)
 
     def may_link(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
         hit = np.zeros(len(t), bool)
-        for i, j in close_pairs(t["key"].to_numpy(), t["n"].to_numpy().astype(np.int64), sigs_of(t), th):
+        for i, j in candidates(t):
             hit[i] = hit[j] = True
-        yield from t.select(["key", "cls"]).filter(pa.array(hit)).combine_chunks().to_batches()
+        yield from t.filter(pa.array(hit)).combine_chunks().to_batches()
 
-    signed = shared.join(reps.select("cls", "sig"), "cls").select("key", "cls", "n", "sig")
-    hits = scratch.keep(_blocks.grouped(signed, "key", may_link, "key long, cls long", rows=20_000), "hits")
-    homes = hits.groupBy("cls").agg(F.min_by("key", F.xxhash64("key")).alias("h1"), F.min_by("key", F.xxhash64("key", F.lit(1))).alias("h2"))
-    homes = scratch.keep(homes, "homes")
-    wanted = spark.sparkContext.broadcast(_blocks.bloom(homes, "cls"))
+    signed = shared.join(reps.select(F.col("row").alias("id"), "sig"), "id").select("key", "id", "n", "sig")
+    hits = scratch.cut(_blocks.grouped(signed, "key", may_link, "key long, id long, n int, sig binary", rows=20_000), "hits")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for b in pieces(batch, "text"):
-                s, first = shingles(b.column("text"), k)
-                cls = set_class(s, first)
-                which = [i for i in np.flatnonzero(_blocks.in_bloom(wanted.value, cls) & (np.diff(first) > 0)).tolist() if not (cls[i] in seen or seen.add(cls[i]))]
-                yield pa.RecordBatch.from_arrays([pa.array(cls[which]), pa.array([s[first[i] : first[i + 1]].tobytes() for i in which], pa.binary())], ["cls", "grams"])
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = spark.sparkContext.broadcast(_blocks.bloom(ids, "id"))
 
-    brought = docs.select("text").mapInArrow(sets, "cls long, grams binary")
-    brought = homes.join(brought, "cls").dropDuplicates(["cls"])
-    brought = scratch.cut(brought, "brought")
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                batch = batch.filter(pa.array(_blocks.in_bloom(wanted.value, batch.column("row").to_numpy())))
+                for b in pieces(batch, "text") if len(batch) else ():
+                    s, first = shingles(b.column("text"), k)
+                    yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([s[x:y].tobytes() for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())], ["id", "data"])
 
-    def at_home(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        t = t.combine_chunks()
-        key, cls = t["key"].to_numpy(), t["cls"].to_numpy()
-        grams = [np.frombuffer(x, np.uint64) for x in t["grams"].to_pylist()]
-        size = np.array([len(g) for g in grams], np.int64)
-        met, a, b = _blocks.Groups(len(key)), [], []
-        for i, j in close_pairs(key, size, [signature(g) for g in grams], th):
-            apart = met.label[i] != met.label[j]
-            for x, y in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
-                if met.label[x] != met.label[y] and linked(grams[x], grams[y], th):
-                    met.join(x, y)
-                    a.append(cls[x])
-                    b.append(cls[y])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    at = brought.select("cls", "grams", F.explode(F.array_distinct(F.array("h1", "h2"))).alias("key"))
-    first = scratch.keep(_blocks.grouped(at, "key", at_home, "a long, b long", rows=20_000), "links")
-    roots = scratch.keep(_spark.components(scratch, first), "roots")
-
-    def unmet(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        t = t.combine_chunks()
-        cls, root, h1, h2 = (t[c].to_numpy() for c in ("cls", "root", "h1", "h2"))
-        for i, j in close_pairs(t["key"].to_numpy(), t["n"].to_numpy().astype(np.int64), sigs_of(t), th):
-            left = (root[i] != root[j]) & (h1[i] != h1[j]) & (h1[i] != h2[j]) & (h2[i] != h1[j]) & (h2[i] != h2[j])
-            i, j = i[left], j[left]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], ["a", "b"])
-
-    tagged = homes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "h1", "h2")
-    # Only n-grams under which several components meet.
-    open_keys = hits.join(tagged, "cls").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = hits.join(open_keys, "key").join(tagged, "cls").join(reps.select("cls", "n", "sig"), "cls").select("key", "cls", "n", "sig", "root", "h1", "h2")
-    pairs = _blocks.grouped(rest, "key", unmet, "a long, b long", rows=20_000).distinct()
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), th) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    own = brought.select("cls", "grams")
-    second = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
-    second = scratch.keep(second, "more")
-    if second.take(1):
-        roots = _spark.components(scratch, first.unionByName(second))
-    return every.select("row", "id", "n", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("row", "id", "n", F.coalesce("root", "cls").alias("root"))
+        return docs.select("row", "text").mapInArrow(sets, "id long, data binary")
+
+    roots = _links.link(scratch, hits, "n int, sig binary", candidates, sets_of, lambda t, pairs, groups: verify(t, pairs, groups, th))
+    scratch.drop("often", "classes", "hits")
+    return every.select("row", "id", "n", "cls"), stands, roots
 
 
 def components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id) of each row of docs; component_id is the least id of its component."""
     scratch = _spark.Scratch(docs.sparkSession)
     docs = _spark.with_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), scratch)
-    found = roots_of(docs, scratch, k, percent)
-    least = found.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
-    return found.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    every, stands, roots = classes_of(docs, scratch, k, percent)
+    linked = scratch.cut(roots.join(stands, F.col("node") == F.col("row")).select("cls", "root", "least"), "linked")
+    # The least ids are tables of their own: the join of a large component's classes or rows with one is then split.
+    least = scratch.cut(linked.groupBy("root").agg(F.min("least").alias("least")), "least")
+    named = linked.select("cls", "root").join(least, "root").select("cls", "least").unionByName(stands.where("many").join(roots, F.col("node") == F.col("row"), "left_anti").select("cls", "least"))
+    named = scratch.cut(named, "named")
+    return every.join(named, "cls", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def one_per_component(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component, that of the least id (null first), then row. Rows with empty sets stay."""
+    """docs with one row of each component, that of the least id (null first), then row. Rows with empty sets stay. All columns pass through, whatever their names."""
     scratch = _spark.Scratch(docs.sparkSession)
-    rows = _spark.with_rows(docs.withColumnsRenamed({"row": "_row"}), scratch)
-    found = roots_of(rows.select("row", F.col(id_col).alias("id"), F.col(text_col).alias("text")), scratch, k, percent)
-    found = scratch.keep(found, "found")
-    stays = found.where("n > 0").groupBy("root").agg(F.min(F.struct("id", "row")).alias("first")).select("first.row")
-    stays = stays.unionByName(found.where("n = 0").select("row"))
-    return rows.join(stays, "row", "left_semi").drop("row").withColumnsRenamed({"_row": "row"})
+    (row,) = _spark.fresh(docs.columns, "row")
+    rows = _spark.with_rows(docs, scratch, row)
+    every, stands, roots = classes_of(rows.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), scratch, k, percent)
+    linked = stands.join(roots, F.col("node") == F.col("row"), "left")
+    stays = linked.groupBy(F.coalesce("root", "row")).agg(F.min("first").alias("first")).select("first.row")
+    stays = scratch.cut(stays.unionByName(every.where("n = 0").select("row")), "stays")
+    return rows.join(stays.withColumnRenamed("row", row), row, "left_semi").drop(row)

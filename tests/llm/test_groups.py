@@ -101,15 +101,22 @@ def test_connected_components(spark):
 
 
 def plain_lines(rows):
+    """Texts by row number after line dedup by edit distance alone, all pairs compared."""
+    import duckdb
+
     between = re.compile(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
     norm = lambda s: between.sub(" ", s.lower()).strip()
-    every = {norm(x) for r in rows for x in (r[1] or "").split("\n")} - {""}
-    sim = {x: int(line_dedup.Lines(pa.array([x])).simhash(np.arange(1)).view(np.uint64)[0]) for x in every}
-    u, order = Sets(), sorted(every)
-    for i, a in enumerate(order):
-        for b in order[:i]:
-            if min(len(a.split()), len(b.split())) >= 5 and (sim[a] ^ sim[b]).bit_count() <= 3 and line_dedup.similar(a, b):
-                u.join(a, b)
+    forms = sorted({norm(x) for r in rows for x in (r[1] or "").split("\n")} - {""})
+    # DuckDB's distance is of bytes: other characters than ASCII ones get a letter each.
+    short = str.maketrans({c: chr(65 + k) for k, c in enumerate(sorted({c for x in forms for c in x if ord(c) > 127}))})
+    every, back = pa.table({"x": [x.translate(short) for x in forms]}), {x.translate(short): x for x in forms}
+    alike = duckdb.sql(
+        """SELECT a.x, b.x FROM every a JOIN every b ON a.x < b.x AND length(b.x) BETWEEN length(a.x) * 0.79 AND length(a.x) * 1.26
+        WHERE levenshtein(a.x, b.x) <= floor(0.2 * greatest(length(a.x), length(b.x)) + 1e-9)"""
+    ).fetchall()
+    u = Sets()
+    for a, b in alike:
+        u.join(back[a], back[b])
     taken, out = set(), {}
     for i in sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, i)):
         kept = []
@@ -155,7 +162,7 @@ def test_edit_similarity():
             for j, y in enumerate(b):
                 e.append(min(d[j + 1] + 1, e[j] + 1, d[j] + (x != y)))
             d = e
-        assert line_dedup.distance(a, b) == d[-1]
+        assert line_dedup.distances([(a, b), (b, a), (a, a)]) == [d[-1], d[-1], 0]
         assert line_dedup.similar(a, b) == (d[-1] <= int(0.2 * max(len(a), len(b)) + 1e-9))
 
 

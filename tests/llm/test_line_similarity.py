@@ -1,65 +1,60 @@
-"""Lines are linked by edit similarity alone, however many bits of SimHash differ: against brute force."""
+"""Lines are found by edit similarity: against brute force, and recall by length and kind of change."""
 
 import random
 
-import numpy as np
-import pyarrow as pa
+import pytest
 from helpers import corpus, frame
 from test_groups import plain_lines
 
 from loomtext.llm import line_dedup
 
 
-def alike_lines():
-    """Lines of 6 to 60 words, each with a copy in which one word in ten, at least one, is another."""
-    rng = random.Random(12)
-    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 8)))
-    out = []
-    for n in [6, 8, 10, 15, 20, 30, 60] * 6:
-        line = [word() for _ in range(n)]
-        copy = list(line)
-        for k in rng.sample(range(n), max(1, n // 10)):
-            copy[k] = copy[k][:1] + "z" * (len(copy[k]) - 1)
-        out.append((" ".join(line), " ".join(copy)))
-    return out
-
-
-def test_alike_lines_are_linked_however_many_bits_differ(spark):
-    pairs = alike_lines()
-    sims = [line_dedup.Lines(pa.array([x])).simhash(np.arange(1)).view(np.uint64)[0] for p in pairs for x in p]
-    assert sum(int(a ^ b).bit_count() > 3 for a, b in zip(sims[::2], sims[1::2])) > len(pairs) / 2
-    alike = [p for p in pairs if line_dedup.similar(*p)]
-    assert len(alike) > 35
-    rows = [(i, x, "en", "s", 1) for i, x in enumerate(x for p in alike for x in p)]
+def changed(n, kind, rng):
+    """A line of n words and a copy with one letter or word changed, added or lost."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    line = [word() for _ in range(n)]
+    copy, k = list(line), rng.randrange(n)
+    if kind == "letter":
+        p = rng.randrange(len(copy[k]))
+        copy[k] = copy[k][:p] + "z" + copy[k][p + 1 :]
+    elif kind == "word":
+        copy[k] = word()
+    elif kind == "lost":
+        del copy[k]
+    else:
+        copy.insert(k, word())
+    return " ".join(line), " ".join(copy)
+
+
+@pytest.mark.parametrize("kind", ["letter", "word", "lost", "added"])
+def test_recall_by_length(spark, kind):
+    rng = random.Random(kind)
+    sizes = (3, 4, 6, 8, 12, 20, 40)
+    pairs = [(n, *changed(n, kind, rng)) for n in sizes for _ in range(80)]
+    pairs = [p for p in pairs if line_dedup.similar(p[1], p[2])]
+    rows = [(i, x, "en", "s", 1) for i, x in enumerate(x for _, *p in pairs for x in p)]
     got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
-    assert got == {i: i % 2 for i in range(len(rows))}
-
-
-def test_bags_bound_the_edit_distance():
-    rng = random.Random(13)
-    texts = [" ".join("".join(rng.choice("abcdeéñß1") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 9))) for _ in range(80)]
-    texts += [t.replace("a", "é", 1) for t in texts] + ["é " * 300 + "a", "é " * 300 + "b"]
-    lines = line_dedup.Lines(pa.array(texts))
-    bag = lines.bags(np.arange(len(texts)))
-    for i, a in enumerate(texts):
-        assert bag[i].sum() == len(a) or 255 in bag[i]
-        maybe = line_dedup.maybe_similar(bag[i : i + 1], bag)
-        assert all(maybe[j] or not line_dedup.similar(a, b) for j, b in enumerate(texts))
-
-
-def test_lines_without_a_bit_gate(spark, monkeypatch):
-    rows = corpus()
-    gated = plain_lines(rows)
-
-    # plain_lines leaves out pairs of lines more than 3 bits apart: with equal SimHashes it compares all pairs.
-    class Ungated(line_dedup.Lines):
-        def simhash(self, which):
-            return np.zeros(len(which), np.int64)
-
-    with monkeypatch.context() as m:
-        m.setattr(line_dedup, "Lines", Ungated)
-        want = plain_lines(rows)
-    assert want != gated
+    for n in sizes:
+        own = [got[2 * i + 1] for i, p in enumerate(pairs) if p[0] == n]
+        assert len(own) < 5 or sum(own) >= 0.9 * len(own), (n, sum(own), len(own))
+    assert not any(got[2 * i] for i in range(len(pairs)))
+
+
+def test_large_group_of_alike_lines(spark):
+    """A family of lines, each with a word of its own, and one of lines too unlike: one stays, and all stay."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, head = [word() for _ in range(30)], [word() for _ in range(12)]
+    near = [" ".join(base[: i % 30] + [word()] + base[i % 30 + 1 :]) for i in range(900)]
+    far = [" ".join(head + [word() for _ in range(18)]) for i in range(300)]
+    rows = [(i, x, "en", "s", 1) for i, x in enumerate(near + far)]
+    got = line_dedup.dedup_lines(frame(spark, rows)).where("n_removed = 0").select("doc_id").collect()
+    assert {r["doc_id"] for r in got} == {0, *range(900, 1200)}
+
+
+def test_lines_on_odd_texts(spark):
+    rows = corpus(seed=11)
+    want = plain_lines(rows)
     got = line_dedup.dedup_lines(frame(spark, rows)).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted(((r[0], want[i]) for i, r in enumerate(rows)), key=repr)
 
@@ -67,7 +62,8 @@ def test_lines_without_a_bit_gate(spark, monkeypatch):
 def test_pipeline_drops_lines_with_a_changed_word(spark):
     import corpus_pipeline
 
-    pairs = [p for p in alike_lines() if line_dedup.similar(*p)]
+    rng = random.Random(12)
+    pairs = [p for p in (changed(n, "word", rng) for n in (8, 12, 30, 60) * 8) if line_dedup.similar(*p)]
     docs = frame(spark, [(i, f"{a}\n{b}", "en", "s", 1) for i, (a, b) in enumerate(pairs)], clash=False)
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
-    assert got == {i: (a, len(a)) for i, (a, _) in enumerate(pairs)}
+    assert sum(got[i] == (a, len(a)) for i, (a, _) in enumerate(pairs)) >= 0.9 * len(pairs)
