@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from . import _blocks, _links, _spark
 from ._text import flat, inverse_powers, mix, pieces, powers, span_hash, words
 
-SIMILARITY, RADIUS = 0.8, 20
+SIMILARITY, RADIUS = 0.8, 18
 #: First bit and width of the three blocks, and the pairs of blocks that make the three tables.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 TABLES = tuple(combinations(range(3), 2))
@@ -44,8 +44,10 @@ TABLES = tuple(combinations(range(3), 2))
 RUNS, KINDS = 4, ((2, 9, 2), (7, 20, 3), (17, 1 << 40, 4))
 #: Lines of up to so many words have no SimHash and are joined on so many bytes at either end, if they have the bytes in the range.
 SHORT, ENDS = 4, ((5, 9, 3), (8, 17, 5), (14, 1 << 40, 9))
-#: Distances computed at once.
-AT_ONCE = 512
+#: Lines under one key that one task compares; a key with more is split into parts of about so many.
+PART = 1024
+#: Pairs that are gathered before their distances are computed, and those computed at once.
+AT_ONCE, WIDE = 4096, 512
 
 #: ASCII bytes that are neither letters nor digits.
 _BETWEEN = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
@@ -53,6 +55,8 @@ _BETWEEN = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _LANES = np.array([sum(((c >> b) & 1) << (8 * b) for b in range(8)) for c in range(256)], np.uint64)
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 _NONE = np.uint64((1 << 64) - 1)
+#: Words to go on by in two lines, the nearest first.
+_REACH = sorted(((p, q) for p in range(5) for q in range(5) if p or q), key=lambda s: (sum(s), abs(s[0] - s[1])))
 
 
 class Lines:
@@ -149,21 +153,34 @@ def table_keys(sim: np.ndarray, table: int) -> np.ndarray:
     return mix((np.uint64(table + 1) << np.uint64(60)) | (_field(sim, a) << np.uint64(22)) | _field(sim, b)).view(np.int64)
 
 
-def quick(a: str, b: str, most: int) -> bool | None:
-    """Whether the edit distance is at most ``most``, if what the texts begin and end with and their words in order tell; else None."""
-    if abs(len(a) - len(b)) > most:
-        return False
+def quick(a: str, b: str, most: int) -> bool:
+    """Whether what the texts begin and end with, or one way to edit whole words, shows a distance of at most ``most``."""
     i = _common(a, b, 1)
     a, b = a[i:], b[i:]
     j = _common(a, b, -1)
     a, b = a[: len(a) - j], b[: len(b) - j]
-    if max(len(a), len(b)) <= most:
-        return True
-    # Changing word for word is one way to edit: if that is short enough, the distance is.
-    x, y = a.split(" "), b.split(" ")
-    if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) <= most:
-        return True
-    return None
+    return max(len(a), len(b)) <= most or word_edits(a.split(" "), b.split(" "), most) <= most
+
+
+def word_edits(x: list[str], y: list[str], most: int) -> int:
+    """An upper bound of the edit distance, or any number above most: where words differ, both go on from the next two equal words within reach."""
+    i = j = cost = 0
+    m, n = len(x), len(y)
+    x, y = [*x, "", ""], [*y, "", ""]  # so that the ends are equal words, too
+    while i < m or j < n:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        for p, q in _REACH:
+            if i + p <= m and j + q <= n and x[i + p] == y[j + q] and x[i + p + 1] == y[j + q + 1]:
+                break
+        else:
+            return most + 1
+        cost += max(sum(map(len, x[i : i + p])) + p, sum(map(len, y[j : j + q])) + q)
+        if cost > most:
+            return cost
+        i, j = i + p, j + q
+    return cost
 
 
 def bound(a: str, b: str, similarity: float = SIMILARITY) -> int:
@@ -174,8 +191,7 @@ def bound(a: str, b: str, similarity: float = SIMILARITY) -> int:
 def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     """Whether 1 - edit distance / longer length is at least similarity."""
     most = bound(a, b, similarity)
-    known = quick(a, b, most)
-    return distances([(a, b)])[0] <= most if known is None else known
+    return abs(len(a) - len(b)) <= most and (quick(a, b, most) or int(distances([(a, b)])[0]) <= most)
 
 
 def _common(a: str, b: str, way: int) -> int:
@@ -190,13 +206,40 @@ def _common(a: str, b: str, way: int) -> int:
     return low
 
 
-def distances(pairs: list[tuple[str, str]]) -> list[int]:
-    """Edit distances by bit-parallel columns (Myers), all pairs at once: each has its lane of whole bytes in the same long numbers.
+def batches(sides: list[tuple[str, str]]) -> Iterator[list[int]]:
+    """The places of (longer, shorter) texts in batches of like length, the longest first, that are computed at once."""
+    order = sorted(range(len(sides)), key=lambda k: (-len(sides[k][1]), -len(sides[k][0])))
+    at = 0
+    while at < len(order):
+        most = len(sides[order[at]][1])
+        to = at + 1
+        while to < len(order) and to - at < WIDE and 4 * len(sides[order[to]][1]) >= 3 * most:
+            to += 1
+        yield sorted(order[at:to], key=lambda k: -len(sides[k][0]))
+        at = to
+
+
+def distances(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Edit distances by bit-parallel columns (Myers), many pairs of like length at once."""
+    sides = [(a, b) if len(a) >= len(b) else (b, a) for a, b in pairs]
+    out = np.zeros(len(pairs), np.int64)
+    for some in batches(sides):
+        out[some] = _distances([sides[k] for k in some])
+    return out
+
+
+def _distances(sides: list[tuple[str, str]]) -> np.ndarray | list[int]:
+    """Of a batch: in blocks of 64 rows where many texts are short enough, else in long numbers."""
+    blocks = -(-max((len(b) for _, b in sides), default=0) // 64)
+    return _columns(sides, blocks) if blocks and len(sides) >= WIDE // 4 and blocks <= 32 else _lanes(sides)
+
+
+def _lanes(sides: list[tuple[str, str]]) -> list[int]:
+    """Edit distances of (longer, shorter) texts; each pair has its lane of whole bytes in the same long numbers.
 
     A lane has a bit for each character of the shorter text and a spare one, into which sums and shifts run over. Lanes
     stand by the length of the longer text, and go from the high end when it is read.
     """
-    sides = [(a, b) if len(a) >= len(b) else (b, a) for a, b in pairs]
     out = [len(a) for a, _ in sides]
     order = sorted((k for k, (_, b) in enumerate(sides) if b), key=lambda k: -len(sides[k][0]))
     tables, ends, full, ones, at = [], [], 0, 0, 0
@@ -236,27 +279,89 @@ def distances(pairs: list[tuple[str, str]]) -> list[int]:
     return out
 
 
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts and the number of the text of each."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return points, np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+
+
+def _columns(sides: list[tuple[str, str]], blocks: int) -> np.ndarray:
+    """Edit distances of (longer, shorter) texts, the longest first, whose shorter ones fit so many blocks."""
+    n = len(sides)
+    long, of_long = _codes([a for a, _ in sides])
+    short, of_short = _codes([b for _, b in sides])
+    size, rows = np.bincount(of_long, minlength=n), np.bincount(of_short, minlength=n)
+    letters = np.unique(short)
+    # equal[block, letter * n + pair]: the rows of the shorter text that have the letter; the last letter stands for all that are not in any.
+    equal = np.zeros((blocks, (len(letters) + 1) * n), np.uint64)
+    place = np.arange(len(short)) - np.repeat(np.cumsum(rows) - rows, rows)
+    np.bitwise_or.at(equal, (place >> 6, np.searchsorted(letters, short) * n + of_short), np.uint64(1) << (place & 63).astype(np.uint64))
+    code = np.minimum(np.searchsorted(letters, long), len(letters) - 1)
+    code = np.where(letters[code] == long, code, len(letters)) * n + of_long
+    text = np.zeros((int(size[0]), n), np.int64)
+    text[np.arange(len(long)) - np.repeat(np.cumsum(size) - size, size), of_long] = code
+    one, top = np.uint64(1), np.uint64(63)
+    up, down = np.full((blocks, n), _NONE), np.zeros((blocks, n), np.uint64)
+    live, first = n, np.ones(n, np.uint64)
+    for k in range(int(size[0])):
+        while size[live - 1] <= k:
+            live -= 1
+        eqs = equal.take(text[k, :live], axis=1)
+        rise, fall = first[:live], None
+        for w in range(blocks):
+            pv, mv, eq = up[w, :live], down[w, :live], eqs[w]
+            xv = eq | mv
+            if fall is not None:
+                eq |= fall
+            xh = eq & pv
+            xh += pv
+            xh ^= pv
+            xh |= eq
+            ph = xh | pv
+            np.invert(ph, out=ph)
+            ph |= mv
+            xh &= pv  # what falls
+            more, less = ph >> top, xh >> top
+            ph <<= one
+            ph |= rise
+            xh <<= one
+            if fall is not None:
+                xh |= fall
+            np.bitwise_and(ph, xv, out=mv)
+            xv |= ph
+            np.invert(xv, out=xv)
+            np.bitwise_or(xh, xv, out=pv)
+            rise, fall = more, less
+    # The last column's steps up and down from the length of the longer text.
+    filled = np.clip(rows - 64 * np.arange(blocks)[:, None], 0, 64)
+    mask = np.where(filled == 64, _NONE, (one << np.minimum(filled, 63).astype(np.uint64)) - one)
+    return size + np.bitwise_count(up & mask).sum(axis=0, dtype=np.int64) - np.bitwise_count(down & mask).sum(axis=0, dtype=np.int64)
+
+
 def verify(t: pa.Table, pairs: Iterator[tuple[np.ndarray, np.ndarray]], groups: _blocks.Groups, similarity: float) -> None:
     """Joins the rows of similar pairs in groups, by their texts."""
     text = [x.decode() for x in t["data"].to_pylist()]
+    size = np.array([len(x) for x in text], np.int64)
     asked: list[tuple[int, int, int]] = []
 
     def settle() -> None:
-        open_ = [x for x in asked if groups.label[x[0]] != groups.label[x[1]]]
-        for (x, y, most), d in zip(open_, distances([(text[x], text[y]) for x, y, _ in open_]), strict=True):
-            if d <= most:
-                groups.join(x, y)
+        sides = [(text[x], text[y]) if size[x] >= size[y] else (text[y], text[x]) for x, y, _ in asked]
+        for some in batches(sides):
+            some = [k for k in some if groups.label[asked[k][0]] != groups.label[asked[k][1]]]
+            for k, d in zip(some, _distances([sides[k] for k in some]), strict=True):
+                if d <= asked[k][2]:
+                    groups.join(*asked[k][:2])
         asked.clear()
 
     for i, j in pairs:
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        most = ((1 - similarity) * np.maximum(size[i], size[j]) + 1e-9).astype(np.int64)
+        fit = np.abs(size[i] - size[j]) <= most
+        for x, y, m in zip(i[fit].tolist(), j[fit].tolist(), most[fit].tolist(), strict=True):
             if groups.label[x] != groups.label[y]:
-                most = bound(text[x], text[y], similarity)
-                known = quick(text[x], text[y], most)
-                if known:
+                if quick(text[x], text[y], m):
                     groups.join(x, y)
-                elif known is None:
-                    asked.append((x, y, most))
+                else:
+                    asked.append((x, y, m))
                     if len(asked) >= AT_ONCE:
                         settle()
     settle()
@@ -307,7 +412,7 @@ def duplicate_lines(docs: DataFrame, scratch: _spark.Scratch, similarity: float
 
     cols = "key long, id long, sim long"
     none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    hot = _blocks.hot_keys(able.where(F.pmod(F.xxhash64("h"), F.lit(_blocks.SAMPLE)) == 0).mapInArrow(keyed(none), cols))
+    hot = _blocks.hot_keys(able.where(F.pmod(F.xxhash64("h"), F.lit(_blocks.SAMPLE)) == 0).mapInArrow(keyed(none), cols), PART)
 
     def candidates(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of rows within the radius; row by row for large groups."""

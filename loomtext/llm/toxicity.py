@@ -225,18 +225,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 c = counts(b.column("text"), a, len(patterns))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.list_(pa.float32())), b.column("y"), b.column("h")], ["c", "y", "h"])
 
-    t = found.select("text", "y", F.xxhash64("id").alias("h")).mapInArrow(counted, "c array<float>, y int, h long").toArrow().sort_by("h")  # so that reruns agree
     width = len(patterns) + len(STYLES) + 1
-    # Without labels the lexicon stands for them: one made-up row a pattern.
-    c = t["c"].combine_chunks().flatten().to_numpy().reshape(-1, width) if n else np.eye(len(patterns), width, dtype=np.float32)
-    y = t["y"].to_numpy() if n else np.full(len(patterns), -1)
-    if not n or not toxic:
-        blank = np.zeros((9 * len(patterns) * (not n), width), np.float32)
-        c, y = np.concatenate([c, blank, np.eye(len(patterns), width, dtype=np.float32)]), np.concatenate([y, np.zeros(len(blank), int), np.ones(len(patterns), int)])
-    x = features(c)
-    post, rates, _ = label_model((c[:, :-1] > 0).astype(np.float32), y, float(np.clip(prior, 1e-3, 0.999)))
-    w, bias = logistic(x, post)
-    return Model(patterns, w, bias, dict(zip(patterns, map(tuple, rates.tolist()), strict=False)))
+
+    def model(c: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        # Without labels the lexicon stands for them: one made-up row a pattern.
+        if not n:
+            c, y = np.eye(len(patterns), width, dtype=np.float32), np.full(len(patterns), -1)
+        if not n or not toxic:
+            blank = np.zeros((9 * len(patterns) * (not n), width), np.float32)
+            c, y = np.concatenate([c, blank, np.eye(len(patterns), width, dtype=np.float32)]), np.concatenate([y, np.zeros(len(blank), int), np.ones(len(patterns), int)])
+        post, rates, _ = label_model((c[:, :-1] > 0).astype(np.float32), y, float(np.clip(prior, 1e-3, 0.999)))
+        w, bias = logistic(features(c), post)
+        return pa.RecordBatch.from_arrays([pa.array([w], pa.list_(pa.float64())), pa.array([bias]), pa.array([rates.ravel()], pa.list_(pa.float64()))], ["w", "bias", "rates"])
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).sort_by("h")  # so that reruns agree
+        yield model(t["c"].combine_chunks().flatten().to_numpy().reshape(-1, width), t["y"].to_numpy())
+
+    if n:
+        # The bounded sample is fitted in one task, so that the driver holds the model only.
+        rows = found.select("text", "y", F.xxhash64("id").alias("h")).mapInArrow(counted, "c array<float>, y int, h long").repartition(1)
+        got = rows.mapInArrow(fitted, "w array<double>, bias double, rates array<double>").toArrow()
+    else:
+        got = model(np.zeros((0, width), np.float32), np.zeros(0, int))
+    w, rates = (got.column(k).to_pylist()[0] for k in ("w", "rates"))
+    return Model(patterns, np.array(w), got.column("bias").to_pylist()[0], dict(zip(patterns, np.reshape(rates, (-1, 2)).tolist(), strict=False)))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -162,7 +162,7 @@ def test_edit_similarity():
             for j, y in enumerate(b):
                 e.append(min(d[j + 1] + 1, e[j] + 1, d[j] + (x != y)))
             d = e
-        assert line_dedup.distances([(a, b), (b, a), (a, a)]) == [d[-1], d[-1], 0]
+        assert line_dedup.distances([(a, b), (b, a), (a, a)]).tolist() == [d[-1], d[-1], 0]
         assert line_dedup.similar(a, b) == (d[-1] <= int(0.2 * max(len(a), len(b)) + 1e-9))
 
 
