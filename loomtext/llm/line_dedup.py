@@ -5,12 +5,13 @@ one distinct line. Two lines whose edit similarity, 1 - distance / longer length
 and of each connected group of lines the first occurrence, by id, row and line, stays.
 
 A line's 64-bit SimHash is made of its words, those of up to three bytes together with the word after them. It is cut
-into three blocks, and lines are joined on each of the three pairs of blocks, so all pairs within 1 bit meet. Alike
-lines are further apart, up to ``RADIUS`` bits, which no join on blocks of so few bits can reach; so lines are also
+into two blocks, and lines are joined on each, so all pairs within 1 bit meet. Alike lines are further apart, up to
+``RADIUS`` bits, which no join on blocks can reach that are wide enough to tell lines apart; so lines are also
 joined on the ``RUNS`` least hashes of their runs of words (of two words in short lines, three in longer and four in
 long ones), and lines of up to ``SHORT`` words on their first and last bytes. Of the pairs that meet, those within
-``RADIUS`` bits are compared by edit distance; lines of up to ``SHORT`` words all count as within it. Pairs that share
-none of the keys, or differ in more bits, are not found: the README has the measured recall.
+``RADIUS`` bits, or ``WIDER`` with a line of up to ``MEDIUM`` words, are compared by edit distance; lines of up to
+``SHORT`` words all count as within it. Pairs that share none of the keys, or differ in more bits, are not found: the
+README has the measured recall.
 
 Lines with a partner left, and no others, bring their texts to the comparison, where pairs that links already connect
 are skipped (``_links``): a group of alike lines costs about one comparison a line and gives one link a line.
@@ -24,7 +25,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +36,13 @@ from pyspark.sql import types as T
 from . import _blocks, _links, _spark
 from ._text import flat, inverse_powers, mix, pieces, powers, span_hash, words
 
-SIMILARITY, RADIUS = 0.8, 18
-#: First bit and width of the three blocks, and the pairs of blocks that make the three tables.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
-TABLES = tuple(combinations(range(3), 2))
+SIMILARITY, RADIUS, WIDER = 0.8, 18, 24
+#: First bits of the blocks, and their width.
+BLOCKS, WIDTH = (0, 32), 32
 #: Runs that a line is joined on, of each kind; the least and most words of a line, and the words of a run, of each kind.
 RUNS, KINDS = 4, ((2, 9, 2), (7, 20, 3), (17, 1 << 40, 4))
+#: Lines of up to so many words have the wider radius, which the lowest bit of their SimHash tells.
+MEDIUM = 16
 #: Lines of up to so many words have no SimHash and are joined on so many bytes at either end, if they have the bytes in the range.
 SHORT, ENDS = 4, ((5, 9, 3), (8, 17, 5), (14, 1 << 40, 9))
 #: Lines under one key that one task compares; a key with more is split into parts of about so many.
@@ -119,19 +120,21 @@ class Lines:
         which = which[long]
         if not len(which):
             return out
+        word, little = self.word.copy(), np.flatnonzero(self.ends - self.starts <= 3)
         after = np.append(self.word[1:], np.uint64(0))
         after[self.begin + self.count - 1] = 0
-        word = np.where(self.ends - self.starts <= 3, mix(self.word * _PAIR + after), self.word)
+        word[little] = mix(word[little] * _PAIR + after[little])
         n = self.count[which]
         first = np.cumsum(n) - n
         at = np.repeat(self.begin[which] - first, n) + np.arange(int(n.sum()))
         # Sums of up to 255 words fit the bytes of one number; longer lines are summed in parts.
         cut = np.concatenate([np.arange(f, f + k, 255) for f, k in zip(first, n, strict=True)]) if n.max() > 255 else first
-        lanes = np.add.reduceat(_LANES[word[at].view(np.uint8).reshape(-1, 8)], cut, axis=0)
+        own = word[at].view(np.uint8).reshape(-1, 8)
+        lanes = np.stack([np.add.reduceat(_LANES[own[:, k]], cut) for k in range(8)], axis=1)
         sums = lanes.view(np.uint8)
         if n.max() > 255:
             sums = np.add.reduceat(sums, np.searchsorted(cut, first), axis=0, dtype=np.int64)
-        out[long] = np.packbits(sums * np.int64(2) > n[:, None], axis=1).view(np.int64).ravel()
+        out[long] = np.packbits(sums * np.int64(2) > n[:, None], axis=1).view(np.int64).ravel() & -2 | (n <= MEDIUM)
         return out
 
     def texts(self, which: np.ndarray) -> list[bytes]:
@@ -143,14 +146,15 @@ class Lines:
         return out
 
 
-def _field(sim: np.ndarray, block: int) -> np.ndarray:
-    start, width = BLOCKS[block]
-    return (sim.view(np.uint64) >> np.uint64(start)) & np.uint64((1 << width) - 1)
+def block_keys(sim: np.ndarray, block: int) -> np.ndarray:
+    own = (sim.view(np.uint64) >> np.uint64(BLOCKS[block])) & np.uint64((1 << WIDTH) - 1)
+    return mix((np.uint64(block + 1) << np.uint64(WIDTH)) | own).view(np.int64)
 
 
-def table_keys(sim: np.ndarray, table: int) -> np.ndarray:
-    a, b = TABLES[table]
-    return mix((np.uint64(table + 1) << np.uint64(60)) | (_field(sim, a) << np.uint64(22)) | _field(sim, b)).view(np.int64)
+def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of SimHashes are within the radius."""
+    medium = ((a | b) & np.uint64(1)).astype(bool)
+    return (np.bitwise_count((a ^ b) >> np.uint64(1)) <= np.where(medium, WIDER, RADIUS)) | (a == 0) | (b == 0)
 
 
 def quick(a: str, b: str, most: int) -> bool:
@@ -402,8 +406,8 @@ def duplicate_lines(docs: DataFrame, scratch: _spark.Scratch, similarity: float
             for b in batches:
                 h, sim, runs = b.column("h").to_numpy(), b.column("sim").to_numpy(), b.column("runs")
                 hashed = np.flatnonzero(sim)
-                of = np.concatenate([pc.list_parent_indices(runs).to_numpy(), np.tile(hashed, len(TABLES))])
-                key = np.concatenate([pc.list_flatten(runs).to_numpy(), *(table_keys(sim[hashed], t) for t in range(len(TABLES)))])
+                of = np.concatenate([pc.list_parent_indices(runs).to_numpy(), np.tile(hashed, len(BLOCKS))])
+                key = np.concatenate([pc.list_flatten(runs).to_numpy(), *(block_keys(sim[hashed], t) for t in range(len(BLOCKS)))])
                 rows, key = _blocks.split_hot(key, h[of], hot)
                 take = of[rows]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h[take]), pa.array(sim[take])], ["key", "id", "sim"])
@@ -420,11 +424,11 @@ def duplicate_lines(docs: DataFrame, scratch: _spark.Scratch, similarity: float
         i, j, large = _blocks.pairs_of(t["key"].to_numpy(), 32)
         for k in range(0, len(i), 1 << 18):
             p, q = i[k : k + (1 << 18)], j[k : k + (1 << 18)]
-            near = (np.bitwise_count(sim[p] ^ sim[q]) <= RADIUS) | (sim[p] == 0) | (sim[q] == 0)
-            yield p[near], q[near]
+            ok = near(sim[p], sim[q])
+            yield p[ok], q[ok]
         for a, b in large:
             for k in range(a, b - 1):
-                j = k + 1 + np.flatnonzero((np.bitwise_count(sim[k + 1 : b] ^ sim[k]) <= RADIUS) | (sim[k + 1 : b] == 0) | (sim[k] == 0))
+                j = k + 1 + np.flatnonzero(near(sim[k + 1 : b], sim[k]))
                 if len(j):
                     yield np.full(len(j), k), j
 
@@ -446,12 +450,11 @@ def duplicate_lines(docs: DataFrame, scratch: _spark.Scratch, similarity: float
         yield from t.filter(pa.array(hit)).combine_chunks().to_batches()
 
     hits = scratch.cut(_blocks.grouped(able.mapInArrow(keyed(hot), cols), "key", partnered, cols, rows=200_000), "hits")
-    distinct = every.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "line")).alias("first"))
-    distinct = scratch.cut(distinct, "distinct")
+    distinct = scratch.cut(every.groupBy("h").agg(F.count("*").alias("n"), F.min("row").alias("row")), "distinct")
 
     def spelled(ids: DataFrame) -> DataFrame:
-        # Their texts are in the documents where they stand first: only those are read again.
-        places = distinct.join(ids.withColumnRenamed("id", "h"), "h", "left_semi").select("h", "first.row")
+        # One document of each line is read again.
+        places = distinct.join(ids.withColumnRenamed("id", "h"), "h", "left_semi")
         places = scratch.cut(places.select("row", F.col("h").bitwiseXOR(F.shiftleft("row", 23)).alias("place")), "places")
         bits = spark.sparkContext.broadcast((_blocks.bloom(places, "row"), _blocks.bloom(places, "place")))
 
@@ -469,14 +472,13 @@ def duplicate_lines(docs: DataFrame, scratch: _spark.Scratch, similarity: float
         return texts.select("row", "text").mapInArrow(read, "id long, data binary")
 
     roots = _links.link(scratch, hits, "sim long", candidates, spelled, lambda t, pairs, groups: verify(t, pairs, groups, similarity))
-    # Distinct lines that stand more than once or have alike ones, with their group's first occurrence.
-    member = distinct.join(roots.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or root is not null")
-    member = scratch.cut(member.select("h", F.coalesce("root", "h").alias("group"), "first"), "members")
-    first = scratch.cut(member.groupBy("group").agg(F.min("first").alias("stays")), "first")
-    named = scratch.cut(member.select("h", "group").join(first, "group").select("h", "group", "stays.row", "stays.line"), "named")
-    scratch.drop("hits", "distinct", "members", "first", "places")
-    shared = every.select("row", "line", "h").join(named.toDF("h", "group", "own_row", "own_line"), "h")
-    gone = shared.where("row <> own_row or line <> own_line").groupBy("row").agg(F.collect_list("line").alias("lines"))
+    # Of lines that stand more than once or have alike ones, all but their group's first occurrence go.
+    named = distinct.join(roots.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or root is not null")
+    named = scratch.cut(named.select("h", F.coalesce("root", "h").alias("group")), "named")
+    shared = scratch.cut(every.select("row", "id", "line", "h").join(named, "h").select("row", "id", "line", "group"), "repeated")
+    first = scratch.cut(shared.groupBy("group").agg(F.min(F.struct("id", "row", "line")).alias("stays")), "first")
+    scratch.drop("lines", "hits", "distinct", "places", "named")
+    gone = shared.join(first, "group").where("row <> stays.row or line <> stays.line").groupBy("row").agg(F.collect_list("line").alias("lines"))
     return gone, shared.select("row", "line", "group")
 
 
