@@ -1,14 +1,15 @@
 """Nearest neighbours by collision counting over single projections, with virtual rehashing.
 
-Each row is projected on ``projections`` random directions, one number each; an index holds, for each direction,
-the sorted numbers of a chunk of at most ``CHUNK_ROWS`` rows. A query opens a window centred on its own number in
+Each row is projected on ``PROJECTIONS`` random directions, one number each; an index holds, for each direction,
+the sorted numbers of a chunk of at most about ``CHUNK_ROWS`` rows. A query opens a window centred on its own number in
 each sorted array and widens it step by step (virtual rehashing: wider windows are coarser buckets of the same
-arrays). A row that falls in at least ``threshold`` of the windows is verified by its exact distance. A query
-stops widening when ``k`` verified rows are nearer than the radius at which a row at that distance would, but
-for ``miss`` of the cases, have been counted often enough, or when all rows are verified.
+arrays). A row at distance r falls in a window of half-width ``REACH`` * r with a chance that the normal distribution
+gives; ``threshold`` is the number of windows that such a row is counted in but for ``MISS`` of the cases. A row counted
+so often is verified by its exact distance. A query stops widening when its windows are ``REACH`` times as wide as
+its k-th nearest verified row is far, and never widens them beyond that: so rows much farther are not verified.
 
-Rows are dealt out in chunks and queries in blocks of at most ``BLOCK_QUERIES``; each pair of chunk and block is one
-unit of work, and the k nearest of a query are merged over the chunks. Every row is indexed; nothing is fitted.
+Each chunk goes to one task, in which its index is built once; the query set then streams past it, and the k nearest
+of a query are merged over the chunks. Every row is indexed; nothing is fitted.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite numbers take no part, as rows or as
 queries; vectors are compared with those of as many numbers only; equal distances go to the smaller id; repeated
@@ -26,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_ROWS, BLOCK_QUERIES = 16_384, 1_024
-PROJECTIONS, THRESHOLD_SHARE, MISS = 48, 0.7, 0.02
+CHUNK_ROWS, PROJECTIONS, REACH, MISS = 16_384, 192, 1.5, 0.25
+#: How much wider the windows get in a step.
+STEP = 1.2
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -44,29 +46,24 @@ class Index:
         p = rows @ self.directions.T
         self.order = np.argsort(p, axis=0, kind="stable").T.astype(np.int32).copy()
         self.sorted = np.sort(p, axis=0).T.copy()
-        self.threshold = math.ceil(THRESHOLD_SHARE * projections)
-        # A row at distance r falls in a window of half-width w with chance 2 * Phi(w / r) - 1; `reach` is the least w / r at
-        # which it is counted in enough of the windows but for MISS of the cases (binomial tail).
-        self.reach = next(x / 20 for x in range(1, 200) if _binomial_tail(projections, self.threshold, math.erf(x / 20 / math.sqrt(2))) >= 1 - MISS)
-
-    def nearest(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, distances) of the k nearest found, nearest first, ties to the smaller id."""
-        centre = self.directions @ q
-        n = len(self.ids)
+        chance = math.erf(REACH / math.sqrt(2))
+        self.threshold = max(t for t in range(1, projections + 1) if t == 1 or _binomial_tail(projections, t, chance) >= 1 - MISS)
+
+    def nearest(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(ids, distances) of the k nearest found, nearest first, ties to the smaller id; the number of rows verified."""
+        centre, n = self.directions @ q, len(self.ids)
         at = np.array([np.searchsorted(self.sorted[j], centre[j]) for j in range(self.m)])
         lo, hi = at.copy(), at.copy()
-        count = np.zeros(n, np.int16)
-        done = np.zeros(n, bool)
+        count, done = np.zeros(n, np.int16), np.zeros(n, bool)
         ids, dist = np.zeros(0, np.int64), np.zeros(0)
         # The first window holds about 2 k rows of each array.
-        span = np.minimum(at + k, n - 1), np.maximum(at - k, 0)
-        width = float(np.median([self.sorted[j, span[0][j]] - self.sorted[j, span[1][j]] for j in range(self.m)])) / 2 or 1e-9
+        ends = np.minimum(at + k, n - 1), np.maximum(at - k, 0)
+        width = float(np.median([self.sorted[j, ends[0][j]] - self.sorted[j, ends[1][j]] for j in range(self.m)])) / 2 or 1e-9
         while True:
             fresh = []
             for j in range(self.m):
-                a, b = np.searchsorted(self.sorted[j], (centre[j] - width, centre[j] + width))
-                b = max(b, np.searchsorted(self.sorted[j], centre[j] + width, "right"))
-                a, b = min(a, lo[j]), max(b, hi[j])
+                own = self.sorted[j]
+                a, b = min(lo[j], np.searchsorted(own, centre[j] - width)), max(hi[j], np.searchsorted(own, centre[j] + width, "right"))
                 fresh += [self.order[j, a : lo[j]], self.order[j, hi[j] : b]]
                 lo[j], hi[j] = a, b
             new = np.concatenate(fresh)
@@ -79,16 +76,17 @@ class Index:
                 ids, dist = np.concatenate((ids, self.ids[found])), np.concatenate((dist, d))
                 keep = np.lexsort((ids, dist))[:k]
                 ids, dist = ids[keep], dist[keep]
-            if (len(ids) >= k and dist[-1] <= width / self.reach) or (hi - lo == n).all():
-                return ids, dist
-            width *= 1.5
+            most = REACH * dist[-1] if len(ids) >= k else math.inf
+            if most <= width or (hi - lo == n).all():
+                return ids, dist, int(done.sum())
+            width = min(STEP * width, most)
 
 
 def _binomial_tail(n: int, least: int, p: float) -> float:
     return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(least, n + 1))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", chunk_rows: int = CHUNK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(query_id, rank, id_col, score): the k nearest of the rows where is_query is true among all other rows."""
     v = F.col("v")
     rows = (
@@ -98,33 +96,45 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
         .withColumn("v", F.transform(v, lambda x: x.cast("double")))
         .withColumn("dim", F.size("v"))
     )
-    n, n_queries = rows.agg(F.count("*"), F.sum(F.col("q").cast("long"))).first()
-    chunks, blocks = max(1, -(-n // chunk_rows)), max(1, -(-(n_queries or 0) // block_queries))
-    mark = F.pmod(F.xxhash64("id"), F.lit(chunks))
-    # Each chunk meets each block of queries once: a stated query set against all rows, in blocks.
-    placed = rows.select("dim", "id", "v", F.lit(False).alias("asks"), mark.alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    asked = rows.where("q").groupBy("id").agg(F.min(F.struct("dim", "v")).alias("s")).select("id", "s.dim", "s.v")  # of repeated query ids, the least vector asks
-    asked = asked.select("dim", "id", "v", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("block"))
-
-    def unit(t: pa.Table) -> pa.Table:
-        asks = t["asks"].to_numpy()
-        ids, own = t["id"].to_numpy(), _matrix(t["v"].combine_chunks())
-        out_q, out_r, out_d = [], [], []
-        if asks.any() and not asks.all():
-            index = Index(ids[~asks], own[~asks])
-            for i in np.flatnonzero(asks):
-                near, d = index.nearest(ids[i], own[i], k)
-                out_q.append(np.full(len(near), ids[i]))
-                out_r.append(near)
-                out_d.append(d)
-        cat = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0), kind)
-        return pa.table({"query_id": cat(out_q, pa.int64()), "near": cat(out_r, pa.int64()), "score": cat(out_d, pa.float64())})
-
-    pairs = placed.unionByName(asked).groupBy("dim", "chunk", "block").applyInArrow(unit, "query_id long, near long, score double")
+    chunks = max(1, -(-rows.count() // chunk_rows))
+    placed = rows.select("dim", F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk"), F.lit(False).alias("asks"), "id", "v")
+    asked = rows.where("q").groupBy("id").agg(F.min(F.struct("dim", "v")).alias("s")).select("s.dim", "id", "s.v")  # of repeated query ids, the least vector asks
+    # A stated query set against all rows: each chunk meets each query once.
+    asked = asked.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"), F.lit(True).alias("asks"), "id", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, index = None, [], None
+        for batch in batches:
+            for (dim, chunk, asks), own in _parts(batch):
+                if (dim, chunk) != at:
+                    at, held, index = (dim, chunk), [], None
+                ids, v = own.column("id").to_numpy(), _matrix(own.column("v"))
+                if not asks:
+                    held.append((ids, v))
+                    continue
+                if index is None and held:
+                    index = Index(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+                    held = []
+                out = [(i, *index.nearest(i, q, k)[:2]) for i, q in zip(ids.tolist(), v, strict=True)] if index else []
+                if out:
+                    near, score = (np.concatenate([x[c] for x in out]) for c in (1, 2))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in out], [len(x[1]) for x in out])), pa.array(near), pa.array(score)], ["query_id", "near", "score"])
+
+    pairs = placed.unionByName(asked).repartition("dim", "chunk").sortWithinPartitions("dim", "chunk", "asks").mapInArrow(run, "query_id long, near long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "near")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("near").alias(id_col), "score")
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int, bool], pa.RecordBatch]]:
+    """Runs of rows of one dim, chunk and kind."""
+    dim, chunk, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "chunk", "asks"))
+    new = np.flatnonzero((dim[1:] != dim[:-1]) | (chunk[1:] != chunk[:-1]) | (asks[1:] != asks[:-1])) + 1
+    ends = [0, *new.tolist(), len(batch)]
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        if b > a:
+            yield (int(dim[a]), int(chunk[a]), bool(asks[a])), batch.slice(a, b - a)
+
+
 def recall(found: DataFrame, vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
     """Share of the true k nearest distances that were reached, by brute force on the driver: for small tables and tests."""
     t = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), is_query.alias("q")).toArrow()
