@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c evaluated once a row, even where use has it within a lambda or several times."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def trim_ws(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 

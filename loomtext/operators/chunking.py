@@ -21,20 +21,30 @@ def windows(words: Column, target: int = 500, overlap: int = 100, offset: Column
     """array<struct<start_word, end_word, text>> of overlapping windows; the last one ends with the text."""
     size, step = window_size(target, overlap)
     offset = F.lit(0) if offset is None else offset
-    n = F.size(words)
-    last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int") * step
-    made = F.transform(
-        F.sequence(F.lit(0), last, F.lit(step)),
-        lambda s: F.struct((offset + s).cast("int").alias("start_word"), (offset + F.least(n, s + size)).cast("int").alias("end_word"), F.array_join(F.slice(words, s + 1, F.lit(size)), " ").alias("text")),
-    )
-    return F.when(n > 0, made).otherwise(F.array().cast("array<struct<start_word:int,end_word:int,text:string>>"))
+
+    def made(words: Column) -> Column:
+        n = F.size(words)
+        last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int") * step
+        each = F.transform(
+            F.sequence(F.lit(0), last, F.lit(step)),
+            lambda s: F.struct((offset + s).cast("int").alias("start_word"), (offset + F.least(n, s + size)).cast("int").alias("end_word"), F.array_join(F.slice(words, s + 1, F.lit(size)), " ").alias("text")),
+        )
+        return F.when(n > 0, each).otherwise(F.array().cast("array<struct<start_word:int,end_word:int,text:string>>"))
+
+    return T.let(words, made)
 
 
 def _sections(lines: Column, is_heading, build) -> Column:
     """build(heading line, body lines) of each run from a heading to the next; what stands before the first is left out."""
-    at = F.filter(F.transform(lines, lambda x, i: F.when(is_heading(x), i)), lambda i: i.isNotNull())
-    n = F.size(lines)
-    return F.transform(at, lambda h, k: build(F.get(lines, h), F.slice(lines, h + 2, F.greatest(F.coalesce(F.get(at, k + 1), n) - h - 1, F.lit(0)))))
+    def each(lines: Column, at: Column) -> Column:
+        n = F.size(lines)
+        return F.transform(at, lambda h, k: build(F.get(lines, h), F.slice(lines, h + 2, F.greatest(F.coalesce(F.get(at, k + 1), n) - h - 1, F.lit(0)))))
+
+    def found(lines: Column) -> Column:
+        at = F.filter(F.transform(lines, lambda x, i: F.when(is_heading(x), i)), lambda i: i.isNotNull())
+        return T.let(at, lambda at: each(lines, at))
+
+    return T.let(lines, found)
 
 
 def lines_of(c: Column, carriage: str = "\r\n") -> Column:

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,19 +115,52 @@ def bm25_provider(chunks: DataFrame, queries: DataFrame, allowed: Column | None
     return found.select("query_id", F.lit("bm25").alias("provider"), "key", "path", T.base_name(F.col("path")).alias("title"), T.excerpt(F.col("_text"), cfg.excerpt_chars).alias("excerpt"), "score", F.array(F.lit("bm25")).alias("reason_tags"), "rank")
 
 
+def _matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their vectors as a matrix in double precision) for each length of vector; null vectors are left out, null numbers count as 0."""
+    size = np.where(column.is_valid().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), -1)
+    for n in np.unique(size[size >= 0]).tolist():
+        rows = np.flatnonzero(size == n)
+        yield rows, np.nan_to_num(column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64), nan=0.0).reshape(len(rows), n)
+
+
 def dense_knn(vectors: DataFrame, queries: DataFrame, limit: int = 24, allowed: Column | None = None, cosine: bool = False, cfg: RetrievalConfig = CONFIG) -> DataFrame:
     """(query_id, key, path, score, rank): the nearest vectors by dot product (or cosine), exact, score mapped to 0..1.
 
-    queries(query_id, query_vector), in blocks that are broadcast; paths are filtered before the top is taken.
+    queries(query_id, query_vector), in blocks that are broadcast; paths are filtered before the top is taken. A batch of
+    vectors meets a block of queries in one matrix product, and only each query's best of the batch leave it. Null
+    vectors take no part; of vectors of two lengths the shorter length is multiplied.
     """
     v = vectors.where(allowed) if allowed is not None else vectors
-    v = v.select("key", "path", "vector")
+    v = v.select("key", "path", "vector").where("vector is not null")
+    k = max(1, min(cfg.dense_cap, 6 * limit))
+    kind = queries.schema["query_id"].dataType.simpleString()
 
     def scan(q: DataFrame) -> DataFrame:
-        s = (N.cosine if cosine else N.dot)(F.col("query_vector"), F.col("vector"))
-        return v.join(F.broadcast(q.select("query_id", "query_vector"))).select("query_id", "key", "path", s.alias("raw"))
-
-    found = top(query_blocks(queries, scan), max(1, min(cfg.dense_cap, 6 * limit)), by_score("raw"), F.col("key"))
+        asked = q.select("query_id", "query_vector").where("query_vector is not null").toArrow()
+        shared = queries.sparkSession.sparkContext.broadcast((asked["query_id"].combine_chunks(), list(_matrices(asked["query_vector"].combine_chunks())) if len(asked) else []))
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, blocks = shared.value
+            for b in batches:
+                score = np.full((len(ids), len(b)), -np.inf)
+                for own, a in _matrices(b.column("vector")):
+                    for at, m in blocks:
+                        n = min(a.shape[1], m.shape[1])
+                        s = m[:, :n] @ a[:, :n].T
+                        if cosine:
+                            scale = np.outer(np.sqrt((m * m).sum(1)), np.sqrt((a * a).sum(1)))
+                            s = np.where(scale == 0, 0.0, s / np.where(scale == 0, 1.0, scale))
+                        score[np.ix_(at, own)] = s
+                rank = np.round(score, 9)
+                # Ties with the last place stay, too: the order by key is made over all.
+                least = np.partition(rank, -k, axis=1)[:, -k][:, None] if len(b) > k else np.full((len(ids), 1), -np.inf)
+                asks, row = np.nonzero((rank >= least) & (score > -np.inf))
+                row_ = pa.array(row)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(asks)), b.column("key").take(row_), b.column("path").take(row_), pa.array(score[asks, row])], ["query_id", "key", "path", "raw"])
+
+        return v.mapInArrow(best, f"query_id {kind}, key string, path string, raw double")
+
+    found = top(query_blocks(queries, scan), k, by_score("raw"), F.col("key"))
     return found.where(F.col("rank") <= limit).select("query_id", "key", "path", N.unit_score(F.col("raw")).alias("score"), "rank")
 
 
@@ -255,9 +289,12 @@ def resolve_names(proposed: DataFrame, known: DataFrame, sure: float = 0.92, may
     p = proposed.select("name", T.normalize_name(F.col("name")).alias("n")).distinct().withColumn("l", F.length("n"))
     k = known.select(F.col("name").alias("known"), T.normalize_name(F.col("name")).alias("kn")).where("kn <> ''").withColumn("kl", F.length("kn"))
     exact = p.join(k, F.col("n") == F.col("kn")).groupBy("name").agg(F.min("known").alias("exact"))
-    lengths = p.where("n <> ''").withColumn("kl", F.explode(F.sequence(F.ceil(F.col("l") * maybe).cast("int"), F.floor(F.col("l") / maybe).cast("int"))))
-    sim = 1 - F.levenshtein("n", "kn") / F.greatest("l", "kl")
-    alike = lengths.join(k, "kl").select("name", "known", sim.alias("sim")).where(F.col("sim") >= maybe)
+    # A name that a known one equals needs no comparison.
+    lengths = p.where("n <> ''").join(exact, "name", "left_anti").withColumn("kl", F.explode(F.sequence(F.ceil(F.col("l") * maybe).cast("int"), F.floor(F.col("l") / maybe).cast("int"))))
+    # Distances are computed up to the one that ``maybe`` allows; what is above gives -1.
+    most = F.ceil((1 - maybe) * F.greatest("l", "kl")).cast("int")
+    alike = lengths.join(k, "kl").select("name", "known", F.greatest("l", "kl").alias("longer"), F.call_function("levenshtein", "n", "kn", most).alias("d")).where("d >= 0")
+    alike = alike.select("name", "known", (1 - F.col("d") / F.col("longer")).alias("sim")).where(F.col("sim") >= maybe)
     best = top(alike, most, F.round("sim", 9).desc(), F.col("known"), by="name")
     listed = best.groupBy("name").agg(F.max(F.when(F.col("rank") == 1, F.col("sim"))).alias("sim"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "known"))), lambda s: s["known"]).alias("c"))
     out = p.select("name").join(exact, "name", "left").join(listed, "name", "left")

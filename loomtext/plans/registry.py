@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.text import STOP_WORDS
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 #: SQL shared by the queries: documents as files, conversations as headed notes, tokens.
-STOPS = "['the','a','an','and','or','but','to','of','in','on','for','with','at','from','by','as','is','are','was','were','be','been','it','that','this','these','those']"
+STOPS = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 FILES = "files AS (SELECT doc_id, source || '/' || lang || '/' || doc_id || '.md' AS path, doc_id::VARCHAR AS basename, n_chars AS size, text AS content, 1704067200000 + doc_id * 3600000 AS mtime_ms FROM documents)"
 NOTES = "notes AS (SELECT conv_id, 'conv/' || conv_id || '.md' AS path, string_agg('# ' || role || ' ' || turn || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS content FROM conversations GROUP BY conv_id)"
 

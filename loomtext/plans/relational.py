@@ -54,7 +54,7 @@ def latest_matching_file(spark, d):
     return vault.latest(S.files(spark, d), T.parent_path(C("path")), "^1")
 
 
-@query(WITH_FILES + "SELECT path, row_number() OVER (ORDER BY mtime_ms + size DESC, path) AS position FROM files QUALIFY position <= 100")
+@query(WITH_FILES + "SELECT path, row_number() OVER (ORDER BY mtime_ms + size DESC, path) AS position FROM files")
 def file_recency_size_order(spark, d):
     return vault.picker_positions(S.files(spark, d))
 
@@ -191,7 +191,7 @@ def parse_sections_h2(spark, d):
     return n.select("n_regionkey", F.explode(parsing.entity_sections(C("content"))).alias("s")).select("n_regionkey", "s.entity", "s.update")
 
 
-@query("SELECT DISTINCT item_id, name FROM (SELECT item_id, unnest(regexp_extract_all(text, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1)) AS name FROM benchmark WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')) WHERE len(string_split(name, ' ')) <= 3")
+@query("SELECT DISTINCT item_id, name FROM (SELECT item_id, unnest(regexp_extract_all(text, '\\b([A-Z][a-z]+(?:[\\t\\n\\x0B\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+[A-Z][a-z]+)*)\\b', 1)) AS name FROM benchmark) WHERE len(string_split(name, ' ')) <= 3")
 def capitalized_names(spark, d):
     return S.read(spark, d, "benchmark").select("item_id", F.explode(parsing.capitalized_names(C("text"))).alias("name"))
 

@@ -12,6 +12,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes of a table for each core below which its rows are dealt out anew.
+SMALL = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, its rows dealt out over the cores if its files are so small that a few splits hold them all; larger tables keep their splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL else df
+
+
 def markdown_folder(spark: SparkSession, folder: str, extension: str = "md") -> DataFrame:
     """files(path, basename, ext, mtime, size, content) of a folder tree, one row a file.
 
@@ -33,7 +44,7 @@ def markdown_folder(spark: SparkSession, folder: str, extension: str = "md") ->
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as files: source/lang/doc_id.md, modified doc_id hours after the start of 2024."""
-    d = read(spark, sf_dir, "documents")
+    d = spread(read(spark, sf_dir, "documents"))
     return d.select(
         "doc_id",
         F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"),

@@ -270,3 +270,17 @@ def test_markdown_folder(spark, tmp_path):
 def test_settings_overlay():
     c = RetrievalConfig().with_stored({"target_words": 300, "unknown": 1})
     assert c.target_words == 300 and c.overlap_words == 100
+
+
+def test_updates_of_one_name_go_to_one_note(spark):
+    notes = spark.createDataFrame([("Ann", "old"), ("Bob", "")], "name string, content string")
+    updates = spark.createDataFrame([("Ann", "b", 2), ("Ann", "a", 3), ("Cid", "c", 1), ("Bob", None, 1)], "name string, update string, ord int")
+    got = dict(map(tuple, sinks.apply_updates(notes, updates, F.lit("S")).collect()))
+    part = lambda x: f"\n\n## S - Update\n\n{x}\n"
+    assert got == {"Ann": "old" + part("b") + part("a"), "Bob": "", "Cid": "# Cid" + part("c")}
+
+
+def test_text_files_of_like_paths_stay_apart(spark, tmp_path):
+    rows = [("a/b", "1"), ("a_b", "2"), ("a=b", "3")]
+    sinks.write_text_files(spark.createDataFrame(rows, "path string, content string"), f"file://{tmp_path}/out")
+    assert sorted(map(tuple, spark.read.text(f"file://{tmp_path}/out").select("path", "value").collect())) == sorted(rows)
