@@ -85,9 +85,9 @@ def read_back(formatted: Column) -> Column:
 
 
 def digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """The digest columns of the query, all read back from the formatted strings."""
+    """The digest columns of the query, all read back from the formatted strings and their loss spans."""
     joined = lambda turns: F.array_join(F.transform(turns, lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    under = F.array_join(F.transform(F.filter("turns", lambda x: x["role"] == "assistant"), lambda x: x["text"]), "")
+    under = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substr("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
     return (
         formatted.withColumn("turns", read_back(F.col("formatted")))
         .withColumn("under", under)

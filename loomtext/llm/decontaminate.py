@@ -188,5 +188,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, sim
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs in which no test item is found; rows with a null id stay unless found by a null id."""
-    found = leaks(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("_leaked")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(F.col("_leaked")), "left_anti")
+    (leaked,) = _spark.fresh(docs.columns, "leaked")
+    found = leaks(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias(leaked)).distinct()
+    return docs.join(found, docs[id_col].eqNullSafe(F.col(leaked)), "left_anti")

@@ -119,9 +119,13 @@ def mix_rows(docs: DataFrame, scratch: _spark.Scratch, weights: tuple[float, ...
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, block: int = 64, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of docs that the mix takes any words of, with all their columns and mix_size, mix_target (their source's) and mix_taken."""
+    """The rows of docs that the mix takes any words of, with all their columns and mix_size, mix_target (their source's) and mix_taken.
+
+    Where docs has columns of these names, the new ones have underscores before theirs.
+    """
     scratch = _spark.Scratch(docs.sparkSession)
-    rows = _spark.with_rows(docs.withColumnsRenamed({"row": "_row"}), scratch)
-    plan = mix_rows(rows.select("row", F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source")), scratch, weights, cap, block, seed)
-    plan = plan.where("taken > 0").select("row", F.col("size").alias("mix_size"), F.col("target").alias("mix_target"), F.col("taken").alias("mix_taken"))
-    return rows.join(plan, "row").drop("row").withColumnsRenamed({"_row": "row"})
+    row, *names = _spark.fresh(docs.columns, "row", "mix_size", "mix_target", "mix_taken")
+    rows = _spark.with_rows(docs, scratch, row)
+    plan = mix_rows(rows.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source")), scratch, weights, cap, block, seed)
+    plan = plan.where("taken > 0").select("row", "size", "target", "taken").toDF(row, *names)
+    return rows.join(plan, row).drop(row)

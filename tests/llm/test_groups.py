@@ -299,3 +299,28 @@ def test_chat_round_trip(spark):
         assert not re.search(r"</?s>|\[/?INST\]|<</?SYS>>", f)
     assert made[1]["formatted"].count("<|turn|>") == 3
     assert chat_format.digests(chat_format.format_conversations(df.limit(0))).count() == 0
+
+
+def test_columns_with_the_names_used_inside(spark, rows):
+    """Columns named as the operators name theirs pass through; new columns have underscores then."""
+    names = ["row", "_row", "__row", "lines", "_lines", "n_lines", "n_removed", "leaked", "_leaked", "mix_size", "mix_taken", "stays", "group"]
+    df = frame(spark, rows, clash=False).withColumns({n: F.lit(n) for n in names})
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    same = lambda out: all(out.select(*names).distinct().collect() == [tuple(names)] for _ in (0,))
+    lines = line_dedup.dedup_lines(df)
+    assert lines.columns == [*df.columns, "_n_lines", "_n_removed"] and lines.count() == df.count() and same(lines)
+    kept = ngram_join.one_per_component(df)
+    assert kept.columns == df.columns and same(kept)
+    clean = decontaminate.without_leaks(df, bench)
+    assert clean.columns == df.columns and same(clean)
+    mixed = mixing.mixed_documents(df, block=16)
+    assert mixed.columns == [*df.columns, "_mix_size", "mix_target", "_mix_taken"] and same(mixed)
+
+
+def test_least_ids_with_nulls(spark):
+    """A null id counts as greater than any other in a component's name, and comes first in what stays."""
+    text = "a b c d e f g h"
+    df = frame(spark, [(None, text, "", "", 0), (7, text, "", "", 0), (5, text + " i", "", "", 0), (None, "x y z", "", "", 0)], clash=False)
+    got = rows_of(ngram_join.components(df, 3, 80), "doc_id", "component_id")
+    assert got == sorted([(None, 5), (7, 5), (5, 5), (None, None)], key=repr)
+    assert sorted((r["doc_id"] is None, r["text"]) for r in ngram_join.one_per_component(df, 3, 80).collect()) == [(True, text), (True, "x y z")]
