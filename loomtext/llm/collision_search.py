@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_ROWS, PROJECTIONS, REACH, MISS = 16_384, 192, 1.5, 0.25
+CHUNK_ROWS, PROJECTIONS, REACH, MISS = 16_384, 128, 1.2, 0.27
 #: How much wider the windows get in a step.
-STEP = 1.2
+STEP = 1.3
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -44,31 +44,36 @@ class Index:
         self.ids, self.rows, self.m = ids, rows, projections
         self.directions = np.random.Generator(np.random.PCG64(seed)).standard_normal((projections, rows.shape[1]))
         p = rows @ self.directions.T
-        self.order = np.argsort(p, axis=0, kind="stable").T.astype(np.int32).copy()
+        self.order = np.argsort(p, axis=0, kind="stable").T.copy()
         self.sorted = np.sort(p, axis=0).T.copy()
+        # All arrays one after the other, each moved past the one before, so that one search looks in all.
+        self.shift = np.arange(projections) * (4 * float(np.abs(p).max(initial=0)) + 1)
+        self.line = (self.sorted + self.shift[:, None]).ravel()
         chance = math.erf(REACH / math.sqrt(2))
         self.threshold = max(t for t in range(1, projections + 1) if t == 1 or _binomial_tail(projections, t, chance) >= 1 - MISS)
 
     def nearest(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """(ids, distances) of the k nearest found, nearest first, ties to the smaller id; the number of rows verified."""
         centre, n = self.directions @ q, len(self.ids)
-        at = np.array([np.searchsorted(self.sorted[j], centre[j]) for j in range(self.m)])
+        # What lies beyond all numbers is moved to the end of its array.
+        far, begin = float(np.abs(self.sorted).max(initial=0)) * 1.5 + 0.25, np.arange(self.m) * n
+
+        def place(x: np.ndarray, side: str = "left") -> np.ndarray:
+            return np.searchsorted(self.line, np.clip(x, -far, far) + self.shift, side) - begin
+
+        at = place(centre)
         lo, hi = at.copy(), at.copy()
-        count, done = np.zeros(n, np.int16), np.zeros(n, bool)
+        count, done = np.zeros(n, np.int64), np.zeros(n, bool)
         ids, dist = np.zeros(0, np.int64), np.zeros(0)
         # The first window holds about 2 k rows of each array.
         ends = np.minimum(at + k, n - 1), np.maximum(at - k, 0)
         width = float(np.median([self.sorted[j, ends[0][j]] - self.sorted[j, ends[1][j]] for j in range(self.m)])) / 2 or 1e-9
         while True:
-            fresh = []
-            for j in range(self.m):
-                own = self.sorted[j]
-                a, b = min(lo[j], np.searchsorted(own, centre[j] - width)), max(hi[j], np.searchsorted(own, centre[j] + width, "right"))
-                fresh += [self.order[j, a : lo[j]], self.order[j, hi[j] : b]]
-                lo[j], hi[j] = a, b
-            new = np.concatenate(fresh)
+            a, b = np.minimum(lo, place(centre - width)), np.maximum(hi, place(centre + width, "right"))
+            new = np.concatenate([self.order[j, x:y] for j in range(self.m) for x, y in ((a[j], lo[j]), (hi[j], b[j])) if x < y] or [at[:0]])
+            lo, hi = a, b
             if len(new):
-                count += np.bincount(new, minlength=n).astype(np.int16)
+                count += np.bincount(new, minlength=n)
                 found = np.flatnonzero((count >= self.threshold) & ~done)
                 done[found] = True
                 found = found[self.ids[found] != query_id]

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ SHORT, ENDS = 4, ((5, 9, 3), (8, 17, 5), (14, 1 << 40, 9))
 #: Lines under one key that one task compares; a key with more is split into parts of about so many.
 PART = 1024
 #: Pairs that are gathered before their distances are computed, and those computed at once.
-AT_ONCE, WIDE = 4096, 512
+AT_ONCE, WIDE = 4096, 128
 
 #: ASCII bytes that are neither letters nor digits.
 _BETWEEN = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
@@ -157,13 +158,18 @@ def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.bitwise_count((a ^ b) >> np.uint64(1)) <= np.where(medium, WIDER, RADIUS)) | (a == 0) | (b == 0)
 
 
-def quick(a: str, b: str, most: int) -> bool:
-    """Whether what the texts begin and end with, or one way to edit whole words, shows a distance of at most ``most``."""
+def middles(a: str, b: str) -> tuple[str, str]:
+    """The texts without what both begin and both end with, the longer one first: their distance is the same."""
     i = _common(a, b, 1)
     a, b = a[i:], b[i:]
     j = _common(a, b, -1)
     a, b = a[: len(a) - j], b[: len(b) - j]
-    return max(len(a), len(b)) <= most or word_edits(a.split(" "), b.split(" "), most) <= most
+    return (a, b) if len(a) >= len(b) else (b, a)
+
+
+def quick(a: str, b: str, most: int) -> bool:
+    """Whether one way to edit whole words shows a distance of at most ``most``; a is the longer one."""
+    return len(a) <= most or word_edits(a.split(" "), b.split(" "), most) <= most
 
 
 def word_edits(x: list[str], y: list[str], most: int) -> int:
@@ -195,7 +201,8 @@ def bound(a: str, b: str, similarity: float = SIMILARITY) -> int:
 def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     """Whether 1 - edit distance / longer length is at least similarity."""
     most = bound(a, b, similarity)
-    return abs(len(a) - len(b)) <= most and (quick(a, b, most) or int(distances([(a, b)])[0]) <= most)
+    a, b = middles(a, b)
+    return len(a) - len(b) <= most and (quick(a, b, most) or int(distances([(a, b)])[0]) <= most)
 
 
 def _common(a: str, b: str, way: int) -> int:
@@ -228,16 +235,10 @@ def distances(pairs: list[tuple[str, str]]) -> np.ndarray:
     sides = [(a, b) if len(a) >= len(b) else (b, a) for a, b in pairs]
     out = np.zeros(len(pairs), np.int64)
     for some in batches(sides):
-        out[some] = _distances([sides[k] for k in some])
+        out[some] = _lanes([sides[k] for k in some])
     return out
 
 
-def _distances(sides: list[tuple[str, str]]) -> np.ndarray | list[int]:
-    """Of a batch: in blocks of 64 rows where many texts are short enough, else in long numbers."""
-    blocks = -(-max((len(b) for _, b in sides), default=0) // 64)
-    return _columns(sides, blocks) if blocks and len(sides) >= WIDE // 4 and blocks <= 32 else _lanes(sides)
-
-
 def _lanes(sides: list[tuple[str, str]]) -> list[int]:
     """Edit distances of (longer, shorter) texts; each pair has its lane of whole bytes in the same long numbers.
 
@@ -261,8 +262,8 @@ def _lanes(sides: list[tuple[str, str]]) -> list[int]:
         at += size
         ends.append(at)
     pv, mv, live = full, 0, len(order)
-    for step in range(len(tables[0]) if order else 0):
-        eq = int.from_bytes(b"".join([x[step] for x in tables[:live]]), "little")
+    for step, column in enumerate(zip_longest(*tables, fillvalue=b"")):
+        eq = int.from_bytes(b"".join(column), "little")
         xv = eq | mv
         xh = ((((eq & pv) + pv) ^ pv) | eq) & full
         ph, mh = mv | (full ^ (xh | pv)), pv & xh
@@ -283,89 +284,33 @@ def _lanes(sides: list[tuple[str, str]]) -> list[int]:
     return out
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The code points of all texts and the number of the text of each."""
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return points, np.repeat(np.arange(len(texts)), [len(x) for x in texts])
-
-
-def _columns(sides: list[tuple[str, str]], blocks: int) -> np.ndarray:
-    """Edit distances of (longer, shorter) texts, the longest first, whose shorter ones fit so many blocks."""
-    n = len(sides)
-    long, of_long = _codes([a for a, _ in sides])
-    short, of_short = _codes([b for _, b in sides])
-    size, rows = np.bincount(of_long, minlength=n), np.bincount(of_short, minlength=n)
-    letters = np.unique(short)
-    # equal[block, letter * n + pair]: the rows of the shorter text that have the letter; the last letter stands for all that are not in any.
-    equal = np.zeros((blocks, (len(letters) + 1) * n), np.uint64)
-    place = np.arange(len(short)) - np.repeat(np.cumsum(rows) - rows, rows)
-    np.bitwise_or.at(equal, (place >> 6, np.searchsorted(letters, short) * n + of_short), np.uint64(1) << (place & 63).astype(np.uint64))
-    code = np.minimum(np.searchsorted(letters, long), len(letters) - 1)
-    code = np.where(letters[code] == long, code, len(letters)) * n + of_long
-    text = np.zeros((int(size[0]), n), np.int64)
-    text[np.arange(len(long)) - np.repeat(np.cumsum(size) - size, size), of_long] = code
-    one, top = np.uint64(1), np.uint64(63)
-    up, down = np.full((blocks, n), _NONE), np.zeros((blocks, n), np.uint64)
-    live, first = n, np.ones(n, np.uint64)
-    for k in range(int(size[0])):
-        while size[live - 1] <= k:
-            live -= 1
-        eqs = equal.take(text[k, :live], axis=1)
-        rise, fall = first[:live], None
-        for w in range(blocks):
-            pv, mv, eq = up[w, :live], down[w, :live], eqs[w]
-            xv = eq | mv
-            if fall is not None:
-                eq |= fall
-            xh = eq & pv
-            xh += pv
-            xh ^= pv
-            xh |= eq
-            ph = xh | pv
-            np.invert(ph, out=ph)
-            ph |= mv
-            xh &= pv  # what falls
-            more, less = ph >> top, xh >> top
-            ph <<= one
-            ph |= rise
-            xh <<= one
-            if fall is not None:
-                xh |= fall
-            np.bitwise_and(ph, xv, out=mv)
-            xv |= ph
-            np.invert(xv, out=xv)
-            np.bitwise_or(xh, xv, out=pv)
-            rise, fall = more, less
-    # The last column's steps up and down from the length of the longer text.
-    filled = np.clip(rows - 64 * np.arange(blocks)[:, None], 0, 64)
-    mask = np.where(filled == 64, _NONE, (one << np.minimum(filled, 63).astype(np.uint64)) - one)
-    return size + np.bitwise_count(up & mask).sum(axis=0, dtype=np.int64) - np.bitwise_count(down & mask).sum(axis=0, dtype=np.int64)
-
-
 def verify(t: pa.Table, pairs: Iterator[tuple[np.ndarray, np.ndarray]], groups: _blocks.Groups, similarity: float) -> None:
     """Joins the rows of similar pairs in groups, by their texts."""
     text = [x.decode() for x in t["data"].to_pylist()]
     size = np.array([len(x) for x in text], np.int64)
     asked: list[tuple[int, int, int]] = []
+    sides: list[tuple[str, str]] = []
 
     def settle() -> None:
-        sides = [(text[x], text[y]) if size[x] >= size[y] else (text[y], text[x]) for x, y, _ in asked]
         for some in batches(sides):
             some = [k for k in some if groups.label[asked[k][0]] != groups.label[asked[k][1]]]
-            for k, d in zip(some, _distances([sides[k] for k in some]), strict=True):
+            for k, d in zip(some, _lanes([sides[k] for k in some]), strict=True):
                 if d <= asked[k][2]:
                     groups.join(*asked[k][:2])
         asked.clear()
+        sides.clear()
 
     for i, j in pairs:
         most = ((1 - similarity) * np.maximum(size[i], size[j]) + 1e-9).astype(np.int64)
         fit = np.abs(size[i] - size[j]) <= most
         for x, y, m in zip(i[fit].tolist(), j[fit].tolist(), most[fit].tolist(), strict=True):
             if groups.label[x] != groups.label[y]:
-                if quick(text[x], text[y], m):
+                own = middles(text[x], text[y])
+                if quick(*own, m):
                     groups.join(x, y)
                 else:
                     asked.append((x, y, m))
+                    sides.append(own)
                     if len(asked) >= AT_ONCE:
                         settle()
     settle()
