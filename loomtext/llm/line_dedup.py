@@ -48,8 +48,8 @@ MEDIUM = 16
 SHORT, ENDS = 4, ((5, 9, 3), (8, 17, 5), (14, 1 << 40, 9))
 #: Lines under one key that one task compares; a key with more is split into parts of about so many.
 PART = 1024
-#: Pairs that are gathered before their distances are computed, and those computed at once.
-AT_ONCE, WIDE = 4096, 128
+#: Pairs, and characters of them, that are gathered before their distances are computed; pairs and characters computed at once.
+AT_ONCE, MANY, WIDE, LONG = 4096, 1 << 22, 128, 1 << 19
 
 #: ASCII bytes that are neither letters nor digits.
 _BETWEEN = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
@@ -223,8 +223,8 @@ def batches(sides: list[tuple[str, str]]) -> Iterator[list[int]]:
     at = 0
     while at < len(order):
         most = len(sides[order[at]][1])
-        to = at + 1
-        while to < len(order) and to - at < WIDE and 4 * len(sides[order[to]][1]) >= 3 * most:
+        to, size = at + 1, len(sides[order[at]][0])
+        while to < len(order) and to - at < WIDE and 4 * len(sides[order[to]][1]) >= 3 * most and (size := size + len(sides[order[to]][0])) <= LONG:
             to += 1
         yield sorted(order[at:to], key=lambda k: -len(sides[k][0]))
         at = to
@@ -290,6 +290,7 @@ def verify(t: pa.Table, pairs: Iterator[tuple[np.ndarray, np.ndarray]], groups:
     size = np.array([len(x) for x in text], np.int64)
     asked: list[tuple[int, int, int]] = []
     sides: list[tuple[str, str]] = []
+    held = 0
 
     def settle() -> None:
         for some in batches(sides):
@@ -311,8 +312,10 @@ def verify(t: pa.Table, pairs: Iterator[tuple[np.ndarray, np.ndarray]], groups:
                 else:
                     asked.append((x, y, m))
                     sides.append(own)
-                    if len(asked) >= AT_ONCE:
+                    held += len(own[0]) + len(own[1])
+                    if len(asked) >= AT_ONCE or held >= MANY:
                         settle()
+                        held = 0
     settle()
 
 
