@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_ROWS, PROJECTIONS, REACH, MISS = 16_384, 160, 1.2, 0.18
+CHUNK_ROWS, PROJECTIONS, REACH, MISS = 16_384, 160, 1.2, 0.22
 #: How much wider the windows get in a step.
 STEP = 1.3
 
