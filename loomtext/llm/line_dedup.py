@@ -49,7 +49,7 @@ SHORT, ENDS = 4, ((5, 9, 3), (8, 17, 5), (14, 1 << 40, 9))
 #: Lines under one key that one task compares; a key with more is split into parts of about so many.
 PART = 1024
 #: Pairs, and characters of them, that are gathered before their distances are computed; pairs and characters computed at once.
-AT_ONCE, MANY, WIDE, LONG = 4096, 1 << 22, 128, 1 << 19
+AT_ONCE, MANY, WIDE, LONG = 1024, 1 << 20, 128, 1 << 18
 
 #: ASCII bytes that are neither letters nor digits.
 _BETWEEN = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
@@ -397,7 +397,7 @@ def duplicate_lines(docs: DataFrame, scratch: _spark.Scratch, similarity: float
             hit[i] = hit[j] = True
         yield from t.filter(pa.array(hit)).combine_chunks().to_batches()
 
-    hits = scratch.cut(_blocks.grouped(able.mapInArrow(keyed(hot), cols), "key", partnered, cols, rows=200_000), "hits")
+    hits = scratch.cut(_blocks.grouped(able.mapInArrow(keyed(hot), cols), "key", partnered, cols, rows=50_000), "hits")
     distinct = scratch.cut(every.groupBy("h").agg(F.count("*").alias("n"), F.min("row").alias("row")), "distinct")
 
     def spelled(ids: DataFrame) -> DataFrame:
