@@ -83,12 +83,32 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(_read(spark, sf_dir, "documents"))
 
 
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .piece_codec import encode_and_decode
+
+    return encode_and_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(_read(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": OP10_SQL, "op4_source_mix": OP4_SQL}
+    return {"op10_chat_format": OP10_SQL, "op12_source_divergence": OP12_SQL, "op13_filter_audit": OP13_SQL, "op4_source_mix": OP4_SQL}
 
 
 OP10_SQL = r"""
@@ -142,3 +162,52 @@ WITH d AS (
 SELECT d.doc_id, d.size, g.source_size, g.target, coalesce(got.taken, 0)::BIGINT AS taken
 FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN got ON got.doc_id = d.doc_id
 """
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), w AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), k AS (
+  SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 10
+), c AS (
+  SELECT w.lang, source, w.term, count(*)::HUGEINT AS n FROM w JOIN k ON w.lang = k.lang AND w.term = k.term GROUP BY w.lang, source, w.term
+), l AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM k GROUP BY lang
+), g AS (
+  SELECT x.lang, x.source, coalesce(v, 0) AS v, coalesce(l.total, 0) AS lang_total, coalesce((SELECT sum(n) FROM c WHERE c.lang = x.lang AND c.source = x.source), 0)::HUGEINT AS total
+  FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN l ON l.lang = x.lang
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 2) // (g.total + 2 * g.v) AS p, 1 + 1000000000 * (k.n + 2) // (g.lang_total + 2 * g.v) AS q
+  FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), x AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q
+  UNION ALL
+  SELECT a.lang, a.source, 'pair', b.source, coalesce((SELECT sum((u.p - z.p) * (u.p - z.p) // (u.p + z.p)) FROM p u JOIN p z ON u.term = z.term WHERE u.lang = a.lang AND u.source = a.source AND z.lang = a.lang AND z.source = b.source), 0)
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM x QUALIFY part = 'pair' OR rank <= 10
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents
+), m AS (
+  SELECT doc_id, part, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, t, min(doc_id) OVER (PARTITION BY t) AS first FROM d
+), x AS (
+  SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)] AS fails,
+    coalesce((SELECT bool_or(l.quality = 1) FROM labels l WHERE l.doc_id = m.doc_id), false) AS good, coalesce((SELECT bool_or(l.toxic = 1) FROM labels l WHERE l.doc_id = m.doc_id), false) AS toxic FROM m
+), c AS (
+  SELECT part, fails, len(list_filter(fails, lambda f: f)) AS n_fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM x GROUP BY ALL
+), o AS (
+  SELECT '' AS filter_order UNION ALL SELECT filter_order || l FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) WHERE NOT contains(filter_order, l)
+), s AS (
+  SELECT filter_order, step, instr('ABCDE', filter_order[step]) AS k, [instr('ABCDE', filter_order[j]) FOR j IN range(1, step)] AS before FROM o, (SELECT unnest(range(1, 6)) AS step) WHERE length(filter_order) = 5
+), r AS (
+  SELECT c.part, s.filter_order, s.step, s.k, c.n, c.good, c.toxic, c.n_fails, c.fails[s.k] AS own, len(list_filter(s.before, lambda j: c.fails[j])) > 0 AS gone FROM c, s
+), a AS (
+  SELECT part, filter_order, step, k, coalesce(sum(n) FILTER (NOT own AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (own AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (own AND gone), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (own AND n_fails = 1), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (own AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (own AND NOT gone), 0)::BIGINT AS toxic_lost FROM r GROUP BY part, filter_order, step, k
+)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley FROM a
+"""
