@@ -29,10 +29,10 @@ from . import _spark, keyed
 from ._text import pieces
 from .token_counts import _pretokens, _processor, check_vocabulary
 
-#: Bound of the chunks that are broadcast, with their ids: 48 MB of chunks at most.
-HEAD_KEYS, HEAD_BYTES = 1 << 20, 48
-#: Bytes of text, and ids, that are worked on at a time.
-TEXT_BYTES, IDS = 8 << 20, 1 << 19
+#: Bound of the chunks that are broadcast, with their ids: 24 MB of chunks at most.
+HEAD_KEYS, HEAD_BYTES = 1 << 19, 48
+#: Bytes of text and of chunks to segment, and ids, that are worked on at a time.
+TEXT_BYTES, KEY_BYTES, IDS = 4 << 20, 1 << 19, 1 << 18
 
 
 def segments(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
@@ -45,7 +45,7 @@ def segments(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = _processor(model)
         for batch in batches:
-            for b in pieces(batch, "key"):
+            for b in pieces(batch, "key", KEY_BYTES):
                 # A newline in front, two pieces, keeps the model's leading space off the chunk.
                 found = sp.encode(["\n" + k.decode("utf-8", "replace") for k in b.column("key").to_pylist()], num_threads=1)
                 ids = pa.array([np.array(x[2:], np.int32).tobytes() for x in found], pa.binary())
@@ -91,11 +91,12 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     short = F.octet_length("key") <= HEAD_BYTES
     in_head = short & (F.col("freq") >= F.lit(_spark.head_cut(table.where(short), "freq", HEAD_KEYS)))
     head = table.where(in_head).orderBy(F.desc("freq"), "key").select("key", "ids").toArrow().combine_chunks()
+    head = pa.table({"key": head["key"].cast(pa.large_binary()), "ids": head["ids"]}).combine_chunks()
     shared = docs.sparkSession.sparkContext.broadcast(head)
     last = [_processor(model).eos_id()] if end else []
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = shared.value["key"].combine_chunks().cast(pa.large_binary())
+        keys = shared.value["key"].combine_chunks()
         for batch in batches:
             for b in pieces(batch, "text", TEXT_BYTES):
                 _, at, first = _places(b.column("text"), keys)
@@ -103,7 +104,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), pa.array(np.diff(first), pa.int64()), packed], ["row", "id", "n", "places"])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = shared.value["key"].combine_chunks().cast(pa.large_binary())
+        keys = shared.value["key"].combine_chunks()
         for batch in batches:
             for b in pieces(batch, "text", TEXT_BYTES):
                 code, at, first = _places(b.column("text"), keys)
