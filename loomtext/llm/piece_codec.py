@@ -25,14 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _spark, keyed
-from ._text import pieces
+from . import _blocks, _spark, keyed
+from ._text import flat, pieces
 from .token_counts import _pretokens, _processor, check_vocabulary
 
 #: Bound of the chunks that are broadcast, with their ids: 24 MB of chunks at most.
 HEAD_KEYS, HEAD_BYTES = 1 << 19, 48
-#: Bytes of text and of chunks to segment, and ids, that are worked on at a time.
-TEXT_BYTES, KEY_BYTES, IDS = 4 << 20, 1 << 19, 1 << 18
+#: Bytes of text (pieces, so many at once), of chunks to segment and of packed documents, and ids, that are worked on at a time.
+TEXT_BYTES, AT_ONCE, KEY_BYTES, PACKED_BYTES, IDS = 1 << 20, 16, 1 << 19, 1 << 19, 1 << 18
 
 
 def segments(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
@@ -54,12 +54,24 @@ def segments(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     return keyed.count_keys(docs, [text_col], keys_of).mapInArrow(segment, "key binary, freq long, ids binary")
 
 
-def _places(texts: pa.Array, head: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
-    """The chunks as a dictionary array, the head's place of each chunk (-1: none), and each document's first chunk."""
-    tokens, first, _ = _pretokens(texts)
-    code = tokens.dictionary_encode()
-    known = pc.fill_null(pc.index_in(code.dictionary, head), -1).to_numpy(zero_copy_only=False)
-    return code, known[code.indices.to_numpy(zero_copy_only=False)] if len(tokens) else np.zeros(0, np.int32), first
+def _places(batch: pa.RecordBatch, head: pa.Array) -> Iterator[tuple[pa.RecordBatch, pa.DictionaryArray, np.ndarray, np.ndarray]]:
+    """Pieces of the batch: each with its chunks as a dictionary array, the head's place of each chunk (-1: none), and each document's first chunk.
+
+    The head is searched once for the distinct chunks of several pieces.
+    """
+    todo = list(pieces(batch, "text", TEXT_BYTES))
+    for k in range(0, len(todo), AT_ONCE):
+        some = todo[k : k + AT_ONCE]
+        found = [_pretokens(b.column("text")) for b in some]
+        codes = [f[0].dictionary_encode() for f in found]
+        firsts = [f[1] for f in found]
+        del found
+        known = pc.fill_null(pc.index_in(pa.concat_arrays([c.dictionary for c in codes]), head), -1).to_numpy(zero_copy_only=False)
+        at = 0
+        for b, code, first in zip(some, codes, firsts, strict=True):
+            own = known[at : at + len(code.dictionary)]
+            at += len(code.dictionary)
+            yield b, code, own[code.indices.to_numpy(zero_copy_only=False)] if len(code) else np.zeros(0, np.int32), first
 
 
 def _rows(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -67,6 +79,12 @@ def _rows(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 4).astype(np.int64).tobytes()), pa.py_buffer(values.astype(np.int32).tobytes())]).cast(pa.binary())
 
 
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit numbers of a binary column, and where each row's begin (and the end)."""
+    data, offs = flat(column)
+    return np.ascontiguousarray(data).view(np.int32), offs // 4
+
+
 def _packed(places: np.ndarray) -> bytes:
     """32-bit numbers by planes of bytes, compressed: the upper planes are nearly empty."""
     return pa.compress((places + 1).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True) if len(places) else b""
@@ -98,16 +116,14 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = shared.value["key"].combine_chunks()
         for batch in batches:
-            for b in pieces(batch, "text", TEXT_BYTES):
-                _, at, first = _places(b.column("text"), keys)
+            for b, _, at, first in _places(batch, keys):
                 packed = pa.array([_packed(at[f:t]) for f, t in zip(first[:-1], first[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), pa.array(np.diff(first), pa.int64()), packed], ["row", "id", "n", "places"])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = shared.value["key"].combine_chunks()
         for batch in batches:
-            for b in pieces(batch, "text", TEXT_BYTES):
-                code, at, first = _places(b.column("text"), keys)
+            for b, code, at, first in _places(batch, keys):
                 lost = np.flatnonzero(at < 0)
                 if not len(lost):
                     continue
@@ -124,58 +140,43 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     found = docs.select("row", "text").mapInArrow(rare, "row long, key binary, spots binary").join(table.where(~in_head).select("key", "ids"), "key").select("row", "spots", "ids")
     both = docs.mapInArrow(known, f"row long, id {kind}, n long, places binary").unionByName(found, allowMissingColumns=True)
 
-    def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = shared.value["ids"].combine_chunks()
-        offs = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) // 4 if len(ids) else np.zeros(1, np.int64)
-        flat = np.frombuffer(ids.buffers()[2], np.int32) if len(ids) and ids.buffers()[2] is not None else np.zeros(0, np.int32)
-        base, size = offs[:-1], np.diff(offs)
-        who: list = []
-        out: list[np.ndarray] = []
-        held, own = 0, None  # own: id, places in the head, and (spots, ids) of the rest
-
-        def finished() -> np.ndarray:
-            _, places, rest = own
-            n = np.where(places >= 0, size[places] if len(size) else 0, 0)
-            for spots, x in rest:
-                n[spots] = len(x)
-            start = np.cumsum(n) - n
-            text = np.zeros(int(n.sum()) + len(last), np.int32)
-            text[len(text) - len(last) :] = last
-            common = places >= 0
-            step = np.arange(int(n[common].sum())) - np.repeat(np.cumsum(n[common]) - n[common], n[common])
-            text[np.repeat(start[common], n[common]) + step] = flat[np.repeat(base[places[common]], n[common]) + step]
-            for spots, x in rest:
-                text[(start[spots][:, None] + np.arange(len(x))).ravel()] = np.tile(x, len(spots))
-            return text
-
-        def batch() -> pa.RecordBatch:
-            bounds = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32))
-            lists = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(out)))
-            return pa.RecordBatch.from_arrays([pa.array(who, lists_type), lists], ["id", "ids"])
-
-        lists_type = None
-        for b in batches:
-            lists_type = b.schema.field("id").type
-            for row in zip(*(b.column(c).to_pylist() for c in ("id", "n", "places", "spots", "ids")), strict=True):
-                if row[1] is None:
-                    own[2].append((np.frombuffer(row[3], np.int32), np.frombuffer(row[4], np.int32)))
-                    continue
-                if own is not None:
-                    who.append(own[0])
-                    out.append(finished())
-                    held += len(out[-1])
-                    if held >= IDS:
-                        yield batch()
-                        who, out, held = [], [], 0
-                own = (row[0], _unpacked(row[2], row[1]), [])
-        if own is not None:
-            who.append(own[0])
-            out.append(finished())
-            yield batch()
-
-    # The document's own row comes first, its rare chunks after it.
-    met = both.repartition("row").sortWithinPartitions("row", F.col("n").desc_nulls_last())
-    return met.select("row", "id", "n", "places", "spots", "ids").mapInArrow(assembled, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    def assembled(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """The ids of whole documents; a document's own row comes first, its rare chunks after it."""
+        b = t.combine_chunks().to_batches()[0]
+        n = b.column("n").fill_null(-1).to_numpy(zero_copy_only=False)
+        docs = np.flatnonzero(n >= 0)
+        chunks, doc = n[docs], np.cumsum(n >= 0) - 1
+        base = np.cumsum(chunks) - chunks  # each document's first chunk
+        packed = b.column("places").take(pa.array(docs)).to_pylist()
+        places = np.concatenate([_unpacked(x, k) for x, k in zip(packed, chunks.tolist(), strict=True)])
+        head_ids, head_at = _numbers(shared.value["ids"].combine_chunks())
+        # Rare chunks: every spot of a row of theirs takes that row's ids.
+        other = np.flatnonzero(n < 0)
+        spots, spot_at = _numbers(b.column("spots").take(pa.array(other)))
+        rare_ids, rare_at = _numbers(b.column("ids").take(pa.array(other)))
+        of = np.repeat(np.arange(len(other)), np.diff(spot_at))
+        place = base[doc[other]][of] + spots
+        source = np.where(places >= 0, places, 0)
+        source[place] = of
+        common = np.ones(len(places), bool)
+        common[place] = False
+        size = np.zeros(len(places), np.int64)
+        for own, at in ((common, head_at), (~common, rare_at)):
+            size[own] = (at[1:] - at[:-1])[source[own]]
+        # Where each chunk begins: after the chunks before it, and the end ids of the documents before its own.
+        of_doc = np.repeat(np.arange(len(docs)), chunks)
+        start = np.cumsum(size) - size + len(last) * of_doc
+        length = np.bincount(of_doc, weights=size, minlength=len(docs)).astype(np.int64) + len(last)
+        out = np.full(int(length.sum()), last[0] if last else 0, np.int32)
+        for own, ids, at in ((common, head_ids, head_at), (~common, rare_ids, rare_at)):
+            k = size[own]
+            step = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+            out[np.repeat(start[own], k) + step] = ids[np.repeat(at[source[own]], k) + step]
+        bounds = pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(docs)), pa.ListArray.from_arrays(bounds, pa.array(out))], ["id", "ids"])
+
+    met = both.select("row", "id", "n", "places", "spots", "ids")
+    return _blocks.grouped(met, "row", assembled, f"id {kind}, ids array<int>", 20_000, PACKED_BYTES, then=(F.col("n").desc_nulls_last(),)).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids", to_col: str = "decoded") -> DataFrame:
@@ -185,12 +186,14 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", to_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = _processor(model)
         for batch in batches:
-            bounds = np.concatenate(([0], np.cumsum(batch.column(ids_col).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+            column = batch.column(ids_col)
+            ids = column.flatten().to_numpy(zero_copy_only=False)
+            bounds = np.concatenate(([0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
             at = 0
             while at < len(batch):
                 to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + IDS, "right")) - 1)
                 b = batch.slice(at, to - at)
-                texts = [sp.decode(x) if x else "" for x in b.column(ids_col).to_pylist()]
+                texts = [sp.decode(ids[f:t].tolist()) if t > f else "" for f, t in zip(bounds[at:to].tolist(), bounds[at + 1 : to + 1].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, to_col])
                 at = to
 
