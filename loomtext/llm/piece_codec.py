@@ -31,8 +31,8 @@ from .token_counts import _pretokens, _processor, check_vocabulary
 
 #: Bound of the chunks that are broadcast, with their ids: 24 MB of chunks at most.
 HEAD_KEYS, HEAD_BYTES = 1 << 19, 48
-#: Bytes of text (pieces, so many at once), of chunks to segment and of packed documents, and ids, that are worked on at a time.
-TEXT_BYTES, AT_ONCE, KEY_BYTES, PACKED_BYTES, IDS = 1 << 20, 16, 1 << 19, 1 << 19, 1 << 18
+#: Bytes of text (pieces, so many at once), of chunks to segment and of packed documents, and rows to decode, that are worked on at a time.
+TEXT_BYTES, AT_ONCE, KEY_BYTES, PACKED_BYTES, ROWS = 1 << 20, 16, 1 << 19, 1 << 19, 512
 
 
 def segments(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
@@ -97,8 +97,8 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64) - 1
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", end: bool = True) -> DataFrame:
-    """(id_col, ids): the library's ids of each whole text, with the end id last if ``end``.
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", end: bool = True, decoded: bool = False) -> DataFrame:
+    """(id_col, ids): the library's ids of each whole text, with the end id last if ``end``; and what they ``decode`` to, in the same pass, if ``decoded``.
 
     model: path of a sentencepiece model that every executor can read.
     """
@@ -173,10 +173,20 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             step = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
             out[np.repeat(start[own], k) + step] = ids[np.repeat(at[source[own]], k) + step]
         bounds = pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(docs)), pa.ListArray.from_arrays(bounds, pa.array(out))], ["id", "ids"])
+        columns = {"id": b.column("id").take(pa.array(docs)), "ids": pa.ListArray.from_arrays(bounds, pa.array(out))}
+        if decoded:
+            columns["decoded"] = _texts(_processor(model), columns["ids"])
+        yield pa.RecordBatch.from_pydict(columns)
 
     met = both.select("row", "id", "n", "places", "spots", "ids")
-    return _blocks.grouped(met, "row", assembled, f"id {kind}, ids array<int>", 20_000, PACKED_BYTES, then=(F.col("n").desc_nulls_last(),)).withColumnRenamed("id", id_col)
+    return _blocks.grouped(met, "row", assembled, f"id {kind}, ids array<int>{', decoded string' if decoded else ''}", 20_000, PACKED_BYTES, then=(F.col("n").desc_nulls_last(),)).withColumnRenamed("id", id_col)
+
+
+def _texts(sp, column: pa.ListArray) -> pa.Array:
+    """What the library decodes each array of ids to; null arrays are empty."""
+    ids = column.flatten().to_numpy(zero_copy_only=False)
+    bounds = np.concatenate(([0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).tolist()
+    return pa.array([sp.decode(ids[f:t].tolist()) if t > f else "" for f, t in zip(bounds[:-1], bounds[1:], strict=True)], pa.string())
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids", to_col: str = "decoded") -> DataFrame:
@@ -184,24 +194,16 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", to_col: str = "
     schema = encoded.withColumn(to_col, F.lit("")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = _processor(model)
         for batch in batches:
-            column = batch.column(ids_col)
-            ids = column.flatten().to_numpy(zero_copy_only=False)
-            bounds = np.concatenate(([0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
-            at = 0
-            while at < len(batch):
-                to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + IDS, "right")) - 1)
-                b = batch.slice(at, to - at)
-                texts = [sp.decode(ids[f:t].tolist()) if t > f else "" for f, t in zip(bounds[at:to].tolist(), bounds[at + 1 : to + 1].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, to_col])
-                at = to
+            for at in range(0, len(batch), ROWS):
+                b = batch.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([*b.columns, _texts(_processor(model), b.column(ids_col))], [*b.schema.names, to_col])
 
     return encoded.mapInArrow(run, schema)
 
 
 def encode_and_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, ids_sha256, decoded_sha256): digests of the ids, in decimals joined by spaces, and of the text they decode to."""
-    both = decode(encode(docs, model, id_col, text_col), model)
+    both = encode(docs, model, id_col, text_col, decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select(id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -51,7 +51,7 @@ def test_ids_without_a_head_and_a_head_of_some(spark, rows, model, library, monk
     want = sorted(((r[0], library.encode(r[1] or "")) for r in rows), key=repr)
     for keys in (0, 40):
         monkeypatch.setattr(piece_codec, "HEAD_KEYS", keys)
-        monkeypatch.setattr(piece_codec, "IDS", 50)
+        monkeypatch.setattr(piece_codec, "AT_ONCE", 1)
         assert rows_of(piece_codec.encode(frame(spark, rows), model, end=False), "doc_id", "ids") == want
 
 
