@@ -29,14 +29,20 @@ from . import _blocks, _spark, keyed
 from ._text import flat, pieces
 from .token_counts import _pretokens, _processor, check_vocabulary
 
-#: Bound of the chunks that are broadcast, with their ids: 24 MB of chunks at most.
-HEAD_KEYS, HEAD_BYTES = 1 << 19, 48
+#: Bound of the chunks that are broadcast, with their ids: 48 MB of chunks at most.
+HEAD_KEYS, HEAD_BYTES = 1 << 20, 48
 #: Bytes of text (pieces, so many at once), of chunks to segment and of packed documents, and rows to decode, that are worked on at a time.
 TEXT_BYTES, AT_ONCE, KEY_BYTES, PACKED_BYTES, ROWS = 1 << 20, 16, 1 << 19, 1 << 19, 512
 
 
+def _width(model: str) -> int:
+    """16-bit numbers that an id takes."""
+    return 1 if _processor(model).get_piece_size() <= 1 << 16 else 2
+
+
 def segments(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
-    """(key, freq, ids): every distinct chunk of the texts, how often it is there, and its ids as 32-bit numbers."""
+    """(key, freq, ids): every distinct chunk of the texts, how often it is there, and its ids, ``_width`` 16-bit numbers each."""
+    width = _width(model)
 
     def keys_of(batch: pa.RecordBatch) -> Iterator[pa.Array]:
         for b in pieces(batch, text_col, TEXT_BYTES):
@@ -48,7 +54,7 @@ def segments(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
             for b in pieces(batch, "key", KEY_BYTES):
                 # A newline in front, two pieces, keeps the model's leading space off the chunk.
                 found = sp.encode(["\n" + k.decode("utf-8", "replace") for k in b.column("key").to_pylist()], num_threads=1)
-                ids = pa.array([np.array(x[2:], np.int32).tobytes() for x in found], pa.binary())
+                ids = pa.array([np.array(x[2:], np.uint16 if width == 1 else np.int32).tobytes() for x in found], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("key").cast(pa.binary()), b.column("freq"), ids], ["key", "freq", "ids"])
 
     return keyed.count_keys(docs, [text_col], keys_of).mapInArrow(segment, "key binary, freq long, ids binary")
@@ -79,10 +85,21 @@ def _rows(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 4).astype(np.int64).tobytes()), pa.py_buffer(values.astype(np.int32).tobytes())]).cast(pa.binary())
 
 
-def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The 32-bit numbers of a binary column, and where each row's begin (and the end)."""
+def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 16-bit numbers of a binary column, and where each row's begin (and the end)."""
     data, offs = flat(column)
-    return np.ascontiguousarray(data).view(np.int32), offs // 4
+    return np.ascontiguousarray(data).view(np.uint16), offs // 2
+
+
+def _at(units: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
+    """The numbers of ``width`` units that begin at place."""
+    low = units[place].astype(np.int32)
+    return low if width == 1 else low | units[place + 1].astype(np.int32) << 16
+
+
+def _runs(count: np.ndarray) -> np.ndarray:
+    """0 to count[0] - 1, 0 to count[1] - 1, ..."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
 
 
 def _packed(places: np.ndarray) -> bytes:
@@ -118,7 +135,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for b, _, at, first in _places(batch, keys):
                 packed = pa.array([_packed(at[f:t]) for f, t in zip(first[:-1], first[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), pa.array(np.diff(first), pa.int64()), packed], ["row", "id", "n", "places"])
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), pa.array(np.diff(first), pa.int64()), packed], ["row", "id", "n", "data"])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = shared.value["key"].combine_chunks()
@@ -137,49 +154,52 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([b.column("row").take(pa.array(doc[lead])), code.dictionary.take(pa.array(word[lead])).cast(pa.binary()), spots], ["row", "key", "spots"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    found = docs.select("row", "text").mapInArrow(rare, "row long, key binary, spots binary").join(table.where(~in_head).select("key", "ids"), "key").select("row", "spots", "ids")
-    both = docs.mapInArrow(known, f"row long, id {kind}, n long, places binary").unionByName(found, allowMissingColumns=True)
+    # Of a document: its number of chunks, and their places in the head. Of a rare chunk in it: less than no chunks, its spots and ids.
+    found = docs.select("row", "text").mapInArrow(rare, "row long, key binary, spots binary").join(table.where(~in_head).select("key", "ids"), "key")
+    found = found.select("row", F.lit(None).cast(kind).alias("id"), (-F.octet_length("spots") / 4).cast("long").alias("n"), F.concat("spots", "ids").alias("data"))
+    both = docs.mapInArrow(known, f"row long, id {kind}, n long, data binary").unionByName(found)
+    width = _width(model)
 
     def assembled(t: pa.Table) -> Iterator[pa.RecordBatch]:
         """The ids of whole documents; a document's own row comes first, its rare chunks after it."""
         b = t.combine_chunks().to_batches()[0]
-        n = b.column("n").fill_null(-1).to_numpy(zero_copy_only=False)
+        n = b.column("n").to_numpy()
         docs = np.flatnonzero(n >= 0)
         chunks, doc = n[docs], np.cumsum(n >= 0) - 1
         base = np.cumsum(chunks) - chunks  # each document's first chunk
-        packed = b.column("places").take(pa.array(docs)).to_pylist()
+        packed = b.column("data").take(pa.array(docs)).to_pylist()
         places = np.concatenate([_unpacked(x, k) for x, k in zip(packed, chunks.tolist(), strict=True)])
-        head_ids, head_at = _numbers(shared.value["ids"].combine_chunks())
+        head_units, head_at = _units(shared.value["ids"].combine_chunks())
         # Rare chunks: every spot of a row of theirs takes that row's ids.
         other = np.flatnonzero(n < 0)
-        spots, spot_at = _numbers(b.column("spots").take(pa.array(other)))
-        rare_ids, rare_at = _numbers(b.column("ids").take(pa.array(other)))
-        of = np.repeat(np.arange(len(other)), np.diff(spot_at))
-        place = base[doc[other]][of] + spots
+        units, at = _units(b.column("data").take(pa.array(other)))
+        times = -n[other]
+        of = np.repeat(np.arange(len(other)), times)
+        place = base[doc[other]][of] + _at(units, at[:-1][of] + 2 * _runs(times), 2)
         source = np.where(places >= 0, places, 0)
         source[place] = of
         common = np.ones(len(places), bool)
         common[place] = False
         size = np.zeros(len(places), np.int64)
-        for own, at in ((common, head_at), (~common, rare_at)):
-            size[own] = (at[1:] - at[:-1])[source[own]]
+        kinds = ((common, head_units, head_at[:-1], np.diff(head_at) // width), (~common, units, at[:-1] + 2 * times, (np.diff(at) - 2 * times) // width))
+        for own, _, _, count in kinds:
+            size[own] = count[source[own]]
         # Where each chunk begins: after the chunks before it, and the end ids of the documents before its own.
         of_doc = np.repeat(np.arange(len(docs)), chunks)
         start = np.cumsum(size) - size + len(last) * of_doc
         length = np.bincount(of_doc, weights=size, minlength=len(docs)).astype(np.int64) + len(last)
         out = np.full(int(length.sum()), last[0] if last else 0, np.int32)
-        for own, ids, at in ((common, head_ids, head_at), (~common, rare_ids, rare_at)):
+        for own, numbers, begin, _ in kinds:
             k = size[own]
-            step = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
-            out[np.repeat(start[own], k) + step] = ids[np.repeat(at[source[own]], k) + step]
+            step = _runs(k)
+            out[np.repeat(start[own], k) + step] = _at(numbers, np.repeat(begin[source[own]], k) + width * step, width)
         bounds = pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32))
         columns = {"id": b.column("id").take(pa.array(docs)), "ids": pa.ListArray.from_arrays(bounds, pa.array(out))}
         if decoded:
             columns["decoded"] = _texts(_processor(model), columns["ids"])
         yield pa.RecordBatch.from_pydict(columns)
 
-    met = both.select("row", "id", "n", "places", "spots", "ids")
-    return _blocks.grouped(met, "row", assembled, f"id {kind}, ids array<int>{', decoded string' if decoded else ''}", 20_000, PACKED_BYTES, then=(F.col("n").desc_nulls_last(),)).withColumnRenamed("id", id_col)
+    return _blocks.grouped(both, "row", assembled, f"id {kind}, ids array<int>{', decoded string' if decoded else ''}", 20_000, PACKED_BYTES, then=(F.col("n").desc(),)).withColumnRenamed("id", id_col)
 
 
 def _texts(sp, column: pa.ListArray) -> pa.Array:

@@ -49,7 +49,8 @@ def test_ids_and_texts_are_the_librarys(spark, rows, model, library):
 
 def test_ids_without_a_head_and_a_head_of_some(spark, rows, model, library, monkeypatch):
     want = sorted(((r[0], library.encode(r[1] or "")) for r in rows), key=repr)
-    for keys in (0, 40):
+    for keys, width in ((0, 1), (40, 2)):
+        monkeypatch.setattr(piece_codec, "_width", lambda model, width=width: width)
         monkeypatch.setattr(piece_codec, "HEAD_KEYS", keys)
         monkeypatch.setattr(piece_codec, "AT_ONCE", 1)
         assert rows_of(piece_codec.encode(frame(spark, rows), model, end=False), "doc_id", "ids") == want
