@@ -31,6 +31,8 @@ from .token_counts import _pretokens, _processor, check_vocabulary
 
 #: Bound of the chunks that are broadcast, with their ids: 48 MB of chunks at most.
 HEAD_KEYS, HEAD_BYTES = 1 << 20, 48
+#: Counts that a task brings together before the shuffle.
+COUNTS = 800_000
 #: Bytes of text (pieces, so many at once), of chunks to segment and of packed documents, and rows to decode, that are worked on at a time.
 TEXT_BYTES, AT_ONCE, KEY_BYTES, PACKED_BYTES, ROWS = 1 << 20, 16, 1 << 19, 1 << 19, 512
 
@@ -57,7 +59,7 @@ def segments(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
                 ids = pa.array([np.array(x[2:], np.uint16 if width == 1 else np.int32).tobytes() for x in found], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("key").cast(pa.binary()), b.column("freq"), ids], ["key", "freq", "ids"])
 
-    return keyed.count_keys(docs, [text_col], keys_of).mapInArrow(segment, "key binary, freq long, ids binary")
+    return keyed.count_keys(docs, [text_col], keys_of, COUNTS).mapInArrow(segment, "key binary, freq long, ids binary")
 
 
 def _places(batch: pa.RecordBatch, head: pa.Array) -> Iterator[tuple[pa.RecordBatch, pa.DictionaryArray, np.ndarray, np.ndarray]]:
@@ -104,7 +106,7 @@ def _runs(count: np.ndarray) -> np.ndarray:
 
 def _packed(places: np.ndarray) -> bytes:
     """32-bit numbers by planes of bytes, compressed: the upper planes are nearly empty."""
-    return pa.compress((places + 1).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True) if len(places) else b""
+    return pa.Codec("zstd", compression_level=5).compress((places + 1).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True) if len(places) else b""
 
 
 def _unpacked(data: bytes, n: int) -> np.ndarray:
