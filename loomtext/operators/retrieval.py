@@ -115,20 +115,27 @@ def bm25_provider(chunks: DataFrame, queries: DataFrame, allowed: Column | None
     return found.select("query_id", F.lit("bm25").alias("provider"), "key", "path", T.base_name(F.col("path")).alias("title"), T.excerpt(F.col("_text"), cfg.excerpt_chars).alias("excerpt"), "score", F.array(F.lit("bm25")).alias("reason_tags"), "rank")
 
 
+#: Bytes of the scores that a task holds at a time: queries of a block by vectors of a batch.
+TILE_BYTES = 32 << 20
+
+
 def _matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, their vectors as a matrix in double precision) for each length of vector; null vectors are left out, null numbers count as 0."""
+    """(rows, their vectors as a matrix in double precision) for each length of vector; null numbers count as 0, null vectors and those with infinite numbers are left out."""
     size = np.where(column.is_valid().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), -1)
     for n in np.unique(size[size >= 0]).tolist():
         rows = np.flatnonzero(size == n)
-        yield rows, np.nan_to_num(column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64), nan=0.0).reshape(len(rows), n)
+        m = np.nan_to_num(column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64), nan=0.0, posinf=np.inf, neginf=-np.inf).reshape(len(rows), n)
+        sound = np.isfinite(m).all(axis=1)
+        yield rows[sound], m[sound]
 
 
 def dense_knn(vectors: DataFrame, queries: DataFrame, limit: int = 24, allowed: Column | None = None, cosine: bool = False, cfg: RetrievalConfig = CONFIG) -> DataFrame:
     """(query_id, key, path, score, rank): the nearest vectors by dot product (or cosine), exact, score mapped to 0..1.
 
     queries(query_id, query_vector), in blocks that are broadcast; paths are filtered before the top is taken. A batch of
-    vectors meets a block of queries in one matrix product, and only each query's best of the batch leave it. Null
-    vectors take no part; of vectors of two lengths the shorter length is multiplied.
+    vectors meets a tile of queries, of bounded bytes, in one matrix product, and only each query's best of the batch
+    leave it. Null vectors and those with infinite numbers take no part, null numbers and NaN count as 0; of vectors of
+    two lengths the shorter length is multiplied.
     """
     v = vectors.where(allowed) if allowed is not None else vectors
     v = v.select("key", "path", "vector").where("vector is not null")
@@ -137,26 +144,28 @@ def dense_knn(vectors: DataFrame, queries: DataFrame, limit: int = 24, allowed:
 
     def scan(q: DataFrame) -> DataFrame:
         asked = q.select("query_id", "query_vector").where("query_vector is not null").toArrow()
-        shared = queries.sparkSession.sparkContext.broadcast((asked["query_id"].combine_chunks(), list(_matrices(asked["query_vector"].combine_chunks())) if len(asked) else []))
+        shared = queries.sparkSession.sparkContext.broadcast((asked["query_id"].combine_chunks(), [(at, m, np.sqrt((m * m).sum(1))) for at, m in _matrices(asked["query_vector"].combine_chunks())] if len(asked) else []))
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, blocks = shared.value
             for b in batches:
-                score = np.full((len(ids), len(b)), -np.inf)
-                for own, a in _matrices(b.column("vector")):
-                    for at, m in blocks:
+                own_blocks = list(_matrices(b.column("vector")))
+                tile = max(1, TILE_BYTES // (8 * max(1, len(b))))
+                for at, m, scale_m in ((at[f : f + tile], m[f : f + tile], s[f : f + tile]) for at, m, s in blocks for f in range(0, len(at), tile)):
+                    score = np.full((len(at), len(b)), -np.inf)
+                    for own, a in own_blocks:
                         n = min(a.shape[1], m.shape[1])
                         s = m[:, :n] @ a[:, :n].T
                         if cosine:
-                            scale = np.outer(np.sqrt((m * m).sum(1)), np.sqrt((a * a).sum(1)))
+                            scale = np.outer(scale_m, np.sqrt((a * a).sum(1)))
                             s = np.where(scale == 0, 0.0, s / np.where(scale == 0, 1.0, scale))
-                        score[np.ix_(at, own)] = s
-                rank = np.round(score, 9)
-                # Ties with the last place stay, too: the order by key is made over all.
-                least = np.partition(rank, -k, axis=1)[:, -k][:, None] if len(b) > k else np.full((len(ids), 1), -np.inf)
-                asks, row = np.nonzero((rank >= least) & (score > -np.inf))
-                row_ = pa.array(row)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(asks)), b.column("key").take(row_), b.column("path").take(row_), pa.array(score[asks, row])], ["query_id", "key", "path", "raw"])
+                        score[:, own] = s
+                    rank = np.round(score, 9)
+                    # Ties with the last place stay, too: the order by key is made over all.
+                    least = np.partition(rank, -k, axis=1)[:, -k][:, None] if len(b) > k else np.full((len(at), 1), -np.inf)
+                    asks, row = np.nonzero((rank >= least) & (score > -np.inf))
+                    row_ = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[asks])), b.column("key").take(row_), b.column("path").take(row_), pa.array(score[asks, row])], ["query_id", "key", "path", "raw"])
 
         return v.mapInArrow(best, f"query_id {kind}, key string, path string, raw double")
 
@@ -281,20 +290,53 @@ def format_hits(hits: DataFrame, with_score: bool = True) -> DataFrame:
     return hits.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda s: s["t"]), "\n\n---\n\n").alias("text"))
 
 
+def _allowed(a: Column, b: Column, maybe: float) -> Column:
+    """Edits that names of lengths a and b may differ by and still be as alike as ``maybe``."""
+    return F.floor((1 - maybe) * F.greatest(a, b) + 1e-9).cast("int")
+
+
+def _segment(length: Column, parts: Column, i: Column) -> tuple[Column, Column]:
+    """Start (from 0) and length of the i-th of so many nearly equal parts of a name."""
+    cut = lambda k: F.floor(k * length / parts).cast("int")
+    return cut(i), cut(i + 1) - cut(i)
+
+
+def alike_names(proposed: DataFrame, known: DataFrame, maybe: float = 0.78) -> DataFrame:
+    """(n, kn, sim) of the pairs of normalised names, proposed(n) and known(kn), with a similarity of at least ``maybe``.
+
+    Names within d edits: of d + 1 parts of the known one at least one stands unchanged in the other, shifted by s with
+    |s| + |difference in length - s| <= d. So parts of known names meet substrings of proposed ones in an equi-join on
+    lengths, part and text, and distances, computed up to d, decide. Frequent parts are keys like others: adaptive
+    execution splits them.
+    """
+    p = proposed.select("n", F.length("n").alias("l")).where("l > 0").distinct()
+    k = known.select("kn", F.length("kn").alias("kl")).where("kl > 0").distinct()
+    lengths = lambda own, other: F.explode(F.sequence(F.ceil(F.col(own) * maybe - 1e-9).cast("int"), F.floor(F.col(own) / maybe + 1e-9).cast("int"))).alias(other)
+    d = _allowed(F.col("l"), F.col("kl"), maybe)
+    begin, size = _segment(F.col("kl"), F.col("d") + 1, F.col("i"))
+    ways = k.select("kn", "kl", lengths("kl", "l")).select("kn", "kl", d.alias("d")).distinct()  # lengths with the same d share their parts
+    ways = ways.select("kn", "kl", "d", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("i"))
+    parts = ways.select("kn", "kl", "d", "i", F.substring("kn", begin + 1, size).alias("part"))
+    asked = p.select("n", "l", lengths("l", "kl")).withColumn("d", d).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d"))))
+    more = F.col("l") - F.col("kl")
+    low, high = F.greatest(F.lit(0), begin - F.floor((F.col("d") - more) / 2).cast("int")), F.least(F.col("l") - size, begin + F.floor((F.col("d") + more) / 2).cast("int"))
+    asked = asked.withColumns({"low": low, "high": high, "size": size}).where("low <= high and size > 0")
+    asked = asked.select("n", "l", "kl", "d", "i", "size", F.explode(F.sequence("low", "high")).alias("at"))
+    asked = asked.select("n", "l", "kl", "d", "i", F.substring("n", F.col("at") + 1, F.col("size")).alias("part")).distinct()
+    met = asked.join(parts, ["kl", "d", "i", "part"]).select("n", "kn", F.greatest("l", "kl").alias("longer"), F.call_function("levenshtein", "n", "kn", "d").alias("edits"))
+    return met.where("edits >= 0").distinct().select("n", "kn", (1 - F.col("edits") / F.col("longer")).alias("sim")).where(F.col("sim") >= maybe)
+
+
 def resolve_names(proposed: DataFrame, known: DataFrame, sure: float = 0.92, maybe: float = 0.78, most: int = 5) -> DataFrame:
-    """(name, resolved, candidates): a known name that is equal when normalised or alike enough, else up to five alike ones.
+    """(name, resolved, candidates): a known name that is equal when normalised or alike enough, else up to ``most`` alike ones.
 
-    Names as alike as ``maybe`` differ in length by at most that share, so lengths join first; equal ones need no comparison.
+    A name that equals a known one needs no comparison; the others meet known names by ``alike_names``.
     """
-    p = proposed.select("name", T.normalize_name(F.col("name")).alias("n")).distinct().withColumn("l", F.length("n"))
-    k = known.select(F.col("name").alias("known"), T.normalize_name(F.col("name")).alias("kn")).where("kn <> ''").withColumn("kl", F.length("kn"))
+    p = proposed.select("name", T.normalize_name(F.col("name")).alias("n")).distinct()
+    k = known.select(F.col("name").alias("known"), T.normalize_name(F.col("name")).alias("kn")).where("kn <> ''")
     exact = p.join(k, F.col("n") == F.col("kn")).groupBy("name").agg(F.min("known").alias("exact"))
-    # A name that a known one equals needs no comparison.
-    lengths = p.where("n <> ''").join(exact, "name", "left_anti").withColumn("kl", F.explode(F.sequence(F.ceil(F.col("l") * maybe).cast("int"), F.floor(F.col("l") / maybe).cast("int"))))
-    # Distances are computed up to the one that ``maybe`` allows; what is above gives -1.
-    most = F.ceil((1 - maybe) * F.greatest("l", "kl")).cast("int")
-    alike = lengths.join(k, "kl").select("name", "known", F.greatest("l", "kl").alias("longer"), F.call_function("levenshtein", "n", "kn", most).alias("d")).where("d >= 0")
-    alike = alike.select("name", "known", (1 - F.col("d") / F.col("longer")).alias("sim")).where(F.col("sim") >= maybe)
+    rest = p.where("n <> ''").join(exact, "name", "left_anti")
+    alike = alike_names(rest, k, maybe).join(rest, "n").join(k.distinct(), "kn").select("name", "known", "sim")
     best = top(alike, most, F.round("sim", 9).desc(), F.col("known"), by="name")
     listed = best.groupBy("name").agg(F.max(F.when(F.col("rank") == 1, F.col("sim"))).alias("sim"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "known"))), lambda s: s["known"]).alias("c"))
     out = p.select("name").join(exact, "name", "left").join(listed, "name", "left")

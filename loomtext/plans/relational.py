@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, context, index, parsing, publish, retrieval, sinks, vault
+from ..operators import chunking, context, folders, index, parsing, publish, retrieval, sinks, stored, vault
 from ..sources import tables as S
-from ..streaming import incremental
+from ..streaming import incremental, log
 from .registry import FILES, NOTES, query, sql_tokens, sql_words
 
 C = F.col
@@ -236,6 +238,29 @@ def bm25_search(spark, d):
     return hits.select("query_id", "key", "path", F.round("score", 6).alias("score"), C("rank").cast("long").alias("rank"))
 
 
+def _stored(spark, d):
+    """The stored index of the documents' chunks, made on first use and again when the files of documents change."""
+    folder, made_of = f"{folders.shared_folder(spark)}/loomtext-index", stored.state_of(S.read(spark, d, "documents"))
+    at = f"{folder}/{made_of}"
+    return stored.load(spark, at, made_of=made_of) or stored.save(_chunks(spark, d), at, made_of=made_of)
+
+
+@query(_BM25 + "SELECT query_id, key, path, round(score, 6) AS score, rank FROM bm WHERE rank <= 24")
+def bm25_stored_index(spark, d):
+    hits = _stored(spark, d).search(S.queries(spark, d))
+    return hits.select("query_id", "key", "path", F.round("score", 6).alias("score"), C("rank").cast("long").alias("rank"))
+
+
+@query(WITH_CHUNKS + _POSTINGS + " SELECT term, count(*) AS df, count(DISTINCT path) AS paths, sum(tf)::BIGINT AS total FROM postings GROUP BY term")
+def stored_postings(spark, d):
+    """The terms of the stored index, from its blocks."""
+    index_ = _stored(spark, d)
+    hits = index_.blocks.select("term", F.explode("hits.doc").alias("doc"))
+    tf = index.postings(index_.chunks).groupBy("term").agg(F.sum("tf").alias("total"))
+    of = hits.join(index_.chunks.select("doc", "path"), "doc").groupBy("term").agg(F.count("*").alias("df"), F.countDistinct("path").alias("paths"))
+    return of.join(tf, "term").select("term", "df", "paths", "total")
+
+
 @query(_BM25 + ", nr AS (SELECT *, score / max(score) OVER (PARTITION BY query_id) AS s FROM bm WHERE rank <= 192), al AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, key) AS r FROM nr WHERE path LIKE 'src1%') SELECT query_id, key, round(s, 6) AS score, r AS rank, md5(CASE WHEN length(text) > 2500 THEN left(text, 2500) || '…' ELSE text END) AS excerpt FROM al JOIN chunks USING (key) WHERE r <= 24")
 def bm25_provider(spark, d):
     hits = retrieval.bm25_provider(_chunks(spark, d), S.queries(spark, d), C("path").startswith("src1"))
@@ -268,6 +293,19 @@ def dense_knn_cosine(spark, d):
     return hits.select("query_id", "key", F.round("score", 6).alias("score"), C("rank").cast("long").alias("rank"))
 
 
+@query(_dense_sql("list_dot_product(q.e, v.e)"))
+def dense_knn_stored(spark, d):
+    """The same from a stored table of vectors, made on first use and again when the files of embeddings change."""
+    made_of = stored.state_of(S.read(spark, d, "embeddings"))
+    at = f"{folders.shared_folder(spark)}/loomtext-vectors/{made_of}"
+    vectors = stored.load_vectors(spark, at, "given", made_of=made_of)
+    if vectors is None:
+        vectors = stored.save_vectors(S.vectors(spark, d), at, "given", made_of=made_of)
+    asked = vectors.where("vec_id % 20 = 0").select(C("vec_id").alias("query_id"), C("vector").alias("query_vector"))
+    hits = retrieval.dense_knn(vectors, asked)
+    return hits.select("query_id", "key", F.least(F.round("score", 6), F.lit(1.0)).alias("score"), C("rank").cast("long").alias("rank"))
+
+
 _HEURISTIC = WITH_FILES + (
     f", hq AS (SELECT item_id AS query_id, ({sql_tokens('text', '[^a-z0-9]+')})[1:24] AS terms FROM benchmark), "
     "hb AS (SELECT query_id, terms, path, basename, content, len(list_filter(terms, lambda t: contains(lower(basename || ' ' || path), t))) AS title_hits, 1 / (1 + greatest(0, 1735689600000 - mtime_ms) / 2592000000.0::DOUBLE) AS rec FROM files, hq WHERE len(terms) > 0), "
@@ -339,21 +377,36 @@ def rerank(spark, d):
 _NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '[-_]+', ' ', 'g'), '[^\\p{{L}}\\p{{N}}\\s]', '', 'g'), '\\s+', ' ', 'g'))"
 
 
-@query(
-    f"WITH p AS (SELECT DISTINCT name, {_NORM.format('name')} AS n FROM (SELECT c_name AS name FROM customer UNION ALL SELECT s_name FROM supplier)), k AS (SELECT s_name AS known, {_NORM.format('s_name')} AS kn FROM supplier), "
-    "ex AS (SELECT name, min(known) AS exact FROM p JOIN k ON n = kn GROUP BY name), "
-    "al AS (SELECT name, known, 1 - levenshtein(n, kn) / greatest(length(n), length(kn)) AS sim FROM p, k WHERE 1 - levenshtein(n, kn) / greatest(length(n), length(kn)) >= 0.78), "
-    "b AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY round(sim, 9) DESC, known) AS r FROM al QUALIFY r <= 5), "
-    "g AS (SELECT name, max(sim) AS sim, list(known ORDER BY r) AS c FROM b GROUP BY name), "
-    "o AS (SELECT p.name, coalesce(exact, CASE WHEN sim >= 0.92 THEN c[1] END) AS resolved, c FROM p LEFT JOIN ex USING (name) LEFT JOIN g USING (name)) "
-    "SELECT name, resolved, CASE WHEN resolved IS NULL THEN coalesce(array_to_string(c, '|'), '') ELSE '' END AS candidates FROM o"
-)
-def fuzzy_resolve(spark, d):
+def _fuzzy_sql(proposed: str) -> str:
+    return (
+        f"WITH p AS (SELECT DISTINCT name, {_NORM.format('name')} AS n FROM ({proposed})), k AS (SELECT s_name AS known, {_NORM.format('s_name')} AS kn FROM supplier), "
+        "ex AS (SELECT name, min(known) AS exact FROM p JOIN k ON n = kn GROUP BY name), "
+        "al AS (SELECT name, known, 1 - levenshtein(n, kn) / greatest(length(n), length(kn)) AS sim FROM p, k WHERE 1 - levenshtein(n, kn) / greatest(length(n), length(kn)) >= 0.78), "
+        "b AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY round(sim, 9) DESC, known) AS r FROM al QUALIFY r <= 5), "
+        "g AS (SELECT name, max(sim) AS sim, list(known ORDER BY r) AS c FROM b GROUP BY name), "
+        "o AS (SELECT p.name, coalesce(exact, CASE WHEN sim >= 0.92 THEN c[1] END) AS resolved, c FROM p LEFT JOIN ex USING (name) LEFT JOIN g USING (name)) "
+        "SELECT name, resolved, CASE WHEN resolved IS NULL THEN coalesce(array_to_string(c, '|'), '') ELSE '' END AS candidates FROM o"
+    )
+
+
+def _resolved(spark, d, proposed):
     known = S.read(spark, d, "supplier").select(C("s_name").alias("name"))
-    proposed = S.read(spark, d, "customer").select(C("c_name").alias("name")).unionByName(known)
     return retrieval.resolve_names(proposed, known).withColumn("candidates", F.array_join("candidates", "|"))
 
 
+@query(_fuzzy_sql("SELECT c_name AS name FROM customer UNION ALL SELECT s_name FROM supplier"))
+def fuzzy_resolve(spark, d):
+    return _resolved(spark, d, S.read(spark, d, "customer").select(C("c_name").alias("name")).unionByName(S.read(spark, d, "supplier").select(C("s_name").alias("name"))))
+
+
+@query(_fuzzy_sql("SELECT unnest([replace(s_name, 'Supplier', 'Splier'), replace(s_name, 'upplier', 'upply') || 'x', s_name || ' jr', replace(s_name, '00', '')]) AS name FROM supplier"))
+def fuzzy_resolve_alike(spark, d):
+    """Misspelt names, most of them alike to many known ones."""
+    s = C("s_name")
+    spelt = F.array(F.replace(s, F.lit("Supplier"), F.lit("Splier")), F.concat(F.replace(s, F.lit("upplier"), F.lit("upply")), F.lit("x")), F.concat(s, F.lit(" jr")), F.replace(s, F.lit("00"), F.lit("")))
+    return _resolved(spark, d, S.read(spark, d, "supplier").select(F.explode(spelt).alias("name")))
+
+
 @query(_BM25 + "SELECT query_id, md5(string_agg('[' || rank || '] ' || bm.path || chr(10) || 'Score: ' || printf('%.3f', score) || ' (bm25)' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS text FROM bm JOIN chunks USING (key) WHERE rank <= 5 GROUP BY query_id")
 def format_hits(spark, d):
     chunks = _chunks(spark, d)
@@ -454,6 +507,19 @@ def incremental_reindex(spark, d):
     return made.select("key", F.md5("text").alias("text"))
 
 
+@query(WITH_CHUNKS + " SELECT key, md5(text) AS text FROM chunks")
+def index_log(spark, d):
+    """The same by a log of changes: an older state, its edits and removals, a compaction, then a rescan of what is there now."""
+    files = S.files(spark, d)
+    folder = f"{folders.shared_folder(spark)}/loomtext-log-{uuid.uuid4().hex}"
+    old = files.withColumn("content", F.when(C("doc_id") % 5 == 0, F.reverse("content")).otherwise(C("content")))
+    log.append(folder, old, index.chunk_table)
+    log.append(folder, files.where("doc_id % 10 = 0"), index.chunk_table, gone=files.where("doc_id % 4 = 1").select("path"))
+    log.compact(spark, folder)
+    log.rescan(folder, files, index.chunk_table)
+    return log.read(spark, folder).select("key", F.md5("text").alias("text"))
+
+
 @query(_STATE + "SELECT f.path AS task_id FROM files f LEFT JOIN state s USING (path) WHERE s.hash IS DISTINCT FROM md5(f.content) OR coalesce(s.failed, false)")
 def retry_failed_only(spark, d):
     tasks = incremental.with_hash(S.files(spark, d)).select(C("path").alias("task_id"), "hash")
@@ -475,6 +541,15 @@ def chunk_file_plan(spark, d):
     return sinks.chunk_file_plan(c, there, overwrite=True)
 
 
+@query(WITH_CHUNKS + ", wanted AS (SELECT doc_id || '-Chunked/' || doc_id || '-CHUNK-' || lpad((chunk_index + 1)::VARCHAR, 3, '0') || '.md' AS path FROM chunks WHERE path LIKE '%/en/%'), e AS (SELECT doc_id || '-Chunked/' || doc_id || '-CHUNK-00' || k || '.md' AS path, lang FROM documents, (SELECT unnest([1, 2]) AS k)), a AS (SELECT CASE WHEN e.path IS NULL THEN 'created' WHEN w.path IS NOT NULL THEN 'overwritten' WHEN lang = 'en' THEN 'deleted' END AS action FROM wanted w FULL JOIN e ON w.path = e.path) SELECT count(*) FILTER (action = 'created') AS created, count(*) FILTER (action = 'overwritten') AS overwritten, 0::BIGINT AS skipped, count(*) FILTER (action = 'deleted') AS deleted FROM a")
+def chunk_file_counts(spark, d):
+    """English documents are chunked anew; files of all documents are there, and those of the others stay."""
+    english = S.files(spark, d).where("path like '%/en/%'").withColumn("base", C("doc_id").cast("string"))
+    c = english.select("base", F.posexplode(chunking.windows(T.words(C("content")))).alias("chunk_index", "c")).select("base", "chunk_index")
+    there = S.read(spark, d, "documents").select(F.explode(F.array(*[F.format_string(f"%d-Chunked/%d-CHUNK-00{k}.md", "doc_id", "doc_id") for k in (1, 2)])).alias("path"))
+    return sinks.plan_counts(sinks.chunk_file_plan(c, there, True, english))
+
+
 @query("SELECT coalesce(s_name, c_name) AS name, CASE WHEN c_name IS NULL THEN 'note' WHEN s_name IS NULL THEN '# ' || c_name || chr(10) || chr(10) || '## Jan 1 - Update' || chr(10) || chr(10) || c_mktsegment || chr(10) ELSE 'note' || chr(10) || chr(10) || '## Jan 1 - Update' || chr(10) || chr(10) || c_mktsegment || chr(10) END AS content FROM supplier FULL JOIN customer ON replace(c_name, 'Customer', 'Supplier') = s_name".replace("CASE WHEN c_name", "CASE WHEN c_name").replace("coalesce(s_name, c_name)", "coalesce(s_name, replace(c_name, 'Customer', 'Supplier'))").replace("'# ' || c_name", "'# ' || replace(c_name, 'Customer', 'Supplier')"))
 def apply_note_updates(spark, d):
     notes = S.read(spark, d, "supplier").select(C("s_name").alias("name"), F.lit("note").alias("content"))
