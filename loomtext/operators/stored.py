@@ -21,6 +21,8 @@ from .retrieval import CONFIG, by_score, top
 
 #: Chunk numbers that a block covers; folders of terms; files of such a folder at least, on large inputs.
 SPAN, PARTS, FILES = 256, 64, 4
+#: Tables in folders by part; without rows they have no files to take a schema from.
+POSTINGS, TERMS = "term string, span long, n long, most double, hits array<struct<doc:long,w:double>>, part int", "term string, df long, part int"
 #: Spans of a query that are scored first, for the score of its last place.
 FIRST = 8
 
@@ -54,22 +56,19 @@ class Postings:
     def __init__(self, spark: SparkSession, at: str, head: dict):
         self.spark, self.at, self.head = spark, at, head
 
-    def _read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.at}/{table}")
-
     @property
     def chunks(self) -> DataFrame:
-        return self._read("chunks")
+        return self.spark.read.parquet(f"{self.at}/chunks")
 
     @property
     def blocks(self) -> DataFrame:
         """(part, term, span, n, most, hits): the chunks of a span that hold the term, and their largest weight."""
-        return self._read("postings")
+        return self.spark.read.schema(POSTINGS).parquet(f"{self.at}/postings")
 
     @property
     def terms(self) -> DataFrame:
         """(part, term, df)."""
-        return self._read("terms")
+        return self.spark.read.schema(TERMS).parquet(f"{self.at}/terms")
 
     def asked(self, queries: DataFrame, cfg: RetrievalConfig = CONFIG) -> DataFrame:
         """(query_id, part, term, idf) of the queries' terms that the index holds; only their folders are read."""
@@ -118,7 +117,7 @@ def save(chunks: DataFrame, folder: str, cfg: RetrievalConfig = CONFIG, parts: i
     blocks = counted.groupBy("term", "span").agg(F.count("*").alias("n"), F.max("w").alias("most"), F.sort_array(F.collect_list("hit")).alias("hits"))
     blocks = blocks.withColumn("part", _part(F.col("term"), parts))
     blocks.repartition("part", F.pmod("span", F.lit(FILES))).sortWithinPartitions("part", "term", "span").write.partitionBy("part").parquet(f"{at}/postings")
-    terms = spark.read.parquet(f"{at}/postings").groupBy("part", "term").agg(F.sum("n").alias("df")) if stats["n_chunks"] else spark.createDataFrame([], "part int, term string, df long")
+    terms = spark.read.schema(POSTINGS).parquet(f"{at}/postings").groupBy("part", "term").agg(F.sum("n").alias("df"))
     terms.repartition("part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{at}/terms")
     _head(spark, at, parts=parts, k1=cfg.bm25_k1, b=cfg.bm25_b, **stats, **settings)
     return load(spark, folder, cfg, **settings)
