@@ -6,6 +6,7 @@ places so that the order of sums doesn't matter, then by key.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..config import RetrievalConfig
 from ..functions import numeric as N
 from ..functions import text as T
+from . import folders
 from .index import chunk_lengths, corpus_stats, postings
 
 CONFIG = RetrievalConfig()
@@ -47,35 +49,78 @@ def by_score(c: str = "score") -> Column:
     return F.round(F.col(c), 9).desc()
 
 
+def _trigrams(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2)), lambda i: F.substring(text, i, F.lit(3))))
+
+
+def name_hits(names: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, path) of the names(path, base) that contain a term of at least three characters; terms(term), distinct.
+
+    Names are posted under their trigrams; a term looks up its rarest one only, and what it finds there is compared.
+    """
+    posted = names.select("path", "base", F.explode(_trigrams(F.col("base"))).alias("gram"))
+    counted = posted.groupBy("gram").agg(F.count("*").alias("n"))
+    grams = terms.select("term", F.explode(_trigrams(F.col("term"))).alias("gram")).join(counted, "gram", "left")
+    rarest = grams.groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return rarest.join(posted, "gram").where(F.contains(F.col("base"), F.col("term"))).select("term", "path")
+
+
+def _candidates(meta: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, path) of all files that can be among a query's k best by name, age and place.
+
+    Those are the files whose name has one of its terms; the active file; the k newest under the active file's folder; and
+    the k newest of all, at most k paths, which go into the plan: every other file has as many before it.
+    """
+    hits = name_hits(meta, queries.select(F.explode("terms").alias("term")).distinct())
+    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    newest = by_score("half"), F.col("path")
+    aged = meta.select("path", (0.5 * F.col("recency")).alias("half"))
+    recent = [r["path"] for r in aged.orderBy(*newest).limit(k).collect()]
+    out = asked.join(hits, "term").select("query_id", "path")
+    if recent:
+        out = out.unionByName(queries.select("query_id", F.explode(F.lit(recent)).alias("path")))
+    if dict(queries.dtypes)["active_path"] == "string":
+        active = queries.where("active_path is not null").select("query_id", "active_path", T.parent_path(F.col("active_path")).alias("dir"))
+        sizes = [r["n"] for r in active.where("dir <> ''").select(F.length("dir").alias("n")).distinct().collect()]  # lengths of paths, a few hundred at most
+        out = out.unionByName(active.select("query_id", F.col("active_path").alias("path")))
+        if sizes:
+            below = aged.withColumn("n", F.explode(F.lit(sizes))).where(F.length("path") >= F.col("n")).select("path", "half", F.left("path", F.col("n")).alias("dir"))
+            below = top(below.join(active.select("dir").distinct(), "dir"), k, *newest, by="dir")
+            out = out.unionByName(active.select("query_id", "dir").join(below.select("dir", "path"), "dir").select("query_id", "path"))
+    return out.distinct()
+
+
 def heuristic_search(files: DataFrame, queries: DataFrame, as_of: Column, limit: int = 24, cfg: RetrievalConfig = CONFIG) -> DataFrame:
-    """Hits of a scan that scores names, age and place of all files, then reads the best of them.
+    """Hits of a scan that scores files by name, age and place, then reads the best of them.
 
-    queries(query_id, text[, active_path]). The contents are joined back for the candidates only.
+    queries(query_id, text[, active_path]). Only files that can be among a query's best are scored (``_candidates``); the
+    contents are joined back once to count terms and once, for the hits, to cut excerpts.
     """
     if "active_path" not in queries.columns:
-        queries = queries.withColumn("active_path", F.lit(None).cast("string"))
+        queries = queries.withColumn("active_path", F.lit(None))
     terms = F.slice(T.tokens(F.col("text"), T.ASCII_SPLIT), 1, cfg.query_terms)
     queries = queries.select("query_id", terms.alias("terms"), "active_path").where(F.size("terms") > 0)
     meta = files.select("path", F.col("basename").alias("title"), F.lower(F.concat_ws(" ", "basename", "path")).alias("base"), T.recency(F.col("mtime"), as_of).alias("recency"))
-
-    def scan(q: DataFrame) -> DataFrame:
-        near = F.when(F.col("path") == F.col("active_path"), 0.75).otherwise(0.0) + F.when(F.col("active_path").isNotNull() & F.col("path").startswith(T.parent_path(F.col("active_path"))), 0.15).otherwise(0.0)
-        hits = F.size(F.filter("terms", lambda t: F.contains(F.col("base"), t)))
-        scored = meta.join(F.broadcast(q)).withColumn("title_hits", hits).withColumn("base_score", F.col("title_hits") + 0.5 * F.col("recency") + near)
-        return top(scored.select("query_id", "path", "title", "title_hits", "base_score"), min(cfg.metadata_candidates, cfg.content_candidates), by_score("base_score"), F.col("path")).drop("rank")
+    k = min(cfg.metadata_candidates, cfg.content_candidates)
+    active = F.col("active_path").cast("string")
+    near = F.when(F.col("path") == active, 0.75).otherwise(0.0) + F.when(active.isNotNull() & F.col("path").startswith(T.parent_path(active)), 0.15).otherwise(0.0)
+    hits = F.size(F.filter("terms", lambda t: F.contains(F.col("base"), t)))
+    scored = _candidates(meta, queries, k).join(meta, "path").join(queries, "query_id").withColumn("title_hits", hits).withColumn("base_score", F.col("title_hits") + 0.5 * F.col("recency") + near)
+    found = top(scored.select("query_id", "path", "title", "title_hits", "base_score"), k, by_score("base_score"), F.col("path")).drop("rank")
 
     # Lower case is made below the join: once a file, not once a term.
-    found = query_blocks(queries, scan).join(queries.select("query_id", "terms"), "query_id").join(files.select("path", "content", F.lower("content").alias("low")), "path")
+    found = found.join(queries.select("query_id", "terms"), "query_id").join(files.select("path", F.lower("content").alias("low")), "path")
     low = F.col("low")
-    times = lambda t: ((F.length(low) - F.length(F.replace(low, t, F.lit("")))) / F.length(t)).cast("long")
-    found = found.withColumn("tf", F.aggregate("terms", F.lit(0).cast("long"), lambda s, t: s + times(t)))
-    first = F.get(F.filter("terms", lambda t: F.contains(low, t)), F.lit(0))
+    times = lambda t: ((F.octet_length(low) - F.octet_length(F.replace(low, t, F.lit("")))) / F.octet_length(t)).cast("long")
+    held = F.filter("terms", lambda t: F.contains(low, t))
+    found = found.withColumn("held", held).withColumn("tf", F.aggregate("held", F.lit(0).cast("long"), lambda s, t: s + times(t)))
     score = F.least(F.lit(1.0), F.col("base_score") / 6 + F.least(F.lit(1.0), F.col("tf") / cfg.query_terms) * 0.7)
     tags = F.array_compact(F.array(F.when(F.col("title_hits") > 0, "titleMatch"), F.when(F.col("tf") > 0, "textMatch")))
-    text = F.when(first.isNotNull(), T.snippet(F.col("content"), first, cfg.excerpt_chars)).otherwise(F.left("content", F.lit(cfg.excerpt_chars)))
-    out = found.select((F.col("tf") + F.col("title_hits") > 0).alias("hit"), "query_id", F.lit("heuristic").alias("provider"), F.concat(F.lit("file:"), F.col("path")).alias("key"), "path", "title", text.alias("excerpt"), score.alias("score"), tags.alias("reason_tags"))
+    out = found.select((F.col("tf") + F.col("title_hits") > 0).alias("hit"), "query_id", F.lit("heuristic").alias("provider"), F.concat(F.lit("file:"), F.col("path")).alias("key"), "path", "title", F.get("held", F.lit(0)).alias("first"), score.alias("score"), tags.alias("reason_tags"))
     # Hits rank before the rest, which then goes: a filter above would be evaluated a second time in the join.
-    return top(out, limit, F.col("hit").desc(), by_score(), F.col("key")).where("hit").drop("hit")
+    out = top(out, limit, F.col("hit").desc(), by_score(), F.col("key")).where("hit").join(files.select("path", "content"), "path")
+    text = F.when(F.col("first").isNotNull(), T.snippet(F.col("content"), F.col("first"), cfg.excerpt_chars)).otherwise(F.left("content", F.lit(cfg.excerpt_chars)))
+    return out.withColumn("excerpt", text).select(*HIT, "rank")
 
 
 def bm25_scores(chunks: DataFrame, queries: DataFrame, cfg: RetrievalConfig = CONFIG, terms_table: DataFrame | None = None) -> DataFrame:
@@ -105,9 +150,13 @@ def bm25_search(chunks: DataFrame, queries: DataFrame, limit: int = 24, cfg: Ret
     return top(bm25_scores(chunks, queries, cfg), max(1, min(cfg.bm25_cap, limit)), by_score(), F.col("key"))
 
 
-def bm25_provider(chunks: DataFrame, queries: DataFrame, allowed: Column | None = None, limit: int = 24, cfg: RetrievalConfig = CONFIG) -> DataFrame:
-    """BM25 hits: scores over the query's best, then the path filter, then the limit."""
-    found = bm25_search(chunks, queries, min(cfg.bm25_cap, 8 * limit), cfg)
+def bm25_provider(chunks: DataFrame, queries: DataFrame, allowed: Column | None = None, limit: int = 24, cfg: RetrievalConfig = CONFIG, search: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """BM25 hits: scores over the query's best, then the path filter, then the limit.
+
+    search: what finds (queries, limit) among the chunks, such as the ``search`` of a stored index; by default the chunks are read.
+    """
+    n = min(cfg.bm25_cap, 8 * limit)
+    found = search(queries, n) if search else bm25_search(chunks, queries, n, cfg)
     best = F.max("score").over(Window.partitionBy("query_id"))
     found = found.withColumn("score", N.clamp01(F.when(best > 0, F.col("score") / best).otherwise(0.0))).drop("rank")
     found = found.where(allowed) if allowed is not None else found
@@ -282,6 +331,39 @@ def hybrid(batches: list[DataFrame], limit: int = 24, vectors: DataFrame | None
     return top(picked.drop("rank"), limit, by_score(), F.col("key"))
 
 
+ERRORS = "provider string, location string, message string"
+
+
+def run_providers(providers: dict[str, Callable[[DataFrame], DataFrame]], queries: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """The batches of hits of the providers that found any, and a table of errors (provider, location, message).
+
+    Each provider runs on its own into a table in the shared folder; one that fails, in the plan or on an executor, gives
+    no hits and an error, and the others go on.
+    """
+    spark, base = queries.sparkSession, f"{folders.shared_folder(queries.sparkSession)}/loomtext-hits-{uuid.uuid4().hex}"
+    batches, errors = [], []
+    for k, (name, run) in enumerate(providers.items()):
+        try:
+            found = run(queries).select(*HIT)
+            found.write.parquet(f"{base}/{k}")
+            batch = spark.read.schema(found.schema).parquet(f"{base}/{k}")
+            if not batch.isEmpty():
+                batches.append(batch)
+        except Exception as e:  # whatever a provider raises is its own failure
+            folders.delete(spark, f"{base}/{k}")
+            errors.append((name, type(e).__name__, (str(e).splitlines() or [""])[0][:500]))
+    return batches, spark.createDataFrame(errors, ERRORS)
+
+
+def hybrid_of(providers: dict[str, Callable[[DataFrame], DataFrame]], queries: DataFrame, limit: int = 24, vectors: DataFrame | None = None, cfg: RetrievalConfig = CONFIG) -> tuple[DataFrame, DataFrame]:
+    """``hybrid`` of the providers that work, and the errors of those that don't; without any hits an empty table."""
+    batches, errors = run_providers(providers, queries)
+    if not batches:
+        kind = queries.schema["query_id"].dataType.simpleString()
+        return queries.sparkSession.createDataFrame([], f"query_id {kind}, provider string, key string, path string, title string, excerpt string, score double, reason_tags array<string>, rank int"), errors
+    return hybrid(batches, limit, vectors, cfg), errors
+
+
 def format_hits(hits: DataFrame, with_score: bool = True) -> DataFrame:
     """(query_id, text): numbered hits in order of rank."""
     head = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("path"), F.lit("\n"))

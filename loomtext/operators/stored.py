@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 from ..config import RetrievalConfig
 from ..functions import text as T
 from . import folders
-from .retrieval import CONFIG, by_score, top
+from .retrieval import CONFIG, by_score, query_blocks, top
 
-#: Chunk numbers that a block covers; folders of terms; files of such a folder at least, on large inputs.
-SPAN, PARTS, FILES = 256, 64, 4
+#: Chunk numbers that a block covers; folders of terms, each of as many files as Spark's rebalancing makes of it.
+SPAN, PARTS = 256, 16
 #: Tables in folders by part; without rows they have no files to take a schema from.
 POSTINGS, TERMS = "term string, span long, n long, most double, hits array<struct<doc:long,w:double>>, part int", "term string, df long, part int"
-#: Spans of a query that are scored first, for the score of its last place.
-FIRST = 8
+#: Spans of a query that are scored first, for the score of its last place; pairs of query and span that are broadcast (16 bytes each).
+FIRST, FEW = 8, 1 << 18
 
 
 def _new(spark: SparkSession, folder: str) -> str:
@@ -82,26 +82,35 @@ class Postings:
         parts = [r["part"] for r in asked.select("part").distinct().collect()]  # at most as many as there are folders
         return table.where(F.col("part").isin(parts))
 
-    def _scores(self, spans: DataFrame, asked: DataFrame, blocks: DataFrame) -> DataFrame:
-        """(query_id, doc, score) of all chunks in spans(query_id, span)."""
-        held = spans.join(asked, "query_id").join(blocks.select("part", "term", "span", "hits"), ["part", "term", "span"])
-        hits = held.select("query_id", "idf", F.explode("hits").alias("h"))
+    @staticmethod
+    def _scores(held: DataFrame, spans: DataFrame) -> DataFrame:
+        """(query_id, doc, score) of all chunks in spans(query_id, span), of the queries' blocks."""
+        hits = held.join(spans, ["query_id", "span"]).select("query_id", "idf", F.explode("hits").alias("h"))
         return hits.groupBy("query_id", F.col("h.doc").alias("doc")).agg(F.sum(F.col("idf") * F.col("h.w")).alias("score"))
 
     def search(self, queries: DataFrame, limit: int = 24, cfg: RetrievalConfig = CONFIG) -> DataFrame:
-        """(query_id, key, path, score, rank): what ``bm25_search`` gives over the index's chunks. queries(query_id, text)."""
+        """(query_id, key, path, score, rank): what ``bm25_search`` gives over the index's chunks. queries(query_id, text).
+
+        A block of queries has a bounded number of terms, which are broadcast to the blocks of postings; so are the spans
+        to be scored if they are few, else both sides are shuffled by query and span.
+        """
         k = max(1, min(cfg.bm25_cap, limit))
-        asked = self.asked(queries, cfg)
-        blocks = self._within(self.blocks, asked)
-        bounds = asked.join(blocks.select("part", "term", "span", "most"), ["part", "term"]).groupBy("query_id", "span").agg(F.sum(F.col("idf") * F.col("most")).alias("bound"))
-        first = top(bounds, FIRST, F.col("bound").desc(), F.col("span")).select("query_id", "span")
-        last = top(self._scores(first, asked, blocks), k, F.col("score").desc()).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-        # Sums in another order differ in the last places, and ranks go by nine of them.
-        open_ = bounds.join(last, "query_id", "left").where((F.coalesce("n", F.lit(0)) < k) | (F.col("bound") >= F.col("least") - 1e-6)).select("query_id", "span")
-        scored = self._scores(open_, asked, blocks)
-        place = F.rank().over(Window.partitionBy("query_id").orderBy(by_score()))  # ties of the last place meet their keys below
-        best = scored.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
-        return top(best.join(self.chunks.select("doc", "key", "path"), "doc").select("query_id", "key", "path", "score"), k, by_score(), F.col("key"))
+
+        def run(q: DataFrame) -> DataFrame:
+            asked = self.asked(q, cfg)
+            held = self._within(self.blocks, asked).join(F.broadcast(asked), ["part", "term"])
+            bounds = held.groupBy("query_id", "span").agg(F.sum(F.col("idf") * F.col("most")).alias("bound"))
+            first = top(bounds, FIRST, F.col("bound").desc(), F.col("span")).select("query_id", "span")  # at most FIRST * QUERY_BLOCK rows
+            last = top(self._scores(held, F.broadcast(first)), k, F.col("score").desc()).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+            # Sums in another order differ in the last places, and ranks go by nine of them.
+            left = bounds.join(last, "query_id", "left").where((F.coalesce("n", F.lit(0)) < k) | (F.col("bound") >= F.col("least") - 1e-6)).select("query_id", "span")
+            few = left.limit(FEW + 1).toArrow()
+            left = F.broadcast(self.spark.createDataFrame(few, left.schema)) if len(few) <= FEW else left
+            place = F.rank().over(Window.partitionBy("query_id").orderBy(by_score()))  # ties of the last place meet their keys below
+            best = self._scores(held, left).withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
+            return top(best.join(self.chunks.select("doc", "key", "path"), "doc").select("query_id", "key", "path", "score"), k, by_score(), F.col("key"))
+
+        return query_blocks(queries, run)
 
 
 def save(chunks: DataFrame, folder: str, cfg: RetrievalConfig = CONFIG, parts: int = PARTS, **settings) -> Postings:
@@ -116,9 +125,9 @@ def save(chunks: DataFrame, folder: str, cfg: RetrievalConfig = CONFIG, parts: i
     counted = counted.select("term", F.floor(F.col("doc") / SPAN).alias("span"), F.struct("doc", weight.alias("w")).alias("hit"), weight.alias("w"))
     blocks = counted.groupBy("term", "span").agg(F.count("*").alias("n"), F.max("w").alias("most"), F.sort_array(F.collect_list("hit")).alias("hits"))
     blocks = blocks.withColumn("part", _part(F.col("term"), parts))
-    blocks.repartition("part", F.pmod("span", F.lit(FILES))).sortWithinPartitions("part", "term", "span").write.partitionBy("part").parquet(f"{at}/postings")
+    blocks.hint("rebalance", "part").sortWithinPartitions("part", "term", "span").write.partitionBy("part").parquet(f"{at}/postings")
     terms = spark.read.schema(POSTINGS).parquet(f"{at}/postings").groupBy("part", "term").agg(F.sum("n").alias("df"))
-    terms.repartition("part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{at}/terms")
+    terms.hint("rebalance", "part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{at}/terms")
     _head(spark, at, parts=parts, k1=cfg.bm25_k1, b=cfg.bm25_b, **stats, **settings)
     return load(spark, folder, cfg, **settings)
 

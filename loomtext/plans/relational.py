@@ -263,7 +263,8 @@ def stored_postings(spark, d):
 
 @query(_BM25 + ", nr AS (SELECT *, score / max(score) OVER (PARTITION BY query_id) AS s FROM bm WHERE rank <= 192), al AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, key) AS r FROM nr WHERE path LIKE 'src1%') SELECT query_id, key, round(s, 6) AS score, r AS rank, md5(CASE WHEN length(text) > 2500 THEN left(text, 2500) || '…' ELSE text END) AS excerpt FROM al JOIN chunks USING (key) WHERE r <= 24")
 def bm25_provider(spark, d):
-    hits = retrieval.bm25_provider(_chunks(spark, d), S.queries(spark, d), C("path").startswith("src1"))
+    held = _stored(spark, d)
+    hits = retrieval.bm25_provider(held.chunks, S.queries(spark, d), C("path").startswith("src1"), search=held.search)
     return hits.select("query_id", "key", F.round("score", 6).alias("score"), C("rank").cast("long").alias("rank"), F.md5("excerpt").alias("excerpt"))
 
 
@@ -327,9 +328,9 @@ def heuristic_search(spark, d):
 
 
 def _united(spark, d):
-    chunks = _chunks(spark, d)
+    held = _stored(spark, d)
     cols = list(retrieval.HIT)
-    lexical = retrieval.bm25_provider(chunks, S.queries(spark, d)).select(*cols, F.lit(0).alias("provider_ord"))
+    lexical = retrieval.bm25_provider(held.chunks, S.queries(spark, d), search=held.search).select(*cols, F.lit(0).alias("provider_ord"))
     return lexical.unionByName(_heuristic(spark, d).select(*cols, F.lit(1).alias("provider_ord")))
 
 
@@ -352,16 +353,30 @@ def mmr_select(spark, d):
 
 @query()
 def hybrid_search(spark, d):
-    """The default pair of providers: the heuristic scan and nearest vectors of hashed words, fused and diversified."""
+    """The default pair of providers: the heuristic scan and nearest vectors of hashed words, fused and diversified.
+
+    Chunks and their vectors are those of the stored index, so each text is embedded once.
+    """
     from ..operators.embed import hashed_bag_of_words
 
-    chunks = _chunks(spark, d)
-    v = chunks.select("key", "path", "text", hashed_bag_of_words(C("text")).alias("vector"))
+    held = _stored(spark, d)
+    at, settings = f"{held.at}-vectors", {"made_of": held.head["made_of"]}
+    v = stored.load_vectors(spark, at, "hashed words", **settings)
+    if v is None:
+        v = stored.save_vectors(held.chunks.select("key", "path", T.excerpt(C("text")).alias("excerpt"), hashed_bag_of_words(C("text")).alias("vector")), at, "hashed words", **settings)
     near = retrieval.dense_knn(v, S.queries(spark, d).select("query_id", hashed_bag_of_words(C("text")).alias("query_vector")), 192)
-    near = near.join(chunks.select("key", "text"), "key").select("query_id", F.lit("semantic").alias("provider"), "key", "path", T.base_name(C("path")).alias("title"), T.excerpt(C("text")).alias("excerpt"), "score", F.array(F.lit("semantic")).alias("reason_tags"))
+    near = near.join(v.select("key", "excerpt"), "key").select("query_id", F.lit("semantic").alias("provider"), "key", "path", T.base_name(C("path")).alias("title"), "excerpt", "score", F.array(F.lit("semantic")).alias("reason_tags"))
     return retrieval.hybrid([_heuristic(spark, d, 192), near], 24, v.select("key", "vector"))
 
 
+@query(_HEURISTIC + "SELECT query_id, key, round(score, 6) AS score, rank, 1::BIGINT AS errors FROM he WHERE rank <= 24")
+def hybrid_one_provider_fails(spark, d):
+    """The heuristic scan beside a provider that fails on the executors: its hits, sorted only, and the number of errors."""
+    broken = lambda q: q.select("query_id", *[F.raise_error(F.lit("no model")).cast("string").alias(c) for c in retrieval.HIT[1:]])
+    hits, errors = retrieval.hybrid_of({"heuristic": lambda q: _heuristic(spark, d), "semantic": broken}, S.queries(spark, d))
+    return hits.select("query_id", "key", F.round("score", 6).alias("score"), C("rank").cast("long").alias("rank"), F.lit(errors.count()).cast("long").alias("errors"))
+
+
 @query(
     _BM25
     + f", nr AS (SELECT query_id, key, path, score / max(score) OVER (PARTITION BY query_id) AS s FROM bm WHERE rank <= 192), sl AS (SELECT * FROM nr QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, key) <= 60), "
@@ -370,7 +385,8 @@ def hybrid_search(spark, d):
     "SELECT query_id, key, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, round(old, 9) DESC, key) AS rank FROM rs QUALIFY rank <= 12"
 )
 def rerank(spark, d):
-    hits = retrieval.bm25_provider(_chunks(spark, d), S.queries(spark, d), limit=60)
+    held = _stored(spark, d)
+    hits = retrieval.bm25_provider(held.chunks, S.queries(spark, d), limit=60, search=held.search)
     return retrieval.rerank(hits, S.queries(spark, d), 12).select("query_id", "key", F.round("score", 6).alias("score"), C("rank").cast("long").alias("rank"))
 
 
@@ -531,6 +547,13 @@ def latest_request_wins(spark, d):
     return incremental.latest_wins(S.read(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
 
 
+@query("SELECT user_id AS run_id, max(event_id) AS seq, arg_max(value, event_id) FILTER (event_type = 'click' AND value IS NOT NULL) AS started, arg_max(props, event_id) FILTER (event_type = 'purchase' AND props IS NOT NULL) AS finished FROM events GROUP BY user_id")
+def run_log_merged(spark, d):
+    """Events as starts and finishes of runs, merged by run."""
+    e = S.read(spark, d, "events").select(C("user_id").alias("run_id"), C("event_id").alias("seq"), F.when(C("event_type") == "click", C("value")).alias("started"), F.when(C("event_type") == "purchase", C("props")).alias("finished"))
+    return incremental.merge_events(e, "run_id", "seq")
+
+
 # File plans
 
 

@@ -43,6 +43,13 @@ def latest_wins(requests: DataFrame, key: str, seq: str) -> DataFrame:
     return requests.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(seq, *[c for c in rest if c != seq])).alias("_r")).select(key, "_r.*")
 
 
+def merge_events(events: DataFrame, key: str, seq: str) -> DataFrame:
+    """One row of each key: of every other column the last value by seq that isn't null. So a run's finish adds to its start."""
+    rest = [c for c in events.columns if c not in (key, seq)]
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(c) for c in rest]
+    return events.groupBy(key).agg(F.max(seq).alias(seq), *last)
+
+
 def stream_index(files: DataFrame, folder: str, checkpoint: str, chunk: Callable[[DataFrame], DataFrame]):
     """A started query that keeps folder/v<batch> the index of all files seen, for a streaming frame of files(path, content).
 

@@ -91,6 +91,77 @@ def test_dense_tiles_and_odd_numbers(spark, monkeypatch):
     assert hits(retrieval.dense_knn(v, q, 3)) == want
 
 
+# The heuristic scan and providers
+
+
+def scanned(rows, queries, as_of_ms, most=120, limit=24):
+    import re
+    from decimal import ROUND_HALF_UP, Decimal
+
+    nine = lambda x: float(Decimal(repr(x)).quantize(Decimal("1e-9"), ROUND_HALF_UP))
+    stop = set(retrieval.T.STOP_WORDS)
+    out = []
+    for q, text, active in queries:
+        terms = [t for t in re.split("[^a-z0-9]+", text.lower()) if len(t) >= 3 and t not in stop][:24]
+        if not terms:
+            continue
+        cand = []
+        for path, name, mtime, content in rows:
+            title = sum(t in f"{name} {path}".lower() for t in terms)
+            base = title + 0.5 / (1 + max(0, as_of_ms - mtime) / 2592e6) + (0.75 if path == active else 0) + (0.15 if active is not None and path.startswith(active.rpartition("/")[0]) else 0)
+            cand.append((-nine(base), path, base, title, content.lower()))
+        found = []
+        for _, path, base, title, low in sorted(cand)[:most]:
+            tf = sum(low.count(t) for t in terms)
+            if tf or title:
+                found.append((-nine(min(1.0, base / 6 + 0.7 * min(1.0, tf / 24))), f"file:{path}"))
+        out += [(q, k + 1, key) for k, (_, key) in enumerate(sorted(found)[:limit])]
+    return sorted(out)
+
+
+def test_scan_of_candidates_is_the_scan_of_all(spark):
+    import datetime
+
+    rng = random.Random(4)
+    part = lambda: rng.choice(["ab", "abc", "notes", "dragon", "Keep", "zed9"])
+    rows = sorted({f"{part()}/{part()}{rng.randint(0, 3)}/{part()}-{i}.md": 0 for i in range(400)} | {f"root{i}.md": 0 for i in range(5)})
+    rows = [(p, p.rpartition("/")[2][:-3], 1_700_000_000_000 - rng.randint(0, 400) * 86_400_000, " ".join(part() for _ in range(rng.randint(0, 40)))) for p in rows]
+    queries = [(1, "the Dragon keep dragon", None), (2, "zed9 nowhere", rows[7][0]), (3, "notes", "root1.md"), (4, "ab", None), (5, "qqq", "abc/gone.md"), (6, "abc", "ab/x"), (7, "unseen words only", None)]
+    files = spark.createDataFrame([(p, n, datetime.datetime.fromtimestamp(m / 1000, datetime.timezone.utc), c) for p, n, m, c in rows], "path string, basename string, mtime timestamp, content string")
+    asked = spark.createDataFrame(queries, "query_id long, text string, active_path string")
+    as_of = F.timestamp_millis(F.lit(1_700_000_000_000))
+    got = retrieval.heuristic_search(files, asked, as_of)
+    assert sorted((r["query_id"], r["rank"], r["key"]) for r in got.collect()) == scanned(rows, queries, 1_700_000_000_000)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert retrieval.heuristic_search(files.limit(0), asked, as_of).count() == 0
+
+
+def test_a_failing_provider_leaves_the_others(spark):
+    asked = spark.createDataFrame([(1, "x")], "query_id long, text string")
+    one = lambda name, n: lambda q: q.select("query_id", F.lit(name).alias("provider"), F.explode(F.array(*[F.lit(f"{name}{i}") for i in range(n)])).alias("key")).select("*", *[F.lit("t").alias(c) for c in ("path", "title", "excerpt")], (1 / (1 + F.length("key"))).alias("score"), F.array(F.lit(name)).alias("reason_tags"))
+
+    def raising(q):
+        raise ValueError("not set up\nmore")
+
+    broken = lambda q: one("b", 2)(q).withColumn("path", F.raise_error(F.lit("lost")).cast("string"))
+    hits, errors = retrieval.hybrid_of({"a": one("a", 3), "r": raising, "b": broken, "none": lambda q: one("n", 1)(q).limit(0)}, asked)
+    assert [r["key"] for r in hits.orderBy("rank").collect()] == ["a0", "a1", "a2"] and hits.first()["provider"] == "a"
+    assert [(r["provider"], r["message"]) for r in errors.where("provider = 'r'").collect()] == [("r", "not set up")] and errors.count() == 2
+    both, errors = retrieval.hybrid_of({"a": one("a", 3), "c": one("c", 2)}, asked)
+    assert {r["key"] for r in both.collect()} == {"a0", "a1", "a2", "c0", "c1"} and errors.count() == 0
+    none, errors = retrieval.hybrid_of({"r": raising}, asked)
+    assert none.count() == 0 and errors.count() == 1
+
+
+def test_a_finish_adds_to_its_start(spark):
+    from loomtext.streaming import incremental
+
+    e = spark.createDataFrame([("r1", 1, "chapter", None, None), ("r1", 2, None, "ok", 5), ("r2", 3, "micro", None, None), ("r1", 4, None, None, 7)], "run string, seq int, mode string, status string, chars int")
+    got = {r["run"]: (r["seq"], r["mode"], r["status"], r["chars"]) for r in incremental.merge_events(e, "run", "seq").collect()}
+    assert got == {"r1": (4, "chapter", "ok", 7), "r2": (3, "micro", None, None)}
+
+
 # The index by log
 
 
