@@ -29,8 +29,8 @@ from . import _blocks, _spark, keyed
 from ._text import flat, pieces
 from .token_counts import _pretokens, _processor, check_vocabulary
 
-#: Bound of the chunks that are broadcast, with their ids: 48 MB of chunks at most.
-HEAD_KEYS, HEAD_BYTES = 1 << 20, 48
+#: Bound of the chunks that are broadcast, with their ids: 75 MB of chunks at most.
+HEAD_KEYS, HEAD_BYTES = 3 << 19, 48
 #: Counts that a task brings together before the shuffle.
 COUNTS = 800_000
 #: Bytes of text (pieces, so many at once), of chunks to segment and of packed documents, and rows to decode, that are worked on at a time.
