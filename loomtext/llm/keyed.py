@@ -22,8 +22,8 @@ from . import _spark
 HEAD_KEYS, HEAD_BYTES = 1 << 18, 48
 
 
-def count_keys(docs: DataFrame, columns: list[str], keys_of: Callable[[pa.RecordBatch], Iterator[pa.Array]], window: int = 250_000) -> DataFrame:
-    """(key binary, freq long) over all rows. keys_of yields the key arrays of a batch; counts are made before the shuffle, over about ``window`` of them."""
+def count_keys(docs: DataFrame, columns: list[str], keys_of: Callable[[pa.RecordBatch], Iterator[pa.Array]]) -> DataFrame:
+    """(key binary, freq long) over all rows. keys_of yields the key arrays of a batch; counts are made before the shuffle."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -38,7 +38,7 @@ def count_keys(docs: DataFrame, columns: list[str], keys_of: Callable[[pa.Record
                     c = pc.value_counts(keys)
                     held.append(pa.table({"key": c.field(0), "freq": c.field(1)}))
                     n += len(c)
-                if n > window:
+                if n > 250_000:
                     yield from merged().to_batches()
                     held, n = [], 0
         if held:
