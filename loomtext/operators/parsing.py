@@ -10,6 +10,14 @@ from .chunking import lines_of
 
 WS = T.WS
 
+# The formats of list items, links and rosters in notes. They must be these for right results.
+LIST_ITEM = rf"^{WS}*(?:[-*+]{WS}+|\d+\.{WS}+)"
+WIKI_LINK = r"\[\[([^\]|#]+)(?:#[^\]]+)?(?:\|[^\]]+)?\]\]"
+MARKDOWN_LINK = r"\[[^\]]*\]\(([^)]+)\)"
+BULLET = f"^[-*]{WS}+"
+NUMBER = rf"^\d+[.)\]]{WS}+"
+ALIASES = rf"(?i)aliases?{WS}*:{WS}*(.+)$"
+
 
 def h1_chapters(c: Column) -> Column:
     """array<struct<title, markdown>> at "# Title" lines; text before the first is the chapter "Chapter", a text without any content the chapter "Book"."""
@@ -41,9 +49,8 @@ def toc_block(c: Column) -> Column:
 
 def list_links(lines: Column) -> Column:
     """Targets of wiki links, then of Markdown links, of each list item, in order."""
-    item = F.filter(lines, lambda x: F.regexp_like(x, F.lit(rf"^{WS}*(?:[-*+]{WS}+|\d+\.{WS}+)")))
-    wiki, md = r"\[\[([^\]|#]+)(?:#[^\]]+)?(?:\|[^\]]+)?\]\]", r"\[[^\]]*\]\(([^)]+)\)"
-    both = F.flatten(F.transform(item, lambda x: F.concat(F.regexp_extract_all(x, F.lit(wiki), F.lit(1)), F.regexp_extract_all(x, F.lit(md), F.lit(1)))))
+    item = F.filter(lines, lambda x: F.regexp_like(x, F.lit(LIST_ITEM)))
+    both = F.flatten(F.transform(item, lambda x: F.concat(F.regexp_extract_all(x, F.lit(WIKI_LINK), F.lit(1)), F.regexp_extract_all(x, F.lit(MARKDOWN_LINK), F.lit(1)))))
     return F.filter(F.transform(both, T.trim_ws), lambda x: x != "")
 
 
@@ -97,9 +104,9 @@ def parse_roster(rosters: DataFrame, id_col: str, content: str = "content") -> D
     """(id_col, ord, name, aliases array<string>): "- Name | aliases: A, B" lines; names differ by more than case, aliases are united."""
     line = F.explode(F.transform(lines_of(F.col(content), "\r?\n"), lambda x, i: F.struct(i.alias("i"), T.trim_ws(x).alias("x"))))
     rows = rosters.select(F.col(id_col), line.alias("l")).select(id_col, F.col("l.i").alias("i"), F.col("l.x").alias("x")).where("x <> ''")
-    clean = T.trim_ws(F.regexp_replace(F.regexp_replace("x", f"^[-*]{WS}+", ""), rf"^\d+[.)\]]{WS}+", ""))
+    clean = T.trim_ws(F.regexp_replace(F.regexp_replace("x", BULLET, ""), NUMBER, ""))
     sides = F.split(clean, rf"{WS}*\|{WS}*")
-    rows = rows.select(id_col, "i", T.collapse_ws(F.get(sides, F.lit(0))).alias("name"), F.regexp_extract(F.coalesce(F.get(sides, F.lit(1)), F.lit("")), rf"(?i)aliases?{WS}*:{WS}*(.+)$", 1).alias("a")).where("name <> ''")
+    rows = rows.select(id_col, "i", T.collapse_ws(F.get(sides, F.lit(0))).alias("name"), F.regexp_extract(F.coalesce(F.get(sides, F.lit(1)), F.lit("")), ALIASES, 1).alias("a")).where("name <> ''")
     aliases = F.filter(F.transform(F.split("a", ","), T.collapse_ws), lambda x: x != "")
     rows = rows.withColumn("aliases", aliases)
     merged = rows.groupBy(id_col, F.lower("name").alias("_k")).agg(F.min_by("name", "i").alias("name"), F.min("i").alias("i"), F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "aliases"))), lambda s: s["aliases"]))).alias("aliases"))
