@@ -3,9 +3,10 @@
 ``write_files`` takes rows (path, content, action) as ``sinks.chunk_file_plan`` makes them. Each task attempt writes its
 files and a list of them into a folder of its own below ``_aside``; nothing is seen under its name until all tasks are
 done. Then the lists of the attempts that count are read one by one, their files renamed and the deleted ones removed,
-and the counts of the actions written to ``_counts``. If a task fails for good the folder of the run is deleted. A driver lost
-amid the commit leaves whole files under some of the names; writing the plan again completes it. The folder may be in
-any store that pyarrow knows and all executors share.
+and the counts of the actions written to ``_counts``. If a task fails for good the folder of the run is deleted; tasks
+that are then still at work may leave files aside, which ``sweep`` removes. A driver lost amid the commit leaves whole files
+under some of the names; writing the plan again completes it. The folder may be in any store that pyarrow knows and all
+executors share.
 
 Defined cases: null content is an empty file; a path that is null, absolute or leads out of the folder fails the run;
 paths are distinct, of equal ones any stays; an empty plan gives counts of zero; other columns are ignored.
@@ -123,6 +124,14 @@ def write_files(plan: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema(", ".join(f"{a} long" for a in ACTIONS)).json(f"{folder}/{COUNTS}/{run}.json")
 
 
+def sweep(folder: str) -> None:
+    """Deletes what failed writes have left aside. No writer may be at work."""
+    store, root = fs.FileSystem.from_uri(folder)
+    aside = f"{root.rstrip('/')}/{ASIDE}"
+    if store.get_file_info(aside).type != fs.FileType.NotFound:
+        store.delete_dir(aside)
+
+
 def listed_files(spark: SparkSession, folder: str, contents: bool = False) -> DataFrame:
     """(path[, content]) of all files below a folder, empty ones included, paths relative to it; none if it isn't there.
 

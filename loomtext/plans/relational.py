@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, context, folders, index, parsing, publish, retrieval, sinks, stored, vault
+from ..operators import chunking, context, files, folders, index, kept, parsing, publish, retrieval, sinks, stored, vault
 from ..sources import tables as S
-from ..streaming import incremental, log
+from ..streaming import attempts, debounce, incremental, log
 from .registry import FILES, NOTES, query, sql_tokens, sql_words
 
 C = F.col
@@ -251,6 +251,17 @@ def bm25_stored_index(spark, d):
     return hits.select("query_id", "key", "path", F.round("score", 6).alias("score"), C("rank").cast("long").alias("rank"))
 
 
+@query(_BM25 + "SELECT query_id, key, path, round(score, 6) AS score, rank FROM bm WHERE rank <= 24")
+def bm25_kept(spark, d):
+    """Every second query is asked, then all of them: those with a kept result are not searched again."""
+    held, asked = _stored(spark, d), S.queries(spark, d)
+    at = f"{folders.shared_folder(spark)}/loomtext-kept-{uuid.uuid4().hex}"
+    find = lambda q: held.search(q).select("query_id", "key", "path", "score", "rank")
+    kept.search(at, asked.where("query_id % 2 = 0"), find, held.head["made_of"], now=1_000.0)
+    hits = kept.search(at, asked, find, held.head["made_of"], now=1_010.0)
+    return hits.select("query_id", "key", "path", F.round("score", 6).alias("score"), C("rank").cast("long").alias("rank"))
+
+
 @query(WITH_CHUNKS + _POSTINGS + " SELECT term, count(*) AS df, count(DISTINCT path) AS paths, sum(tf)::BIGINT AS total FROM postings GROUP BY term")
 def stored_postings(spark, d):
     """The terms of the stored index, from its blocks."""
@@ -554,6 +565,23 @@ def run_log_merged(spark, d):
     return incremental.merge_events(e, "run_id", "seq")
 
 
+@query("SELECT event_id, user_id FROM events QUALIFY coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) - ts > INTERVAL 1 DAY, true)")
+def debounced_requests(spark, d):
+    """The events after which their user is quiet for a day."""
+    return debounce.debounced(S.read(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 86_400).select("event_id", "user_id")
+
+
+@query("SELECT doc_id::VARCHAR AS task_id, least(doc_id % 5 + 1, 3)::INTEGER AS attempt, CASE WHEN doc_id % 5 < 3 THEN 'done' ELSE 'failed' END AS state, CASE WHEN doc_id % 5 >= 3 THEN 'chunk ' || doc_id || ' failed' END AS error FROM documents")
+def attempt_ledger(spark, d):
+    """Tasks that fail up to four times, with two retries each and waits that take no time here."""
+    tasks = incremental.with_hash(S.files(spark, d)).select(C("doc_id").cast("string").alias("task_id"), "hash", (C("doc_id") % 5).alias("fails"))
+    work = lambda t: t.select("task_id", F.when(C("attempt") <= C("fails"), F.concat(F.lit("chunk "), C("task_id"), F.lit(" failed"))).alias("error"))
+    now = [0.0]
+    folder = f"{folders.shared_folder(spark)}/loomtext-attempts-{uuid.uuid4().hex}"
+    last = attempts.run(folder, tasks, work, clock=lambda: now[0], sleep=lambda s: now.append(now.pop() + s))
+    return last.select("task_id", "attempt", "state", "error")
+
+
 # File plans
 
 
@@ -573,6 +601,21 @@ def chunk_file_counts(spark, d):
     return sinks.plan_counts(sinks.chunk_file_plan(c, there, True, english))
 
 
+@query(WITH_CHUNKS + " SELECT doc_id || '-Chunked/' || doc_id || '-CHUNK-' || lpad((chunk_index + 1)::VARCHAR, 3, '0') || '.md' AS path, md5(text) AS content FROM chunks")
+def written_chunk_files(spark, d):
+    """Chunk files of reversed documents with longer chunks written over by those of the documents, and read back."""
+    at = f"{folders.shared_folder(spark)}/loomtext-files-{uuid.uuid4().hex}"
+    base = S.files(spark, d).withColumn("base", C("doc_id").cast("string"))
+
+    def write(source, target):
+        chunks = source.select("base", F.posexplode(chunking.windows(T.words(C("content")), target)).alias("chunk_index", "c")).select("base", "chunk_index", "c.text")
+        files.write_files(sinks.chunk_file_plan(chunks, files.listed_files(spark, at), True, base.select("base"), "text"), at)
+
+    write(base.where("doc_id % 2 = 0").withColumn("content", F.reverse("content")), 200)
+    write(base, 500)
+    return files.listed_files(spark, at, contents=True).select("path", F.md5("content").alias("content"))
+
+
 @query("SELECT coalesce(s_name, c_name) AS name, CASE WHEN c_name IS NULL THEN 'note' WHEN s_name IS NULL THEN '# ' || c_name || chr(10) || chr(10) || '## Jan 1 - Update' || chr(10) || chr(10) || c_mktsegment || chr(10) ELSE 'note' || chr(10) || chr(10) || '## Jan 1 - Update' || chr(10) || chr(10) || c_mktsegment || chr(10) END AS content FROM supplier FULL JOIN customer ON replace(c_name, 'Customer', 'Supplier') = s_name".replace("CASE WHEN c_name", "CASE WHEN c_name").replace("coalesce(s_name, c_name)", "coalesce(s_name, replace(c_name, 'Customer', 'Supplier'))").replace("'# ' || c_name", "'# ' || replace(c_name, 'Customer', 'Supplier')"))
 def apply_note_updates(spark, d):
     notes = S.read(spark, d, "supplier").select(C("s_name").alias("name"), F.lit("note").alias("content"))

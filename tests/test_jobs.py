@@ -49,7 +49,9 @@ def test_files_of_a_failed_write_are_not_seen(spark, tmp_path):
     for bad in (("../out.md", "x", "created"), (None, "x", "created"), ("/etc/x", "x", "created"), ("x", "x", "renamed")):
         with pytest.raises(PySparkException):
             files.write_files(good.unionByName(spark.createDataFrame([bad], good.schema)), f"file://{tmp_path}/s")
-        assert on_disk(tmp_path) == {} and os.listdir(tmp_path / "s" / files.ASIDE) == []
+        assert on_disk(tmp_path) == {}
+        files.sweep(f"file://{tmp_path}/s")
+        assert os.listdir(tmp_path / "s") == []
     assert files.write_files(good, f"file://{tmp_path}/s").first()["created"] == 40 and len(on_disk(tmp_path / "s")) == 40
     assert files.write_files(good.where("false"), f"file://{tmp_path}/s").first().asDict() == dict.fromkeys(files.ACTIONS, 0)
 
