@@ -119,10 +119,20 @@ def parse_h1_chapters(spark, d):
     return s.select("conv_id", C("ord").cast("long").alias("ord"), "s.title", "s.markdown")
 
 
-@query()
+def _merged_sql(least: int) -> str:
+    """Tables up to merged(conv_id, ord, section, n): a section goes to the one before as long as that has fewer words."""
+    return _SECTIONS.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + (
+        f", sx AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY ord) AS i, full_text AS t, len({sql_words('full_text')}) AS n FROM sec WHERE full_text <> ''), "
+        "g AS (SELECT conv_id, i, n AS held, 0::BIGINT AS ord FROM sx WHERE i = 1 UNION ALL "
+        f"SELECT sx.conv_id, sx.i, CASE WHEN held < {least} THEN held + n ELSE n END, CASE WHEN held < {least} THEN ord ELSE ord + 1 END FROM g JOIN sx ON sx.conv_id = g.conv_id AND sx.i = g.i + 1), "
+        "merged AS (SELECT conv_id, ord, string_agg(t, chr(10) || chr(10) ORDER BY i) AS section, sum(n)::BIGINT AS n FROM g JOIN sx USING (conv_id, i) GROUP BY conv_id, ord) "
+    )
+
+
+@query(_merged_sql(200) + "SELECT conv_id, ord, section FROM merged")
 def merge_small_sections(spark, d):
     merged = chunking.merge_small(chunking.split_by_heading(C("content")), 200)
-    return S.notes(spark, d).select("conv_id", F.posexplode(merged).alias("ord", "section"))
+    return S.notes(spark, d).select("conv_id", F.posexplode(merged).alias("ord", "section")).withColumn("ord", C("ord").cast("long"))
 
 
 @query(WITH_CHUNKS + " SELECT key, start_word, end_word, md5(text) AS text FROM chunks")
@@ -130,9 +140,14 @@ def build_index_chunks(spark, d):
     return _chunks(spark, d).select("key", C("start_word").cast("long"), C("end_word").cast("long"), F.md5("text").alias("text"))
 
 
-@query()
+@query(
+    _merged_sql(250)
+    + f", pos AS (SELECT *, {sql_words('section')} AS w, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM merged), "
+    "p AS (SELECT *, unnest(CASE WHEN n <= 500 THEN [0] ELSE range(0, ceil((n - 500) / 400.0)::BIGINT * 400 + 1, 400) END) AS s FROM pos) "
+    "SELECT 'chunk:conv/' || conv_id || '.md:' || (row_number() OVER (PARTITION BY conv_id ORDER BY ord, s) - 1) AS key, a + s AS start_word, a + least(n, CASE WHEN n <= 500 THEN n ELSE s + 500 END) AS end_word, CASE WHEN n <= 500 THEN section ELSE array_to_string(w[s + 1:s + 500], ' ') END AS text FROM p"
+)
 def index_chunks_by_heading(spark, d):
-    return index.chunk_table(S.notes(spark, d)).select("key", "start_word", "end_word", "text")
+    return index.chunk_table(S.notes(spark, d)).select("key", C("start_word").cast("long"), C("end_word").cast("long"), "text")
 
 
 @query()
@@ -453,7 +468,16 @@ def assemble_chapter_context(spark, d):
     return context.assemble(row, context.CHAPTER, F.lit(16_000))
 
 
-@query()
+def _head_sql(c: str, share: float, label: str) -> str:
+    """The head of a text within its share of the 6,000 tokens that a limit of 16,000 leaves for the context."""
+    n = int(6_000 * share)
+    return f"CASE WHEN length({c}) > {4 * n} THEN left({c}, {4 * n}) || chr(10) || chr(10) || '[{label}: truncated to ~{n:,} tokens]' ELSE {c} END"
+
+
+_LAST = f"(CASE WHEN len({sql_words('text')}) <= 20000 THEN text ELSE array_to_string({sql_words('text')}[-20000:], ' ') END)"
+
+
+@query(f"SELECT doc_id, {_head_sql(_LAST, 0.03, 'Sliding window')} AS sliding, {_head_sql('text', 0.25, 'Story bible')} AS bible, {_head_sql('source', 0.37, 'Character notes')} AS characters, {_head_sql('lang', 0.2, 'Retrieved context')} AS retrieved FROM documents")
 def assemble_micro_context(spark, d):
     row = S.read(spark, d, "documents").select("doc_id", C("text").alias("sliding"), C("text").alias("bible"), C("source").alias("characters"), C("lang").alias("retrieved"))
     return context.assemble(row, context.MICRO, F.lit(16_000))
