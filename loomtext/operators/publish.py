@@ -7,7 +7,6 @@ binary columns for any sink.
 from __future__ import annotations
 
 import io
-import re
 import uuid
 import zipfile
 from collections.abc import Callable
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
+from . import markdown
 
 #: Licence ids and the names they stand for.
 LICENSES = {
@@ -42,42 +42,8 @@ def license_text(kind: str, author: str, year: int) -> str:
 
 
 def render_markdown(text: str | None) -> str:
-    """Headings, lists, quotes, code fences, emphasis, links and paragraphs as XHTML; other markup stays as text."""
-
-    def inline(s: str) -> str:
-        s = escape(s)
-        s = re.sub(r"`([^`]+)`", r"<code>\1</code>", s)
-        s = re.sub(r"\*\*(.+?)\*\*", r"<strong>\1</strong>", s)
-        s = re.sub(r"(?<![\w*])[*_]([^*_\s][^*_]*?)[*_](?![\w*])", r"<em>\1</em>", s)
-        return re.sub(r"\[([^\]]+)\]\(([^)\s]+)\)", r'<a href="\2">\1</a>', s)
-
-    out: list[str] = []
-    for part in re.split(r"\n\s*\n", (text or "").replace("\r\n", "\n").strip()):
-        lines = part.split("\n")
-        if not part.strip():
-            continue
-        if lines[0].startswith("```"):
-            out.append("<pre><code>" + escape("\n".join(x for x in lines[1:] if not x.startswith("```"))) + "</code></pre>")
-        elif all(re.match(r"\s*[-*+]\s+", x) for x in lines):
-            out.append("<ul>" + "".join(f"<li>{inline(re.sub(r'^\s*[-*+]\s+', '', x))}</li>" for x in lines) + "</ul>")
-        elif all(re.match(r"\s*\d+[.)]\s+", x) for x in lines):
-            out.append("<ol>" + "".join(f"<li>{inline(re.sub(r'^\s*\d+[.)]\s+', '', x))}</li>" for x in lines) + "</ol>")
-        elif all(x.startswith(">") for x in lines):
-            out.append("<blockquote><p>" + inline(" ".join(x.lstrip("> ") for x in lines)) + "</p></blockquote>")
-        else:
-            held: list[str] = []
-            for x in lines:
-                h = re.match(r"(#{1,6})\s+(.*)", x)
-                if h:
-                    if held:
-                        out.append("<p>" + inline("\n".join(held)) + "</p>")
-                        held = []
-                    out.append(f"<h{len(h[1])}>{inline(h[2].strip())}</h{len(h[1])}>")
-                else:
-                    held.append(x)
-            if held:
-                out.append("<p>" + inline("\n".join(held)) + "</p>")
-    return "\n".join(out)
+    """Markdown as XHTML, a line for each block."""
+    return "\n".join(markdown.xhtml(markdown.parse(text)))
 
 
 @F.pandas_udf(StringType())
@@ -99,42 +65,73 @@ def _zip(entries: list[tuple[str, str]], stored: str | None = None) -> bytes:
     return out.getvalue()
 
 
+STYLE = "body { line-height: 1.5; margin: 5%; } h1 { page-break-before: always; text-align: center; } blockquote { font-style: italic; margin-left: 2em; } pre { white-space: pre-wrap; } .title, .copyright { text-align: center; }"
+#: Names of the paragraph styles that DOCX bodies use, with the size in half points and what else they set.
+DOCX_STYLES = {"Normal": (24, ""), "Title": (56, "<w:b/>"), "Quote": (24, "<w:i/>"), "Code": (20, ""), "List": (24, ""), **{f"Heading{k}": (38 - 3 * k, "<w:b/>") for k in range(1, 7)}}
+
+
 def epub(title: str, author: str, chapters: list[tuple[str, str]], notice: str = "") -> bytes:
-    """An EPUB 3 file of (title, Markdown) chapters with a title page and a navigation document."""
-    page = lambda t, body: f'<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml"><head><title>{escape(t)}</title></head><body>{body}</body></html>'
+    """An EPUB 3 file of (title, Markdown) chapters with a title and a copyright page, a style sheet, a navigation document and an NCX for older readers."""
+
+    def page(t: str, body: str, kind: str = "chapter") -> str:
+        return f'<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml"><head><title>{escape(t)}</title><link rel="stylesheet" type="text/css" href="style.css"/></head><body class="{kind}">{body}</body></html>'
+
     names = [f"chapter-{i + 1:03d}.xhtml" for i in range(len(chapters))]
     key = uuid.uuid5(uuid.NAMESPACE_URL, f"{title}/{author}")
     nav = "".join(f'<li><a href="{n}">{escape(t)}</a></li>' for n, (t, _) in zip(names, chapters, strict=True))
-    items = "".join(f'<item id="c{i}" href="{n}" media-type="application/xhtml+xml"/>' for i, n in enumerate(["title.xhtml", *names]))
-    spine = "".join(f'<itemref idref="c{i}"/>' for i in range(len(names) + 1))
+    points = "".join(f'<navPoint id="p{i}" playOrder="{i}"><navLabel><text>{escape(t)}</text></navLabel><content src="{n}"/></navPoint>' for i, (n, (t, _)) in enumerate(zip(names, chapters, strict=True), 1))
+    ncx = f'<?xml version="1.0" encoding="utf-8"?>\n<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head><meta name="dtb:uid" content="urn:uuid:{key}"/></head><docTitle><text>{escape(title)}</text></docTitle><navMap>{points}</navMap></ncx>'
+    pages = ["title.xhtml", "copyright.xhtml", *names]
+    items = "".join(f'<item id="c{i}" href="{n}" media-type="application/xhtml+xml"/>' for i, n in enumerate(pages))
+    spine = "".join(f'<itemref idref="c{i}"/>' for i in range(len(pages)))
     opf = (
         '<?xml version="1.0" encoding="utf-8"?>\n<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/">'
-        f'<dc:identifier id="id">urn:uuid:{key}</dc:identifier><dc:title>{escape(title)}</dc:title><dc:creator>{escape(author)}</dc:creator><dc:language>en</dc:language></metadata>'
-        f'<manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>{items}</manifest><spine>{spine}</spine></package>'
+        f'<dc:identifier id="id">urn:uuid:{key}</dc:identifier><dc:title>{escape(title)}</dc:title><dc:creator>{escape(author)}</dc:creator><dc:language>en</dc:language><dc:rights>{escape(notice)}</dc:rights></metadata>'
+        '<manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>'
+        f'<item id="style" href="style.css" media-type="text/css"/>{items}</manifest><spine toc="ncx">{spine}</spine></package>'
     )
     container = '<?xml version="1.0"?>\n<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
-    entries = [("mimetype", "application/epub+zip"), ("META-INF/container.xml", container), ("OEBPS/content.opf", opf)]
-    entries.append(("OEBPS/nav.xhtml", page(title, f'<nav xmlns:epub="http://www.idpf.org/2007/ops" epub:type="toc"><ol>{nav}</ol></nav>')))
-    entries.append(("OEBPS/title.xhtml", page(title, f"<h1>{escape(title)}</h1><p>{escape(author)}</p><p>{escape(notice)}</p>")))
+    entries = [("mimetype", "application/epub+zip"), ("META-INF/container.xml", container), ("OEBPS/content.opf", opf), ("OEBPS/toc.ncx", ncx), ("OEBPS/style.css", STYLE)]
+    entries.append(("OEBPS/nav.xhtml", page(title, f'<nav xmlns:epub="http://www.idpf.org/2007/ops" epub:type="toc"><ol>{nav}</ol></nav>', "contents")))
+    entries.append(("OEBPS/title.xhtml", page(title, f"<h1>{escape(title)}</h1><p>{escape(author)}</p>", "title")))
+    entries.append(("OEBPS/copyright.xhtml", page(title, f"<p>{escape(notice)}</p>", "copyright")))
     entries += [(f"OEBPS/{n}", page(t, f"<h1>{escape(t)}</h1>{render_markdown(m)}")) for n, (t, m) in zip(names, chapters, strict=True)]
     return _zip(entries, stored="mimetype")
 
 
-def docx(title: str, author: str, chapters: list[tuple[str, str]], notice: str = "") -> bytes:
-    """A DOCX file: a title, then each chapter's title and its paragraphs as plain text."""
-    para = lambda s, style="": f'<w:p>{f"<w:pPr><w:pStyle w:val={chr(34)}{style}{chr(34)}/></w:pPr>" if style else ""}<w:r><w:t xml:space="preserve">{escape(s)}</w:t></w:r></w:p>'
-    body = [para(title, "Title"), para(author), para(notice)]
+def _book(title: str, author: str, chapters: list[tuple[str, str]], notice: str) -> tuple[markdown.Block, ...]:
+    """The chapters as blocks, each under its title, after author and notice."""
+    line = lambda kind, s, n=0: markdown.Block(kind, n, (markdown.Span(s),))
+    body = [line("para", author), line("para", notice)]
     for t, m in chapters:
-        body.append(para(t, "Heading1"))
-        body += [para(re.sub(r"<[^>]+>", "", p).replace("&lt;", "<").replace("&gt;", ">").replace("&quot;", '"').replace("&#x27;", "'").replace("&amp;", "&")) for p in render_markdown(m).split("\n") if p]
-    types = '<?xml version="1.0" encoding="UTF-8"?>\n<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
-    rels = '<?xml version="1.0" encoding="UTF-8"?>\n<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
-    document = f'<?xml version="1.0" encoding="UTF-8"?>\n<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{"".join(body)}</w:body></w:document>'
-    return _zip([("[Content_Types].xml", types), ("_rels/.rels", rels), ("word/document.xml", document)])
+        body += [line("heading", t, 1), *markdown.parse(m)]
+    return tuple(body)
+
+
+def docx(title: str, author: str, chapters: list[tuple[str, str]], notice: str = "") -> bytes:
+    """A DOCX file: a title, then each chapter's title and its blocks, with the styles that they name."""
+    head = f'<w:p><w:pPr><w:pStyle w:val="Title"/></w:pPr><w:r><w:t xml:space="preserve">{escape(title)}</w:t></w:r></w:p>'
+    body = "".join([head, *markdown.docx_paragraphs(_book(title, author, chapters, notice))])
+    space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    styles = "".join(f'<w:style w:type="paragraph" w:styleId="{n}"{" w:default=" + chr(34) + "1" + chr(34) if n == "Normal" else ""}><w:name w:val="{n}"/><w:rPr>{x}<w:sz w:val="{size}"/></w:rPr></w:style>' for n, (size, x) in DOCX_STYLES.items())
+    types = '<?xml version="1.0" encoding="UTF-8"?>\n<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/><Override PartName="/word/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.styles+xml"/></Types>'
+    rels = lambda kind, to: f'<?xml version="1.0" encoding="UTF-8"?>\n<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/{kind}" Target="{to}"/></Relationships>'
+    top = '<?xml version="1.0" encoding="UTF-8"?>\n'
+    return _zip([
+        ("[Content_Types].xml", types), ("_rels/.rels", rels("officeDocument", "word/document.xml")), ("word/_rels/document.xml.rels", rels("styles", "styles.xml")),
+        ("word/styles.xml", f"{top}<w:styles {space}>{styles}</w:styles>"), ("word/document.xml", f"{top}<w:document {space}><w:body>{body}</w:body></w:document>"),
+    ])
+
+
+def rtf(title: str, author: str, chapters: list[tuple[str, str]], notice: str = "") -> bytes:
+    """A Rich Text file of the same blocks."""
+    fonts = "{\\fonttbl{\\f0\\froman Times New Roman;}{\\f1\\fmodern Courier New;}}"
+    body = "\n".join([f"{{\\pard\\qc\\b\\fs48 {markdown.rtf_text(title)}\\par}}", *markdown.rtf_paragraphs(_book(title, author, chapters, notice))])
+    return f"{{\\rtf1\\ansi\\uc1{fonts}\n{body}\n}}".encode("ascii")
 
 
 def books_as(make: Callable[..., bytes], chapters: DataFrame, book: str = "book", title: str = "Book", author: str = "Unknown", notice: str = "") -> DataFrame:
-    """(book, file binary): each book's chapters (book, ord, title, markdown) as one file of make, ``epub`` or ``docx``."""
+    """(book, file binary): each book's chapters (book, ord, title, markdown) as one file of make, ``epub``, ``docx`` or ``rtf``."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("ord")

@@ -663,6 +663,11 @@ def export_docx(spark, d):
     return publish.books_as(publish.docx, _books(spark, d)).select("book", F.length("file").alias("n_bytes"))
 
 
+@query()
+def export_rtf(spark, d):
+    return publish.books_as(publish.rtf, _books(spark, d)).select("book", F.length("file").alias("n_bytes"))
+
+
 @query()
 def markdown_to_plain_text(spark, d):
     return S.notes(spark, d).select("conv_id", publish.markdown_to_plain(C("content")).alias("plain"))
