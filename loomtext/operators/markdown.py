@@ -34,10 +34,11 @@ _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 _HEADING = re.compile(r" {0,3}(#{1,6})\s+(.*?)(?:\s+#+)?\s*$")
 _RULE = re.compile(r" {0,3}([-*_])(?:\s*\1){2,}\s*$")
 _ITEM = re.compile(r"(\s*)(?:([-*+])|(\d{1,9})[.)])\s+(?=\S)")
+# A mark's text ends at the next mark of its kind, so what is never closed costs one look as far as that.
 _SPAN = re.compile(
-    r"\\(?P<escaped>[!-/:-@\[-`{-~])|(?P<tick>`+)(?!`)(?P<code>.+?)(?<!`)(?P=tick)(?!`)|!\[(?P<alt>[^\]]*)\]\([^)\s]+\)|\[(?P<label>[^\]]+)\]\((?P<href>[^)\s]+)\)"
-    r"|\*\*(?P<strong>(?=\S).+?(?<=\S))\*\*(?!\*)|(?<!\w)__(?P<strong2>(?=\S).+?(?<=\S))__(?!\w)|~~(?P<strike>(?=\S).+?(?<=\S))~~"
-    r"|\*(?P<em>(?=[^\s*])(?:[^*]|\*\*[^*]+\*\*)+?(?<=\S))\*(?!\*)|(?<!\w)_(?P<em2>(?=[^\s_])[^_]+?(?<=\S))_(?!\w)",
+    r"\\(?P<escaped>[!-/:-@\[-`{-~])|(?P<tick>`+)(?!`)(?P<code>.+?)(?<!`)(?P=tick)(?!`)|!\[(?P<alt>[^\[\]]*)\]\([^)\s]+\)|\[(?P<label>[^\[\]]+)\]\((?P<href>[^)\s]+)\)"
+    r"|\*\*(?P<strong>(?=\S)(?:[^*]|\*(?!\*)|\*(?=\*\*(?!\*)))+?(?<=\S))\*\*(?!\*)|(?<!\w)__(?P<strong2>(?=\S)(?:[^_]|_(?!_))+?(?<=\S))__(?!\w)|~~(?P<strike>(?=\S)(?:[^~]|~(?!~))+?(?<=\S))~~"
+    r"|(?<!\*)\*(?P<em>(?=[^\s*])(?:[^*]|\*\*[^*]+\*\*)+?(?<=\S))\*(?!\*)|(?<!\w)_(?P<em2>(?=[^\s_])[^_]+?(?<=\S))_(?!\w)",
     re.S,
 )
 

@@ -108,3 +108,11 @@ def test_epub_parts():
     assert sorted(re.findall(r'href="([^"]+)"', opf)) == sorted(n[6:] for n in z.namelist() if n.startswith("OEBPS/") and n != "OEBPS/content.opf")
     assert re.findall(r"<text>([^<]*)</text>", z.read("OEBPS/toc.ncx").decode()) == ["B", "One", "Two &amp; 3"] and b"All mine" in z.read("OEBPS/copyright.xhtml")
     assert '<spine toc="ncx">' in opf and b'href="style.css"' in z.read("OEBPS/chapter-002.xhtml")
+
+
+def test_marks_that_are_never_closed_are_text():
+    for mark in ("**a ", "*a ", "__a ", "~~a ", "[", "_a ", "- x\n", "> ", "```\n", "***"):
+        text = mark * 20_000
+        assert markdown.plain(markdown.parse("x " + text)).startswith("x")
+    assert publish.render_markdown("**a **b and *c") == "<p>**a **b and *c</p>"
+    assert publish.render_markdown("***a* b** ~~c *d*~~") == "<p><strong><em>a</em></strong><strong> b</strong> <del>c </del><del><em>d</em></del></p>"
