@@ -1,0 +1,198 @@
+"""A generative label model: accuracies and correlations of voters, from the votes of all rows.
+
+A text is of class 1 with a given prior; voters fire or abstain. A voter's accuracy is its pair of firing rates in the
+two classes. Voters that go together (pairwise correlations within either class of the labelled rows, or
+of all rows where there are no labels of both) make a group, whose firing, that
+of any of its voters, is one more vote; a voter's rates are then given for either state of its group, so that repeated
+evidence counts once and silence of a whole group, say of the words of another language, is one silence. Voters and
+groups are a forest, so the likelihood of a set of votes is exact and sums to one. All parameters are fitted by
+expectation maximisation over the distinct sets of votes of all rows, labelled or not. A given label is one more vote for
+its class, right with a probability that is fitted, too, and absent from most rows. Voters that never meet say nothing of
+each other, so without any labels a mixture could put one group in either class; labels tie the groups together. Voters
+declared to be for class 1 start as mostly right.
+
+The expected counts are sums of whole numbers (posteriors in units of 2**-16), so that they do not depend on how rows
+are dealt out. A round brings 4 numbers a voter to the driver, the correlations three numbers a pair of voters that meet.
+
+Defined cases: no rows or no voters give the starting rates; rows without votes count as abstaining everywhere.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Posteriors are counted in this unit; share of a vote's rows taken to be of class 1 at first; least correlation of a group.
+UNIT, SURE, LEAST = 2.0**16, 0.9, 0.1
+
+
+@dataclass
+class LabelModel:
+    """group: the group that each voter is in, or -1. rates: of firing, by voter or group (they follow), group's vote and class. truth: how often a label is right."""
+
+    prior: float
+    group: np.ndarray
+    rates: np.ndarray
+    truth: float = SURE
+
+    @property
+    def parent(self) -> np.ndarray:
+        """The place of the vote that each vote hangs on, or -1: a voter's group."""
+        m = len(self.group)
+        return np.concatenate([np.where(self.group >= 0, self.group + m, -1), np.full(len(self.rates) - m, -1)]).astype(int)
+
+    def with_groups(self, votes: np.ndarray) -> np.ndarray:
+        """votes (0 or 1) with a column for each group."""
+        member = self.group[:, None] == np.arange(len(self.rates) - len(self.group))
+        return np.concatenate([votes, (votes @ member > 0)], axis=1).astype(np.float64)
+
+    def log_likelihood(self, votes: np.ndarray, y: int) -> np.ndarray:
+        """Log probability of each row of votes and groups in class y."""
+        up = np.where(self.parent >= 0, votes[:, self.parent], 0).astype(int)
+        p = self.rates[np.arange(len(self.rates)), up, y]
+        return np.where(votes > 0, np.log(p), np.log1p(-p)).sum(1)
+
+    def posterior(self, votes: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Probability of class 1 of each row of voters' votes; y is its label, or -1."""
+        return self._posterior(self.with_groups(votes), y)
+
+    def _posterior(self, v: np.ndarray, y: np.ndarray) -> np.ndarray:
+        z = math.log(self.truth / (1 - self.truth)) * np.select([y > 0, y == 0], [1, -1], 0)
+        z = z + math.log(self.prior / (1 - self.prior)) + self.log_likelihood(v, 1) - self.log_likelihood(v, 0)
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+    def accuracies(self) -> np.ndarray:
+        """Firing rates of the voters by class, whatever their group does."""
+        m = len(self.group)
+        on = np.where((self.group >= 0)[:, None], self.rates[self.parent[:m], 0], 0)
+        return self.rates[:m, 0] * (1 - on) + self.rates[:m, 1] * on
+
+
+def _dense(votes: pa.Array, m: int) -> np.ndarray:
+    out = np.zeros((len(votes), m))
+    out[np.repeat(np.arange(len(votes)), votes.value_lengths().to_numpy()), votes.flatten().to_numpy()] = 1
+    return out
+
+
+def _sums(sets: DataFrame, width: int, add) -> np.ndarray:
+    """The sum over all rows of vectors of width whole numbers; add(votes, n, y) gives that of a batch of rows."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                b = batch.slice(at, 1024)
+                total += add(b.column("votes"), b.column("n").to_numpy(), b.column("y").fill_null(-1).to_numpy())
+        k = np.flatnonzero(total)
+        for at in range(0, len(k), 50_000):
+            part = k[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["k", "v"])
+
+    got = sets.select("votes", "n", "y").mapInArrow(summed, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(width)
+    out[got["k"].to_numpy()] = got["v"].to_numpy()
+    return out
+
+
+def _expected(sets: DataFrame, model: LabelModel) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Expected rows by class; rows by vote and class where it fires; where it and its parent fire; labels, right ones."""
+    m = len(model.rates)
+
+    def add(votes: pa.Array, n: np.ndarray, y: np.ndarray) -> np.ndarray:
+        v = model.with_groups(_dense(votes, len(model.group)))
+        up = np.where(model.parent >= 0, v[:, model.parent], 0)
+        q = np.round(model._posterior(v, y) * UNIT)
+        w = np.column_stack([UNIT - q, q]) * n[:, None]
+        right = np.select([y > 0, y == 0], [w[:, 1], w[:, 0]], 0)
+        return np.concatenate([w.sum(0), (v.T @ w).ravel(), ((v * up).T @ w).ravel(), [w[y >= 0].sum(), right.sum()]])
+
+    s = _sums(sets, 4 + 4 * m, add) / UNIT
+    return s[:2], s[2 : 2 + 2 * m].reshape(m, 2), s[2 + 2 * m : -2].reshape(m, 2), s[-2:]
+
+
+def _maximised(model: LabelModel, rows: np.ndarray, fires: np.ndarray, both: np.ndarray, labels: np.ndarray) -> LabelModel:
+    """Rates from expected counts, with one row at the voter's overall rate added to each."""
+    overall = ((fires.sum(1) + 0.5) / (rows.sum() + 1))[:, None]
+    has = model.parent >= 0
+    on = np.where(has[:, None], fires[model.parent], 0)
+    rates = np.stack([(fires - np.where(has[:, None], both, 0) + overall) / (rows - on + 1), (both + overall) / (on + 1)], axis=1)
+    return LabelModel(model.prior, model.group, np.clip(rates, 1e-7, 1 - 1e-7), min((labels[1] + SURE) / (labels[0] + 1), 0.999))
+
+
+def groups(rows: np.ndarray, both: np.ndarray, least: float = LEAST) -> np.ndarray:
+    """The group of each voter or -1: voters tied within a class by a correlation of at least ``least`` that is no chance.
+
+    rows: by class; both: class x voter x voter, the upper triangle with the diagonal. A pair's test, rows times the
+    correlation's square, passes Bonferroni's bound for all pairs.
+    """
+    m = both.shape[1]
+    i, j = np.triu_indices(m, 1)
+    tied = np.zeros(len(i), bool)
+    for n, meet in zip(np.maximum(rows, 1), both, strict=True):
+        p = np.diag(meet) / n
+        spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
+        corr = (meet[i, j] / n - p[i] * p[j]) / (spread[i] * spread[j])
+        # P(chi > x) of one degree of freedom is below exp(-x / 2); two voters that met once are no evidence.
+        tied |= (corr >= least) & (n * corr**2 > 2 * math.log(max(len(i), 1) / 0.05)) & (meet[i, j] > 1)
+    root = np.arange(m)
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in zip(i[tied].tolist(), j[tied].tolist(), strict=True):
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    top = np.array([find(x) for x in range(m)], int)
+    size = np.bincount(top, minlength=m)
+    number = np.cumsum(size > 1) - 1
+    return np.where(size[top] > 1, number[top], -1) if m else top
+
+
+def fit(sets: DataFrame, m: int, prior: float, for_one: np.ndarray | None = None, rounds: int = 15, close: float = 1e-3) -> LabelModel:
+    """The model of m voters, those marked in for_one being for class 1.
+
+    sets: (votes array<int>, ascending and distinct; n; y, the label or null), best a written table, as it is read each
+    round.
+    """
+    total = float(sets.agg(F.sum("n")).first()[0] or 0)
+    for_one = np.zeros(m, bool) if for_one is None else for_one
+
+
+    def settled(group: np.ndarray) -> LabelModel:
+        k = int(group.max(initial=-1)) + 1
+        up = np.concatenate([for_one, [for_one[group == g].all() for g in range(k)]]).astype(bool)
+        # At first the votes for class 1 are right in most rows, and members of a group say no more than their group.
+        model = LabelModel(prior, group, np.full((m + k, 2, 2), 0.5))
+        if not m or not total:
+            model.rates[:] = np.where(up[:, None, None], (0.001, 0.01), 0.01)
+            return model
+        mean = (_expected(sets, model)[1].sum(1) + 0.5) / (total + 1)
+        informed = up & np.concatenate([group < 0, np.full(k, True)])
+        for y, share in ((0, (1 - SURE) / (1 - prior)), (1, SURE / prior)):
+            model.rates[:, :, y] = np.where(informed, np.minimum(share * mean, (1 + mean) / 2), mean)[:, None]
+        for _ in range(rounds):
+            new = _maximised(model, *_expected(sets, model))
+            moved, model = np.abs(new.rates - model.rates).max(), new
+            if moved < close:
+                break
+        return model
+
+    if not m or not total:
+        return settled(np.full(m, -1))
+
+    def pairs(votes: pa.Array, n: np.ndarray, y: np.ndarray) -> np.ndarray:
+        v = _dense(votes, m)
+        parts = [(w, np.triu(v.T @ (v * w[:, None]))) for w in (n * (y == 0), n * (y > 0), n)]
+        return np.concatenate([[w.sum() for w, _ in parts], *[b.ravel() for _, b in parts]])
+
+    s = _sums(sets, 3 + 3 * m * m, pairs)
+    of = slice(0, 2) if s[:2].all() else slice(2, 3)
+    return settled(groups(s[:3][of], s[3:].reshape(3, m, m)[of]))

@@ -1,14 +1,13 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posteriors.
 
 Voters are a small multilingual lexicon, style patterns, and word and word-start patterns found in the labelled
-rows by an exact binomial test with Bonferroni's correction. Each fires or abstains. The label model is a mixture
-of toxic and clean texts in which every voter has a firing rate for either class (its accuracy), fitted by
-expectation maximisation with the given labels as one more, nearly sure voter; voters that go together beyond what
-the classes explain (their residual correlations) share their weight. A logistic classifier is trained on the
-posterior labels and scores every whole text.
+rows by an exact binomial test with Bonferroni's correction. Each fires or abstains. The label model
+(``label_model``) has the voters' accuracies and correlations, fitted to the votes of all rows that may be learnt from,
+labelled or not; a given label is one more voter, whose accuracy is fitted with the others. A logistic
+classifier is trained on the posterior labels and scores every whole text.
 
-Fitting uses at most ``MAX_LABELLED`` labelled rows, those with the least hash of their id, and at most
-``MAX_VOTERS`` voters: with fewer rows all of them. Scores cover all rows.
+Voters are looked for in at most ``MAX_LABELLED`` labelled rows, those with the least hash of their id, and the
+classifier is trained on the same rows: with fewer rows all of them. The label model and the scores cover all rows.
 
 Defined cases: null and empty texts fire no voter and get the classifier's score of that; labels that are null are
 left out, of repeated labels the greatest counts; repeated rows are scored each; a null doc_id counts as the empty
@@ -30,10 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import _spark
+from . import _spark, label_model
 from ._text import pieces
 
-MAX_LABELLED, MAX_VOTERS, PRIOR = 20_000, 256, 0.1
+MAX_LABELLED, PRIOR = 20_000, 0.1
 #: General insults, as word starts.
 LEXICON = (
     "idiot", "stupid", "moron", "imbecil", "dumbass", "loser", "scum", "trash", "garbage", "worthless", "pathetic", "disgusting", "clown", "bastard", "asshole", "bitch",
@@ -104,42 +103,6 @@ def features(c: np.ndarray) -> np.ndarray:
     return np.column_stack([np.minimum(np.log1p(c[:, :n]), 2), np.log1p(hits), per(hits), (hits > 0), *(per(c[:, n + k]) for k in range(len(STYLES)))]).astype(np.float32)
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, prior: float, gold_accuracy: float = 0.98, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of toxic per row, firing rates of each voter by class, weight of each voter).
-
-    votes: rows x voters, 1 where a voter fires. gold: 1, 0, or -1 where there is no label.
-    """
-    m = votes.shape[1]
-    known = np.where(gold < 0, 0.0, np.log(gold_accuracy / (1 - gold_accuracy)) * np.where(gold > 0, 1, -1))
-    n = votes.sum(1)
-    # At first every voter is as good as any: rows with more votes than most are toxic.
-    post = 1 / (1 + np.exp(-(math.log(prior / (1 - prior)) + known + 2.0 * (n - n.mean()) / (n.std() + 1e-9))))
-    rates, weight = np.zeros((m, 2)), np.ones(m)
-    for turn in range(rounds):
-        pi = float(np.clip(post.mean(), 1e-4, 1 - 1e-4))
-        rates[:, 1] = (votes.T @ post + 0.5) / (post.sum() + 1)
-        rates[:, 0] = (votes.T @ (1 - post) + 0.5) / ((1 - post).sum() + 1)
-        if turn % 5 == 0:
-            # Correlations left within the classes; voters that repeat each other share one voice.
-            both = np.zeros((m, m))
-            for at in range(0, len(votes), 2048):
-                p = post[at : at + 2048, None]
-                rest = votes[at : at + 2048] - p * rates[:, 1] - (1 - p) * rates[:, 0]
-                both += rest.T @ rest
-            scale = np.sqrt(np.diag(both) / len(votes)) + 1e-9
-            corr = both / len(votes) / np.outer(scale, scale)
-            np.fill_diagonal(corr, 0)
-            weight = 1 / (1 + np.where(corr > 0.1, corr, 0).sum(1))
-        fire, still = np.log(rates[:, 1] / rates[:, 0]), np.log((1 - rates[:, 1]) / (1 - rates[:, 0]))
-        logit = math.log(pi / (1 - pi)) + known + votes @ (weight * (fire - still)) + float(weight @ still)
-        new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(new - post).max() < 1e-5:
-            post = new
-            break
-        post = new
-    return post, rates, weight
-
-
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Weights and bias of a ridge logistic regression on soft labels, by Newton's method with step halving."""
     a = np.column_stack([x, np.ones(len(x), x.dtype)])
@@ -178,7 +141,7 @@ def _tail(pos: int, n: int, p: float) -> float:
     return total
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, max_voters: int = MAX_VOTERS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
     """A model from the labelled rows; docs and labels hold only rows that may be learnt from."""
     spark, scratch = docs.sparkSession, _spark.Scratch(docs.sparkSession)
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
@@ -214,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         if not any(p.startswith(c) for c in chosen if not c.endswith(" ")):
             chosen.append(p)
     rank = {p: i for i, (_, p) in enumerate(rated)}
-    chosen = sorted(chosen, key=rank.__getitem__)[:max_voters]
+    chosen = sorted(chosen, key=rank.__getitem__)
     patterns = chosen + [f" {w}" for w in LEXICON if not any(f" {w}".startswith(c) for c in chosen)]
     shape = Model(patterns, np.zeros(0), 0.0)
 
@@ -227,21 +190,43 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     width = len(patterns) + len(STYLES) + 1
 
+    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = shape.automaton()
+        for batch in batches:
+            for b in pieces(batch, "text"):
+                row, voter = np.nonzero(counts(b.column("text"), a, len(patterns))[:, :-1])
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(b)))])
+                votes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(voter, pa.int32()))
+                yield pa.RecordBatch.from_arrays([votes, b.column("y")], ["votes", "y"])
+
+    # The bounded labels meet all rows that may be learnt from.
+    every = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id", "left").select("text", "y")
+    every = scratch.cut(every.mapInArrow(voted, "votes array<int>, y int").groupBy("votes", "y").agg(F.count("*").alias("n")), "votes")
+    # A pattern was chosen for being toxic's in most rows; a style may be anyone's.
+    guess = label_model.fit(every, width - 1, float(np.clip(prior, 1e-3, 0.999)), np.arange(width - 1) < len(patterns))
+    scratch.drop("votes")
+
     def model(c: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        # Without labels the lexicon stands for them: one made-up row a pattern.
-        if not n:
-            c, y = np.eye(len(patterns), width, dtype=np.float32), np.full(len(patterns), -1)
-        if not n or not toxic:
+        post = guess.posterior((c[:, :-1] > 0).astype(np.int8), y)
+        if not toxic:
+            # Without toxic labels the lexicon stands for them: one made-up row a pattern.
             blank = np.zeros((9 * len(patterns) * (not n), width), np.float32)
-            c, y = np.concatenate([c, blank, np.eye(len(patterns), width, dtype=np.float32)]), np.concatenate([y, np.zeros(len(blank), int), np.ones(len(patterns), int)])
-        post, rates, _ = label_model((c[:, :-1] > 0).astype(np.float32), y, float(np.clip(prior, 1e-3, 0.999)))
+            c = np.concatenate([c, blank, np.eye(len(patterns), width, dtype=np.float32)])
+            post = np.concatenate([post, np.zeros(len(blank)), np.ones(len(patterns))])
         w, bias = logistic(features(c), post)
-        return pa.RecordBatch.from_arrays([pa.array([w], pa.list_(pa.float64())), pa.array([bias]), pa.array([rates.ravel()], pa.list_(pa.float64()))], ["w", "bias", "rates"])
+        return pa.RecordBatch.from_arrays([pa.array([w], pa.list_(pa.float64())), pa.array([bias]), pa.array([guess.accuracies().ravel()], pa.list_(pa.float64()))], ["w", "bias", "rates"])
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches)).sort_by("h")  # so that reruns agree
         yield model(t["c"].combine_chunks().flatten().to_numpy().reshape(-1, width), t["y"].to_numpy())
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = shape.automaton()
+        for batch in batches:
+            for b in pieces(batch, "text"):
+                c = counts(b.column("text"), a, len(patterns))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.list_(pa.float32())), b.column("y"), b.column("h")], ["c", "y", "h"])
+
     if n:
         # The bounded sample is fitted in one task, so that the driver holds the model only.
         rows = found.select("text", "y", F.xxhash64("id").alias("h")).mapInArrow(counted, "c array<float>, y int, h long").repartition(1)

@@ -1,6 +1,7 @@
 """Token counts, language model, substring removal, toxicity: against brute force, on odd texts and empty tables."""
 
 import hashlib
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -11,7 +12,7 @@ import pytest
 from helpers import corpus, frame, rows_of, words
 from pyspark.sql import functions as F
 
-from loomtext.llm import _spark, _text, lm_scoring, substring_dedup, token_counts, toxicity
+from loomtext.llm import _spark, _text, label_model, lm_scoring, substring_dedup, token_counts, toxicity
 
 
 def test_words_and_hashes():
@@ -176,14 +177,47 @@ def test_toxicity_without_labels_or_rows(spark):
     assert toxicity.toxicity(frame(spark, []), none, F.lit(False)).count() == 0
 
 
-def test_label_model_finds_accurate_voters():
-    rng = np.random.default_rng(1)
-    y = rng.random(2000) < 0.3
-    votes = np.column_stack([np.where(y, rng.random(2000) < a, rng.random(2000) < b) for a, b in ((0.9, 0.05), (0.8, 0.1), (0.5, 0.5))])
-    votes = np.column_stack([votes, votes[:, 0]]).astype(float)
-    post, rates, weight = toxicity.label_model(votes, np.full(2000, -1), 0.3)
-    assert ((post > 0.5) == y).mean() > 0.88
-    assert weight[0] < 0.7 and weight[3] < 0.7 and weight[2] > 0.8
+def voted(spark, rows):
+    """rows: (set of voters, label or None)."""
+    sets = Counter((tuple(sorted(v)), y) for v, y in rows)
+    return spark.createDataFrame([(list(v), y, n) for (v, y), n in sets.items()], "votes array<int>, y int, n long")
+
+
+def test_label_model_likelihood_by_enumeration():
+    rng = np.random.default_rng(3)
+    m = label_model.LabelModel(0.2, np.array([0, -1, 0, 1, 1]), rng.uniform(0.05, 0.95, (7, 2, 2)), 0.9)
+    above = (5, None, 5, 6, 6, None, None)
+    every = np.array(list(itertools.product((0, 1), repeat=7)))
+    for y in (0, 1):
+        want = []
+        for v in every:
+            p = [m.rates[i, 0 if above[i] is None else v[above[i]], y] for i in range(7)]
+            want.append(math.prod(q if fires else 1 - q for q, fires in zip(p, v, strict=True)))
+        assert np.allclose(np.exp(m.log_likelihood(every, y)), want) and math.isclose(sum(want), 1)
+    votes = np.array(list(itertools.product((0, 1), repeat=5)))
+    full = np.column_stack([votes, votes[:, 0] | votes[:, 2], votes[:, 3] | votes[:, 4]])
+    assert (m.with_groups(votes) == full).all()
+    for label, one, zero in ((-1, 1, 1), (1, 0.9, 0.1), (0, 0.1, 0.9)):
+        a, b = (q * right * np.exp(m.log_likelihood(full, y)) for y, q, right in ((1, 0.2, one), (0, 0.8, zero)))
+        assert np.allclose(m.posterior(votes, np.full(32, label)), a / (a + b))
+
+
+def test_label_model_finds_accuracies_groups_and_wrong_labels(spark):
+    rng = np.random.default_rng(5)
+    truth = rng.random(20_000) < 0.2
+    fire = lambda one, zero: rng.random(20_000) < np.where(truth, one, zero)
+    votes = [fire(0.5, 0.02), fire(0.4, 0.02), fire(0.6, 0.05), fire(0.1, 0.1)]
+    votes.append(votes[0] & (rng.random(20_000) < 0.95))  # says what the first one says
+    marks = [int(t) if rng.random() < 0.97 else 1 - int(t) for t in truth]
+    rows = [({k for k in range(5) if votes[k][i]}, marks[i] if i % 10 == 0 else None) for i in range(20_000)]
+    got = label_model.fit(voted(spark, rows), 5, 0.2, np.array([True, True, True, False, True]))
+    assert got.group[0] == got.group[4] >= 0
+    want = np.array([[v[truth == y].mean() for y in (False, True)] for v in votes])
+    assert np.abs(got.accuracies() - want).max() < 0.05
+    assert abs(got.truth - 0.97) < 0.02
+    assert label_model.fit(voted(spark, rows).repartition(7), 5, 0.2, np.array([True, True, True, False, True])).rates.tolist() == got.rates.tolist()
+    assert label_model.fit(voted(spark, []), 5, 0.2).rates.shape == (5, 2, 2)
+    assert label_model.fit(voted(spark, [(set(), 1), (set(), None)]), 0, 0.2).rates.shape == (0, 2, 2)
 
 
 def test_logistic_converges_on_separable_labels():
