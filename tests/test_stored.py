@@ -264,6 +264,21 @@ def test_segments_find_all_alike_names(spark, maybe):
     assert got == pytest.approx(want) and set(got) == set(want)
 
 
+def test_names_alike_in_most_places_meet_heads_first(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "FREQUENT", 4)
+    k = [f"supplier000000{i:03d}" for i in range(300)]
+    p = [f"customer000000{i:03d}" for i in range(0, 300, 7)] + [x.replace("supplier", "splier") for x in k[::17]] + [f"{x} jr" for x in k[::23]] + ["supplier00000x", "supplier0"]
+    shared = folders.shared_folder(spark)
+    old = set(folders.names(spark, shared))
+    got = {(r["n"], r["kn"]) for r in retrieval.alike_names(spark.createDataFrame([(x,) for x in p], "n string"), spark.createDataFrame([(x,) for x in k], "kn string")).collect()}
+    want = {(a, b) for a in p for b in k if 1 - distance(a, b) / max(len(a), len(b)) >= 0.78}
+    assert got == want and len(want) > 300
+    # No name that begins with customer goes on beyond the first heads.
+    (made,) = [n for n in folders.names(spark, shared) if n.startswith("loomtext-names-") and n not in old]
+    heads = [spark.read.parquet(f"{shared}/{made}/{n}") for n in folders.names(spark, f"{shared}/{made}") if n.startswith("heads")]
+    assert heads and not any(t.where("n like 'customer%'").count() for t in heads)
+
+
 def test_as_many_candidates_as_asked_for(spark):
     known = spark.createDataFrame([(f"abcdefgh{i:02d}",) for i in range(12)], "name string")
     asked = spark.createDataFrame([("abcdefghxx",), ("abcdefghijklmnopqrstuvwxyzabcdefghijklmno",)], "name string")
