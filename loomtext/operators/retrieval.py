@@ -19,7 +19,7 @@ from ..config import RetrievalConfig
 from ..functions import numeric as N
 from ..functions import text as T
 from . import folders
-from .index import chunk_lengths, corpus_stats, postings
+from .index import chunk_lengths, corpus_stats
 
 CONFIG = RetrievalConfig()
 #: Queries that one plan may broadcast (short texts or vectors); larger sets come in blocks of so many.
@@ -123,27 +123,27 @@ def heuristic_search(files: DataFrame, queries: DataFrame, as_of: Column, limit:
     return out.withColumn("excerpt", text).select(*HIT, "rank")
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, cfg: RetrievalConfig = CONFIG, terms_table: DataFrame | None = None) -> DataFrame:
+def bm25_scores(chunks: DataFrame, queries: DataFrame, cfg: RetrievalConfig = CONFIG) -> DataFrame:
     """(query_id, key, path, score) of every chunk with a query term.
 
-    Only postings of the queries' terms are kept; a term's document frequency is counted there.
+    The terms of a block of queries are bounded and broadcast, so a frequent term's postings never meet in one task. Only
+    postings of those terms are kept, dealt out by chunk: counts and scores of a chunk need no further shuffle.
     """
-    lengths = chunk_lengths(chunks)
-    stats = corpus_stats(lengths)
-    tokens = F.array_distinct(F.slice(T.tokens(F.col("text")), 1, cfg.query_terms))
-    asked = queries.select("query_id", F.explode(tokens).alias("term"))
-    terms = asked.select("term").distinct()
-    held = (postings(chunks) if terms_table is None else terms_table).join(terms, "term", "left_semi")
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tokens = T.tokens(F.col("text"))
+    stats = corpus_stats(chunk_lengths(chunks))
     k1, b = cfg.bm25_k1, cfg.bm25_b
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    weighted = (
-        held.join(df.join(F.broadcast(stats)).select("term", idf.alias("idf"), "avgdl"), "term")
-        .join(lengths, "key")
-        .select("term", "key", "path", weight.alias("w"))
-    )
-    return asked.join(weighted, "term").groupBy("query_id", "key", "path").agg(F.sum("w").alias("score"))
+
+    def run(q: DataFrame) -> DataFrame:
+        asked = q.select("query_id", F.explode(F.array_distinct(F.slice(tokens, 1, cfg.query_terms))).alias("term"))
+        posted = chunks.select("key", "path", tokens.alias("terms")).select("key", "path", F.size("terms").cast("long").alias("len"), "terms").select("key", "path", "len", F.explode("terms").alias("term"))
+        held = posted.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").repartition("key").groupBy("key", "path", "len", "term").agg(F.count("*").alias("tf"))
+        df = held.groupBy("term").agg(F.count("*").alias("df"))
+        idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        terms = df.join(F.broadcast(stats)).join(F.broadcast(asked), "term").select("query_id", "term", idf.alias("idf"), "avgdl")
+        weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
+        return held.join(F.broadcast(terms), "term").groupBy("query_id", "key", "path").agg(F.sum(weight).alias("score"))
+
+    return query_blocks(queries, run)
 
 
 def bm25_search(chunks: DataFrame, queries: DataFrame, limit: int = 24, cfg: RetrievalConfig = CONFIG) -> DataFrame:

@@ -284,3 +284,16 @@ def test_text_files_of_like_paths_stay_apart(spark, tmp_path):
     rows = [("a/b", "1"), ("a_b", "2"), ("a=b", "3")]
     sinks.write_text_files(spark.createDataFrame(rows, "path string, content string"), f"file://{tmp_path}/out")
     assert sorted(map(tuple, spark.read.text(f"file://{tmp_path}/out").select("path", "value").collect())) == sorted(rows)
+
+
+def test_postings_of_a_term_do_not_meet_in_one_task(spark):
+    chunks = spark.createDataFrame([(f"k{i}", f"p{i}", "common word" if i % 2 else "common other") for i in range(20)], "key string, path string, text string")
+    asked = spark.createDataFrame([(1, "common"), (2, "other common")], "query_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = retrieval.bm25_scores(chunks, asked)
+        assert out.count() == 40
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
