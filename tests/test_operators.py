@@ -297,3 +297,24 @@ def test_postings_of_a_term_do_not_meet_in_one_task(spark):
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_embedding_makes_no_object_of_each_token(spark):
+    import zlib
+
+    import pyarrow as pa
+
+    from loomtext.operators import embed
+
+    rows = [["abc", "def", "abc"], [], ["ghi"] * 300] * 400
+    got = embed._hashed.func(pa.array(rows, pa.list_(pa.string()))).to_pylist()
+    for row, v in zip(rows[:3], got, strict=False):
+        want = np.zeros(256, np.float32)
+        for t in row:
+            want[zlib.crc32(t.encode()) % 256] += 1
+        n = np.linalg.norm(want)
+        assert v == (want / n if n else want).tolist()
+    assert len(got) == len(rows) and got[:3] == got[-3:]
+    texts = spark.createDataFrame([(1, "abc def abc"), (2, ""), (3, None)], "id long, text string")
+    vectors = {r["id"]: r["v"] for r in texts.select("id", embed.hashed_bag_of_words(F.col("text")).alias("v")).collect()}
+    assert vectors[1] == got[0] and vectors[2] == vectors[3] == got[1]
