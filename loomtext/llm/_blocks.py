@@ -15,10 +15,15 @@ from ._text import mix
 PART = 4096
 #: Bound of the hot keys that are split; found in a sample of 1 in SAMPLE ids.
 HOT_KEYS, SAMPLE = 50_000, 32
+#: Tasks a core for work that is great for its bytes.
+TASKS = 4
 
 
-def grouped(df: DataFrame, key: str, fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, rows: int = 50_000, size: int = 16 << 20, then: tuple[str, ...] = ()) -> DataFrame:
-    """fn over tables of whole groups of key, in its order; a table has about ``rows`` rows or ``size`` bytes."""
+def grouped(df: DataFrame, key: str, fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, rows: int = 50_000, size: int = 16 << 20, then: tuple[str, ...] = (), heavy: bool = False) -> DataFrame:
+    """fn over tables of whole groups of key, in its order; a table has about ``rows`` rows or ``size`` bytes.
+
+    heavy: the work is great for its bytes, so that its tasks are not to be made fewer by them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -37,7 +42,8 @@ def grouped(df: DataFrame, key: str, fn: Callable[[pa.Table], Iterator[pa.Record
         if n:
             yield from fn(pa.Table.from_batches(held))
 
-    return df.repartition(key).sortWithinPartitions(key, *then).mapInArrow(run, schema)
+    dealt = df.repartition(TASKS * df.sparkSession.sparkContext.defaultParallelism, key) if heavy else df.repartition(key)
+    return dealt.sortWithinPartitions(key, *then).mapInArrow(run, schema)
 
 
 def hot_keys(sampled: DataFrame, part: int = PART) -> tuple[np.ndarray, np.ndarray]:

@@ -88,16 +88,16 @@ def link(
     homes = scratch.cut(homes.select("id", F.col("low")[0].alias("key"), "low", *names), "homes")
     data = scratch.cut(homes.drop("low").join(payload(homes.select("id")), "id"), "data")
     at = data.withColumns({"label": F.col("id"), "home": F.col("id")})
-    first = scratch.cut(_blocks.grouped(at, "key", tested, "a long, b long", rows=rows), "links")
+    first = scratch.cut(_blocks.grouped(at, "key", tested, "a long, b long", rows=rows, heavy=True), "links")
     roots = scratch.cut(_spark.components(scratch, first), "roots")
     tagged = homes.withColumnRenamed("key", "home").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
     tagged = scratch.cut(tagged, "tagged")
     under = Window.partitionBy("key")
     several = hits.select("key", "id").join(tagged.select("id", "label"), "id").select("key", "id", (F.min("label").over(under) != F.max("label").over(under)).alias("several"))
     met = several.where("several").join(tagged, "id").select("key", "id", *names, "home", "label", "low")
-    open_ = scratch.cut(_blocks.grouped(met, "key", unmet, f"key long, id long, {sketch}, home long, label long", rows=rows), "open")
+    open_ = scratch.cut(_blocks.grouped(met, "key", unmet, f"key long, id long, {sketch}, home long, label long", rows=rows, heavy=True), "open")
     if open_.take(1):
-        more = scratch.cut(_blocks.grouped(open_.join(data.select("id", "data"), "id"), "key", tested, "a long, b long", rows=rows), "more")
+        more = scratch.cut(_blocks.grouped(open_.join(data.select("id", "data"), "id"), "key", tested, "a long, b long", rows=rows, heavy=True), "more")
         if more.take(1):
             every = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
             roots = scratch.cut(_spark.components(scratch, every), "all-roots")

@@ -50,6 +50,8 @@ SHORT, ENDS = 4, ((5, 9, 3), (8, 17, 5), (14, 1 << 40, 9))
 PART = 1024
 #: Pairs, and characters of them, that are gathered before their distances are computed; pairs and characters computed at once.
 AT_ONCE, MANY, WIDE, LONG = 1024, 1 << 20, 128, 1 << 18
+#: Bins of the counts of characters, which tell many pairs apart before their distances are computed; a power of 2, at most 256.
+BINS = 32
 
 #: ASCII bytes that are neither letters nor digits.
 _BETWEEN = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
@@ -239,11 +241,12 @@ def distances(pairs: list[tuple[str, str]]) -> np.ndarray:
     return out
 
 
-def _lanes(sides: list[tuple[str, str]]) -> list[int]:
+def _lanes(sides: list[tuple[str, str]], most: list[int] | None = None) -> list[int]:
     """Edit distances of (longer, shorter) texts; each pair has its lane of whole bytes in the same long numbers.
 
     A lane has a bit for each character of the shorter text and a spare one, into which sums and shifts run over. Lanes
-    stand by the length of the longer text, and go from the high end when it is read.
+    stand by the length of the longer text, and go from the high end when it is read. most: of a pair whose distance is
+    above its number, any number above that may be given; its lane goes once no way to the end can cost less.
     """
     out = [len(a) for a, _ in sides]
     order = sorted((k for k, (_, b) in enumerate(sides) if b), key=lambda k: -len(sides[k][0]))
@@ -256,38 +259,96 @@ def _lanes(sides: list[tuple[str, str]]) -> list[int]:
             bits[c] = bits.get(c, 0) | 1 << i
         table = {c: x.to_bytes(size, "little") for c, x in bits.items()}
         none = bytes(size)
-        tables.append([table.get(c, none) for c in a])
+        tables.append(iter([table.get(c, none) for c in a]))
         full |= ((1 << len(b)) - 1) << (8 * at)
         ones |= 1 << (8 * at)
         at += size
         ends.append(at)
-    pv, mv, live = full, 0, len(order)
-    for step, column in enumerate(zip_longest(*tables, fillvalue=b"")):
-        eq = int.from_bytes(b"".join(column), "little")
-        xv = eq | mv
-        xh = ((((eq & pv) + pv) ^ pv) | eq) & full
-        ph, mh = mv | (full ^ (xh | pv)), pv & xh
-        ph = ((ph << 1) | ones) & full
-        pv, mv = ((mh << 1) & full) | (full ^ (xv | ph)), ph & xv
-        left = live
-        while left and len(tables[left - 1]) == step + 1:
-            left -= 1
-        if left < live:
-            # The last column's steps down add up to the distance.
-            low = ends[left - 1] if left else 0
-            up, down = (x.to_bytes(ends[live - 1], "little") for x in (pv, mv))
-            for n in range(left, live):
-                own = slice(ends[n - 1] if n else 0, ends[n])
-                out[order[n]] += int.from_bytes(up[own], "little").bit_count() - int.from_bytes(down[own], "little").bit_count()
-            rest = (1 << (8 * low)) - 1
-            pv, mv, full, ones, live = pv & rest, mv & rest, full & rest, ones & rest, left
+    pv, mv, step = full, 0, 0
+    every = max(32, len(sides[order[0]][0]) // 12) if order else 0
+    while order:
+        live = len(order)
+        for column in zip_longest(*tables, fillvalue=b""):
+            step += 1
+            eq = int.from_bytes(b"".join(column), "little")
+            xv = eq | mv
+            xh = ((((eq & pv) + pv) ^ pv) | eq) & full
+            ph, mh = mv | (full ^ (xh | pv)), pv & xh
+            ph = ((ph << 1) | ones) & full
+            pv, mv = ((mh << 1) & full) | (full ^ (xv | ph)), ph & xv
+            left = live
+            while left and len(sides[order[left - 1]][0]) == step:
+                left -= 1
+            if left < live:
+                # The last column's steps down add up to the distance.
+                low = ends[left - 1] if left else 0
+                up, down = (x.to_bytes(ends[live - 1], "little") for x in (pv, mv))
+                for n in range(left, live):
+                    own = slice(ends[n - 1] if n else 0, ends[n])
+                    out[order[n]] += int.from_bytes(up[own], "little").bit_count() - int.from_bytes(down[own], "little").bit_count()
+                rest = (1 << (8 * low)) - 1
+                pv, mv, full, ones, live = pv & rest, mv & rest, full & rest, ones & rest, left
+                if not live:
+                    break
+            if most is not None and step % every == 0:
+                least = _least(pv, mv, [sides[k] for k in order[:live]], ends[:live], step)
+                stay = [n for n in range(live) if least[n] <= most[order[n]]]
+                if 8 * len(stay) <= 7 * live:
+                    break
+        if not live:
+            return out
+        for n in range(live):
+            out[order[n]] = int(least[n])
+        pv, mv, full, ones = (_only(x, stay, ends) for x in (pv, mv, full, ones))
+        ends = np.cumsum([ends[n] - (ends[n - 1] if n else 0) for n in stay]).tolist()
+        order, tables = [order[n] for n in stay], [tables[n] for n in stay]
+        for k in order:
+            out[k] = len(sides[k][0])
     return out
 
 
+def _least(pv: int, mv: int, sides: list[tuple[str, str]], ends: list[int], step: int) -> np.ndarray:
+    """The least that each lane's distance can be, after so many columns: from any of their cells the rest costs its difference in length."""
+    up, down = (np.unpackbits(np.frombuffer(x.to_bytes(ends[-1], "little"), np.uint8), bitorder="little").astype(np.int8) for x in (pv, mv))
+    # The bits of a lane below its text's end are those of rows from 1; its spare ones repeat the last row.
+    rows = np.concatenate(([0], np.cumsum(up - down, dtype=np.int64)))
+    begin = 8 * np.array([0, *ends[:-1]])
+    width = np.diff(8 * np.array([0, *ends]))
+    short, rest = np.array([len(b) for _, b in sides]), np.array([len(a) - step for a, _ in sides])
+    number = np.arange(1, len(rows)) - np.repeat(begin, width)
+    cost = step + rows[1:] - np.repeat(rows[begin], width) + np.abs(np.repeat(short, width) - np.minimum(number, np.repeat(short, width)) - np.repeat(rest, width))
+    return np.minimum(np.minimum.reduceat(cost, begin), step + np.abs(short - rest))
+
+
+def _only(x: int, stay: list[int], ends: list[int]) -> int:
+    """The lanes in stay, side by side."""
+    raw = x.to_bytes(ends[-1], "little")
+    return int.from_bytes(b"".join(raw[ends[n - 1] if n else 0 : ends[n]] for n in stay), "little")
+
+
+def letters(text: list[str]) -> np.ndarray:
+    """How often each text has the characters of each of so many bins."""
+    code = np.frombuffer("".join(text).encode("utf-32-le"), np.uint8)[::4] & (BINS - 1)
+    row = np.repeat(np.arange(len(text), dtype=np.int32) * BINS, [len(x) for x in text])
+    return np.bincount(row + code, minlength=len(text) * BINS).astype(np.int32).reshape(-1, BINS)
+
+
+def may_be(counts: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which pairs can be within most edits: an edit takes away at most one character, and adds at most one."""
+    ok = np.ones(len(i), bool)
+    for at in range(0, len(i), 1 << 13):
+        own = slice(at, at + (1 << 13))
+        off = counts[i[own]] - counts[j[own]]
+        more = np.maximum(off, 0).sum(1)
+        ok[own] = np.maximum(more, more - off.sum(1)) <= most[own]
+    return ok
+
+
 def verify(t: pa.Table, pairs: Iterator[tuple[np.ndarray, np.ndarray]], groups: _blocks.Groups, similarity: float) -> None:
     """Joins the rows of similar pairs in groups, by their texts."""
     text = [x.decode() for x in t["data"].to_pylist()]
     size = np.array([len(x) for x in text], np.int64)
+    counts = letters(text)
     asked: list[tuple[int, int, int]] = []
     sides: list[tuple[str, str]] = []
     held = 0
@@ -295,7 +356,7 @@ def verify(t: pa.Table, pairs: Iterator[tuple[np.ndarray, np.ndarray]], groups:
     def settle() -> None:
         for some in batches(sides):
             some = [k for k in some if groups.label[asked[k][0]] != groups.label[asked[k][1]]]
-            for k, d in zip(some, _lanes([sides[k] for k in some]), strict=True):
+            for k, d in zip(some, _lanes([sides[k] for k in some], [asked[k][2] for k in some]), strict=True):
                 if d <= asked[k][2]:
                     groups.join(*asked[k][:2])
         asked.clear()
@@ -303,7 +364,8 @@ def verify(t: pa.Table, pairs: Iterator[tuple[np.ndarray, np.ndarray]], groups:
 
     for i, j in pairs:
         most = ((1 - similarity) * np.maximum(size[i], size[j]) + 1e-9).astype(np.int64)
-        fit = np.abs(size[i] - size[j]) <= most
+        fit = np.flatnonzero((np.abs(size[i] - size[j]) <= most) & (groups.label[i] != groups.label[j]))
+        fit = fit[may_be(counts, i[fit], j[fit], most[fit])]
         for x, y, m in zip(i[fit].tolist(), j[fit].tolist(), most[fit].tolist(), strict=True):
             if groups.label[x] != groups.label[y]:
                 own = middles(text[x], text[y])
