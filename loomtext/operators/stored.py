@@ -6,11 +6,17 @@ scores the best spans exactly, and then only those whose bound reaches the score
 of scoring everything.
 
 An index is written to a version folder whose header comes last; the newest version with a header is the one to load.
-Blocks are groups of at most ``SPAN`` chunks whatever the term, so no frequent term meets in one task.
+Texts and blocks are dealt out by span, both when an index is made and when it is searched: what is counted or summed for
+a chunk is so in one task, and neither postings nor scores are shuffled by term or by query.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,12 +25,12 @@ from ..functions import text as T
 from . import folders
 from .retrieval import CONFIG, by_score, query_blocks, top
 
-#: Chunk numbers that a block covers; folders of terms, each of as many files as Spark's rebalancing makes of it.
+#: Chunk numbers that a block covers; folders of terms, each with a file of each task that made blocks.
 SPAN, PARTS = 256, 16
 #: Tables in folders by part; without rows they have no files to take a schema from.
 POSTINGS, TERMS = "term string, span long, n long, most double, hits array<struct<doc:long,w:double>>, part int", "term string, df long, part int"
-#: Spans of a query that are scored first, for the score of its last place; pairs of query and span that are broadcast (16 bytes each).
-FIRST, FEW = 8, 1 << 18
+#: Spans of a query that are scored first, for the score of its last place; spans to be scored that are broadcast (8 bytes each); scores that a task adds up at once.
+FIRST, FEW, AT_ONCE = 8, 1 << 18, 1 << 20
 
 
 def _new(spark: SparkSession, folder: str) -> str:
@@ -82,36 +88,114 @@ class Postings:
         parts = [r["part"] for r in asked.select("part").distinct().collect()]  # at most as many as there are folders
         return table.where(F.col("part").isin(parts))
 
-    @staticmethod
-    def _scores(held: DataFrame, spans: DataFrame) -> DataFrame:
-        """(query_id, doc, score) of all chunks in spans(query_id, span), of the queries' blocks."""
-        hits = held.join(spans, ["query_id", "span"]).select("query_id", "idf", F.explode("hits").alias("h"))
-        return hits.groupBy("query_id", F.col("h.doc").alias("doc")).agg(F.sum(F.col("idf") * F.col("h.w")).alias("score"))
-
     def search(self, queries: DataFrame, limit: int = 24, cfg: RetrievalConfig = CONFIG) -> DataFrame:
         """(query_id, key, path, score, rank): what ``bm25_search`` gives over the index's chunks. queries(query_id, text).
 
-        A block of queries has a bounded number of terms, which are broadcast to the blocks of postings; so are the spans
-        to be scored if they are few, else both sides are shuffled by query and span.
+        A block of queries has a bounded number of terms, which are broadcast. Blocks of postings of these terms, once for
+        all queries, are shuffled by span, and of a span's scores only each query's best leave the task. Spans that no
+        query needs are left out before, unless there are very many to be scored.
         """
         k = max(1, min(cfg.bm25_cap, limit))
+        kind = queries.schema["query_id"].dataType.simpleString()
 
         def run(q: DataFrame) -> DataFrame:
-            asked = self.asked(q, cfg)
-            held = self._within(self.blocks, asked).join(F.broadcast(asked), ["part", "term"])
-            bounds = held.groupBy("query_id", "span").agg(F.sum(F.col("idf") * F.col("most")).alias("bound"))
-            first = top(bounds, FIRST, F.col("bound").desc(), F.col("span")).select("query_id", "span")  # at most FIRST * QUERY_BLOCK rows
-            last = top(self._scores(held, F.broadcast(first)), k, F.col("score").desc()).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+            table = self.asked(q, cfg).toArrow()  # at most 24 * QUERY_BLOCK rows
+            asked = self.spark.createDataFrame(table, f"query_id {kind}, part int, term string, idf double")
+            held = self._within(self.blocks, asked).join(F.broadcast(asked.select("part", "term").distinct()), ["part", "term"], "left_semi")
+            terms = F.broadcast(asked.select("query_id", "term", "idf"))
+            bounds = held.select("span", "term", "most").repartition("span").join(terms, "term").groupBy("span", "query_id").agg(F.sum(F.col("idf") * F.col("most")).alias("bound"))
+            first = top(bounds, FIRST, F.col("bound").desc(), F.col("span")).select("query_id", "span").toArrow()  # at most FIRST * QUERY_BLOCK rows
+            spans = self.spark.createDataFrame(first.select(["span"]), "span long").distinct()
+            ahead = self._scored(held.join(F.broadcast(spans), "span", "left_semi"), table, k, first=first)
+            last = top(ahead, k, F.col("score").desc()).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).toArrow()
             # Sums in another order differ in the last places, and ranks go by nine of them.
-            left = bounds.join(last, "query_id", "left").where((F.coalesce("n", F.lit(0)) < k) | (F.col("bound") >= F.col("least") - 1e-6)).select("query_id", "span")
-            few = left.limit(FEW + 1).toArrow()
-            left = F.broadcast(self.spark.createDataFrame(few, left.schema)) if len(few) <= FEW else left
+            least = F.broadcast(self.spark.createDataFrame(last.select(["query_id", "least"]), f"query_id {kind}, least double"))
+            needed = bounds.join(least, "query_id", "left").where("least is null or bound >= least - 1e-6").select("span").distinct()
+            few = needed.limit(FEW + 1).toArrow()
+            held = held.join(F.broadcast(self.spark.createDataFrame(few, "span long")), "span", "left_semi") if len(few) <= FEW else held
             place = F.rank().over(Window.partitionBy("query_id").orderBy(by_score()))  # ties of the last place meet their keys below
-            best = self._scores(held, left).withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
+            best = self._scored(held, table, k, last=last).withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
             return top(best.join(self.chunks.select("doc", "key", "path"), "doc").select("query_id", "key", "path", "score"), k, by_score(), F.col("key"))
 
         return query_blocks(queries, run)
 
+    def _scored(self, held: DataFrame, asked: pa.Table, k: int, first: pa.Table | None = None, last: pa.Table | None = None) -> DataFrame:
+        """(query_id, doc, score): in each span of the blocks held, a query's k best chunks and those that equal the last of them.
+
+        first(query_id, span): the only pairs to be scored; last(query_id, least): scores that a query's chunks must reach.
+        """
+        ids = pc.unique(asked["query_id"])
+        number = lambda column: pc.index_in(column, ids).to_numpy()
+        order = np.argsort(asked["term"].to_numpy(), kind="stable")
+        asked = asked.take(pa.array(order)).combine_chunks()
+        terms, least, only = pc.unique(asked["term"]), np.full(len(ids), -np.inf), None
+        begin = np.searchsorted(pc.index_in(asked["term"], terms).to_numpy(), np.arange(len(terms) + 1))
+        if last is not None and len(last):
+            least[number(last["query_id"])] = last["least"].to_numpy() - 1e-6
+        if first is not None:
+            only = {}
+            for span, query in zip(first["span"].to_pylist(), number(first["query_id"]).tolist(), strict=True):
+                only.setdefault(span, []).append(query)
+        shared = self.spark.sparkContext.broadcast((ids, terms, begin, number(asked["query_id"]), asked["idf"].to_numpy(), least, only))
+        width = SPAN
+
+        def best(t: pa.Table) -> pa.Table:
+            ids, terms, begin, query, idf, least, only = shared.value
+            span, docs = t["span"][0].as_py(), t["docs"].combine_chunks()
+            term = pc.index_in(t["term"], terms).to_numpy()[pc.list_parent_indices(docs).to_numpy()]
+            at, w = pc.list_flatten(docs).to_numpy() - span * width, pc.list_flatten(t["ws"].combine_chunks()).to_numpy()
+            times = begin[term + 1] - begin[term]
+            total, score, done = np.cumsum(times), np.zeros(len(ids) * width), 0
+            while done < len(at):
+                # Each hit counts for each query that asks for its term.
+                to = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + AT_ONCE, "right")))
+                n = times[done:to]
+                hit = np.repeat(np.arange(done, to), n)
+                ask = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + begin[term[hit]]
+                score += np.bincount(query[ask] * width + at[hit], w[hit] * idf[ask], len(score))
+                done = to
+            score = score.reshape(len(ids), width)
+            rank = np.round(score, 9)
+            low = np.partition(rank, -k, axis=1)[:, -k][:, None] if width > k else np.zeros((len(ids), 1))
+            keep = (score > 0) & (rank >= low) & (score >= least[:, None])
+            if only is not None:
+                some = np.zeros(len(ids), bool)
+                some[only.get(span, [])] = True
+                keep &= some[:, None]
+            row, place = np.nonzero(keep)
+            return pa.table([ids.take(pa.array(row)), pa.array(place + span * width), pa.array(score[row, place])], ["query_id", "doc", "score"])
+
+        kind = self.spark.createDataFrame(asked.select(["query_id"]).slice(0, 0)).schema["query_id"].dataType.simpleString()
+        narrow = held.select("span", "term", F.col("hits.doc").alias("docs"), F.col("hits.w").alias("ws"))
+        return narrow.groupBy("span").applyInArrow(best, f"query_id {kind}, doc long, score double")
+
+
+def _blocks_of(k1: float, b: float, avgdl: float) -> Callable[[pa.Table], pa.Table]:
+    """From the chunks (span, doc, len, terms) of a span to its blocks (term, span, n, most, hits)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("doc").combine_chunks()
+        lists = t["terms"].combine_chunks()
+        words = pc.list_flatten(lists).dictionary_encode()
+        # tf of each term and chunk, by term, then chunk.
+        pair, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(t) + pc.list_parent_indices(lists).to_numpy(), return_counts=True)
+        term, at = pair // len(t), pair % len(t)
+        w = tf * (k1 + 1) / (tf + k1 * (1 - b + b * t["len"].to_numpy()[at] / avgdl))
+        begin = np.flatnonzero(np.diff(term, prepend=-1))
+        hits = pa.StructArray.from_arrays([t["doc"].combine_chunks().take(pa.array(at)), pa.array(w)], ["doc", "w"])
+        return pa.table(
+            [
+                words.dictionary.take(pa.array(term[begin])),
+                pa.array(np.full(len(begin), t["span"][0].as_py())),
+                pa.array(np.diff(np.append(begin, len(term)))),
+                pa.array(np.maximum.reduceat(w, begin)),
+                pa.ListArray.from_arrays(pa.array(np.append(begin, len(term)).astype(np.int32)), hits),
+            ],
+            ["term", "span", "n", "most", "hits"],
+        )
+
+    return run
+
 
 def save(chunks: DataFrame, folder: str, cfg: RetrievalConfig = CONFIG, parts: int = PARTS, **settings) -> Postings:
     """Writes chunks(key, path, text, ...) as a new version of the index in folder, with settings in its header."""
@@ -120,12 +204,12 @@ def save(chunks: DataFrame, folder: str, cfg: RetrievalConfig = CONFIG, parts: i
     chunks.withColumn("len", F.size(T.tokens(F.col("text"))).cast("long")).withColumn("doc", F.monotonically_increasing_id()).write.parquet(f"{at}/chunks")
     held = spark.read.parquet(f"{at}/chunks")
     stats = held.where("len > 0").agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum("len"), F.lit(0)).alias("total_len"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl")).first().asDict()
-    counted = held.select("doc", "len", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term", "doc", "len").agg(F.count("*").alias("tf"))
-    weight = F.col("tf") * (cfg.bm25_k1 + 1) / (F.col("tf") + cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * F.col("len") / F.lit(stats["avgdl"])))
-    counted = counted.select("term", F.floor(F.col("doc") / SPAN).alias("span"), F.struct("doc", weight.alias("w")).alias("hit"), weight.alias("w"))
-    blocks = counted.groupBy("term", "span").agg(F.count("*").alias("n"), F.max("w").alias("most"), F.sort_array(F.collect_list("hit")).alias("hits"))
+    by_span = held.where("len > 0").select(F.floor(F.col("doc") / SPAN).alias("span"), "doc", "len", "text").repartition("span")
+    by_span = by_span.select("span", "doc", "len", T.tokens(F.col("text")).alias("terms"))
+    blocks = by_span.groupBy("span").applyInArrow(_blocks_of(cfg.bm25_k1, cfg.bm25_b, stats["avgdl"]), POSTINGS.removesuffix(", part int"))
     blocks = blocks.withColumn("part", _part(F.col("term"), parts))
-    blocks.hint("rebalance", "part").sortWithinPartitions("part", "term", "span").write.partitionBy("part").parquet(f"{at}/postings")
+    # Each task writes its spans' blocks into the folders of their terms: once shuffled by span, they are not shuffled again.
+    blocks.sortWithinPartitions("part", "term", "span").write.partitionBy("part").parquet(f"{at}/postings")
     terms = spark.read.schema(POSTINGS).parquet(f"{at}/postings").groupBy("part", "term").agg(F.sum("n").alias("df"))
     terms.hint("rebalance", "part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{at}/terms")
     _head(spark, at, parts=parts, k1=cfg.bm25_k1, b=cfg.bm25_b, **stats, **settings)
