@@ -1,5 +1,6 @@
 """Files by name, kept results, attempts with waits, debounced requests."""
 
+import json
 import os
 import random
 
@@ -183,3 +184,23 @@ def test_debounced_stream(spark, tmp_path):
     got = sorted(r["n"] for r in back.collect())
     assert got == sorted([*quiet(rows, wait), 2000])
     assert sorted(r["n"] for r in back.join(frame(spark, [*rows, *parts[3]]), ["n", "at"]).collect()) == got
+
+
+def test_files_are_named_and_listed_by_many_tasks(spark, tmp_path, monkeypatch):
+    rows = [(f"d{i}/{k}.md", f"text {i} {k}", "created") for i in range(40) for k in range(3)]
+    plan = spark.createDataFrame(rows, "path string, content string, action string").repartition(4)
+    runs, clear = [], files._clear
+    monkeypatch.setattr(files, "_clear", lambda folder, run: runs.append(run))
+    assert files.write_files(plan, f"file://{tmp_path}").first()["created"] == 120
+    want = {path: content for path, content, _ in rows}
+    assert on_disk(tmp_path) == want
+    # A task that is run again, some of whose files have their names, names the rest.
+    listed = [line for f in (tmp_path / "_aside" / runs[0]).glob("*/listed") for line in f.read_text().splitlines()]
+    _, aside, path = json.loads(listed[0])
+    os.rename(path, aside)
+    files._named(spark, f"file://{tmp_path}", runs[0])
+    assert on_disk(tmp_path) == want
+    clear(f"file://{tmp_path}", runs[0])
+    assert os.listdir(tmp_path / "_aside") == []
+    back = files.listed_files(spark, f"file://{tmp_path}", contents=True).withColumn("task", F.spark_partition_id()).collect()
+    assert {r["path"]: r["content"] for r in back} == want and len({r["task"] for r in back}) > 4
