@@ -57,7 +57,7 @@ def segments(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
                 ids = pa.array([np.array(x[2:], np.uint16 if width == 1 else np.int32).tobytes() for x in found], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("key").cast(pa.binary()), b.column("freq"), ids], ["key", "freq", "ids"])
 
-    return keyed.count_keys(docs, [text_col], keys_of).mapInArrow(segment, "key binary, freq long, ids binary")
+    return keyed.count_packed(docs, [text_col], keys_of, segment, "key binary, freq long, ids binary")
 
 
 def _places(batch: pa.RecordBatch, head: pa.Array) -> Iterator[tuple[pa.RecordBatch, pa.DictionaryArray, np.ndarray, np.ndarray]]:
@@ -122,7 +122,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     check_vocabulary(model)
     scratch = _spark.Scratch(docs.sparkSession)
     docs = _spark.with_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), scratch)
-    table = scratch.cut(segments(docs, model), "segments")
+    table = scratch.cut(segments(docs, model), "segments", free=True)
     short = F.octet_length("key") <= HEAD_BYTES
     in_head = short & (F.col("freq") >= F.lit(_spark.head_cut(table.where(short), "freq", HEAD_KEYS)))
     head = table.where(in_head).orderBy(F.desc("freq"), "key").select("key", "ids").toArrow().combine_chunks()

@@ -199,3 +199,27 @@ def test_filter_keeps_all_columns(spark):
     df = frame(spark, docs)
     out = toxicity.without_toxic(df, marks, _spark.doc_key() % 4 == 2)
     assert out.columns == df.columns and 0 < out.count() < df.count()
+
+
+def test_counts_in_packed_blocks(spark, rows, monkeypatch):
+    import pyarrow as pa
+
+    from loomtext.llm import keyed
+
+    docs = frame(spark, [*rows, (999, "x" * 100_000, "en", "s", 1), (1000, " ".join(f"word{i}" for i in range(3000)), "en", "s", 1)])
+
+    def keys_of(batch):
+        yield pa.array([w.encode() for t in batch.column("text").to_pylist() for w in (t or "").split()] + [b""], pa.large_binary())
+
+    want = rows_of(keyed.count_keys(docs, ["text"], keys_of), "key", "freq")
+    assert rows_of(keyed.count_packed(docs, ["text"], keys_of), "key", "freq") == want and len(want) > 3000
+    # Merged again and again, in windows of few keys.
+    monkeypatch.setattr(keyed, "WINDOW", 50)
+    monkeypatch.setattr(keyed, "MERGED", 50)
+    monkeypatch.setattr(keyed, "BUCKETS", 3)
+    assert rows_of(keyed.count_packed(docs, ["text"], keys_of), "key", "freq") == want
+    assert keyed.count_packed(frame(spark, []), ["text"], keys_of).count() == 0
+    # A count takes far less than its bytes.
+    keys = pa.array(sorted(f"word{i}".encode() for i in range(3000)), pa.binary())
+    block = keyed.packed(keys, np.ones(3000, np.int64))
+    assert len(block) < keys.nbytes / 4 and keyed.unpacked(block)["key"].to_pylist() == keys.to_pylist()
