@@ -34,6 +34,8 @@ from ._text import LOWER, flat, pieces, segment_sum, spans_array, words
 PAD, END, SYMBOLS = 0xFE, 0xFF, 256
 #: Bound of the broadcast n-grams: 2**20 of 16 bytes each.
 HEAD_GRAMS, SLOT_BITS = 1 << 20, 22
+#: Bytes of text whose words and whose n-grams are worked on at a time; n-grams with counts that a task merges at once, and that it keeps then.
+TEXT_BYTES, GRAM_BYTES, MERGED, KEPT = 2 << 20, 1 << 18, 1_500_000, 1_000_000
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -147,12 +149,29 @@ def _gram_keys(g: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(g), [None, pa.py_buffer((np.arange(len(g) + 1) * 9).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
 
 
+def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted keys of all (keys, counts), with the sums of their counts; held is emptied."""
+    keys, counts = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+    held.clear()
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    del order
+    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[begin], np.add.reduceat(counts, begin) if len(begin) else counts
+
+
 def _prepared(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     data, offs = flat(b.column("text"))
     data = LOWER[data]
     return data, *words(data, offs)
 
 
+def text_grams(b: pa.RecordBatch, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram of each symbol that is scored, and for each document the index of its first one (and the end)."""
+    symbols, places, begin = stream(*_prepared(b), order)
+    return grams(symbols, places, order), begin
+
+
 def score(docs: DataFrame, held_out, order: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs.
 
@@ -177,29 +196,27 @@ def score(docs: DataFrame, held_out, order: int = 5, id_col: str = "doc_id", tex
     def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged() -> pa.RecordBatch:
-            u, i = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-            c = np.bincount(i, weights=np.concatenate([x[1] for x in held])).astype(np.int64)
-            out = np.zeros(len(u), bool)
-            out[:] = u & np.uint64(1)
-            return pa.RecordBatch.from_arrays([pa.array((u >> np.uint64(1)).view(np.int64)), pa.array(np.where(out, 0, c)), pa.array(c)], ["g", "n", "uses"])
+        def passed(u: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for x in range(0, len(u), 100_000):
+                g, uses = u[x : x + 100_000], c[x : x + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array((g >> np.uint64(1)).view(np.int64)), pa.array(np.where(g & np.uint64(1), 0, uses)), pa.array(uses)], ["g", "n", "uses"])
 
         size = 0
         for batch in batches:
-            for b in pieces(batch, "text", 2 << 20):
-                data, starts, ends, first = _prepared(b)
-                symbols, places, begin = stream(data, starts, ends, first, order)
-                g = grams(symbols, places, order) << np.uint64(1)
+            for b in pieces(batch, "text", GRAM_BYTES):
+                g, begin = text_grams(b, order)
+                g <<= np.uint64(1)
                 g |= np.repeat(b.column("held_out").to_numpy(zero_copy_only=False), np.diff(begin)).astype(np.uint64)
                 held.append(np.unique(g, return_counts=True))
                 size += len(held[-1][0])
-                if size > 3_000_000:
-                    out = merged()
-                    held, size = [], 0
-                    yield from (out.slice(x, 100_000) for x in range(0, len(out), 100_000))
+                if size > MERGED:
+                    held = [merged(held)]
+                    size = len(held[0][0])
+                    if size > KEPT:
+                        yield from passed(*held.pop())
+                        size = 0
         if held:
-            out = merged()
-            yield from (out.slice(x, 100_000) for x in range(0, len(out), 100_000))
+            yield from passed(*merged(held))
 
     counted = docs.select("text", "held_out").mapInArrow(gram_counts, "g long, n long, uses long").groupBy("g").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses"))
     counted = scratch.cut(counted, "grams")
@@ -244,8 +261,22 @@ def score(docs: DataFrame, held_out, order: int = 5, id_col: str = "doc_id", tex
         word_list = top["key"].combine_chunks().cast(pa.large_binary())
         freq = np.append(top["freq"].to_numpy(), 0)
         value = np.log10(freq + 1.0) - unit
+
+        def summed_grams(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """Each document's sum over the n-grams of the table; document, n-gram and how often of all others."""
+            g, begin = text_grams(b, order)
+            worth, miss = table.find(g)
+            total = segment_sum(worth, begin)
+            gd, gk = np.searchsorted(begin, miss, "right") - 1, g[miss]
+            order_ = np.lexsort((gk, gd))
+            gd, gk = gd[order_], gk[order_]
+            new = np.ones(len(gd), bool)
+            new[1:] = (gd[1:] != gd[:-1]) | (gk[1:] != gk[:-1])
+            lead = np.flatnonzero(new)
+            return total, gd[lead], gk[lead], np.diff(np.append(lead, len(gd)))
+
         for batch in batches:
-            for b in pieces(batch, "text", 2 << 20):
+            for b in pieces(batch, "text", TEXT_BYTES):
                 rows = len(b)
                 data, starts, ends, first = _prepared(b)
                 code = spans_array(data, starts, ends).dictionary_encode()
@@ -254,22 +285,15 @@ def score(docs: DataFrame, held_out, order: int = 5, id_col: str = "doc_id", tex
                 head = found < len(word_list)
                 base = segment_sum(np.where(head, value[found], 0.0), first) + (math.log10(n_docs + 1) - unit)
                 known = segment_sum(head.astype(np.int64), first) + (n_docs > 0)
-                symbols, places, begin = stream(data, starts, ends, first, order)
-                g = grams(symbols, places, order)
-                worth, miss = table.find(g)
-                total = segment_sum(worth, begin)
                 doc = np.repeat(np.arange(rows), np.diff(first))[~head]
                 kinds_here = max(1, len(code.dictionary))
                 pair, times = np.unique(doc * kinds_here + at[~head], return_counts=True)
                 wd, wk = pair // kinds_here, pair % kinds_here
-                gd, gk = np.searchsorted(begin, miss, "right") - 1, g[miss]
-                order_ = np.lexsort((gk, gd))
-                gd, gk = gd[order_], gk[order_]
-                new = np.ones(len(gd), bool)
-                new[1:] = (gd[1:] != gd[:-1]) | (gk[1:] != gk[:-1])
-                lead = np.flatnonzero(new)
-                g_times = np.diff(np.append(lead, len(gd)))
-                gd, gk = gd[lead], gk[lead]
+                some = [(len(x), *summed_grams(x)) for x in pieces(b, "text", GRAM_BYTES)]
+                before = np.cumsum([0] + [x[0] for x in some])
+                total, gk, g_times = (np.concatenate([x[k] for x in some]) for k in (1, 3, 4))
+                gd = np.concatenate([x[2] + at for x, at in zip(some, before, strict=False)])
+                del some
                 # Each document has one row of its own, whose key matches nothing and is spread over the partitions.
                 own = [b"\xff" + int(r).to_bytes(8, "big", signed=True) for r in b.column("row").to_numpy()]
                 d = np.concatenate((np.arange(rows), wd, gd))

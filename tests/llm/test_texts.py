@@ -74,6 +74,43 @@ def test_language_model(spark, rows):
     assert lm_scoring.score(frame(spark, []), F.lit(False)).count() == 0
 
 
+def test_language_model_in_small_parts(spark, rows, monkeypatch):
+    # One row of each id: rows of one id and different texts have no order.
+    rows = list({r[0]: r for r in rows}.values())
+    parts = lambda: sorted(((repr(r["doc_id"]), r["n_known"], r["score"]) for r in lm_scoring.score(frame(spark, rows), F.lit(False)).collect()))
+    want = parts()
+    for name, value in (("GRAM_BYTES", 300), ("TEXT_BYTES", 2000), ("MERGED", 400), ("KEPT", 200)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    for g, w in zip(parts(), want, strict=True):
+        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2])
+
+
+def test_language_model_memory(spark, monkeypatch):
+    """What a task holds besides its input and the tables that are broadcast doesn't grow with the text."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = np.random.Generator(np.random.PCG64(5))
+    vocabulary = np.array(["".join(w) for w in rng.choice(list("abcdefghijklmnop"), (3000, 5))])
+    docs = frame(spark, [(i, " ".join(w), "", "", 0) for i, w in enumerate(rng.choice(vocabulary, (600, 2000)))]).coalesce(1)
+    plain = DataFrame.mapInArrow
+
+    def watched(df, fn, schema, *more, **named):
+        def run(batches):
+            import tracemalloc
+
+            tracemalloc.start()
+            try:
+                yield from fn(batches)
+                assert tracemalloc.get_traced_memory()[1] < 150 << 20, schema
+            finally:
+                tracemalloc.stop()
+
+        return plain(df, run, schema, *more, **named)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", watched)
+    assert lm_scoring.score(docs, F.lit(False)).count() == 600
+
+
 def test_language_model_without_training(spark):
     got = lm_scoring.score(frame(spark, [(1, "ab", "en", "s", 2), (2, None, "en", "s", 0)]), F.lit(True)).orderBy("doc_id").collect()
     assert [r["n_known"] for r in got] == [0, 0] and got[0]["score"] == pytest.approx(-3 * math.log10(256))
