@@ -156,7 +156,10 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     kind = docs.schema["id"].dataType.simpleString()
     # Of a document: its number of chunks, and their places in the head. Of a rare chunk in it: less than no chunks, its spots and ids.
     found = docs.select("row", "text").mapInArrow(rare, "row long, key binary, spots binary").join(table.where(~in_head).select("key", "ids"), "key")
-    found = found.select("row", F.lit(None).cast(kind).alias("id"), (-F.octet_length("spots") / 4).cast("long").alias("n"), F.concat("spots", "ids").alias("data"))
+    found = found.select("row", (-F.octet_length("spots") / 4).cast("long").alias("n"), F.concat("spots", "ids").alias("data"))
+    # Written before documents' places are shuffled, so that the join's shuffles and the table take no disk beside them.
+    found = scratch.cut(found, "found", free=True).select("row", F.lit(None).cast(kind).alias("id"), "n", "data")
+    scratch.drop("segments")
     both = docs.mapInArrow(known, f"row long, id {kind}, n long, data binary").unionByName(found)
     width = _width(model)
 

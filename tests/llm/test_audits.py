@@ -186,3 +186,16 @@ def test_parity_sums_invert_exactly(spark):
     sums = filter_audit.parity_sums(spark.createDataFrame(masks, "part string, mask int, labels array<string>"), 3)
     got = {r["part"]: r["cells"] for r in filter_audit.cells(sums, 3).collect()}
     assert got == {"a": [2 * m for m in range(8)], "b": list(range(8))}
+
+
+def test_encoding_frees_its_table(spark, rows):
+    """The table of chunks and the shuffles of its join are gone before documents' places are shuffled."""
+    P = pytest.importorskip("public_tokenizers")
+    import os
+
+    shared = _spark.scratch_dir(spark).removeprefix("file://")
+    before = set(os.listdir(shared))
+    piece_codec.encode(frame(spark, rows), P.path("piece_bpe_32k.model"))
+    (own,) = set(os.listdir(shared)) - before
+    left = os.listdir(f"{shared}/{own}")
+    assert "found" in left and "segments" not in left
