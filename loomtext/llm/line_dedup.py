@@ -49,7 +49,9 @@ SHORT, ENDS = 4, ((5, 9, 3), (8, 17, 5), (14, 1 << 40, 9))
 #: Lines under one key that one task compares; a key with more is split into parts of about so many.
 PART = 1024
 #: Pairs, and characters of them, that are gathered before their distances are computed; pairs and characters computed at once.
-AT_ONCE, MANY, WIDE, LONG = 1024, 1 << 20, 128, 1 << 18
+AT_ONCE, MANY, WIDE, LONG = 2048, 1 << 21, 256, 1 << 18
+#: Fewer pairs at once, or pairs whose table of characters takes more words, are computed as long numbers.
+FEW, MOST_WORDS = 48, 1 << 20
 #: Bins of the counts of characters, which tell many pairs apart before their distances are computed; a power of 2, at most 256.
 BINS = 32
 
@@ -307,6 +309,102 @@ def _lanes(sides: list[tuple[str, str]], most: list[int] | None = None) -> list[
     return out
 
 
+def _distances_within(sides: list[tuple[str, str]], most: list[int]) -> list[int]:
+    """As ``_lanes``, on arrays of 64-bit words, all words of all pairs at once.
+
+    A word stands for 64 characters of a shorter text. At a step it is one column behind the word above it, whose lowest
+    row it goes on from, so that no word waits for another one of its column (blocks of Hyyrö, 2003).
+    """
+    wide = len(sides)
+    if wide < FEW or not all(b for _, b in sides):
+        return _lanes(sides, most)
+    words, columns = -(-max(len(b) for _, b in sides) // 64), max(len(a) for a, _ in sides)
+    long, short = (np.array([len(x[k]) for x in sides]) for k in (0, 1))
+    lane = np.repeat(np.arange(wide), short)
+    row = np.arange(len(lane)) - np.repeat(np.cumsum(short) - short, short)
+    code = np.frombuffer("".join(b for _, b in sides).encode("utf-32-le"), np.uint32).astype(np.int64)
+    kinds, back = np.unique(lane << 32 | code, return_inverse=True)
+    begin = np.searchsorted(kinds, np.arange(wide) << 32)
+    place = np.arange(1, len(kinds) + 1) - begin[kinds >> 32]  # a character's number in its lane; 0: not there
+    size = words * wide
+    if (int(place.max()) + 1) * size > MOST_WORDS:
+        return _lanes(sides, most)
+    table = np.zeros((int(place.max()) + 1) * size, np.uint64)
+    np.bitwise_or.at(table, place[back] * size + (row >> 6) * wide + lane, np.uint64(1) << (row & 63).astype(np.uint64))
+    other = np.repeat(np.arange(wide), long)
+    code = np.frombuffer("".join(a for a, _ in sides).encode("utf-32-le"), np.uint32).astype(np.int64)
+    at = np.minimum(np.searchsorted(kinds, other << 32 | code), len(kinds) - 1)
+    known = kinds[at] == other << 32 | code
+    # The table's row of each column's character, the last column first.
+    of = np.zeros((columns + words, wide), np.int64)
+    of[len(of) - 1 - (np.arange(len(other)) - np.repeat(np.cumsum(long) - long, long)), other] = np.where(known, place[at], 0) * size
+    of += np.arange(wide)
+    below = (np.arange(words) * wide)[:, None]
+    pv, mv = np.full((words, wide), _NONE), np.zeros((words, wide), np.uint64)
+    up, down = np.zeros((words + 1, wide), np.uint64), np.zeros((words + 1, wide), np.uint64)
+    up[0] = 1
+    score = np.repeat(64 * np.arange(1, words + 1)[:, None], wide, axis=1)
+    out, last, left = np.zeros(wide, np.int64), (short - 1) >> 6, np.arange(wide)
+    end = long + last
+    ends, every, limit = set(end.tolist()), max(32, columns // 8), np.array(most)
+    top, one = np.uint64(63), np.uint64(1)
+    for step in range(1, int(end.max()) + 1):
+        k = min(step, words)
+        eq = table.take(of[len(of) - step : len(of) - step + k] + below[:k])
+        p, m, u, d = pv[:k], mv[:k], up[:k], down[:k]
+        xv = eq | m
+        eq |= d
+        xh = eq & p
+        xh += p
+        xh ^= p
+        xh |= eq
+        ph = xh | p
+        np.invert(ph, out=ph)
+        ph |= m
+        xh &= p
+        hp, hm = ph >> top, xh >> top
+        ph <<= one
+        ph |= u
+        xh <<= one
+        xh |= d
+        np.bitwise_and(ph, xv, out=m)
+        ph |= xv
+        np.invert(ph, out=ph)
+        np.bitwise_or(xh, ph, out=p)
+        up[1 : k + 1], down[1 : k + 1] = hp, hm
+        score[:k] += hp.view(np.int64)
+        score[:k] -= hm.view(np.int64)
+        if step in ends:
+            done = np.flatnonzero(end == step)
+            w = last[done]
+            # The last word's rows below the text's end.
+            spare = np.where(short[done] & 63, _NONE << (short[done] & 63).astype(np.uint64), np.uint64(0))
+            out[left[done]] = score[w, done] - np.bitwise_count(pv[w, done] & spare) + np.bitwise_count(mv[w, done] & spare).astype(np.int64)
+        if step % every == 0 and step >= words:
+            # From a cell on, the rest costs its difference in length at least; every eighth row is looked at, between which it falls by 8 at most.
+            change = np.bitwise_count(pv.T.copy().view(np.uint8)).astype(np.int64) - np.bitwise_count(mv.T.copy().view(np.uint8))
+            inner = np.cumsum(change.reshape(len(left), words, 8), axis=2)
+            cost = (score.T - inner[:, :, 7])[:, :, None] + np.concatenate((np.zeros((len(left), words, 1), np.int64), inner), axis=2)
+            rows = 64 * np.arange(words)[:, None] + 8 * np.arange(9)
+            rest = (long[:, None] - step + np.arange(words))[:, :, None] - (short[:, None, None] - rows)
+            cost += np.abs(rest)
+            cost[(rows - 8 > short[:, None, None]) | (rest + short[:, None, None] - rows < 0)] = 1 << 40
+            least = np.min(cost, axis=(1, 2)) - 9
+            over = (least > limit[left]) & (end > step)
+            out[left[over]] = least[over]
+            stay = np.flatnonzero(~over & (end > step))
+            if not len(stay):
+                break
+            if 8 * len(stay) <= 7 * len(left):
+                # Fewer lanes: the table keeps its places.
+                pv, mv, up, down, score, of = (np.ascontiguousarray(x[:, stay]) for x in (pv, mv, up, down, score, of))
+                left, long, short, last, end = left[stay], long[stay], short[stay], last[stay], end[stay]
+            else:
+                end = np.where(over, 0, end)
+            ends = set(end.tolist())
+    return out.tolist()
+
+
 def _least(pv: int, mv: int, sides: list[tuple[str, str]], ends: list[int], step: int) -> np.ndarray:
     """The least that each lane's distance can be, after so many columns: from any of their cells the rest costs its difference in length."""
     up, down = (np.unpackbits(np.frombuffer(x.to_bytes(ends[-1], "little"), np.uint8), bitorder="little").astype(np.int8) for x in (pv, mv))
@@ -356,7 +454,7 @@ def verify(t: pa.Table, pairs: Iterator[tuple[np.ndarray, np.ndarray]], groups:
     def settle() -> None:
         for some in batches(sides):
             some = [k for k in some if groups.label[asked[k][0]] != groups.label[asked[k][1]]]
-            for k, d in zip(some, _lanes([sides[k] for k in some], [asked[k][2] for k in some]), strict=True):
+            for k, d in zip(some, _distances_within([sides[k] for k in some], [asked[k][2] for k in some]), strict=True):
                 if d <= asked[k][2]:
                     groups.join(*asked[k][:2])
         asked.clear()

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomtext.llm import _blocks, line_dedup
@@ -39,6 +40,45 @@ def test_unlike_long_texts_are_told_apart_early(monkeypatch):
     assert line_dedup._lanes([(a, b)], [800])[0] > 800 and max(seen) < 2400
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_distances_on_words(seed, monkeypatch):
+    pairs = [(a, b) for k in range(3) for a, b in some_pairs(3 * seed + k) if b]
+    rng = random.Random(seed)
+    pairs += [(x * 5, y * 5) for x, y in pairs] + [("a" * n, "b" * n) for n in (63, 64, 65, 128)]
+    most = [int(len(a) * rng.choice([0.05, 0.2, 0.5])) for a, _ in pairs]
+    exact = line_dedup.distances(pairs).tolist()
+    assert line_dedup._distances_within([], []) == []
+    monkeypatch.setattr(line_dedup, "FEW", 1)
+    for words in (1 << 20, 10):  # with 10, as long numbers
+        monkeypatch.setattr(line_dedup, "MOST_WORDS", words)
+        for some in (list(range(len(pairs))), *([k] for k in range(len(pairs)))):
+            got = line_dedup._distances_within([pairs[k] for k in some], [most[k] for k in some])
+            assert all(g == exact[k] if exact[k] <= most[k] else g > most[k] for g, k in zip(got, some, strict=True))
+
+
+def test_many_unlike_lines_are_compared_on_words(monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(500)]
+    texts = []
+    for k in range(128):
+        a = [rng.choice(words) for _ in range(40)]
+        texts += [" ".join(a), " ".join(w if rng.random() < (0.5 if k % 2 else 0.9) else rng.choice(words) for w in a)]
+    table = pa.table({"data": pa.array([x.encode() for x in texts])})
+    left = np.arange(0, len(texts), 2)
+    monkeypatch.setattr(line_dedup, "quick", lambda a, b, most: False)
+
+    def linked():
+        groups = _blocks.Groups(np.arange(len(texts)))
+        line_dedup.verify(table, iter([(left, left + 1)]), groups, line_dedup.SIMILARITY)
+        return groups.label.tolist()
+
+    want = [k - 1 if k % 2 and line_dedup.similar(texts[k - 1], texts[k]) else k for k in range(len(texts))]
+    lanes, seen = line_dedup._lanes, []
+    monkeypatch.setattr(line_dedup, "_lanes", lambda sides, most=None: seen.append(len(sides)) or lanes(sides, most))
+    assert linked() == want and 20 < sum(a != b for a, b in enumerate(want)) < 108
+    assert sum(seen) < 64
+
+
 def test_heavy_work_keeps_its_tasks(spark, tmp_path):
     rows = spark.range(1000).selectExpr("id as key")
     for heavy in (False, True):
