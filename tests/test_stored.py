@@ -279,6 +279,27 @@ def test_names_alike_in_most_places_meet_heads_first(spark, monkeypatch):
     assert heads and not any(t.where("n like 'customer%'").count() for t in heads)
 
 
+def test_names_that_begin_or_end_alike_are_told_apart_once(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "FREQUENT", 4)
+    k = [f"supplier000000{i:03d}" for i in range(300)]
+    p = [x.replace("supplier", "splier") for x in k[::3]] + [f"{x} jr" for x in k[::3]]
+    shared = folders.shared_folder(spark)
+    old = set(folders.names(spark, shared))
+    got = {(r["n"], r["kn"]) for r in retrieval.alike_names(spark.createDataFrame([(x,) for x in p], "n string"), spark.createDataFrame([(x,) for x in k], "kn string")).collect()}
+    assert got == {(a, b) for a in p for b in k if 1 - distance(a, b) / max(len(a), len(b)) >= 0.78}
+    (made,) = [n for n in folders.names(spark, shared) if n.startswith("loomtext-names-") and n not in old]
+    first = [spark.read.parquet(f"{shared}/{made}/{n}").count() for n in ("heads0", "tails0")]
+    assert first[0] < len(p) / 2 and first[1] <= 4 * 10 * 10  # pairs of heads, by part, not names
+
+
+def test_candidates_in_the_order_of_their_spelling(spark):
+    names = [f"{'a' if i % 2 else 'A'}bcdefgh{i:02d}" for i in range(12)] + ["ABCDEFGH11", "ABcdefgh10"]
+    known = spark.createDataFrame([(x,) for x in names], "name string")
+    for most in (1, 3, 13, 20):
+        (r,) = retrieval.resolve_names(spark.createDataFrame([("abcdefghxx",)], "name string"), known, most=most).collect()
+        assert r["candidates"] == sorted(names)[:most]
+
+
 def test_as_many_candidates_as_asked_for(spark):
     known = spark.createDataFrame([(f"abcdefgh{i:02d}",) for i in range(12)], "name string")
     asked = spark.createDataFrame([("abcdefghxx",), ("abcdefghijklmnopqrstuvwxyzabcdefghijklmno",)], "name string")
