@@ -57,6 +57,29 @@ def test_files_of_a_failed_write_are_not_seen(spark, tmp_path):
     assert files.write_files(good.where("false"), f"file://{tmp_path}/s").first().asDict() == dict.fromkeys(files.ACTIONS, 0)
 
 
+def test_contents_are_packed_until_files_are_named(spark, tmp_path, monkeypatch):
+    texts = [f"{i} é\r\n\u2028 \\n " + "words of a chunk " * 200 for i in range(900)] + ["", None]
+    rows = [(f"d{i % 300}/{i} é.md", t, "created") for i, t in enumerate(texts)]
+    plan = spark.createDataFrame(rows, "path string, content string, action string").coalesce(1)
+    held, named = [], files._named
+
+    def looked_at(spark, folder, run):
+        held.append([os.path.getsize(os.path.join(at, n)) for at, _, names in os.walk(tmp_path / "_aside" / run) for n in names if not n.startswith(".")])
+        held.append(sum(1 for _ in open(tmp_path / "_aside" / run / files.COMMITTED)))
+        named(spark, folder, run)
+
+    monkeypatch.setattr(files, "_named", looked_at)
+    assert files.write_files(plan, f"file://{tmp_path}").first()["created"] == 902
+    # A list and contents of one task, and what the commit wrote; several blocks, which are dealt out.
+    assert len(held[0]) <= 3 and sum(held[0]) < sum(len(t or "") for t in texts) / 4 and held[1] >= 3
+    back = {r["path"]: r["content"] for r in files.listed_files(spark, f"file://{tmp_path}", contents=True).collect()}
+    assert back == {path: content or "" for path, content, _ in rows}
+    gone = spark.createDataFrame([(p, None, "deleted") for p, _, _ in rows[::2]] + [("not/there.md", None, "deleted")], plan.schema)
+    assert files.write_files(gone, f"file://{tmp_path}").first()["deleted"] == 452
+    left = {r["path"] for r in files.listed_files(spark, f"file://{tmp_path}").collect()}
+    assert left == {p for p, _, _ in rows[1::2]} and os.listdir(tmp_path / "_aside") == []
+
+
 def test_kept_results(spark, tmp_path):
     at, calls = f"file://{tmp_path}/kept", []
 
