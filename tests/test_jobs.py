@@ -80,6 +80,27 @@ def test_contents_are_packed_until_files_are_named(spark, tmp_path, monkeypatch)
     assert left == {p for p, _, _ in rows[1::2]} and os.listdir(tmp_path / "_aside") == []
 
 
+def test_chunk_files_are_held_against_the_folder_without_a_shuffle(spark, tmp_path):
+    name = lambda b, n: f"{b}-Chunked/{b}-CHUNK-{n:03d}.md"
+    at = {k: f"file://{tmp_path}/{k}" for k in ("plan", "writes")}
+
+    def both(of, overwrite, notes=None):
+        notes = None if notes is None else spark.createDataFrame([(n,) for n in notes], "base string")
+        make = {"plan": sinks.chunk_file_plan, "writes": sinks.chunk_file_writes}
+        made = {k: make[k](chunks(spark, of), files.listed_files(spark, at[k]), overwrite, notes, "text") for k in at}
+        counts = [files.write_files(made[k], at[k]).first().asDict() for k in at]
+        assert counts[0] == counts[1] and on_disk(tmp_path / "plan") == on_disk(tmp_path / "writes")
+        return counts[0]
+
+    assert both({"a": ["1", "2", None], "b é": ["1"]}, False)["created"] == 4
+    assert both({"a": ["x", "x"], "c": ["1"]}, False) == {"created": 1, "overwritten": 0, "skipped": 2, "deleted": 0}
+    assert both({"a": ["x"], "d": [f"{i}" for i in range(1001)]}, True) == {"created": 1001, "overwritten": 1, "skipped": 0, "deleted": 2}
+    assert both({"d": ["new"]}, True, ["c", "d"]) == {"created": 0, "overwritten": 1, "skipped": 0, "deleted": 1001}
+    assert on_disk(tmp_path / "writes") == {name("a", 1): "x", name("b é", 1): "1", name("d", 1): "new"}
+    plan = sinks.chunk_file_writes(chunks(spark, {"a": ["x"]}), files.listed_files(spark, at["writes"]), True)
+    assert not any("content" in line or "text" in line for line in plan._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
+
+
 def test_kept_results(spark, tmp_path):
     at, calls = f"file://{tmp_path}/kept", []
 
